@@ -4,7 +4,7 @@ selection and scan counters (all native column expressions)."""
 from __future__ import annotations
 
 import datetime as _dt
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,40 +28,36 @@ FILE_TYPES = {
 _GLOB_SUFFIXES = [p[1:] for p in IGNORE_PATTERNS if p.startswith("*")]
 
 
-def _substring_hit(col: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(col, F.lit(p)) for p in IGNORE_PATTERNS])
+def _alternation() -> str:
+    """Plain substring patterns as one regex alternation (no '/' inside)."""
+    return "|".join(re.escape(p) for p in IGNORE_PATTERNS)
 
 
-def _glob_component_re(dirs_only: bool) -> str:
-    alts = "|".join(s.replace(".", "[.]") for s in _GLOB_SUFFIXES)
-    return f"(?:{alts})/" if dirs_only else f"(?:{alts})(?:/|$)"
+def _glob_alternation() -> str:
+    return "|".join(re.escape(s) for s in _GLOB_SUFFIXES)
 
 
 def ignore_flags(files: DataFrame, root: str | None = None) -> DataFrame:
     """Adds ``name``, ``pruned`` and ``ignored``.
 
     ``pruned``: the file sits below a directory the walk never enters (a
-    directory strictly below ``root`` whose path matches a pattern or whose
-    name ends in ".pyc"). ``ignored``: the file itself matches. The file is
-    kept iff neither holds. Without ``root`` the first path component after
-    the leading slash is taken as the root.
+    directory strictly below ``root`` whose path contains a pattern or whose
+    name ends in ".pyc"). ``ignored``: the file path contains a pattern or the
+    name ends in ".pyc". The file is kept iff neither holds. Without ``root``
+    the first path component is taken as the root.
+
+    Each test is one regular expression over ``path``, so the expression
+    stays small even when ``path`` is itself computed.
     """
     path = F.col("path")
-    parent = F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
-    if root is None:
-        root_col = F.regexp_extract(path, r"^(/[^/]*)", 1)
-    else:
-        root_col = F.lit(str(root).rstrip("/") or "/")
-    below = F.when(F.length(parent) > F.length(root_col),
-                   F.substring(parent, F.length(root_col) + 2, 1 << 30)).otherwise(F.lit(""))
-    glob_dir = F.concat(below, F.lit("/")).rlike("(?:^|/)[^/]*" + _glob_component_re(True))
-    pruned = (F.length(parent) > F.length(root_col)) & (_substring_hit(parent) | glob_dir)
-    name = file_name(path)
-    name_glob = reduce(lambda a, b: a | b, [name.endswith(s) for s in _GLOB_SUFFIXES])
+    root_re = "/[^/]*" if root is None else re.escape(str(root).rstrip("/"))
+    alt, glob = _alternation(), _glob_alternation()
+    below_root_dir = path.rlike(f"^{root_re}/.*/")
+    dir_hit = path.rlike(f"(?:{alt}).*/") | path.rlike(f"^{root_re}/(?:.*/)?[^/]*(?:{glob})/")
     return files.withColumns({
-        "name": name,
-        "pruned": pruned,
-        "ignored": _substring_hit(path) | name_glob,
+        "name": file_name(path),
+        "pruned": below_root_dir & dir_hit,
+        "ignored": path.rlike(f"{alt}|(?:{glob})$"),
     })
 
 
@@ -69,14 +65,16 @@ def keep_predicate() -> Column:
     return ~F.col("pruned") & ~F.col("ignored")
 
 
+def _lookup(mapping: dict, key: Column, default: str) -> Column:
+    """One map-literal lookup: ``key`` is referenced once, however long the map."""
+    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
+
+
 def classify(files: DataFrame) -> DataFrame:
-    """Adds ``suffix`` (as written) and ``file_type``."""
-    suffix = file_suffix(F.col("name"))
-    low = F.lower(suffix)
-    ftype = reduce(lambda acc, kv: acc.when(low == kv[0], kv[1]),
-                   list(FILE_TYPES.items())[1:],
-                   F.when(low == list(FILE_TYPES)[0], FILE_TYPES[list(FILE_TYPES)[0]]))
-    return files.withColumns({"suffix": suffix, "file_type": ftype.otherwise("other")})
+    """Adds ``suffix`` (as written) and ``file_type``."""
+    files = files.withColumn("suffix", file_suffix(F.col("name")))
+    return files.withColumn("file_type", _lookup(FILE_TYPES, F.lower("suffix"), "other"))
 
 
 def inventory(files: DataFrame, root: str | None = None) -> DataFrame:
