@@ -94,6 +94,10 @@ def iso_timestamp(col) -> Column:
     return F.when(frac == 0, whole).otherwise(micros)
 
 
+def format_fixed(col, digits: int) -> Column:
+    """``f'{x:.Nf}'``: round half-even first (Java's %f rounds half-up)."""
+    return F.format_string(f"%.{digits}f", F.bround(_c(col), digits))
+
+
 def format_2f(col) -> Column:
-    """``f'{x:.2f}'`` (half-even on the double, like Python)."""
-    return F.format_string("%.2f", F.bround(_c(col), 2))
+    return format_fixed(col, 2)

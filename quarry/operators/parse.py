@@ -218,8 +218,8 @@ def parse_files(files: DataFrame) -> DataFrame:
     return native.unionByName(python)
 
 
-def parse_errors(parsed: DataFrame) -> DataFrame:
+def parse_errors(parsed: DataFrame, keys=()) -> DataFrame:
     """``"{name}: {error}"`` for every failed parse."""
     return parsed.filter(~F.col("success")).select(
-        "path", F.concat_ws(": ", F.col("name"),
+        *keys, "path", F.concat_ws(": ", F.col("name"),
                             F.coalesce(F.col("error"), F.lit("Unknown error"))).alias("message"))

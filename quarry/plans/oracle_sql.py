@@ -71,3 +71,25 @@ def preview(expr: str, n: int = 500) -> str:
 
 def ts(value: str) -> str:
     return f"TIMESTAMP '{value}'"
+
+
+def iso(expr: str) -> str:
+    """DuckDB twin of ``iso_timestamp``."""
+    return (f"(CASE WHEN {expr} IS NULL THEN NULL WHEN epoch_us({expr}) % 1000000 = 0 "
+            f"THEN strftime({expr}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({expr}, '%Y-%m-%dT%H:%M:%S.%f') END)")
+
+
+# Validated tickets and (ticket, file) pairs; needs ``tickets`` and ``inventory``.
+TICKET_FILES_SQL = """
+vt AS (
+  SELECT *, CASE WHEN task_id IS NULL THEN 'task_id: Field required'
+      WHEN workspace_path IS NULL THEN 'workspace_path: Field required'
+      WHEN NOT coalesce(scan_all, FALSE) AND (start_date IS NULL OR end_date IS NULL)
+        THEN 'start_date and end_date required when scan_all=False' END AS error
+  FROM tickets),
+vtk AS (SELECT *, error IS NULL AS valid FROM vt),
+tf AS (
+  SELECT t.task_id, t.reindex, i.*
+  FROM vtk t JOIN inventory i
+    ON t.valid AND (coalesce(t.scan_all, FALSE) OR i.modified BETWEEN t.start_date AND t.end_date))"""

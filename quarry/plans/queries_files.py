@@ -32,3 +32,73 @@ def breakdown_by_type(spark, sf_dir):
             .agg(F.count(F.lit(1)).alias("files"),
                  F.sum("size").alias("total_size_bytes"),
                  F.bround(F.sum("size") / F.lit(1048576.0), 3).alias("total_size_mb")))
+
+
+from quarry.functions.text import iso_timestamp  # noqa: E402
+from quarry.operators import enrich  # noqa: E402
+
+_INV_COLS = ["path", "name", "suffix", "file_type", "size"]
+
+
+@register("workspace_files", O.with_inventory() + f"""
+SELECT path, name, file_type, size, {O.iso('modified')} AS modified FROM inventory""")
+def workspace_files(spark, sf_dir):
+    """The walk's inventory (M1 columns)."""
+    return inventory(spark, sf_dir).select("path", "name", "file_type", "size",
+                                           iso_timestamp("modified").alias("modified"))
+
+
+@register("ignored_paths", O.with_inventory() + """
+SELECT path, pruned, ignored FROM flagged""")
+def ignored_paths(spark, sf_dir):
+    """Prune (directory) and ignore (file) flags of every path."""
+    return scan.ignore_flags(fixture_files(spark, sf_dir), FIXTURE_ROOT).select(
+        "path", "pruned", "ignored")
+
+
+@register("classify_files", O.with_inventory() + f"""
+SELECT path, regexp_extract(name, '(?s)^.+([.][^.]+)$', 1) AS suffix,
+  {O._type_case("regexp_extract(name, '(?s)^.+([.][^.]+)$', 1)")} AS file_type FROM named""")
+def classify_files(spark, sf_dir):
+    """Suffix and type of every path (ignored ones included)."""
+    files = fixture_files(spark, sf_dir).withColumn("name", F.substring_index("path", "/", -1))
+    return scan.classify(files).select("path", "suffix", "file_type")
+
+
+@register("scan_changes", O.with_inventory() + f"""
+SELECT path, file_type, size, {O.iso('modified')} AS modified FROM inventory
+WHERE modified BETWEEN {O.ts(RANGE_START)} AND {O.ts(RANGE_END)}""")
+def scan_changes(spark, sf_dir):
+    """Inventory inside an inclusive window."""
+    files = scan.scan_changes(fixture_files(spark, sf_dir), RANGE_START, RANGE_END, FIXTURE_ROOT)
+    return files.select("path", "file_type", "size", iso_timestamp("modified").alias("modified"))
+
+
+@register("scan_changes_days", O.with_inventory() + f"""
+SELECT path, file_type, {O.iso('modified')} AS modified FROM inventory
+WHERE modified BETWEEN TIMESTAMP '{DAY_START} 00:00:00' AND TIMESTAMP '{DAY_END} 23:59:59.999999'""")
+def scan_changes_days(spark, sf_dir):
+    """Whole calendar days, end day included to its last microsecond."""
+    files = scan.scan_changes_days(fixture_files(spark, sf_dir), DAY_START, DAY_END, FIXTURE_ROOT)
+    return files.select("path", "file_type", iso_timestamp("modified").alias("modified"))
+
+
+@register("scan_counters", O.with_inventory() + f"""
+SELECT count(*) FILTER (WHERE NOT pruned) AS scanned,
+  count(*) FILTER (WHERE NOT pruned AND ignored) AS ignored,
+  count(*) FILTER (WHERE NOT pruned AND NOT ignored
+                   AND modified BETWEEN {O.ts(RANGE_START)} AND {O.ts(RANGE_END)}) AS changed
+FROM flagged""")
+def scan_counters(spark, sf_dir):
+    """S3: scanned / ignored / changed counters of one scan."""
+    return scan.scan_counters(fixture_files(spark, sf_dir), RANGE_START, RANGE_END, FIXTURE_ROOT)
+
+
+@register("file_display", O.with_inventory() + f"""
+SELECT path, name, file_type, strftime(modified, '%Y-%m-%d %H:%M') AS modified,
+  round_even(size / 1024.0, 2) AS size_kb
+FROM inventory WHERE modified BETWEEN {O.ts(RANGE_START)} AND {O.ts(RANGE_END)}""")
+def file_display(spark, sf_dir):
+    """The display table of changed files."""
+    files = scan.scan_changes(fixture_files(spark, sf_dir), RANGE_START, RANGE_END, FIXTURE_ROOT)
+    return enrich.display(files, keys=("path",))

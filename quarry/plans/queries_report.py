@@ -1 +1,401 @@
-"""Registered queries (filled in below)."""
+"""Ticket and report queries (T1-T8, A1-A16) over the workspace view."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators import aggregate as A
+from quarry.operators import tickets as TK
+from quarry.plans import oracle_sql as O
+from quarry.plans import report as R
+from quarry.plans.fixture_tickets import NOW, tickets_df, tickets_sql
+from quarry.plans.registry import register
+from quarry.sources.tables import FIXTURE_ROOT, fixture_files
+from quarry.operators import scan
+
+
+def _run(spark, sf_dir, persist=False):
+    inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
+    return R.prepare(inventory, tickets_df(spark), persist=persist)
+
+
+def _with(*ctes: str) -> str:
+    return O.with_inventory(tickets_sql(), O.TICKET_FILES_SQL, *ctes)
+
+
+def _per_task(run):
+    """Valid tickets joined to their scope's stats and lists."""
+    return run.tickets.filter("valid").join(R.per_scope(run), "scope_id", "left")
+
+
+# --------------------------------------------------------------------- T1-T3
+
+@register("ticket_validation", _with() + """
+SELECT task_id, valid, error FROM vtk""")
+def ticket_validation(spark, sf_dir):
+    """Required fields and the date rule."""
+    return TK.validate(tickets_df(spark)).select("task_id", "valid", "error")
+
+
+@register("context_defaults", _with() + f"""
+SELECT task_id,
+  coalesce(requester, 'Unknown') AS requester_name,
+  coalesce(requester_email, 'unknown@example.com') AS requester_email,
+  coalesce(requester_role, 'User') AS requester_role,
+  coalesce(timezone, 'UTC') AS timezone,
+  coalesce(original_question, '') AS original_question,
+  coalesce(channel, 'API') AS channel, coalesce(thread_id, '') AS thread_id,
+  coalesce(urgency, 'Normal') AS urgency, coalesce(requested_at, '{NOW}') AS requested_at,
+  coalesce(requested_format, 'summary') AS requested_format,
+  CASE WHEN coalesce(scan_all, FALSE) THEN 'all_files' ELSE 'date_range' END AS time_range,
+  {O.iso('start_date')} AS start_date, {O.iso('end_date')} AS end_date,
+  workspace_path AS workspace,
+  CASE WHEN coalesce(scan_all, FALSE) THEN 'all' ELSE 'date_range' END AS filter_type
+FROM tickets""")
+def context_defaults(spark, sf_dir):
+    """Request context with defaults, flattened."""
+    requester, request, scope = TK.context_struct(NOW)
+    t = tickets_df(spark).select("task_id", requester.alias("rq"), request.alias("r"),
+                                 scope.alias("s"))
+    return t.select(
+        "task_id", F.col("rq.name").alias("requester_name"),
+        F.col("rq.email").alias("requester_email"), F.col("rq.role").alias("requester_role"),
+        F.col("rq.timezone").alias("timezone"), "r.original_question", "r.channel", "r.thread_id",
+        "r.urgency", "r.requested_at", "r.requested_format", "s.time_range", "s.start_date",
+        "s.end_date", "s.workspace", "s.filter_type")
+
+
+@register("ticket_files", _with() + f"""
+SELECT task_id, path, file_type, size, {O.iso('modified')} AS modified FROM tf""")
+def ticket_files(spark, sf_dir):
+    """Every (ticket, file) pair, scopes broadcast after a size check."""
+    inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
+    validated = TK.with_scope(TK.validate(tickets_df(spark)))
+    pairs = TK.files_in_scopes(inventory, TK.scopes(validated))
+    from quarry.functions.text import iso_timestamp
+    return (validated.filter("valid").select("task_id", "scope_id")
+            .join(pairs, "scope_id")
+            .select("task_id", "path", "file_type", "size",
+                    iso_timestamp("modified").alias("modified")))
+
+
+# ------------------------------------------------------------------ A1-A12
+
+@register("statistics", _with() + """
+SELECT t.task_id, count(tf.path) AS files_scanned, count(tf.path) AS files_matched,
+  count(tf.path) AS files_processed, CAST(0 AS BIGINT) AS files_failed,
+  CAST(coalesce(sum(tf.size), 0) AS BIGINT) AS total_size_bytes,
+  round_even(coalesce(sum(tf.size), 0) / 1048576.0, 3) AS total_size_mb
+FROM vtk t LEFT JOIN tf ON t.task_id = tf.task_id WHERE t.valid GROUP BY t.task_id""")
+def statistics(spark, sf_dir):
+    """A1 per valid ticket."""
+    c = R.report_columns(NOW)
+    return _per_task(_run(spark, sf_dir)).select(
+        "task_id", c["files_processed"].alias("files_scanned"),
+        c["files_processed"].alias("files_matched"), c["files_processed"].alias("files_processed"),
+        F.lit(0).cast("bigint").alias("files_failed"), c["total_size_bytes"].alias("total_size_bytes"),
+        c["total_size_mb"].alias("total_size_mb"))
+
+
+@register("breakdown_per_task", _with() + """
+SELECT task_id, file_type, count(*) AS files FROM tf GROUP BY task_id, file_type""")
+def breakdown_per_task(spark, sf_dir):
+    """A2: file count per type per ticket (types present only)."""
+    t = _per_task(_run(spark, sf_dir))
+    stack = F.explode(F.array(*[F.struct(F.lit(k).alias("file_type"),
+                                         F.col(f"n_{k}").alias("files")) for k in A.TYPES]))
+    return (t.select("task_id", stack.alias("b")).select("task_id", "b.file_type", "b.files")
+            .filter("files > 0"))
+
+
+@register("breakdown_note", _with() + f"""
+SELECT task_id, string_agg(DISTINCT ltrim(suffix, '.'), ',' ORDER BY ltrim(suffix, '.')) AS formats,
+  CAST(sum({O.words('content_n')}) AS BIGINT) AS total_words
+FROM (SELECT *, regexp_replace(content, '\\r\\n?', chr(10), 'g') AS content_n FROM tf)
+WHERE file_type = 'note' GROUP BY task_id""")
+def breakdown_note(spark, sf_dir):
+    """Note formats and total words per ticket."""
+    return (_per_task(_run(spark, sf_dir)).filter("n_note > 0")
+            .select("task_id", F.array_join("note_formats", ",").alias("formats"),
+                    F.col("note_total_words").alias("total_words")))
+
+
+@register("breakdown_code", None)
+def breakdown_code(spark, sf_dir):
+    """A3: languages, lines, functions, classes (Python parse: rows-only)."""
+    return (_per_task(_run(spark, sf_dir)).filter("n_code > 0")
+            .select("task_id", F.col("n_code").alias("files"),
+                    F.when(F.col("code_python"), "python").otherwise("").alias("languages"),
+                    F.col("code_total_lines").alias("total_lines"),
+                    F.col("code_functions").alias("functions"),
+                    F.col("code_classes").alias("classes")))
+
+
+@register("breakdown_data", None)
+def breakdown_data(spark, sf_dir):
+    """A4: formats, rows, max columns (pandas CSV parse: rows-only)."""
+    return (_per_task(_run(spark, sf_dir)).filter("n_data > 0")
+            .select("task_id", F.array_join("data_formats", ",").alias("formats"),
+                    F.col("data_total_rows").alias("total_rows"),
+                    F.col("data_total_columns").alias("total_columns")))
+
+
+@register("breakdown_notebook", None)
+def breakdown_notebook(spark, sf_dir):
+    """A5: notebook cell counts (notebook JSON parse: rows-only)."""
+    return (_per_task(_run(spark, sf_dir)).filter("n_notebook > 0")
+            .select("task_id", F.col("notebook_total_cells").alias("total_cells"),
+                    F.col("notebook_code_cells").alias("code_cells"),
+                    F.col("notebook_markdown_cells").alias("markdown_cells")))
+
+
+@register("activity_summary", _with() + """
+SELECT t.task_id, CASE WHEN count(tf.path) = 0 THEN 'No activity found'
+  WHEN count(*) FILTER (WHERE tf.file_type = 'code') > 0 THEN 'Active development with code changes'
+  WHEN count(*) FILTER (WHERE tf.file_type = 'data') > 0 THEN 'Data collection and processing activity'
+  WHEN count(*) FILTER (WHERE tf.file_type = 'note') > 0 THEN 'Documentation updates'
+  ELSE 'General workspace activity' END AS activity_summary
+FROM vtk t LEFT JOIN tf ON t.task_id = tf.task_id WHERE t.valid GROUP BY t.task_id""")
+def activity_summary(spark, sf_dir):
+    """A7."""
+    return _per_task(_run(spark, sf_dir)).select("task_id", A.activity_summary().alias("activity_summary"))
+
+
+@register("summary_text", None)
+def summary_text(spark, sf_dir):
+    """A8 full text (code summaries come from the Python parse: rows-only)."""
+    return _per_task(_run(spark, sf_dir)).select("task_id", A.summary_text().alias("summary"))
+
+
+def _ranked(types: tuple, n: int) -> str:
+    in_list = ", ".join(f"'{t}'" for t in types)
+    return f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY path) AS rank
+  FROM tf WHERE file_type IN ({in_list})),
+top AS (SELECT * FROM ranked WHERE rank <= {n})"""
+
+
+def _list_rows(run, kind):
+    t = run.tickets.filter("valid").select("task_id", "scope_id")
+    return t.join(A.first_n_rows(run.pairs).filter(F.col("kind") == kind), "scope_id")
+
+
+@register("highlights", _with(_ranked(("code", "data", "notebook", "note"), 10)) + """
+SELECT task_id, rank, CASE file_type WHEN 'code' THEN 'New code added (' || name || ')'
+  WHEN 'data' THEN 'Data file updated (' || name || ')'
+  WHEN 'notebook' THEN 'Analysis notebook created (' || name || ')'
+  ELSE 'Documentation updated (' || name || ')' END AS highlight FROM top""")
+def highlights(spark, sf_dir):
+    """First 10 highlights per ticket in path order."""
+    rows = _list_rows(_run(spark, sf_dir), "highlights")
+    return rows.select("task_id", F.col("rank").cast("bigint").alias("rank"),
+                       A._item("highlights").alias("highlight"))
+
+
+@register("notable_changes", _with(_ranked(("code", "data"), 5)) + """
+SELECT task_id, rank, file_type AS type, name AS file,
+  CASE file_type WHEN 'code' THEN 'high' ELSE 'medium' END AS impact FROM top""")
+def notable_changes(spark, sf_dir):
+    """A10: first 5 code/data changes (description is the parse summary, not compared)."""
+    rows = _list_rows(_run(spark, sf_dir), "notable_changes")
+    return rows.select("task_id", F.col("rank").cast("bigint").alias("rank"),
+                       F.col("file_type").alias("type"), F.col("name").alias("file"),
+                       F.when(F.col("file_type") == "code", "high").otherwise("medium")
+                       .alias("impact"))
+
+
+@register("recommendations", _with(_ranked(("code", "notebook"), 5)) + """
+SELECT task_id, rank, CASE file_type WHEN 'code' THEN 'Review ' || name || ' implementation'
+  ELSE 'Execute ' || name || ' to generate visualizations' END AS recommendation FROM top""")
+def recommendations(spark, sf_dir):
+    """A10: first 5 recommendations per ticket."""
+    rows = _list_rows(_run(spark, sf_dir), "recommendations")
+    return rows.select("task_id", F.col("rank").cast("bigint").alias("rank"),
+                       A._item("recommendations").alias("recommendation"))
+
+
+@register("file_listing", _with(_ranked(("code", "data", "note", "notebook", "other"), 10)) + """
+SELECT top.task_id, rank,
+  name || ' (' || file_type || ', ' || printf('%.1f', round_even(size / 1024.0, 1)) || ' KB)' AS line,
+  greatest(n.files - 10, 0) AS more_files
+FROM top JOIN (SELECT task_id, count(*) AS files FROM tf GROUP BY task_id) n
+  ON top.task_id = n.task_id""")
+def file_listing(spark, sf_dir):
+    """First 10 files (name, type, KB to 1 decimal) plus the remainder count."""
+    run = _run(spark, sf_dir)
+    rows = _list_rows(run, "file_listing")
+    counts = _per_task(run).select("task_id", F.greatest(F.col("files_processed") - 10, F.lit(0))
+                                   .alias("more_files"))
+    return rows.join(counts, "task_id").select(
+        "task_id", F.col("rank").cast("bigint").alias("rank"),
+        A._item("file_listing").alias("line"), "more_files")
+
+
+LARGE_THRESHOLD = 64 * 1024  # exercised threshold; the report itself uses 10 MB
+
+
+@register("large_file_warnings", _with() + f"""
+SELECT task_id, path, name, 'info' AS level,
+  'Found ' || count(*) OVER (PARTITION BY task_id) || ' large files (>64KB)' AS message
+FROM tf WHERE size > {LARGE_THRESHOLD}""")
+def large_file_warnings(spark, sf_dir):
+    """A11 with a parameterised threshold: one row per affected file."""
+    run = _run(spark, sf_dir)
+    t = run.tickets.filter("valid").select("task_id", "scope_id")
+    big = run.pairs.filter(F.col("size") > LARGE_THRESHOLD)
+    counts = big.groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
+    return (t.join(big.select("scope_id", "path", "name"), "scope_id").join(counts, "scope_id")
+            .select("task_id", "path", "name", F.lit("info").alias("level"),
+                    F.format_string("Found %d large files (>64KB)", "n").alias("message")))
+
+
+@register("suggested_actions", _with() + """
+, flags AS (
+  SELECT t.task_id, count(*) FILTER (WHERE tf.file_type = 'code') > 0 AS has_code,
+         count(*) FILTER (WHERE tf.file_type = 'notebook') > 0 AS has_nb
+  FROM vtk t LEFT JOIN tf ON t.task_id = tf.task_id WHERE t.valid GROUP BY t.task_id)
+SELECT task_id, 1 AS rank, 'semantic_search' AS action FROM flags
+UNION ALL SELECT task_id, 2, 'deep_dive' FROM flags WHERE has_code
+UNION ALL SELECT task_id, 2 + CAST(has_code AS INT), 'execute_notebook' FROM flags WHERE has_nb
+UNION ALL SELECT task_id, 2 + CAST(has_code AS INT) + CAST(has_nb AS INT), 'compare' FROM flags""".replace("\n, flags", ",\nflags"))
+def suggested_actions(spark, sf_dir):
+    """Ordered follow-up actions per ticket."""
+    t = _per_task(_run(spark, sf_dir)).select("task_id", A.suggested_actions().alias("a"))
+    return t.select("task_id", F.posexplode("a").alias("pos", "x")).select(
+        "task_id", (F.col("pos") + 1).alias("rank"), F.col("x.action").alias("action"))
+
+
+@register("files_indexed", None)
+def files_indexed(spark, sf_dir):
+    """Successful parses of tickets that re-index (parse-dependent: rows-only)."""
+    return _per_task(_run(spark, sf_dir)).select("task_id", R._files_indexed().alias("files_indexed"))
+
+
+# ----------------------------------------------------------------- T4-T8
+
+_REPORT_SQL = _with() + """
+, agg AS (
+  SELECT t.task_id, count(tf.path) AS n, CAST(coalesce(sum(tf.size), 0) AS BIGINT) AS bytes,
+    count(*) FILTER (WHERE tf.file_type = 'code') AS n_code,
+    count(*) FILTER (WHERE tf.file_type = 'data') AS n_data,
+    count(*) FILTER (WHERE tf.file_type = 'notebook') AS n_notebook,
+    count(*) FILTER (WHERE tf.file_type = 'note') AS n_note,
+    count(*) FILTER (WHERE tf.file_type = 'other') AS n_other,
+    count(*) FILTER (WHERE tf.size > 10485760) AS large
+  FROM vtk t LEFT JOIN tf ON t.task_id = tf.task_id GROUP BY t.task_id),
+hl AS (
+  SELECT task_id, string_agg(CASE file_type WHEN 'code' THEN 'New code added (' || name || ')'
+      WHEN 'data' THEN 'Data file updated (' || name || ')'
+      WHEN 'notebook' THEN 'Analysis notebook created (' || name || ')'
+      ELSE 'Documentation updated (' || name || ')' END, chr(10) ORDER BY path) AS highlights
+  FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY path) AS rk FROM tf
+        WHERE file_type IN ('code', 'data', 'notebook', 'note')) WHERE rk <= 10 GROUP BY task_id)
+SELECT t.task_id, CASE WHEN t.valid THEN 'success' ELSE 'error' END AS status,
+  CASE WHEN NOT t.valid THEN 'Task failed: ' || t.error
+       WHEN a.n = 0 THEN 'No files found matching criteria'
+       ELSE 'Successfully processed ' || a.n || ' files' END AS message,
+  CASE WHEN t.valid THEN a.n END AS files_processed,
+  CASE WHEN t.valid THEN a.bytes END AS total_size_bytes,
+  CASE WHEN t.valid THEN round_even(a.bytes / 1048576.0, 3) END AS total_size_mb,
+  CASE WHEN t.valid THEN a.n_code END AS n_code, CASE WHEN t.valid THEN a.n_data END AS n_data,
+  CASE WHEN t.valid THEN a.n_notebook END AS n_notebook,
+  CASE WHEN t.valid THEN a.n_note END AS n_note, CASE WHEN t.valid THEN a.n_other END AS n_other,
+  CASE WHEN NOT t.valid THEN NULL WHEN a.n = 0 THEN 'No activity found'
+       WHEN a.n_code > 0 THEN 'Active development with code changes'
+       WHEN a.n_data > 0 THEN 'Data collection and processing activity'
+       WHEN a.n_note > 0 THEN 'Documentation updates' ELSE 'General workspace activity' END
+    AS activity_summary,
+  CASE WHEN t.valid THEN coalesce(h.highlights, '') END AS highlights,
+  CASE WHEN t.valid THEN CAST(a.large AS BIGINT) END AS warnings,
+  coalesce(t.requester, 'Unknown') AS requester_name, coalesce(t.channel, 'API') AS channel,
+  coalesce(t.urgency, 'Normal') AS urgency,
+  CASE WHEN coalesce(t.scan_all, FALSE) THEN 'all_files' ELSE 'date_range' END AS time_range,
+  '1.0' AS schema_version
+FROM vtk t JOIN agg a ON t.task_id = a.task_id LEFT JOIN hl h ON t.task_id = h.task_id""".replace(
+    "\n, agg", ",\nagg")
+
+
+def _full_reports(spark, sf_dir, persist):
+    return R.build_reports(_run(spark, sf_dir, persist=persist), NOW)
+
+
+@register("task_report", _REPORT_SQL)
+def task_report(spark, sf_dir):
+    """The report of every ticket, its SQL-checkable scalar fields."""
+    rep = _full_reports(spark, sf_dir, persist=True)
+    return rep.select(
+        "task_id", "status", "message",
+        F.col("results.statistics.files_processed").alias("files_processed"),
+        F.col("results.statistics.total_size_bytes").alias("total_size_bytes"),
+        F.col("results.statistics.total_size_mb").alias("total_size_mb"),
+        *[F.when(F.col("status") == "success",
+                 F.coalesce(F.col(f"results.breakdown_by_type.{k}.count"), F.lit(0)))
+          .alias(f"n_{k}") for k in A.TYPES],
+        F.col("insights.activity_summary").alias("activity_summary"),
+        F.array_join("insights.highlights", "\n").alias("highlights"),
+        F.size("warnings").cast("bigint").alias("warnings"),
+        F.col("context.requester.name").alias("requester_name"),
+        F.col("context.request.channel").alias("channel"),
+        F.col("context.request.urgency").alias("urgency"),
+        F.col("context.scope.time_range").alias("time_range"),
+        F.col("metadata.schema_version").alias("schema_version"),
+    )
+
+
+@register("task_report_json", None)
+def task_report_json(spark, sf_dir):
+    """The whole nested report of every ticket as one JSON document per row."""
+    rep = _full_reports(spark, sf_dir, persist=True)
+    return rep.select("task_id", F.to_json(F.struct(*[c for c in rep.columns
+                                                       if c != "scope_id"])).alias("report"))
+
+
+@register("task_errors", _with() + """
+SELECT task_id, 'error' AS status, 'Task failed: ' || error AS message, error AS errors
+FROM vtk WHERE NOT valid""")
+def task_errors(spark, sf_dir):
+    """Error reports of invalid tickets."""
+    rep = _full_reports(spark, sf_dir, persist=False).filter(F.col("status") == "error")
+    return rep.select("task_id", "status", "message", F.array_join("errors", "|").alias("errors"))
+
+
+@register("task_result_flat", None)
+def task_result_flat(spark, sf_dir):
+    """Legacy flat result (files_indexed and summary are parse-dependent)."""
+    flat = R.flat_view(_full_reports(spark, sf_dir, persist=False))
+    return flat.select("task_id", "status", "message", "files_processed", "files_indexed",
+                       "summary", F.array_join("errors", "|").alias("errors"))
+
+
+@register("run_totals", _with() + """
+, per AS (
+  SELECT t.task_id, t.valid, count(tf.path) AS n
+  FROM vtk t LEFT JOIN tf ON t.task_id = tf.task_id GROUP BY t.task_id, t.valid)
+SELECT count(*) AS tasks, count(*) FILTER (WHERE valid) AS successful,
+  CAST(sum(CASE WHEN valid THEN n ELSE 0 END) AS BIGINT) AS total_files FROM per""".replace(
+    "\n, per", ",\nper"))
+def run_totals(spark, sf_dir):
+    """Totals over the batch of reports."""
+    totals = R.run_totals(_full_reports(spark, sf_dir, persist=False))
+    return totals.select("tasks", "successful", "total_files")
+
+
+# Allowed values of the report's enumerated fields.
+ENUMS = {
+    "status": ("success", "error"),
+    "channel": ("Email", "Slack", "Teams", "API"),
+    "urgency": ("Low", "Normal", "High", "Critical"),
+    "requested_format": ("summary", "detailed", "list"),
+}
+
+
+@register("report_violations", _with() + """
+SELECT task_id, 'channel' AS field, coalesce(channel, 'API') AS value FROM vtk
+  WHERE coalesce(channel, 'API') NOT IN ('Email', 'Slack', 'Teams', 'API')
+UNION ALL SELECT task_id, 'urgency', coalesce(urgency, 'Normal') FROM vtk
+  WHERE coalesce(urgency, 'Normal') NOT IN ('Low', 'Normal', 'High', 'Critical')
+UNION ALL SELECT task_id, 'requested_format', coalesce(requested_format, 'summary') FROM vtk
+  WHERE coalesce(requested_format, 'summary') NOT IN ('summary', 'detailed', 'list')""")
+def report_violations(spark, sf_dir):
+    """Schema conformance of the reports (enum fields)."""
+    return R.violations(_full_reports(spark, sf_dir, persist=False), ENUMS)
