@@ -1 +1,201 @@
-"""Registered queries (filled in below)."""
+"""Per-file profile queries (C0-C7, P4-P6, V1) over the workspace view."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions.text import iso_timestamp
+from quarry.operators import enrich, parse, scan
+from quarry.operators import vectors as V
+from quarry.plans import oracle_sql as O
+from quarry.plans.registry import register
+from quarry.sources.tables import FIXTURE_ROOT, fixture_files
+
+GENERIC = ("NOT ((file_type = 'code' AND suffix = '.py') OR (file_type = 'data' AND suffix = '.csv')"
+           " OR (file_type = 'notebook' AND suffix = '.ipynb') OR (file_type = 'note' AND suffix = '.md'))")
+
+
+def _inventory(spark, sf_dir):
+    return scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
+
+
+def _parsed(spark, sf_dir):
+    return parse.parse_files(_inventory(spark, sf_dir))
+
+
+_NORM = "regexp_replace(content, '\\r\\n?', chr(10), 'g')"
+
+
+@register("parse_dispatch", O.with_inventory() + f"""
+SELECT CASE WHEN file_type = 'code' AND suffix = '.py' THEN 'python'
+  WHEN file_type = 'data' AND suffix = '.csv' THEN 'csv'
+  WHEN file_type = 'notebook' AND suffix = '.ipynb' THEN 'notebook'
+  WHEN file_type = 'note' AND suffix = '.md' THEN 'markdown' ELSE 'generic' END AS parser,
+  count(*) AS files
+FROM inventory GROUP BY 1""")
+def parse_dispatch(spark, sf_dir):
+    """Files per profiler branch."""
+    return _parsed(spark, sf_dir).groupBy("parser").agg(F.count(F.lit(1)).alias("files"))
+
+
+# Markdown: the documents carry no '#' lines, so each line starting with 'T'
+# becomes a header line before profiling (FIXTURES.md section 9).
+@register("markdown_profile", O.with_inventory() + f"""
+, md AS (SELECT path, {_NORM.replace('content', "regexp_replace(content, '(^|\\n)T', '\\1# T', 'g')")} AS t
+         FROM inventory WHERE file_type = 'note' AND suffix = '.md')
+SELECT path, {O.words('t')} AS words, {O.lines('t')} AS lines, {O.headers('t')} AS headers,
+  'Markdown file with ' || {O.words('t')} || ' words, ' || {O.lines('t')} || ' lines, '
+    || {O.headers('t')} || ' headers' AS summary,
+  {O.preview('t')} AS content_preview
+FROM md""".replace("\n, md AS", ",\nmd AS"))
+def markdown_profile(spark, sf_dir):
+    """C4: words, lines, headers, summary and preview of Markdown files."""
+    inv = _inventory(spark, sf_dir).filter((F.col("file_type") == "note") & (F.col("suffix") == ".md"))
+    inv = inv.withColumn("content", F.regexp_replace("content", r"(^|\n)T", "$1# T"))
+    p = parse.parse_files(inv)
+    return p.select("path", "details.words", "details.lines", "details.headers", "summary",
+                    "content_preview")
+
+
+@register("generic_profile", O.with_inventory() + f"""
+, g AS (SELECT path, file_type, size, {_NORM} AS t FROM inventory WHERE {GENERIC})
+SELECT path, upper(file_type[1]) || file_type[2:] || ' file with ' || {O.lines('t')} || ' lines'
+    AS summary,
+  {O.lines('t')} AS lines, {O.words('t')} AS words, size AS size_bytes,
+  {O.preview('t')} AS content_preview
+FROM g""".replace("\n, g AS", ",\ng AS"))
+def generic_profile(spark, sf_dir):
+    """Plain-text profile of every file without a dedicated parser."""
+    p = _parsed(spark, sf_dir).filter(F.col("parser") == "generic")
+    return p.select("path", "summary", "details.lines", "details.words", "details.size_bytes",
+                    "content_preview")
+
+
+def _with_binary(files):
+    """.bin files get a trailing 0xFF byte: invalid UTF-8, so binary."""
+    is_bin = F.col("suffix") == ".bin"
+    raw = F.col("content").cast("binary")
+    content = F.when(is_bin, F.concat(raw, F.unhex(F.lit("FF")))).otherwise(raw)
+    return files.withColumns({"content": content, "size": F.octet_length(content).cast("bigint")})
+
+
+@register("binary_profile", O.with_inventory() + f"""
+, g AS (SELECT path, file_type, suffix, size, {_NORM} AS t FROM inventory WHERE {GENERIC})
+SELECT path,
+  CASE WHEN suffix = '.bin' THEN 'Binary ' || file_type || ' file (' || (size + 1) || ' bytes)'
+       ELSE upper(file_type[1]) || file_type[2:] || ' file with ' || {O.lines('t')} || ' lines' END
+    AS summary,
+  CASE WHEN suffix = '.bin' THEN '[Binary content]' ELSE {O.preview('t')} END AS content_preview,
+  CASE WHEN suffix = '.bin' THEN size + 1 ELSE size END AS size_bytes
+FROM g""".replace("\n, g AS", ",\ng AS"))
+def binary_profile(spark, sf_dir):
+    """Files that are not valid UTF-8 get the binary profile."""
+    p = parse.parse_files(_with_binary(_inventory(spark, sf_dir)))
+    return p.filter(F.col("parser") == "generic").select(
+        "path", "summary", "content_preview", "details.size_bytes")
+
+
+@register("python_profile", None)
+def python_profile(spark, sf_dir):
+    """Python grammar profile (stdlib ast in the Arrow job): rows-only."""
+    p = _parsed(spark, sf_dir).filter(F.col("parser") == "python")
+    return p.select("path", "summary", "success", "error", "details.lines_of_code",
+                    F.array_join("details.functions", ",").alias("functions"),
+                    F.array_join("details.classes", ",").alias("classes"),
+                    F.array_join("details.imports", ",").alias("imports"))
+
+
+@register("csv_profile", None)
+def csv_profile(spark, sf_dir):
+    """Pandas CSV profile in the Arrow job: rows-only."""
+    p = _parsed(spark, sf_dir).filter(F.col("parser") == "csv")
+    return p.select("path", "summary", "success", "error", "details.rows", "details.columns",
+                    F.array_join("details.column_names", "|").alias("column_names"),
+                    F.array_join(F.transform("details.dtypes", lambda d: d["dtype"]), ",")
+                    .alias("dtypes"))
+
+
+def _as_notebook(files):
+    """.ipynb documents become nbformat-4 notebooks: one cell per line,
+    code and markdown cells alternating."""
+    lines = F.split(F.col("content"), "\n", -1)
+    cells = F.transform(lines, lambda l, i: F.struct(
+        F.when(i % 2 == 0, "code").otherwise("markdown").alias("cell_type"),
+        F.struct().alias("metadata"), l.alias("source")))
+    nb = F.to_json(F.struct(cells.alias("cells"), F.struct().alias("metadata"),
+                            F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor")))
+    return files.withColumn("content", F.when(F.col("suffix") == ".ipynb", nb)
+                            .otherwise(F.col("content")))
+
+
+def _nb_preview_sql() -> str:
+    cell = lambda i, kind: (f"'[Cell {i} - {kind}]' || chr(10) || "
+                            f"coalesce(substring(ls[{i}], 1, 200), '')")
+    body = (f"CASE WHEN n = 1 THEN {cell(1, 'code')} "
+            f"WHEN n = 2 THEN {cell(1, 'code')} || chr(10) || chr(10) || {cell(2, 'markdown')} "
+            f"ELSE {cell(1, 'code')} || chr(10) || chr(10) || {cell(2, 'markdown')} || chr(10) "
+            f"|| chr(10) || {cell(3, 'code')} END")
+    return body
+
+
+@register("notebook_profile", O.with_inventory() + f"""
+, nb AS (SELECT path, string_split(content, chr(10)) AS ls FROM inventory
+         WHERE file_type = 'notebook' AND suffix = '.ipynb'),
+nb2 AS (SELECT path, ls, len(ls) AS n FROM nb),
+nb3 AS (SELECT path, n, {_nb_preview_sql()} AS pv FROM nb2)
+SELECT path, 'Jupyter notebook with ' || n || ' cells (' || (n + 1) // 2 || ' code, '
+    || n // 2 || ' markdown)' AS summary,
+  CAST(n AS BIGINT) AS total_cells, CAST((n + 1) // 2 AS BIGINT) AS code_cells,
+  CAST(n // 2 AS BIGINT) AS markdown_cells, {O.preview('pv')} AS content_preview
+FROM nb3""".replace("\n, nb AS", ",\nnb AS"))
+def notebook_profile(spark, sf_dir):
+    """Notebook cells and preview (JSON decoded in the Arrow job)."""
+    p = parse.parse_files(_as_notebook(_inventory(spark, sf_dir))
+                          .filter((F.col("file_type") == "notebook") & (F.col("suffix") == ".ipynb")))
+    return p.select("path", "summary", "details.total_cells", "details.code_cells",
+                    "details.markdown_cells", "content_preview")
+
+
+@register("parse_errors", None)
+def parse_errors(spark, sf_dir):
+    """C7: "{name}: {error}" for each failed parse (messages from the parsers)."""
+    return parse.parse_errors(_parsed(spark, sf_dir))
+
+
+@register("enhanced_files", O.with_inventory() + f"""
+SELECT path, name, file_type AS type, size AS size_bytes, {O.iso('modified')} AS modified,
+  'unknown' AS author, CASE WHEN file_type = 'code' THEN 'python' END AS language,
+  CASE WHEN file_type IN ('data', 'note') THEN ltrim(suffix, '.')
+       WHEN file_type = 'notebook' THEN 'jupyter' END AS format,
+  CASE WHEN file_type = 'notebook' THEN 'python3' END AS kernel
+FROM inventory""")
+def enhanced_files(spark, sf_dir):
+    """The enhanced file record (parse-independent fields compared)."""
+    e = enrich.enhanced_files(_parsed(spark, sf_dir))
+    return e.select("path", "name", "type", "size_bytes", "modified", "author",
+                    "analysis.language", "analysis.format", "analysis.kernel")
+
+
+@register("file_tags", None)
+def file_tags(spark, sf_dir):
+    """Ordered tags (import/column rules use the parse): rows-only."""
+    p = _parsed(spark, sf_dir)
+    return p.select("path", F.array_join(enrich.tags(), ",").alias("tags"),
+                    F.when(F.col("file_type") == "code", enrich.complexity()).alias("complexity"))
+
+
+@register("index_text", O.with_inventory() + f"""
+, g AS (SELECT path, file_type, suffix, size, {_NORM} AS t FROM inventory
+        WHERE {GENERIC} OR (file_type = 'note' AND suffix = '.md'))
+SELECT path, CASE WHEN file_type = 'note' AND suffix = '.md' THEN
+    concat_ws(chr(10), 'Markdown file with ' || {O.words('t')} || ' words, ' || {O.lines('t')}
+      || ' lines, ' || {O.headers('t')} || ' headers', nullif({O.preview('t')}, ''),
+      'words: ' || {O.words('t')}, 'lines: ' || {O.lines('t')}, 'headers: ' || {O.headers('t')})
+  ELSE concat_ws(chr(10), upper(file_type[1]) || file_type[2:] || ' file with ' || {O.lines('t')}
+      || ' lines', nullif({O.preview('t')}, ''), 'lines: ' || {O.lines('t')},
+      'words: ' || {O.words('t')}, 'size_bytes: ' || size) END AS index_text
+FROM g""".replace("\n, g AS", ",\ng AS"))
+def index_text(spark, sf_dir):
+    """V1: the text that is embedded for each successfully parsed text file."""
+    p = _parsed(spark, sf_dir).filter(F.col("parser").isin("markdown", "generic"))
+    return p.filter("success").select("path", V.index_text().alias("index_text"))

@@ -231,12 +231,12 @@ def file_listing(spark, sf_dir):
         A._item("file_listing").alias("line"), "more_files")
 
 
-LARGE_THRESHOLD = 64 * 1024  # exercised threshold; the report itself uses 10 MB
+LARGE_THRESHOLD = 16 * 1024  # exercised threshold; the report itself uses 10 MB
 
 
 @register("large_file_warnings", _with() + f"""
 SELECT task_id, path, name, 'info' AS level,
-  'Found ' || count(*) OVER (PARTITION BY task_id) || ' large files (>64KB)' AS message
+  'Found ' || count(*) OVER (PARTITION BY task_id) || ' large files (>16KB)' AS message
 FROM tf WHERE size > {LARGE_THRESHOLD}""")
 def large_file_warnings(spark, sf_dir):
     """A11 with a parameterised threshold: one row per affected file."""
@@ -246,7 +246,7 @@ def large_file_warnings(spark, sf_dir):
     counts = big.groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
     return (t.join(big.select("scope_id", "path", "name"), "scope_id").join(counts, "scope_id")
             .select("task_id", "path", "name", F.lit("info").alias("level"),
-                    F.format_string("Found %d large files (>64KB)", "n").alias("message")))
+                    F.format_string("Found %d large files (>16KB)", "n").alias("message")))
 
 
 @register("suggested_actions", _with() + """
