@@ -206,18 +206,29 @@ def _python_side(files: DataFrame) -> DataFrame:
     return files.select(*cols).mapInArrow(_profile_batches, _ARROW_OUT)
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, native_only: bool = False) -> DataFrame:
     """One profile row per inventoried file (``content`` consumed).
 
     Input columns: the inventory (path, name, file_type, suffix, size,
     modified) plus ``content`` (STRING or BINARY, NULL for a vanished file).
+    ``native_only`` skips the Arrow job (callers that keep only files with
+    a native profile: Markdown, plain text, binary).
     """
     routed = route(files)
     native = _native(routed.filter(~F.col("python_side")))
+    if native_only:
+        return native
     python = _python_side(routed.filter(F.col("python_side")))
     return native.unionByName(python)
 
 
+def without_profile(files: DataFrame) -> DataFrame:
+    """The parse columns as NULLs, for aggregates that need names and types only."""
+    nulls = {f.name: F.lit(None).cast(f.dataType) for f in PROFILE_FIELDS}
+    routed = route(files)
+    return routed.select(*FILE_COLUMNS, "parser", *[v.alias(k) for k, v in nulls.items()])
+
+
 def parse_errors(parsed: DataFrame, keys=()) -> DataFrame:
     """``"{name}: {error}"`` for every failed parse."""
     return parsed.filter(~F.col("success")).select(

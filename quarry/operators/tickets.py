@@ -8,6 +8,8 @@ tickets share it, and joined back to the tickets at the end.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,46 +100,73 @@ def context_struct(now_iso: str) -> tuple[Column, Column, Column]:
     return requester, request, scope
 
 
-def _window_match(files: DataFrame, windows: DataFrame, how: str) -> DataFrame:
-    cond = files["modified"].between(windows["start_date"], windows["end_date"])
-    return files.join(windows, cond, how)
+@dataclass
+class ScopeSet:
+    """Resolved scopes: the window table to join and whether an all-files
+    scope exists. ``small`` windows are a driver-built local relation
+    (counted against the broadcast limit before they were collected)."""
+    windows: DataFrame
+    has_all: bool
+    small: bool
+
+
+_WINDOW_SCHEMA = T.StructType([T.StructField("scope_id", T.StringType()),
+                               T.StructField("start_date", T.TimestampNTZType()),
+                               T.StructField("end_date", T.TimestampNTZType())])
+
+
+def resolve_scopes(scope_df: DataFrame, broadcast_limit: int = BROADCAST_TICKETS) -> ScopeSet:
+    """One bounded action: at most ``broadcast_limit + 1`` scope rows are read."""
+    rows = scope_df.select("scope_id", "scan_all", "start_date", "end_date") \
+        .limit(broadcast_limit + 1).collect()
+    if len(rows) <= broadcast_limit:
+        spark = scope_df.sparkSession
+        windows = [(r["scope_id"], r["start_date"], r["end_date"]) for r in rows
+                   if not r["scan_all"] and r["start_date"] <= r["end_date"]]
+        return ScopeSet(spark.createDataFrame(windows, _WINDOW_SCHEMA),
+                        any(r["scan_all"] for r in rows), True)
+    has_all = scope_df.filter("scan_all").limit(1).count() > 0
+    windows = scope_df.filter("not scan_all and start_date <= end_date").select(
+        "scope_id", "start_date", "end_date")
+    return ScopeSet(windows, has_all, False)
 
 
-def files_in_scopes(files: DataFrame, scope_df: DataFrame, how: str = "inner",
+def files_in_scopes(files: DataFrame, scopes_: "DataFrame | ScopeSet", how: str = "inner",
                     broadcast_limit: int = BROADCAST_TICKETS) -> DataFrame:
     """(scope, file) pairs, or with ``how='left_semi'`` the files any scope needs.
 
-    The scope table is tiny and counted before it is broadcast; the file side
-    is streamed, never shuffled. Windows beyond the limit are joined through
-    day buckets (an equi-join on the day plus the exact inclusive test), and
-    the all-files scope needs no join at all.
+    Small scope sets (counted first) are broadcast and the file side is
+    streamed through a nested-loop range test, never shuffled. Larger sets
+    are joined through day buckets (an equi-join on the day plus the exact
+    inclusive test). The all-files scope needs no join at all.
     """
-    scope_df = scope_df.select("scope_id", "scan_all", "start_date", "end_date")
-    n = scope_df.count()
-    all_scope = scope_df.filter("scan_all").select("scope_id")
-    windows = scope_df.filter("not scan_all").select("scope_id", "start_date", "end_date")
-    has_all = all_scope.limit(1).count() > 0
-    if how == "left_semi" and has_all:
+    s = scopes_ if isinstance(scopes_, ScopeSet) else resolve_scopes(scopes_, broadcast_limit)
+    if how == "left_semi" and s.has_all:
         return files
-    if n <= broadcast_limit:
-        matched = _window_match(files, F.broadcast(windows), how)
+    if s.small:
+        cond = files["modified"].between(F.col("w.start_date"), F.col("w.end_date"))
+        matched = files.join(F.broadcast(s.windows.alias("w")), cond, how)
+        if how != "left_semi":
+            matched = matched.drop("start_date", "end_date")
     else:
-        matched = _bucketed_window_join(files, windows, how)
-    if how == "left_semi" or not has_all:
+        matched = _bucketed_window_join(files, s.windows, how)
+    if how == "left_semi" or not s.has_all:
         return matched
     # At most one all-files scope exists (scopes are distinct): tag, don't join.
-    return matched.unionByName(files.withColumn("scope_id", F.lit("all")),
-                               allowMissingColumns=True)
+    return matched.unionByName(files.withColumn("scope_id", F.lit("all")))
 
 
 def _bucketed_window_join(files: DataFrame, windows: DataFrame, how: str) -> DataFrame:
     """Range join for many windows: explode each window into its days and
-    equi-join on the day, then apply the exact bounds."""
+    equi-join on the day, then apply the exact bounds. A day holding a large
+    share of the files is split by AQE's skew-join handling."""
     days = windows.select(
-        "scope_id", "start_date", "end_date",
+        F.col("scope_id").alias("_scope"), F.col("start_date").alias("_lo"),
+        F.col("end_date").alias("_hi"),
         F.explode(F.sequence(F.to_date("start_date"), F.to_date("end_date"))).alias("_day"))
-    keyed = files.withColumn("_day", F.to_date("modified"))
-    cond = ((keyed["_day"] == days["_day"])
-            & keyed["modified"].between(days["start_date"], days["end_date"]))
-    joined = keyed.join(days, cond, "left_semi" if how == "left_semi" else "inner")
-    return joined.drop("_day")
+    keyed = files.withColumn("_fday", F.to_date("modified"))
+    cond = ((keyed["_fday"] == days["_day"]) & keyed["modified"].between(days["_lo"], days["_hi"]))
+    if how == "left_semi":
+        return keyed.join(days, cond, "left_semi").drop("_fday")
+    joined = keyed.join(days, cond, "inner")
+    return joined.drop("_fday", "_day", "_lo", "_hi").withColumnRenamed("_scope", "scope_id")

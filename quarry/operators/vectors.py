@@ -86,8 +86,13 @@ def _embed_fn(text: str, out: str, dim: int, dense: bool, arrow_schema):
                     vectors.append(None)
                     continue
                 words = t.lower().split()
-                ids = np.fromiter((cache[w] if w in cache else cache.setdefault(w, bucket(w))
-                                   for w in words), dtype=np.int64, count=len(words))
+                if words:
+                    uniq, inv = np.unique(np.array(words, dtype=object), return_inverse=True)
+                    ub = np.fromiter((cache[w] if w in cache else cache.setdefault(w, bucket(w))
+                                      for w in uniq), dtype=np.int64, count=len(uniq))
+                    ids = ub[inv]
+                else:
+                    ids = np.zeros(0, dtype=np.int64)
                 counts = np.bincount(ids, minlength=dim).astype(np.float64)
                 norm = float(np.sqrt((counts * counts).sum()))
                 weights = counts / norm if norm > 0 else counts

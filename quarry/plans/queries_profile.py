@@ -52,7 +52,7 @@ def markdown_profile(spark, sf_dir):
     """C4: words, lines, headers, summary and preview of Markdown files."""
     inv = _inventory(spark, sf_dir).filter((F.col("file_type") == "note") & (F.col("suffix") == ".md"))
     inv = inv.withColumn("content", F.regexp_replace("content", r"(^|\n)T", "$1# T"))
-    p = parse.parse_files(inv)
+    p = parse.parse_files(inv, native_only=True)
     return p.select("path", "details.words", "details.lines", "details.headers", "summary",
                     "content_preview")
 
@@ -66,7 +66,8 @@ SELECT path, upper(file_type[1]) || file_type[2:] || ' file with ' || {O.lines('
 FROM g""".replace("\n, g AS", ",\ng AS"))
 def generic_profile(spark, sf_dir):
     """Plain-text profile of every file without a dedicated parser."""
-    p = _parsed(spark, sf_dir).filter(F.col("parser") == "generic")
+    p = parse.parse_files(_inventory(spark, sf_dir), native_only=True)
+    p = p.filter(F.col("parser") == "generic")
     return p.select("path", "summary", "details.lines", "details.words", "details.size_bytes",
                     "content_preview")
 
@@ -90,7 +91,7 @@ SELECT path,
 FROM g""".replace("\n, g AS", ",\ng AS"))
 def binary_profile(spark, sf_dir):
     """Files that are not valid UTF-8 get the binary profile."""
-    p = parse.parse_files(_with_binary(_inventory(spark, sf_dir)))
+    p = parse.parse_files(_with_binary(_inventory(spark, sf_dir)), native_only=True)
     return p.filter(F.col("parser") == "generic").select(
         "path", "summary", "content_preview", "details.size_bytes")
 
@@ -197,5 +198,5 @@ SELECT path, CASE WHEN file_type = 'note' AND suffix = '.md' THEN
 FROM g""".replace("\n, g AS", ",\ng AS"))
 def index_text(spark, sf_dir):
     """V1: the text that is embedded for each successfully parsed text file."""
-    p = _parsed(spark, sf_dir).filter(F.col("parser").isin("markdown", "generic"))
+    p = parse.parse_files(_inventory(spark, sf_dir), native_only=True)
     return p.filter("success").select("path", V.index_text().alias("index_text"))

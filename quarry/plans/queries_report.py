@@ -14,9 +14,9 @@ from quarry.sources.tables import FIXTURE_ROOT, fixture_files
 from quarry.operators import scan
 
 
-def _run(spark, sf_dir, persist=False):
+def _run(spark, sf_dir, persist=False, profile=True):
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    return R.prepare(inventory, tickets_df(spark), persist=persist)
+    return R.prepare(inventory, tickets_df(spark), persist=persist, profile=profile)
 
 
 def _with(*ctes: str) -> str:
@@ -90,7 +90,7 @@ FROM vtk t LEFT JOIN tf ON t.task_id = tf.task_id WHERE t.valid GROUP BY t.task_
 def statistics(spark, sf_dir):
     """A1 per valid ticket."""
     c = R.report_columns(NOW)
-    return _per_task(_run(spark, sf_dir)).select(
+    return _per_task(_run(spark, sf_dir, profile=False)).select(
         "task_id", c["files_processed"].alias("files_scanned"),
         c["files_processed"].alias("files_matched"), c["files_processed"].alias("files_processed"),
         F.lit(0).cast("bigint").alias("files_failed"), c["total_size_bytes"].alias("total_size_bytes"),
@@ -101,7 +101,7 @@ def statistics(spark, sf_dir):
 SELECT task_id, file_type, count(*) AS files FROM tf GROUP BY task_id, file_type""")
 def breakdown_per_task(spark, sf_dir):
     """A2: file count per type per ticket (types present only)."""
-    t = _per_task(_run(spark, sf_dir))
+    t = _per_task(_run(spark, sf_dir, profile=False))
     stack = F.explode(F.array(*[F.struct(F.lit(k).alias("file_type"),
                                          F.col(f"n_{k}").alias("files")) for k in A.TYPES]))
     return (t.select("task_id", stack.alias("b")).select("task_id", "b.file_type", "b.files")
@@ -158,7 +158,7 @@ SELECT t.task_id, CASE WHEN count(tf.path) = 0 THEN 'No activity found'
 FROM vtk t LEFT JOIN tf ON t.task_id = tf.task_id WHERE t.valid GROUP BY t.task_id""")
 def activity_summary(spark, sf_dir):
     """A7."""
-    return _per_task(_run(spark, sf_dir)).select("task_id", A.activity_summary().alias("activity_summary"))
+    return _per_task(_run(spark, sf_dir, profile=False)).select("task_id", A.activity_summary().alias("activity_summary"))
 
 
 @register("summary_text", None)
@@ -187,7 +187,7 @@ SELECT task_id, rank, CASE file_type WHEN 'code' THEN 'New code added (' || name
   ELSE 'Documentation updated (' || name || ')' END AS highlight FROM top""")
 def highlights(spark, sf_dir):
     """First 10 highlights per ticket in path order."""
-    rows = _list_rows(_run(spark, sf_dir), "highlights")
+    rows = _list_rows(_run(spark, sf_dir, profile=False), "highlights")
     return rows.select("task_id", F.col("rank").cast("bigint").alias("rank"),
                        A._item("highlights").alias("highlight"))
 
@@ -197,7 +197,7 @@ SELECT task_id, rank, file_type AS type, name AS file,
   CASE file_type WHEN 'code' THEN 'high' ELSE 'medium' END AS impact FROM top""")
 def notable_changes(spark, sf_dir):
     """A10: first 5 code/data changes (description is the parse summary, not compared)."""
-    rows = _list_rows(_run(spark, sf_dir), "notable_changes")
+    rows = _list_rows(_run(spark, sf_dir, profile=False), "notable_changes")
     return rows.select("task_id", F.col("rank").cast("bigint").alias("rank"),
                        F.col("file_type").alias("type"), F.col("name").alias("file"),
                        F.when(F.col("file_type") == "code", "high").otherwise("medium")
@@ -209,7 +209,7 @@ SELECT task_id, rank, CASE file_type WHEN 'code' THEN 'Review ' || name || ' imp
   ELSE 'Execute ' || name || ' to generate visualizations' END AS recommendation FROM top""")
 def recommendations(spark, sf_dir):
     """A10: first 5 recommendations per ticket."""
-    rows = _list_rows(_run(spark, sf_dir), "recommendations")
+    rows = _list_rows(_run(spark, sf_dir, profile=False), "recommendations")
     return rows.select("task_id", F.col("rank").cast("bigint").alias("rank"),
                        A._item("recommendations").alias("recommendation"))
 
@@ -222,7 +222,7 @@ FROM top JOIN (SELECT task_id, count(*) AS files FROM tf GROUP BY task_id) n
   ON top.task_id = n.task_id""")
 def file_listing(spark, sf_dir):
     """First 10 files (name, type, KB to 1 decimal) plus the remainder count."""
-    run = _run(spark, sf_dir)
+    run = _run(spark, sf_dir, profile=False)
     rows = _list_rows(run, "file_listing")
     counts = _per_task(run).select("task_id", F.greatest(F.col("files_processed") - 10, F.lit(0))
                                    .alias("more_files"))
@@ -240,7 +240,7 @@ SELECT task_id, path, name, 'info' AS level,
 FROM tf WHERE size > {LARGE_THRESHOLD}""")
 def large_file_warnings(spark, sf_dir):
     """A11 with a parameterised threshold: one row per affected file."""
-    run = _run(spark, sf_dir)
+    run = _run(spark, sf_dir, profile=False)
     t = run.tickets.filter("valid").select("task_id", "scope_id")
     big = run.pairs.filter(F.col("size") > LARGE_THRESHOLD)
     counts = big.groupBy("scope_id").agg(F.count(F.lit(1)).alias("n"))
@@ -260,7 +260,7 @@ UNION ALL SELECT task_id, 2 + CAST(has_code AS INT), 'execute_notebook' FROM fla
 UNION ALL SELECT task_id, 2 + CAST(has_code AS INT) + CAST(has_nb AS INT), 'compare' FROM flags""".replace("\n, flags", ",\nflags"))
 def suggested_actions(spark, sf_dir):
     """Ordered follow-up actions per ticket."""
-    t = _per_task(_run(spark, sf_dir)).select("task_id", A.suggested_actions().alias("a"))
+    t = _per_task(_run(spark, sf_dir, profile=False)).select("task_id", A.suggested_actions().alias("a"))
     return t.select("task_id", F.posexplode("a").alias("pos", "x")).select(
         "task_id", (F.col("pos") + 1).alias("rank"), F.col("x.action").alias("action"))
 
@@ -399,3 +399,43 @@ UNION ALL SELECT task_id, 'requested_format', coalesce(requested_format, 'summar
 def report_violations(spark, sf_dir):
     """Schema conformance of the reports (enum fields)."""
     return R.violations(_full_reports(spark, sf_dir, persist=False), ENUMS)
+
+
+# ------------------------------------------------------------ many tickets
+
+N_WINDOWS = 100
+
+
+def window_tickets(spark, n: int = N_WINDOWS):
+    """``n`` tickets with overlapping 7-day windows, one every 3 days."""
+    i = F.col("id")
+    start = (F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+             + F.make_dt_interval(hours=(i * 72).cast("int")))
+    return spark.range(n).select(
+        F.format_string("W-%03d", i).alias("task_id"), F.lit(FIXTURE_ROOT).alias("workspace_path"),
+        start.alias("start_date"), (start + F.expr("INTERVAL 168 HOURS")).alias("end_date"),
+        F.lit(False).alias("scan_all"), F.lit(True).alias("reindex"),
+        F.lit(None).cast(TK.CONTEXT).alias("context"))
+
+
+def window_counts(spark, sf_dir, broadcast_limit=TK.BROADCAST_TICKETS):
+    inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
+    validated = TK.with_scope(TK.validate(window_tickets(spark)))
+    pairs = TK.files_in_scopes(inventory, TK.scopes(validated), broadcast_limit=broadcast_limit)
+    per_scope = pairs.groupBy("scope_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").cast("bigint").alias("total_size_bytes"))
+    return (validated.select("task_id", "scope_id").join(per_scope, "scope_id", "left")
+            .select("task_id", F.coalesce("files", F.lit(0)).alias("files"),
+                    F.coalesce("total_size_bytes", F.lit(0)).cast("bigint").alias("total_size_bytes")))
+
+
+@register("ticket_window_counts", O.with_inventory() + f"""
+, w AS (SELECT 'W-' || lpad(CAST(i AS VARCHAR), 3, '0') AS task_id,
+          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(i * 72 AS BIGINT)) AS s,
+          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(i * 72 + 168 AS BIGINT)) AS e
+        FROM range({N_WINDOWS}) t(i))
+SELECT task_id, count(path) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size_bytes
+FROM w LEFT JOIN inventory ON modified BETWEEN s AND e GROUP BY task_id""".replace("\n, w AS", ",\nw AS"))
+def ticket_window_counts(spark, sf_dir):
+    """T3 at many tickets: 100 overlapping windows, files and bytes per ticket."""
+    return window_counts(spark, sf_dir)

@@ -172,7 +172,7 @@ FROM x""".replace("\n, g AS", ",\ng AS"))
 def index_points(spark, sf_dir):
     """V3: points of every indexed text file (deterministic ids, 500-char preview)."""
     inv = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    parsed = parse.parse_files(inv).filter(F.col("parser").isin("markdown", "generic"))
+    parsed = parse.parse_files(inv, native_only=True)
     docs = parsed.filter("success").select(
         F.col("path").alias("file_path"), V.index_text().alias("content"),
         F.create_map(F.lit("file_name"), F.col("name"), F.lit("file_type"), F.col("file_type"),

@@ -40,21 +40,24 @@ class TicketRun:
     pairs: DataFrame     # (scope_id, parsed file)
 
 
-def prepare(inventory: DataFrame, tickets: DataFrame, persist: bool = True) -> TicketRun:
+def prepare(inventory: DataFrame, tickets: DataFrame, persist: bool = True,
+            profile: bool = True) -> TicketRun:
     """Validate, select files per scope, parse each needed file once.
 
     ``inventory`` carries the M1 columns plus ``content``. With ``persist``
     the parsed table is checkpointed into the shared checkpoint folder so the
     aggregate and list branches (and a retry after a lost executor) read it
-    instead of re-running the parsers.
+    instead of re-running the parsers. ``profile=False`` keeps names,
+    types and sizes only (lists and counters that need no parser).
     """
     validated = TK.with_scope(TK.validate(tickets))
     scope_df = TK.scopes(validated)
-    needed = TK.files_in_scopes(inventory, scope_df, "left_semi")
-    parsed = parse.parse_files(needed)
-    if persist:
+    resolved = TK.resolve_scopes(scope_df)
+    needed = TK.files_in_scopes(inventory, resolved, "left_semi")
+    parsed = parse.parse_files(needed) if profile else parse.without_profile(needed)
+    if persist and profile:
         parsed = materialize(parsed)
-    pairs = TK.files_in_scopes(parsed, scope_df, "inner")
+    pairs = TK.files_in_scopes(parsed, resolved, "inner")
     return TicketRun(validated, scope_df, parsed, pairs)
 
 
