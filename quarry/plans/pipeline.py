@@ -1,0 +1,144 @@
+"""End-to-end runs: tickets in, report tables and vector points out.
+
+``run_tickets`` is the batch form of handling tickets: one job for any
+number of tickets. Every stage boundary is a write to shared storage (the
+checkpointed parse, the output tables), so a lost executor costs a task
+retry, not the run. ``search_workspace`` answers a text query against the
+points written by earlier runs.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import hashlib
+import math
+import os
+import time
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions.text import iso_timestamp
+from quarry.operators import tickets as TK
+from quarry.operators import vectors as V
+from quarry.operators.aggregate import large_file_names
+from quarry.plans import report as R
+from quarry.session import materialize
+
+
+def _now_iso() -> str:
+    return dt.datetime.now().isoformat()
+
+
+def index_documents(run: R.TicketRun) -> DataFrame:
+    """V1-V3: points of every successfully parsed file of a re-indexing ticket."""
+    reindex_scopes = run.tickets.filter("valid AND reindex").select("scope_id").distinct()
+    files = (run.pairs.join(reindex_scopes, "scope_id", "left_semi")
+             .filter("success").dropDuplicates(["path"]))
+    docs = files.select(
+        F.col("path").alias("file_path"), V.index_text().alias("content"),
+        F.create_map(
+            F.lit("file_name"), F.col("name"), F.lit("file_type"), F.col("file_type"),
+            F.lit("size"), F.col("size").cast("string"),
+            F.lit("modified"), iso_timestamp("modified"),
+            F.lit("summary"), F.col("summary")).alias("metadata"))
+    return V.make_points(docs)
+
+
+def _versions(spark: SparkSession, collection: str) -> list[int]:
+    """Complete versions of a collection, listed through the Hadoop file
+    system of the path (local, HDFS or an object store alike)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(collection)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    out = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if (name.startswith("v=") and name[2:].isdigit()
+                and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))):
+            out.append(int(name[2:]))
+    return sorted(out)
+
+
+def current_points(spark: SparkSession, collection: str) -> DataFrame:
+    """The latest complete version of a collection (empty if none)."""
+    versions = _versions(spark, collection)
+    if not versions:
+        return spark.createDataFrame([], V.POINTS)
+    return V.read_points(spark, os.path.join(collection, f"v={versions[-1]}"))
+
+
+def upsert_points(spark: SparkSession, collection: str, new_points: DataFrame,
+                  mode: str = "replace") -> str:
+    """S7 with replace-by-path: points of re-indexed files replace the old
+    ones (``mode='append'`` keeps duplicates). Writes a new version
+    directory; readers switch to it once it is complete."""
+    old = current_points(spark, collection)
+    if mode == "replace":
+        old = old.join(new_points.select("file_path").distinct(), "file_path", "left_anti")
+    merged = old.unionByName(new_points.withColumn("embedding",
+                                                   F.col("embedding").cast("array<float>")))
+    versions = _versions(spark, collection)
+    target = os.path.join(collection, f"v={(versions[-1] + 1) if versions else 0}")
+    V.write_points(merged, target, mode="overwrite")
+    return target
+
+
+def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_dir: str,
+                collection: str | None = None, now_iso: str | None = None) -> dict:
+    """Handle a batch of tickets; returns the output locations and timings.
+
+    Outputs under ``out_dir``: ``reports`` (JSON, one nested report per
+    ticket), ``report_files``, ``report_errors`` and ``large_files``
+    (parquet, keyed by scope_id; join ``reports`` on it).
+    """
+    started = _now_iso()
+    t0 = time.perf_counter()
+    validated = TK.with_scope(TK.validate(tickets))
+    scope_df = TK.scopes(validated)
+    resolved = TK.resolve_scopes(scope_df)
+    needed = TK.files_in_scopes(files, resolved, "left_semi")
+    scan_s = time.perf_counter() - t0
+    t1 = time.perf_counter()
+    parsed = materialize(R.parse.parse_files(needed))  # one parse per file, shared storage
+    run = R.TicketRun(validated, scope_df, parsed,
+                      TK.files_in_scopes(parsed, resolved, "inner"))
+    parse_s = time.perf_counter() - t1
+    t2 = time.perf_counter()
+    info = None
+    if collection:
+        upsert_points(spark, collection, index_documents(run))
+        info = V.collection_info(current_points(spark, collection))
+    index_s = time.perf_counter() - t2
+    reports = R.build_reports(run, now_iso or _now_iso(), collection=info)
+    total = time.perf_counter() - t0
+    perf = F.struct(
+        F.lit(total).alias("processing_time_seconds"), F.lit(scan_s).alias("scan_time_seconds"),
+        F.lit(parse_s).alias("parse_time_seconds"), F.lit(index_s).alias("index_time_seconds"),
+        F.lit(started).alias("started_at"), F.lit(_now_iso()).alias("completed_at"))
+    reports = reports.withColumn("performance", perf)
+    reports.write.mode("overwrite").json(os.path.join(out_dir, "reports"))
+    R.report_files(run).write.mode("overwrite").parquet(os.path.join(out_dir, "report_files"))
+    R.report_errors(run).write.mode("overwrite").parquet(os.path.join(out_dir, "report_errors"))
+    large_file_names(run.pairs).write.mode("overwrite").parquet(os.path.join(out_dir, "large_files"))
+    return {"out_dir": out_dir, "collection": collection,
+            "timings": {"scan": scan_s, "parse": parse_s, "index": index_s, "total": total}}
+
+
+def embed_text(text: str, dim: int = V.DEFAULT_DIM) -> list[float]:
+    """The hashed embedding of one short text (a query), computed locally."""
+    counts = [0.0] * dim
+    for w in text.lower().split():
+        counts[int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
+    norm = math.sqrt(sum(c * c for c in counts))
+    return [c / norm for c in counts] if norm else counts
+
+
+def search_workspace(spark: SparkSession, collection: str, query: str, limit: int = 5,
+                     score_threshold: float | None = None) -> DataFrame:
+    """V4-V6: top ``limit`` points for a text query, as search hits."""
+    points = current_points(spark, collection)
+    hits = V.search(points, embed_text(query), k=limit, threshold=score_threshold)
+    return hits.select("file_path", "score", "metadata", "content_preview")

@@ -244,3 +244,21 @@ def test_report_end_to_end(spark, workspace):
     assert none.results.summary == "No files were processed."
     # the nested report serialises to JSON
     json.loads(R.build_reports(run, "x").toJSON().first())
+
+
+def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
+    from quarry.operators.tickets import TICKET_SCHEMA
+    from quarry.plans import pipeline as P
+    tickets = spark.createDataFrame(
+        [("T-ALL", workspace, None, None, True, True, None)], TICKET_SCHEMA)
+    files = read_workspace(spark, workspace, content=True)
+    out = P.run_tickets(spark, files, tickets, str(tmp_path / "out"),
+                        collection=str(tmp_path / "coll"))
+    rep = spark.read.json(str(tmp_path / "out" / "reports")).first()
+    assert rep.status == "success"
+    assert rep.performance.processing_time_seconds >= 0
+    assert rep.rag_status.total_documents == len(EXPECTED) - 2
+    assert spark.read.parquet(str(tmp_path / "out" / "report_files")).count() == len(EXPECTED)
+    assert spark.read.parquet(str(tmp_path / "out" / "report_errors")).count() == 2
+    hits = P.search_workspace(spark, out["collection"], "calculate numpy", limit=3).collect()
+    assert hits and hits[0].file_path.endswith("nested.py")
