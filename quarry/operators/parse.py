@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import spread
 from quarry.functions.text import (header_count, line_count, normalize_newlines, preview,
                                    word_count)
 
@@ -214,7 +215,7 @@ def parse_files(files: DataFrame, native_only: bool = False) -> DataFrame:
     ``native_only`` skips the Arrow job (callers that keep only files with
     a native profile: Markdown, plain text, binary).
     """
-    routed = route(files)
+    routed = route(spread(files, "path"))
     native = _native(routed.filter(~F.col("python_side")))
     if native_only:
         return native

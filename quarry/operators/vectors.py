@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import WORD_RE
+from quarry.session import spread
 
 DEFAULT_DIM = 384
 DEFAULT_K = 5
@@ -111,6 +112,7 @@ def _with_vector(df: DataFrame, text: str, out: str, dim: int, dense: bool) -> D
     from pyspark.sql.pandas.types import to_arrow_schema
     out_type = T.ArrayType(T.DoubleType()) if dense else SPARSE
     schema = T.StructType(df.schema.fields + [T.StructField(out, out_type)])
+    df = spread(df, df.columns[0])
     return df.mapInArrow(_embed_fn(text, out, dim, dense, to_arrow_schema(schema)), schema)
 
 
@@ -287,7 +289,7 @@ def search_batch(points: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                                T.StructField("score", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow_schema = to_arrow_schema(out_schema)
-    slim = points.select(id_col, vector_col).filter(F.col(vector_col).isNotNull())
+    slim = spread(points.select(id_col, vector_col).filter(F.col(vector_col).isNotNull()), id_col)
     candidates = None
     ordered = q.orderBy("qid")
     for start in range(0, max(n_q, 1), per_pass):

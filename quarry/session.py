@@ -88,12 +88,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage with a table written under the shared checkpoint folder.
 
     Used for stages that several downstream branches read (the parsed-file
-    table), so an expensive Python-side parse runs once and a lost executor
-    does not force a recompute from the raw listing.
+    table): the expensive parse runs exactly once (a reliable RDD
+    checkpoint would compute it twice without a cache), a lost executor
+    does not force a recompute from the raw listing, and the read-back is a
+    plain parquet scan whose statistics AQE can use.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/quarry-{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
+    """Give an expensive per-row stage enough tasks.
+
+    Large inputs already arrive in many partitions and are returned as they
+    are (no shuffle). An input with fewer partitions than the cluster's
+    default parallelism (a single small file, one row group) is hash
+    partitioned on ``key`` first, so the per-file work is not serialised
+    into one task.
+    """
+    target = target or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
