@@ -104,3 +104,9 @@ def format_fixed(col, digits: int) -> Column:
 
 def format_2f(col) -> Column:
     return format_fixed(col, 2)
+
+
+def day_span(start, end) -> Column:
+    """``(end - start).days``: whole days, floored (negative spans too)."""
+    secs = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
+    return F.floor(secs / F.lit(86_400_000_000)).cast("bigint")

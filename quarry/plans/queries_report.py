@@ -50,19 +50,22 @@ SELECT task_id,
   CASE WHEN coalesce(scan_all, FALSE) THEN 'all_files' ELSE 'date_range' END AS time_range,
   {O.iso('start_date')} AS start_date, {O.iso('end_date')} AS end_date,
   workspace_path AS workspace,
-  CASE WHEN coalesce(scan_all, FALSE) THEN 'all' ELSE 'date_range' END AS filter_type
+  CASE WHEN coalesce(scan_all, FALSE) THEN 'all' ELSE 'date_range' END AS filter_type,
+  CAST(floor((epoch_us(end_date) - epoch_us(start_date)) / 86400000000) AS BIGINT) AS span_days
 FROM tickets""")
 def context_defaults(spark, sf_dir):
     """Request context with defaults, flattened."""
     requester, request, scope = TK.context_struct(NOW)
+    from quarry.functions.text import day_span
     t = tickets_df(spark).select("task_id", requester.alias("rq"), request.alias("r"),
-                                 scope.alias("s"))
+                                 scope.alias("s"),
+                                 day_span("start_date", "end_date").alias("span_days"))
     return t.select(
         "task_id", F.col("rq.name").alias("requester_name"),
         F.col("rq.email").alias("requester_email"), F.col("rq.role").alias("requester_role"),
         F.col("rq.timezone").alias("timezone"), "r.original_question", "r.channel", "r.thread_id",
         "r.urgency", "r.requested_at", "r.requested_format", "s.time_range", "s.start_date",
-        "s.end_date", "s.workspace", "s.filter_type")
+        "s.end_date", "s.workspace", "s.filter_type", "span_days")
 
 
 @register("ticket_files", _with() + f"""

@@ -6,11 +6,12 @@
 
 Listing is distributed. The driver walks only the top ``listingDepth``
 levels (pruning ignored directories on the way, like the walk it models);
-every directory it visited contributes its own files as shards of at most
-``filesPerPartition`` names, and every directory at the depth limit becomes a
-subtree task walked on an executor. A flat directory with millions of files
-is therefore split into many tasks, and no file list passes through the
-driver below the depth limit.
+every directory it visited is counted (names are not kept) and contributes
+its files as up to 256 shards of about ``filesPerPartition`` names (a task
+keeps the names whose crc32 falls in its shard), and every directory at the
+depth limit becomes a subtree task walked on an executor. A flat directory
+with millions of files is therefore split into many tasks, and no file list
+passes through the driver.
 
 Rows: path, name, file_type, modified (naive local time, microseconds),
 size, ignored, content. Hidden and ``_``-prefixed names are kept, zero-byte
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,9 @@ class _Part(InputPartition):
     shards: int = 1
 
 
+MAX_SHARDS = 256
+
+
 def _files_of(directory: str) -> list[str]:
     try:
         with os.scandir(directory) as it:
@@ -65,6 +70,19 @@ def _files_of(directory: str) -> list[str]:
         return []
 
 
+def _count_files(directory: str) -> int:
+    """Entries of one directory, counted without keeping their names."""
+    try:
+        with os.scandir(directory) as it:
+            return sum(1 for e in it if not e.is_dir(follow_symlinks=False))
+    except OSError:
+        return 0
+
+
+def _in_shard(name: str, shard: int, shards: int) -> bool:
+    return shards == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % shards == shard
+
+
 def _subdirs(directory: str) -> list[str]:
     try:
         with os.scandir(directory) as it:
@@ -95,8 +113,8 @@ class WorkspaceReader(DataSourceReader):
                 if depth == self.depth:
                     parts.append(_Part(d, True))
                     continue
-                n = len(_files_of(d))
-                shards = max(1, -(-n // self.per_part))
+                n = _count_files(d)
+                shards = min(MAX_SHARDS, max(1, -(-n // self.per_part)))
                 parts.extend(_Part(d, False, i, shards) for i in range(shards) if n)
                 for sub in _subdirs(d):
                     full = os.path.join(d, sub)
@@ -117,7 +135,7 @@ class WorkspaceReader(DataSourceReader):
                         yield row
         else:
             names = _files_of(partition.directory)
-            for name in names[partition.shard::partition.shards]:
+            for name in (n for n in names if _in_shard(n, partition.shard, partition.shards)):
                 row = self._row(partition.directory, name)
                 if row is not None:
                     yield row
