@@ -189,15 +189,111 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WorkspaceDataSource)
 
 
-def read_workspace(spark: SparkSession, root: str, **options) -> DataFrame:
+def read_workspace(spark: SparkSession, root: str, balanced: bool = False,
+                   **options) -> DataFrame:
     """The workspace inventory as a DataFrame, with the ``suffix`` column the
-    parse stage dispatches on."""
+    parse stage dispatches on. ``balanced`` uses the two-phase listing
+    (``list_workspace``) that sizes read tasks by file counts."""
     from pyspark.sql import functions as F
 
     from quarry.functions.text import file_suffix
+    if balanced:
+        return list_workspace(spark, root, **options)
     register(spark)
     reader = spark.read.format("workspace").option("path", root)
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
     return reader.load().withColumn("suffix", file_suffix(F.col("name")))
 
+
+
+# ------------------------------------------------------- balanced listing
+
+_DIRS_SCHEMA = "directory STRING, n_files BIGINT"
+
+
+def _dir_counts_fn(depth_limit_dirs: bool):
+    """mapInPandas body: walk each subtree root, emit (directory, #files)."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            out_dirs, out_counts = [], []
+            for root, subtree in zip(frame["directory"], frame["subtree"]):
+                if not subtree:
+                    out_dirs.append(root)
+                    out_counts.append(_count_files(root))
+                    continue
+                for dirpath, dirs, files in os.walk(root):
+                    dirs[:] = [d for d in dirs if not should_ignore(os.path.join(dirpath, d), d)]
+                    out_dirs.append(dirpath)
+                    out_counts.append(len(files))
+            yield pd.DataFrame({"directory": out_dirs, "n_files": out_counts})
+    return run
+
+
+def _read_shards_fn(reader: "WorkspaceReader", arrow_schema, max_rows: int = 256,
+                    max_bytes: int = 64 * 1024 * 1024):
+    """mapInArrow body: read the files of each (directory, shard) row,
+    emitting bounded output batches (rows and content bytes)."""
+    import pyarrow as pa
+
+    names = arrow_schema.names
+
+    def flush(rows):
+        return pa.RecordBatch.from_pydict(
+            {n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=arrow_schema)
+
+    def run(batches):
+        for batch in batches:
+            cols = batch.to_pydict()
+            for d, shard, shards in zip(cols["directory"], cols["shard"], cols["shards"]):
+                rows, size = [], 0
+                for row in reader.read(_Part(d, False, shard, shards)):
+                    rows.append(row)
+                    size += len(row[-1] or b"")
+                    if len(rows) >= max_rows or size >= max_bytes:
+                        yield flush(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield flush(rows)
+    return run
+
+
+def list_workspace(spark: SparkSession, root: str, **options) -> DataFrame:
+    """The ``workspace`` rows with load balanced by file counts.
+
+    Phase 1 walks directory entries only: the driver expands the top levels,
+    executors walk the subtrees below and count files per directory. Phase 2
+    splits every directory into shards of about ``filesPerPartition`` files
+    and reads them (stat, content) spread over the cluster, so a subtree or
+    a directory holding a third of all files is read by many tasks.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    opts = {k: (str(v).lower() if isinstance(v, bool) else str(v)) for k, v in options.items()}
+    reader = WorkspaceReader({"path": root, **opts})
+    seeds = [(p.directory, p.subtree) for p in reader.partitions() if p.shard == 0]
+    seed_df = spark.createDataFrame(seeds, "directory STRING, subtree BOOLEAN")
+    seed_df = seed_df.repartition(max(1, len(seeds)))
+    dirs = seed_df.mapInPandas(_dir_counts_fn(True), _DIRS_SCHEMA).filter("n_files > 0")
+    per = reader.per_part
+    shards = dirs.select(
+        "directory",
+        F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("n_files") / F.lit(per))))
+        .cast("int").alias("shards"))
+    work = shards.select("directory", "shards",
+                         F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    work = work.repartition(spark.sparkContext.defaultParallelism, "directory", "shard")
+    schema = T._parse_datatype_string(SCHEMA)
+    rows = work.mapInArrow(_read_shards_fn(reader, to_arrow_schema(schema)), schema)
+    return rows.withColumn("suffix", _suffix_col())
+
+
+def _suffix_col():
+    from pyspark.sql import functions as F
+
+    from quarry.functions.text import file_suffix
+    return file_suffix(F.col("name"))

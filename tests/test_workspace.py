@@ -262,3 +262,12 @@ def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "report_errors")).count() == 2
     hits = P.search_workspace(spark, out["collection"], "calculate numpy", limit=3).collect()
     assert hits and hits[0].file_path.endswith("nested.py")
+
+
+def test_balanced_listing_equals_data_source(spark, workspace):
+    for depth in (0, 1):
+        a = read_workspace(spark, workspace, listingDepth=depth, content=True)
+        b = read_workspace(spark, workspace, balanced=True, listingDepth=depth,
+                           filesPerPartition=2, content=True)
+        key = ["path", "name", "file_type", "modified", "size", "ignored", "content"]
+        assert sorted(a.select(key).collect()) == sorted(b.select(key).collect())
