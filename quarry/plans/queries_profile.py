@@ -200,3 +200,93 @@ def index_text(spark, sf_dir):
     """V1: the text that is embedded for each successfully parsed text file."""
     p = parse.parse_files(_inventory(spark, sf_dir), native_only=True)
     return p.filter("success").select("path", V.index_text().alias("index_text"))
+
+
+# ------------------------------------------------------- generated sources
+# Python and CSV files generated from each document, so that the Arrow-side
+# parsers (stdlib ast, pandas) are checked value by value: the structure of
+# the generated file is known, its content comes from the document.
+
+_PY_FILES = "(file_type = 'code' AND suffix = '.py')"
+_CSV_FILES = "(file_type = 'data' AND suffix = '.csv')"
+
+
+def _as_python(files):
+    """One module per .py document: an import, a class with a method, and
+    one function per document line carrying the line as a comment."""
+    lines = F.split(F.col("content"), "\n", -1)
+    defs = F.transform(lines, lambda l, i: F.concat(
+        F.lit("def f_"), i.cast("string"), F.lit("():\n    # "),
+        F.regexp_replace(l, "[\\r\\x00]", " "), F.lit("\n    return "),
+        F.length(l).cast("string")))
+    code = F.concat(F.lit("import mod_"), F.col("name_id"), F.lit("\nclass C"), F.col("name_id"),
+                    F.lit(":\n    def method(self):\n        return 0\n"), F.array_join(defs, "\n"))
+    return (files.withColumn("name_id", F.regexp_extract("name", "([0-9]+)", 1))
+            .withColumn("content", F.when((F.col("file_type") == "code") & (F.col("suffix") == ".py"),
+                                          code).otherwise(F.col("content")))
+            .drop("name_id"))
+
+
+def _py_code_sql() -> str:
+    return ("'import mod_' || regexp_extract(name, '([0-9]+)', 1) || chr(10) || 'class C' || "
+            "regexp_extract(name, '([0-9]+)', 1) || ':' || chr(10) || '    def method(self):' || "
+            "chr(10) || '        return 0' || chr(10) || array_to_string(list_transform("
+            "string_split(content, chr(10)), lambda l, i: 'def f_' || (i - 1) || '():' || chr(10) "
+            "|| '    # ' || regexp_replace(l, '[\\r\\x00]', ' ', 'g') || chr(10) || "
+            "'    return ' || length(l)), chr(10))")
+
+
+@register("python_profile_generated", O.with_inventory() + f"""
+, g AS (SELECT path, name, content, len(string_split(content, chr(10))) AS n,
+          {_py_code_sql()} AS code FROM inventory WHERE {_PY_FILES}),
+h AS (SELECT *, array_to_string(list_slice(string_split(code, chr(10)), 1, 20), chr(10)) AS head
+      FROM g)
+SELECT path, 'Python file with 1 class(es), ' || (n + 1) || ' function(s)' AS summary,
+  TRUE AS success, CAST(4 + 3 * n AS BIGINT) AS lines_of_code,
+  array_to_string(list_transform(range(n), lambda i: 'f_' || i), ',') || ',method' AS functions,
+  'C' || regexp_extract(name, '([0-9]+)', 1) AS classes,
+  'mod_' || regexp_extract(name, '([0-9]+)', 1) AS imports,
+  {O.preview('head')} AS content_preview
+FROM h""".replace("\n, g AS", ",\ng AS"))
+def python_profile_generated(spark, sf_dir):
+    """C1 checked exactly: generated modules parsed by ast in the Arrow job."""
+    inv = _as_python(_inventory(spark, sf_dir)).filter(
+        (F.col("file_type") == "code") & (F.col("suffix") == ".py"))
+    p = parse.parse_files(inv)
+    return p.select("path", "summary", "success", "details.lines_of_code",
+                    F.array_join("details.functions", ",").alias("functions"),
+                    F.array_join("details.classes", ",").alias("classes"),
+                    F.array_join("details.imports", ",").alias("imports"),
+                    "content_preview")
+
+
+def _as_csv(files):
+    """One CSV per .csv document: a row per word (quoted, prefixed so that
+    pandas keeps it text), its length, and whether the length is even."""
+    from quarry.functions.text import WORD_RE
+    words = F.regexp_extract_all(F.col("content"), F.lit(WORD_RE), 0)
+    rows = F.transform(words, lambda w: F.concat(
+        F.lit('"w:'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('",'),
+        F.length(w).cast("string"), F.lit(","),
+        F.when(F.length(w) % 2 == 0, F.lit("True")).otherwise(F.lit("False"))))
+    body = F.concat(F.lit("word,chars,even\n"), F.array_join(rows, "\n"))
+    return files.withColumn("content", F.when(
+        (F.col("file_type") == "data") & (F.col("suffix") == ".csv"), body).otherwise(F.col("content")))
+
+
+@register("csv_profile_generated", O.with_inventory() + f"""
+, g AS (SELECT path, len(regexp_extract_all(content, '{O.WORD_RE}')) AS n
+        FROM inventory WHERE {_CSV_FILES})
+SELECT path, 'CSV file with ' || n || ' rows and 3 columns' AS summary, TRUE AS success,
+  CAST(n AS BIGINT) AS rows, CAST(3 AS BIGINT) AS columns, 'word|chars|even' AS column_names,
+  CASE WHEN n > 0 THEN 'object,int64,bool' ELSE 'object,object,object' END AS dtypes
+FROM g""".replace("\n, g AS", ",\ng AS"))
+def csv_profile_generated(spark, sf_dir):
+    """C2 checked exactly: generated CSV files read by pandas in the Arrow job."""
+    inv = _as_csv(_inventory(spark, sf_dir)).filter(
+        (F.col("file_type") == "data") & (F.col("suffix") == ".csv"))
+    p = parse.parse_files(inv)
+    return p.select("path", "summary", "success", "details.rows", "details.columns",
+                    F.array_join("details.column_names", "|").alias("column_names"),
+                    F.array_join(F.transform("details.dtypes", lambda d: d["dtype"]), ",")
+                    .alias("dtypes"))
