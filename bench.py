@@ -47,7 +47,7 @@ def main() -> None:
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
-    for name in ("workspace_files", "parse_dispatch", "vector_topk_batch"):
+    for name in ("workspace_files", "parse_dispatch", "vector_topk_batch", "task_report"):
         registry[name].build(spark, warm_dir).write.format("noop").mode("overwrite").save()
 
     times = {}

@@ -105,13 +105,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
-    """Give an expensive per-row stage enough tasks.
+    """Give the per-row stages after a small scan enough tasks.
 
-    Large inputs already arrive in many partitions and are returned as they
-    are (no shuffle). An input with fewer partitions than the cluster's
-    default parallelism (a single small file, one row group) is hash
-    partitioned on ``key`` first, so the per-file work is not serialised
-    into one task.
+    Apply to a file scan (no shuffle upstream: the partition count is then
+    known from planning alone). Large inputs already arrive in many
+    partitions and are returned as they are; an input with fewer partitions
+    than the cluster's default parallelism (a single small file with one
+    row group) is hash partitioned on ``key``.
     """
     target = target or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:

@@ -13,11 +13,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 FIXTURE_ROOT = "/ws"
 
 
+# Tables whose rows feed per-row work (profiles, embeddings, scoring), with
+# the key that spreads a small single-file table over the cluster.
+SPREAD_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "benchmark": "item_id"}
+
+
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = SPREAD_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def files_from_documents(documents: DataFrame) -> DataFrame:
