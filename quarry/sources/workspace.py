@@ -30,7 +30,9 @@ import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (DataSource, DataSourceReader, GreaterThan,
+                                    GreaterThanOrEqual, InputPartition, LessThan,
+                                    LessThanOrEqual)
 
 from quarry.operators.scan import FILE_TYPES, IGNORE_PATTERNS
 
@@ -167,6 +169,28 @@ class WorkspaceReader(DataSourceReader):
         return (path, name, classify(name), modified, st.st_size, ignored, oversize, content)
 
 
+class PushdownWorkspaceReader(WorkspaceReader):
+    """The reader with ``modified`` bounds pushed into the listing; used when
+    the session enables Python data-source filter push-down."""
+
+    def pushFilters(self, filters):
+        """Time bounds on ``modified`` narrow the window before any stat'ed
+        file is read (enabled by ``spark.sql.python.filterPushdown.enabled``).
+
+        Bounds are applied inclusively and every filter is handed back, so
+        Spark still evaluates the exact predicate (strict bounds included).
+        """
+        for f in filters:
+            if getattr(f, "attribute", None) == ("modified",) and isinstance(
+                    getattr(f, "value", None), dt.datetime):
+                v = f.value.replace(tzinfo=None)
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.start = v if self.start is None else max(self.start, v)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.end = v if self.end is None else min(self.end, v)
+            yield f
+
+
 def _parse_ts(value):
     if value in (None, ""):
         return None
@@ -182,6 +206,8 @@ class WorkspaceDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
+        if str(self.options.get("pushFilters", "false")).lower() == "true":
+            return PushdownWorkspaceReader(self.options)
         return WorkspaceReader(self.options)
 
 
@@ -201,6 +227,8 @@ def read_workspace(spark: SparkSession, root: str, balanced: bool = False,
         return list_workspace(spark, root, **options)
     register(spark)
     reader = spark.read.format("workspace").option("path", root)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = reader.option("pushFilters", str(pushdown).lower())
     for k, v in options.items():
         reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
     return reader.load().withColumn("suffix", file_suffix(F.col("name")))

@@ -271,3 +271,18 @@ def test_balanced_listing_equals_data_source(spark, workspace):
                            filesPerPartition=2, content=True)
         key = ["path", "name", "file_type", "modified", "size", "ignored", "content"]
         assert sorted(a.select(key).collect()) == sorted(b.select(key).collect())
+
+
+def test_time_filter_reaches_the_source(spark, workspace):
+    from pyspark.sql import functions as F
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        files = read_workspace(spark, workspace, content=True).filter(
+            F.col("modified") >= F.lit(dt.datetime(2024, 2, 1)))
+        rows = files.collect()
+        assert [os.path.relpath(r.path, workspace) for r in rows] == ["notes.md"]
+        strict = read_workspace(spark, workspace).filter(
+            F.col("modified") > F.lit(dt.datetime(2024, 3, 1, 8, 30, 0, 123456))).count()
+        assert strict == 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
