@@ -1,5 +1,5 @@
-"""Ticket-level operators: validation (T1), context defaults (T2), the
-ticket -> files join (T3) and the legacy flat view (T7).
+"""Ticket-level operators: validation (T1), context defaults (T2) and the
+ticket -> files range join (T3).
 
 Tickets are deduplicated into *scopes* (all files, or one inclusive time
 window). Every per-file aggregate is computed once per scope, however many

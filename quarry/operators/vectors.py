@@ -25,7 +25,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import WORD_RE
 
 DEFAULT_DIM = 384
 DEFAULT_K = 5
@@ -53,11 +52,6 @@ def index_text() -> Column:
 
 # ------------------------------------------------------------- V2 embedding
 
-def bucket_of(word: Column, dim: int = DEFAULT_DIM) -> Column:
-    """md5-based bucket of one token (first 32 bits of the digest)."""
-    return (F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % F.lit(dim)).cast("int")
-
-
 SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.IntegerType())),
                        T.StructField("weights", T.ArrayType(T.DoubleType()))])
 

@@ -37,9 +37,6 @@ def breakdown_by_type(spark, sf_dir):
 from quarry.functions.text import iso_timestamp  # noqa: E402
 from quarry.operators import enrich  # noqa: E402
 
-_INV_COLS = ["path", "name", "suffix", "file_type", "size"]
-
-
 @register("workspace_files", O.with_inventory() + f"""
 SELECT path, name, file_type, size, {O.iso('modified')} AS modified FROM inventory""")
 def workspace_files(spark, sf_dir):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import iso_timestamp
 from quarry.operators import enrich, parse, scan
 from quarry.operators import vectors as V
 from quarry.plans import oracle_sql as O

@@ -33,7 +33,6 @@ def _points(spark, sf_dir):
 
 
 _E = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
-_COS = """CASE WHEN sqrt(list_dot_product(v, q)) IS NULL THEN 0 ELSE 0 END"""
 
 
 def _score(v: str, q: str) -> str:
