@@ -33,12 +33,21 @@ def normalize_newlines(col) -> Column:
     return F.regexp_replace(_c(col), r"\r\n?", "\n")
 
 
+# The members of WS_CLASS, listed (for character-table functions).
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def word_count(col) -> Column:
-    """``len(s.split())``: every word becomes one marker character (which
-    cannot be whitespace), then markers are counted by length difference,
-    without materialising the words."""
-    marked = F.regexp_replace(_c(col), WORD_RE, "\u0001")
-    return (F.length(marked) - F.length(F.replace(marked, F.lit("\u0001"), F.lit("")))).cast("bigint")
+    """``len(s.split())`` without materialising the words: every whitespace
+    character becomes a space (a character-table ``translate``), space runs
+    collapse to one, and each remaining space that is followed by a
+    character starts a word (a leading space is prepended)."""
+    spaced = F.translate(_c(col), WS_CHARS, " " * len(WS_CHARS))
+    c = F.regexp_replace(F.concat(F.lit(" "), spaced), " +", " ")
+    spaces = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
+    return (spaces - F.when(c.endswith(" "), 1).otherwise(0)).cast("bigint")
 
 
 def line_count(col) -> Column:
