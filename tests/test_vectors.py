@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from quarry.operators import vectors as V
-from quarry.plans import pipeline as P
+from quarry.plans import runner as P
 
 DOCS = [
     ("/test/ml_code.py", "Machine learning model training and evaluation", "code"),

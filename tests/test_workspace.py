@@ -248,7 +248,7 @@ def test_report_end_to_end(spark, workspace):
 
 def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
     from quarry.operators.tickets import TICKET_SCHEMA
-    from quarry.plans import pipeline as P
+    from quarry.plans import runner as P
     tickets = spark.createDataFrame(
         [("T-ALL", workspace, None, None, True, True, None)], TICKET_SCHEMA)
     files = read_workspace(spark, workspace, content=True)
