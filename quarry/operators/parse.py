@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import (header_count, line_count, normalize_newlines, preview,
-                                   word_count)
+from quarry.functions.text import (WS_NO_LF_CLASS as WS_NO_LF, header_count, line_count,
+                                   normalize_newlines, preview, word_count)
 
 DTYPE = T.StructType([T.StructField("name", T.StringType()),
                       T.StructField("dtype", T.StringType())])
@@ -212,14 +212,34 @@ def parse_files(files: DataFrame, native_only: bool = False) -> DataFrame:
     Input columns: the inventory (path, name, file_type, suffix, size,
     modified) plus ``content`` (STRING or BINARY, NULL for a vanished file).
     ``native_only`` skips the Arrow job (callers that keep only files with
-    a native profile: Markdown, plain text, binary).
+    a native profile: Markdown, plain text, binary). Rows flagged
+    ``oversize`` by the workspace source (content not loaded) are profiled
+    by ``parse_large_text_files`` (one bounded collect of their paths).
     """
+    large = None
+    if "oversize" in files.columns:
+        big = files.filter(F.col("oversize"))
+        files = files.filter(~F.col("oversize"))
+        large = _large(route(big.withColumn("content", F.lit(None).cast("binary"))))
     routed = route(files)
     native = _native(routed.filter(~F.col("python_side")))
-    if native_only:
-        return native
-    python = _python_side(routed.filter(F.col("python_side")))
-    return native.unionByName(python)
+    if not native_only:
+        native = native.unionByName(_python_side(routed.filter(F.col("python_side"))))
+    return native if large is None else native.unionByName(large)
+
+
+def _large(big: DataFrame) -> DataFrame:
+    """Oversize files: text profiles through split reads; the dedicated
+    parsers (Python, CSV, notebook) need the whole file in one row and
+    report the limit instead."""
+    text = parse_large_text_files(big.filter(F.col("parser").isin("markdown", "generic")))
+    others = big.filter(~F.col("parser").isin("markdown", "generic")).select(
+        *FILE_COLUMNS, "parser",
+        F.format_string("File too large to parse in one piece (%d bytes)", "size").alias("summary"),
+        F.lit("").alias("content_preview"), F.lit(False).alias("success"),
+        F.format_string("File exceeds the in-row content limit (%d bytes)", "size").alias("error"),
+        _details().alias("details"), F.array().cast("array<string>").alias("detail_lines"))
+    return text.unionByName(others)
 
 
 def without_profile(files: DataFrame) -> DataFrame:
@@ -234,3 +254,147 @@ def parse_errors(parsed: DataFrame, keys=()) -> DataFrame:
     return parsed.filter(~F.col("success")).select(
         *keys, "path", F.concat_ws(": ", F.col("name"),
                             F.coalesce(F.col("error"), F.lit("Unknown error"))).alias("message"))
+
+
+# ------------------------------------------------------------ large files
+
+def _head_tail_fn(preview_chars: int):
+    """mapInPandas body: for each large file, the decoded head (enough for
+    the preview) and whether the last byte ends a line."""
+    import codecs
+
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            heads, ends = [], []
+            for path in frame["path"]:
+                try:
+                    with open(path, "rb") as f:
+                        raw = f.read(4 * (preview_chars + 1) + 2)
+                        f.seek(0, 2)
+                        if f.tell() > 0:
+                            f.seek(-1, 2)
+                            last = f.read(1)
+                        else:
+                            last = b""
+                    text = codecs.getincrementaldecoder("utf-8")(errors="replace").decode(raw)
+                    heads.append(text.replace("\r\n", "\n").replace("\r", "\n"))
+                    ends.append(last in (b"\n", b"\r") or last == b"")
+                except OSError:
+                    heads.append(None)
+                    ends.append(None)
+            yield pd.DataFrame({"path": frame["path"], "_head": heads, "_ends_nl": ends})
+    return run
+
+
+def _stream_counts_fn(preview_chars: int):
+    """mapInPandas body for names the file sources skip (leading '.' or
+    '_'): stream each file through Python's universal-newline reader."""
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            out = {"path": [], "_lines": [], "_words": [], "_headers": [], "_valid": [],
+                   "_head": []}
+            for path in frame["path"]:
+                lines = words = headers = 0
+                head, valid = "", True
+                try:
+                    with open(path, "r", encoding="utf-8", newline=None) as f:
+                        for line in f:
+                            lines += line.endswith("\n")
+                            words += len(line.split())
+                            headers += line.strip().startswith("#")
+                            if len(head) <= preview_chars:
+                                head += line[:preview_chars + 1]
+                    lines += 1
+                except UnicodeDecodeError:
+                    valid = False
+                except OSError:
+                    valid = None
+                for k, v in (("path", path), ("_lines", lines), ("_words", words),
+                             ("_headers", headers), ("_valid", valid), ("_head", head)):
+                    out[k].append(v)
+            yield pd.DataFrame(out)
+    return run
+
+
+def parse_large_text_files(big: DataFrame, preview_chars: int = 500) -> DataFrame:
+    """C4/C5/C6 for files too large to load into one row.
+
+    ``spark.read.text`` splits each file across tasks (it keeps the raw
+    bytes and cuts lines at \\n, \\r\\n and \\r, i.e. universal newlines);
+    lines, words and headers are summed per file and UTF-8 validity is
+    checked per line. Only the head (for the preview) and the last byte are
+    read directly. The file sources skip names starting with '.' or '_', so
+    those files are streamed line by line inside one task each instead. The
+    number of paths handed to the reader is bounded by the number of
+    oversize files.
+    """
+    spark = big.sparkSession
+    meta = big.select(*FILE_COLUMNS, "parser")
+    hidden = F.substring_index(F.col("path"), "/", -1).rlike("^[._]")
+    visible = meta.filter(~hidden)
+    paths = [r["path"] for r in visible.select("path").collect()]
+    schema = "path string, _lines bigint, _words bigint, _headers bigint, _valid boolean, _head string"
+    streamed = meta.filter(hidden).select("path").mapInPandas(_stream_counts_fn(preview_chars), schema)
+    if paths:
+        header_line = f"^[{WS_NO_LF}]*#"
+        per_file = (spark.read.text(paths)
+                    .select(F.col("_metadata.file_path").alias("_uri"), F.col("value"))
+                    .groupBy("_uri").agg(
+                        F.count(F.lit(1)).alias("_rows"),
+                        F.sum(word_count(F.col("value"))).alias("_words"),
+                        F.count_if(F.col("value").rlike(header_line)).alias("_headers"),
+                        F.bool_and(F.is_valid_utf8(F.col("value"))).alias("_valid")))
+        heads = visible.select("path").mapInPandas(
+            _head_tail_fn(preview_chars), "path string, _head string, _ends_nl boolean")
+        uri = F.regexp_replace(F.concat(F.lit("file://"), F.col("path")), "^file:///+", "file:/")
+        split = (heads.withColumn("_uri", F.when(F.col("path").rlike("^[a-z][a-z0-9+.-]*:"),
+                                                 F.col("path")).otherwise(uri))
+                 .join(per_file, "_uri", "left")
+                 .select("path", (F.coalesce(F.col("_rows"), F.lit(0))
+                                  + F.when(F.coalesce(F.col("_ends_nl"), F.lit(True)), 1)
+                                  .otherwise(0)).cast("bigint").alias("_lines"),
+                         F.coalesce(F.col("_words"), F.lit(0)).cast("bigint").alias("_words"),
+                         F.coalesce(F.col("_headers"), F.lit(0)).cast("bigint").alias("_headers"),
+                         F.coalesce(F.col("_valid"), F.lit(True)).alias("_valid"), "_head"))
+        counts = split.unionByName(streamed)
+    else:
+        counts = streamed
+    joined = meta.join(counts, "path", "left")
+    lines_n = F.col("_lines")
+    words = F.coalesce(F.col("_words"), F.lit(0))
+    headers = F.coalesce(F.col("_headers"), F.lit(0))
+    valid = F.coalesce(F.col("_valid"), F.lit(True))
+    md = F.col("parser") == "markdown"
+    size = F.col("size")
+    head = F.col("_head")
+    pv = F.when(F.length(head) > preview_chars,
+                F.concat(F.substring(head, 1, preview_chars), F.lit("..."))).otherwise(head)
+    summary = (F.when(md & ~valid, F.lit("Markdown file (parse error)"))
+               .when(md, F.format_string("Markdown file with %d words, %d lines, %d headers",
+                                         words, lines_n, headers))
+               .when(~valid, F.format_string("Binary %s file (%d bytes)", F.col("file_type"), size))
+               .otherwise(F.format_string("%s file with %d lines", F.initcap("file_type"), lines_n)))
+    details = (F.when(md & ~valid, _details())
+               .when(md, _details(words=words, lines=lines_n, headers=headers))
+               .when(~valid, _details(size_bytes=size))
+               .otherwise(_details(lines=lines_n, words=words, size_bytes=size)))
+    detail_lines = (F.when(md & ~valid, F.array().cast("array<string>"))
+                    .when(md, F.array(F.format_string("words: %d", words),
+                                      F.format_string("lines: %d", lines_n),
+                                      F.format_string("headers: %d", headers)))
+                    .when(~valid, F.array(F.format_string("size_bytes: %d", size)))
+                    .otherwise(F.array(F.format_string("lines: %d", lines_n),
+                                       F.format_string("words: %d", words),
+                                       F.format_string("size_bytes: %d", size))))
+    return joined.select(
+        *FILE_COLUMNS, "parser", summary.alias("summary"),
+        F.when(md & ~valid, F.lit("")).when(~valid, F.lit("[Binary content]"))
+         .otherwise(pv).alias("content_preview"),
+        (~(md & ~valid)).alias("success"),
+        F.when(md & ~valid, F.lit("'utf-8' codec can't decode the file content"))
+         .cast("string").alias("error"),
+        details.alias("details"), detail_lines.alias("detail_lines"))

@@ -286,3 +286,26 @@ def test_time_filter_reaches_the_source(spark, workspace):
         assert strict == 0
     finally:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_oversize_text_files_profiled_by_split_reads(spark, workspace, tmp_path):
+    """With a tiny in-row limit, Markdown and text files take the split-read
+    path; their profiles must equal the in-row ones."""
+    extra = tmp_path / "big"
+    extra.mkdir()
+    (extra / "long.md").write_text("# A\n" + "word " * 400 + "\n\n  # B\ntail\n", encoding="utf-8")
+    (extra / "noeol.txt").write_text("x y\nz", encoding="utf-8")
+    (extra / "crlf.txt").write_bytes(b"a b\r\nc\rd\r\n")
+    (extra / "bad.txt").write_bytes(b"ok\n\xff\xfe\n")
+    keys = ["summary", "content_preview", "success", "detail_lines"]
+    for root in (workspace, str(extra)):
+        small = read_workspace(spark, root, content=True)
+        tiny = read_workspace(spark, root, content=True, maxContentBytes=3)
+        a = {r.path: r for r in parse.parse_files(small).collect()}
+        b = {r.path: r for r in parse.parse_files(tiny).collect()}
+        assert a.keys() == b.keys()
+        for path, r in a.items():
+            if r.parser in ("markdown", "generic") and r.size > 3:
+                assert [b[path][k] for k in keys] == [r[k] for k in keys], path
+            elif r.size > 3:
+                assert not b[path].success
