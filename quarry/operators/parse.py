@@ -157,12 +157,14 @@ def _profile_batches(batches):
     import pyarrow as pa
 
     from quarry.functions.profilers import profile
-    from quarry.operators.parse import DETAILS
+    from quarry.operators.parse import DETAILS, FILE_COLUMNS
     detail_names = [f.name for f in DETAILS.fields]
     for batch in batches:
-        cols = batch.to_pydict()
+        cols = batch.select(FILE_COLUMNS + ["parser"]).to_pydict()
+        contents = batch.column("content")
         summaries, previews, oks, errors, details, lines = [], [], [], [], [], []
-        for parser, raw in zip(cols["parser"], cols["content"]):
+        for i, parser in enumerate(cols["parser"]):
+            raw = contents[i].as_py()  # one file's bytes at a time
             if isinstance(raw, str):
                 raw = raw.encode("utf-8")
             out = profile(parser, raw)

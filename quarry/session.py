@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches carry whole file contents into the parse job: bound the
+    # rows per batch (there is no byte limit) so a batch of large files
+    # stays a few hundred MB at most.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 

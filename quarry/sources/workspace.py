@@ -19,7 +19,8 @@ files are kept, directory symlinks are not followed. Ignored files are
 dropped unless ``includeIgnored`` is true (for scan counters). ``start`` /
 ``end`` restrict the inclusive modification window before any content is
 read; ``content`` (default false) loads the file bytes (up to
-``maxContentBytes``; larger files get NULL content and ``oversize``).
+``maxContentBytes``, default 32 MiB; larger files get NULL content and
+``oversize`` and are profiled by split reads, see ``parse_large_text_files``).
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ class WorkspaceReader(DataSourceReader):
         self.per_part = int(options.get("filesPerPartition", "2000"))
         self.content = str(options.get("content", "false")).lower() == "true"
         self.include_ignored = str(options.get("includeIgnored", "false")).lower() == "true"
-        self.max_bytes = int(options.get("maxContentBytes", str(64 * 1024 * 1024)))
+        self.max_bytes = int(options.get("maxContentBytes", str(32 * 1024 * 1024)))
         self.start = _parse_ts(options.get("start"))
         self.end = _parse_ts(options.get("end"))
 

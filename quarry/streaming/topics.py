@@ -38,7 +38,7 @@ def totals(log: DataFrame) -> DataFrame:
 
 
 def stream_topic_counts(spark: SparkSession, events_dir: str, file_glob: str = "*.parquet",
-                        output_dir: str | None = None) -> DataFrame:
+                        output_dir: str | None = None, files_per_batch: int = 1000) -> DataFrame:
     """Run the per-topic count as a streaming query over a parquet log.
 
     Each micro-batch writes the complete counts table into
@@ -49,7 +49,7 @@ def stream_topic_counts(spark: SparkSession, events_dir: str, file_glob: str = "
     base = output_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/topic_counts/{uuid.uuid4().hex}"
     out = f"{base}/table"
     stream = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
-              .option("maxFilesPerTrigger", 1).parquet(events_dir))
+              .option("maxFilesPerTrigger", files_per_batch).parquet(events_dir))
     counts = topic_counts(message_log(stream))
 
     def sink(batch: DataFrame, _epoch: int) -> None:
