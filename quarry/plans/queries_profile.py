@@ -211,14 +211,17 @@ _CSV_FILES = "(file_type = 'data' AND suffix = '.csv')"
 
 
 def _as_python(files):
-    """One module per .py document: an import, a class with a method, and
-    one function per document line carrying the line as a comment."""
+    """One module per .py document: pandas (even ids) or numpy (odd ids)
+    and a module of its own imported, a class with a method, and one
+    function per document line carrying the line as a comment."""
     lines = F.split(F.col("content"), "\n", -1)
     defs = F.transform(lines, lambda l, i: F.concat(
         F.lit("def f_"), i.cast("string"), F.lit("():\n    # "),
         F.regexp_replace(l, "[\\r\\x00]", " "), F.lit("\n    return "),
         F.length(l).cast("string")))
-    code = F.concat(F.lit("import mod_"), F.col("name_id"), F.lit("\nclass C"), F.col("name_id"),
+    lib = F.when(F.col("name_id").cast("bigint") % 2 == 0, F.lit("import pandas as pd\n")) \
+        .otherwise(F.lit("import numpy as np\n"))
+    code = F.concat(lib, F.lit("import mod_"), F.col("name_id"), F.lit("\nclass C"), F.col("name_id"),
                     F.lit(":\n    def method(self):\n        return 0\n"), F.array_join(defs, "\n"))
     return (files.withColumn("name_id", F.regexp_extract("name", "([0-9]+)", 1))
             .withColumn("content", F.when((F.col("file_type") == "code") & (F.col("suffix") == ".py"),
@@ -227,7 +230,9 @@ def _as_python(files):
 
 
 def _py_code_sql() -> str:
-    return ("'import mod_' || regexp_extract(name, '([0-9]+)', 1) || chr(10) || 'class C' || "
+    return ("CASE WHEN CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) % 2 = 0 "
+            "THEN 'import pandas as pd' ELSE 'import numpy as np' END || chr(10) || "
+            "'import mod_' || regexp_extract(name, '([0-9]+)', 1) || chr(10) || 'class C' || "
             "regexp_extract(name, '([0-9]+)', 1) || ':' || chr(10) || '    def method(self):' || "
             "chr(10) || '        return 0' || chr(10) || array_to_string(list_transform("
             "string_split(content, chr(10)), lambda l, i: 'def f_' || (i - 1) || '():' || chr(10) "
@@ -241,10 +246,11 @@ def _py_code_sql() -> str:
 h AS (SELECT *, array_to_string(list_slice(string_split(code, chr(10)), 1, 20), chr(10)) AS head
       FROM g)
 SELECT path, 'Python file with 1 class(es), ' || (n + 1) || ' function(s)' AS summary,
-  TRUE AS success, CAST(4 + 3 * n AS BIGINT) AS lines_of_code,
+  TRUE AS success, CAST(5 + 3 * n AS BIGINT) AS lines_of_code,
   array_to_string(list_transform(range(n), lambda i: 'f_' || i), ',') || ',method' AS functions,
   'C' || regexp_extract(name, '([0-9]+)', 1) AS classes,
-  'mod_' || regexp_extract(name, '([0-9]+)', 1) AS imports,
+  CASE WHEN CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) % 2 = 0 THEN 'pandas'
+       ELSE 'numpy' END || ',mod_' || regexp_extract(name, '([0-9]+)', 1) AS imports,
   {O.preview('head')} AS content_preview
 FROM h""".replace("\n, g AS", ",\ng AS"))
 def python_profile_generated(spark, sf_dir):
@@ -261,23 +267,28 @@ def python_profile_generated(spark, sf_dir):
 
 def _as_csv(files):
     """One CSV per .csv document: a row per word (quoted, prefixed so that
-    pandas keeps it text), its length, and whether the length is even."""
+    pandas keeps it text), its length, and whether the length is even (the
+    column is named "timestamp" for even ids, "even" otherwise)."""
     from quarry.functions.text import WORD_RE
     words = F.regexp_extract_all(F.col("content"), F.lit(WORD_RE), 0)
     rows = F.transform(words, lambda w: F.concat(
         F.lit('"w:'), F.replace(w, F.lit('"'), F.lit('""')), F.lit('",'),
         F.length(w).cast("string"), F.lit(","),
         F.when(F.length(w) % 2 == 0, F.lit("True")).otherwise(F.lit("False"))))
-    body = F.concat(F.lit("word,chars,even\n"), F.array_join(rows, "\n"))
+    third = F.when(F.regexp_extract("name", "([0-9]+)", 1).cast("bigint") % 2 == 0,
+                   F.lit("timestamp")).otherwise(F.lit("even"))
+    body = F.concat(F.lit("word,chars,"), third, F.lit("\n"), F.array_join(rows, "\n"))
     return files.withColumn("content", F.when(
         (F.col("file_type") == "data") & (F.col("suffix") == ".csv"), body).otherwise(F.col("content")))
 
 
 @register("csv_profile_generated", O.with_inventory() + f"""
-, g AS (SELECT path, len(regexp_extract_all(content, '{O.WORD_RE}')) AS n
+, g AS (SELECT path, name, len(regexp_extract_all(content, '{O.WORD_RE}')) AS n
         FROM inventory WHERE {_CSV_FILES})
 SELECT path, 'CSV file with ' || n || ' rows and 3 columns' AS summary, TRUE AS success,
-  CAST(n AS BIGINT) AS rows, CAST(3 AS BIGINT) AS columns, 'word|chars|even' AS column_names,
+  CAST(n AS BIGINT) AS rows, CAST(3 AS BIGINT) AS columns,
+  'word|chars|' || CASE WHEN CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) % 2 = 0
+                        THEN 'timestamp' ELSE 'even' END AS column_names,
   CASE WHEN n > 0 THEN 'object,int64,bool' ELSE 'object,object,object' END AS dtypes
 FROM g""".replace("\n, g AS", ",\ng AS"))
 def csv_profile_generated(spark, sf_dir):
@@ -289,3 +300,39 @@ def csv_profile_generated(spark, sf_dir):
                     F.array_join("details.column_names", "|").alias("column_names"),
                     F.array_join(F.transform("details.dtypes", lambda d: d["dtype"]), ",")
                     .alias("dtypes"))
+
+
+def _has(col: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({col}), '{w}')" for w in words) + ")"
+
+
+@register("file_tags_generated", O.with_inventory() + f"""
+, g AS (SELECT *, CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) % 2 = 0 AS even,
+          len(string_split(content, chr(10))) AS n FROM inventory)
+SELECT path,
+  CASE file_type
+    WHEN 'code' THEN concat_ws(',', 'code', CASE WHEN {_has('name', 'test')} THEN 'test' END,
+      CASE WHEN {_has('name', 'analysis', 'analyze')} THEN 'analysis' END,
+      CASE WHEN suffix = '.py' AND even THEN 'pandas' END,
+      CASE WHEN suffix = '.py' AND NOT even THEN 'numpy' END)
+    WHEN 'data' THEN concat_ws(',', 'data',
+      CASE WHEN {_has('name', 'sensor', 'temperature')} THEN 'sensor-data' END,
+      CASE WHEN suffix = '.csv' AND even THEN 'timeseries' END)
+    WHEN 'notebook' THEN concat_ws(',', 'notebook', 'jupyter',
+      CASE WHEN {_has('name', 'analysis')} THEN 'analysis' END,
+      CASE WHEN {_has('name', 'visualization', 'viz')} THEN 'visualization' END)
+    WHEN 'note' THEN concat_ws(',', 'documentation',
+      CASE WHEN {_has('name', 'research')} THEN 'research' END,
+      CASE WHEN {_has('name', 'readme')} THEN 'readme' END)
+    ELSE '' END AS tags,
+  CASE WHEN file_type <> 'code' THEN NULL
+       WHEN suffix <> '.py' OR 5 + 3 * n < 50 THEN 'low'
+       WHEN n + 2 < 5 AND 5 + 3 * n < 200 THEN 'medium' ELSE 'high' END AS complexity
+FROM g""".replace("\n, g AS", ",\ng AS"))
+def file_tags_generated(spark, sf_dir):
+    """P4/P5 checked exactly: tags from names, imports and CSV columns, and
+    code complexity, over the generated sources."""
+    inv = _as_notebook(_as_csv(_as_python(_inventory(spark, sf_dir))))
+    p = parse.parse_files(inv)
+    return p.select("path", F.array_join(enrich.tags(), ",").alias("tags"),
+                    F.when(F.col("file_type") == "code", enrich.complexity()).alias("complexity"))

@@ -469,7 +469,7 @@ gf AS (
 @register("breakdown_code_generated", _with(_GEN) + """
 SELECT task_id, count(*) AS files,
   CASE WHEN count(*) FILTER (WHERE suffix = '.py') > 0 THEN 'python' ELSE '' END AS languages,
-  CAST(coalesce(sum(4 + 3 * n_lines) FILTER (WHERE is_py), 0) AS BIGINT) AS total_lines,
+  CAST(coalesce(sum(5 + 3 * n_lines) FILTER (WHERE is_py), 0) AS BIGINT) AS total_lines,
   CAST(coalesce(sum(n_lines + 1) FILTER (WHERE is_py), 0) AS BIGINT) AS functions,
   CAST(count(*) FILTER (WHERE is_py) AS BIGINT) AS classes
 FROM gf WHERE file_type = 'code' GROUP BY task_id""")

@@ -73,3 +73,14 @@ def test_batch_search_equals_single_search(spark):
         got = [r.vec_id for r in batch.filter(F.col("query_id") == row.query_id)
                .orderBy("rank").collect()]
         assert got == single
+
+
+def test_batch_search_in_several_passes(spark, monkeypatch):
+    """A query matrix above the broadcast budget is split into passes over
+    the points; the result is the same as one pass."""
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    cents = V.centroids(e, "label").withColumnRenamed("label", "query_id")
+    one = sorted(V.search_batch(e, cents, k=4, id_col="vec_id").collect())
+    monkeypatch.setattr(V, "BROADCAST_QUERY_FLOATS", 3 * 64)  # 3 queries per pass
+    many = sorted(V.search_batch(e, cents, k=4, id_col="vec_id").collect())
+    assert one == many and len(one) == 4 * cents.count()
