@@ -49,3 +49,9 @@ def test_bucketed_range_join_equals_broadcast(spark):
     a = sorted(window_counts(spark, SF_SMALL).collect())
     b = sorted(window_counts(spark, SF_SMALL, broadcast_limit=0).collect())
     assert a == b and len(a) == 100
+
+
+def test_many_windows_use_a_broadcast_hash_join_on_days(spark):
+    df = window_counts(spark, SF_SMALL)
+    plan = _plan(df)
+    assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan
