@@ -6,6 +6,8 @@ Each helper takes and returns a ``Column``; none of them ships rows to Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,7 +69,8 @@ def preview(col, n: int = 500, ellipsis: bool = True) -> Column:
     head = F.substring(c, 1, n)
     if not ellipsis:
         return head
-    return F.when(F.length(c) > n, F.concat(head, F.lit("..."))).otherwise(head)
+    from quarry.fixed import ELLIPSIS
+    return F.when(F.length(c) > n, F.concat(head, F.lit(ELLIPSIS))).otherwise(head)
 
 
 def first_lines(col, n: int) -> Column:
@@ -119,3 +122,18 @@ def day_span(start, end) -> Column:
     """``(end - start).days``: whole days, floored (negative spans too)."""
     secs = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
     return F.floor(secs / F.lit(86_400_000_000)).cast("bigint")
+
+
+def template(tpl: str, **values) -> Column:
+    """A ``{name}`` template (see ``quarry.fixed``) as one ``concat`` of
+    literals and columns (numbers are rendered as Python prints them)."""
+    parts = re.split(r"\{(\w+)\}", tpl)
+    cols = []
+    for i, part in enumerate(parts):
+        if i % 2 == 0:
+            if part:
+                cols.append(F.lit(part))
+        else:
+            v = values[part]
+            cols.append((F.lit(v) if not isinstance(v, Column) else v).cast("string"))
+    return F.concat(*cols) if cols else F.lit("")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import format_2f, format_fixed
+from quarry import fixed as X
+from quarry.functions.text import format_2f, format_fixed, template
 from quarry.operators.enrich import LARGE_FILE_BYTES, file_format
 
 TYPES = ("code", "data", "note", "notebook", "other")  # sorted: summary order
@@ -62,11 +63,11 @@ def scope_stats(pairs: DataFrame) -> DataFrame:
 
 # List kinds: (name, member types, limit).
 LISTS = [
-    ("highlights", ("code", "data", "notebook", "note"), 10),
-    ("notable_changes", ("code", "data"), 5),
-    ("recommendations", ("code", "notebook"), 5),
-    ("notable_code", ("code",), 5),
-    ("file_listing", TYPES, 10),
+    ("highlights", tuple(X.HIGHLIGHT), X.LIST_LIMITS["highlights"]),
+    ("notable_changes", tuple(X.IMPACT), X.LIST_LIMITS["notable_changes"]),
+    ("recommendations", tuple(X.RECOMMENDATION), X.LIST_LIMITS["recommendations"]),
+    ("notable_code", ("code",), X.LIST_LIMITS["notable_code"]),
+    ("file_listing", TYPES, X.LIST_LIMITS["file_listing"]),
 ]
 MAX_LIST = max(k for _, _, k in LISTS)
 
@@ -89,21 +90,26 @@ def first_n_rows(pairs: DataFrame) -> DataFrame:
     return ranked.filter(F.col("rank") <= F.element_at(limits, F.col("kind")))
 
 
+def _by_type(texts: dict) -> Column:
+    """A per-type template chosen by ``file_type`` (first entry is the default)."""
+    t, name = F.col("file_type"), F.col("name")
+    items = list(texts.items())
+    col = F.when(t == items[0][0], template(items[0][1], name=name))
+    for kind, tpl in items[1:]:
+        col = col.when(t == kind, template(tpl, name=name))
+    return col
+
+
 def _item(kind: str) -> Column:
-    name, t, summary = F.col("name"), F.col("file_type"), F.col("summary")
     if kind == "highlights":
-        return (F.when(t == "code", F.format_string("New code added (%s)", name))
-                .when(t == "data", F.format_string("Data file updated (%s)", name))
-                .when(t == "notebook", F.format_string("Analysis notebook created (%s)", name))
-                .otherwise(F.format_string("Documentation updated (%s)", name)))
+        return _by_type(X.HIGHLIGHT)
     if kind == "recommendations":
-        return (F.when(t == "code", F.format_string("Review %s implementation", name))
-                .otherwise(F.format_string("Execute %s to generate visualizations", name)))
+        return _by_type(X.RECOMMENDATION)
     if kind == "notable_code":
-        return F.format_string("  - %s: %s", name, summary)
+        return template(X.NOTABLE_CODE_LINE, name=F.col("name"), summary=F.col("summary"))
     if kind == "file_listing":
-        return F.format_string("%s (%s, %s KB)", name, t,
-                               format_fixed(F.col("size") / F.lit(1024.0), 1))
+        return template(X.LISTING_LINE, name=F.col("name"), kind=F.col("file_type"),
+                        kb=format_fixed(F.col("size") / F.lit(1024.0), 1))
     raise KeyError(kind)
 
 
@@ -117,7 +123,8 @@ def scope_lists(pairs: DataFrame) -> DataFrame:
     change = F.when(F.col("kind") == "notable_changes", F.struct(
         F.col("file_type").alias("type"), F.col("name").alias("file"),
         F.col("summary").alias("description"),
-        F.when(F.col("file_type") == "code", "high").otherwise("medium").alias("impact")))
+        F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in X.IMPACT.items() for x in kv]),
+                                F.col("file_type")), F.lit("medium")).alias("impact")))
     per_kind = (rows.groupBy("scope_id", "kind")
                 .agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("text"),
                                                           change.alias("change"))))
@@ -141,45 +148,38 @@ def activity_summary(stats_prefix: str = "") -> Column:
     """A7, from the per-type counts (NULL counts mean no files)."""
     c = lambda k: F.coalesce(F.col(f"{stats_prefix}n_{k}"), F.lit(0))
     total = F.coalesce(F.col(f"{stats_prefix}files_processed"), F.lit(0))
-    return (F.when(total == 0, "No activity found")
-            .when(c("code") > 0, "Active development with code changes")
-            .when(c("data") > 0, "Data collection and processing activity")
-            .when(c("note") > 0, "Documentation updates")
-            .otherwise("General workspace activity"))
+    label = F.when(total == 0, F.lit(X.ACTIVITY_NONE))
+    for kind, text in X.ACTIVITY:
+        label = label.when(c(kind) > 0, F.lit(text))
+    return label.otherwise(F.lit(X.ACTIVITY_OTHER))
 
 
 def summary_text() -> Column:
     """A8 text from scope stats + the notable code list."""
     total = F.coalesce(F.col("files_processed"), F.lit(0))
     breakdown = F.array_compact(F.array(*[
-        F.when(F.col(f"n_{k}") > 0, F.format_string(f"  - {k}: %d file(s)", F.col(f"n_{k}")))
+        F.when(F.col(f"n_{k}") > 0, template(X.SUMMARY_TYPE_LINE, kind=k, n=F.col(f"n_{k}")))
         for k in TYPES]))
-    size = F.concat(F.lit("Total size: "), format_2f(F.col("total_size_bytes") / F.lit(float(MB))),
-                    F.lit(" MB"))
+    size = template(X.SUMMARY_SIZE, mb=format_2f(F.col("total_size_bytes") / F.lit(float(MB))))
     code = F.coalesce(F.col("notable_code"), empty_list())
     code_part = F.when(F.size(code) > 0, F.concat(
-        F.lit("\n\nNotable code files:\n"), F.array_join(code, "\n"))).otherwise(F.lit(""))
-    text = F.concat(
-        F.format_string("Processed %d files from workspace.\n\nFile breakdown:\n", total),
-        F.array_join(breakdown, "\n"), F.lit("\n\n"), size, code_part)
-    return F.when(total == 0, F.lit("No files were processed.")).otherwise(text)
+        F.lit(X.SUMMARY_CODE_HEAD), F.array_join(code, "\n"))).otherwise(F.lit(""))
+    text = F.concat(template(X.SUMMARY_HEAD, n=total),
+                    F.array_join(breakdown, "\n"), F.lit("\n\n"), size, code_part)
+    return F.when(total == 0, F.lit(X.SUMMARY_EMPTY)).otherwise(text)
 
 
 def suggested_actions() -> Column:
     """Fixed actions, two of them conditional on the file mix."""
-    def action(a, desc, example):
-        return F.struct(F.lit(a).alias("action"), F.lit(desc).alias("description"),
-                        F.lit(example).alias("example"))
+    def action(a):
+        return F.struct(F.lit(a[0]).alias("action"), F.lit(a[1]).alias("description"),
+                        F.lit(a[2]).alias("example"))
     has = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0)) > 0
-    # The action catalogue.
     return F.array_compact(F.array(
-        action("semantic_search", "Search for specific topics in the workspace",
-               "Find all code related to 'data processing'"),
-        F.when(has("code"), action("deep_dive", "Get detailed analysis of specific code file",
-                                   "Analyze [filename].py in detail")),
-        F.when(has("notebook"), action("execute_notebook", "Run notebook to see results",
-                                       "Execute notebook and show outputs")),
-        action("compare", "Compare with previous time period", "Show changes from last week"),
+        action(X.ACTION_SEARCH),
+        F.when(has("code"), action(X.ACTION_DEEP_DIVE)),
+        F.when(has("notebook"), action(X.ACTION_NOTEBOOK)),
+        action(X.ACTION_COMPARE),
     ))
 
 

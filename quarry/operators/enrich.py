@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry import fixed as X
 from quarry.functions.text import iso_timestamp
 
-LARGE_FILE_BYTES = 10 * 1024 * 1024
+LARGE_FILE_BYTES = X.LARGE_FILE_BYTES
 
 
 def _has(name: Column, *words: str) -> Column:
@@ -18,34 +19,32 @@ def _has(name: Column, *words: str) -> Column:
     return cond
 
 
+def _rule(rule) -> Column | None:
+    if rule is None:
+        return None
+    kind, *args = rule
+    if kind == "name":
+        return _has(F.lower(F.col("name")), *args)
+    if kind == "import":
+        imports = F.coalesce(F.col("details.imports"), F.array().cast("array<string>"))
+        return F.array_contains(imports, args[0])
+    if kind == "column":
+        columns = F.coalesce(F.col("details.column_names"), F.array().cast("array<string>"))
+        has_columns = F.coalesce(F.col("details.columns"), F.lit(0)) != 0
+        return has_columns & F.exists(columns, lambda c: F.contains(F.lower(c), F.lit(args[0])))
+    raise ValueError(rule)
+
+
 def tags() -> Column:
     """Ordered tag list from type, lower-cased name and parsed details."""
     ftype = F.col("file_type")
-    name = F.lower(F.col("name"))
-    imports = F.coalesce(F.col("details.imports"), F.array().cast("array<string>"))
-    columns = F.coalesce(F.col("details.column_names"), F.array().cast("array<string>"))
-    has_columns = F.coalesce(F.col("details.columns"), F.lit(0)) != 0
-    timeseries = has_columns & F.exists(columns, lambda c: F.contains(F.lower(c), F.lit("timestamp")))
-
-    def tagged(*pairs):
-        return F.array_compact(F.array(*[
-            F.lit(t) if cond is None else F.when(cond, F.lit(t)) for t, cond in pairs]))
-
-    return (F.when(ftype == "code", tagged(
-                ("code", None), ("test", _has(name, "test")),
-                ("analysis", _has(name, "analysis", "analyze")),
-                ("pandas", F.array_contains(imports, "pandas")),
-                ("numpy", F.array_contains(imports, "numpy"))))
-            .when(ftype == "data", tagged(
-                ("data", None), ("sensor-data", _has(name, "sensor", "temperature")),
-                ("timeseries", timeseries)))
-            .when(ftype == "notebook", tagged(
-                ("notebook", None), ("jupyter", None), ("analysis", _has(name, "analysis")),
-                ("visualization", _has(name, "visualization", "viz"))))
-            .when(ftype == "note", tagged(
-                ("documentation", None), ("research", _has(name, "research")),
-                ("readme", _has(name, "readme"))))
-            .otherwise(F.array().cast("array<string>")))
+    out = None
+    for kind, rules in X.TAGS.items():
+        arr = F.array_compact(F.array(*[
+            F.lit(tag) if _rule(rule) is None else F.when(_rule(rule), F.lit(tag))
+            for tag, rule in rules]))
+        out = F.when(ftype == kind, arr) if out is None else out.when(ftype == kind, arr)
+    return out.otherwise(F.array().cast("array<string>"))
 
 
 def complexity() -> Column:
@@ -53,8 +52,9 @@ def complexity() -> Column:
     items = (F.size(F.coalesce(F.col("details.functions"), F.array()))
              + F.size(F.coalesce(F.col("details.classes"), F.array())))
     lines = F.coalesce(F.col("details.lines_of_code"), F.lit(0))
-    return (F.when((items == 0) | (lines < 50), "low")
-            .when((items < 5) & (lines < 200), "medium")
+    return (F.when((items == 0) | (lines < X.COMPLEXITY_LOW_LINES), "low")
+            .when((items < X.COMPLEXITY_MEDIUM_ITEMS) & (lines < X.COMPLEXITY_MEDIUM_LINES),
+                  "medium")
             .otherwise("high"))
 
 
@@ -69,7 +69,7 @@ def enhanced_files(parsed: DataFrame, keys=()) -> DataFrame:
     analysis = F.struct(
         F.col("summary").alias("summary"),
         F.col("details").alias("details"),
-        F.substring("content_preview", 1, 200).alias("content_preview"),
+        F.substring("content_preview", 1, X.RECORD_PREVIEW_CHARS).alias("content_preview"),
         tags().alias("tags"),
         F.col("success").alias("rag_indexed"),
         F.lit(None).cast("string").alias("rag_id"),

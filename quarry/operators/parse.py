@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry import fixed as X
 from quarry.functions.text import (WS_NO_LF_CLASS as WS_NO_LF, header_count, line_count,
-                                   normalize_newlines, preview, word_count)
+                                   normalize_newlines, preview, template, word_count)
 
 DTYPE = T.StructType([T.StructField("name", T.StringType()),
                       T.StructField("dtype", T.StringType())])
@@ -55,9 +56,7 @@ FILE_COLUMNS = ["path", "name", "file_type", "suffix", "size", "modified"]
 PYTHON_SIDE = ("python", "csv", "notebook")
 
 
-# Fixed values: (file type, suffix as written) -> dedicated profiler.
-PARSERS = {"code|.py": "python", "data|.csv": "csv", "notebook|.ipynb": "notebook",
-           "note|.md": "markdown"}
+PARSERS = X.PARSERS
 
 
 def parser_for(file_type: Column, suffix: Column) -> Column:
@@ -82,6 +81,23 @@ def route(files: DataFrame) -> DataFrame:
     return routed.withColumn("python_side", python_side)
 
 
+def _md_summary(words, lines, headers) -> Column:
+    return template(X.MD_SUMMARY, words=words, lines=lines, headers=headers)
+
+
+def _text_summary(lines) -> Column:
+    return template(X.TEXT_SUMMARY, kind=F.initcap("file_type"), lines=lines)
+
+
+def _binary_summary(size) -> Column:
+    return template(X.BINARY_SUMMARY, kind=F.col("file_type"), size=size)
+
+
+def _detail_lines(**values) -> Column:
+    """``key: value`` lines in the order given."""
+    return F.array(*[template(X.DETAIL_LINE, key=k, value=v) for k, v in values.items()])
+
+
 def _details(**fields) -> Column:
     cols = []
     for f in DETAILS.fields:
@@ -113,32 +129,27 @@ def _native(files: DataFrame) -> DataFrame:
     md = F.col("parser") == "markdown"
     size = F.col("size")
 
-    summary = (F.when(missing, F.lit("File not found"))
-               .when(md, F.format_string("Markdown file with %d words, %d lines, %d headers",
-                                         words, lines, headers))
-               .when(binary, F.format_string("Binary %s file (%d bytes)", F.col("file_type"), size))
-               .otherwise(F.format_string("%s file with %d lines", F.initcap("file_type"), lines)))
+    summary = (F.when(missing, F.lit(X.FILE_NOT_FOUND))
+               .when(md, _md_summary(words, lines, headers))
+               .when(binary, _binary_summary(size))
+               .otherwise(_text_summary(lines)))
     content_preview = (F.when(missing, F.lit(""))
-                       .when(~md & binary, F.lit("[Binary content]"))
+                       .when(~md & binary, F.lit(X.BINARY_PREVIEW))
                        .otherwise(F.col("_preview")))
     details = (F.when(missing, _details())
                .when(md, _details(words=words, lines=lines, headers=headers))
                .when(binary, _details(size_bytes=size))
                .otherwise(_details(lines=lines, words=words, size_bytes=size)))
     detail_lines = (F.when(missing, F.array().cast("array<string>"))
-                    .when(md, F.array(F.format_string("words: %d", words),
-                                      F.format_string("lines: %d", lines),
-                                      F.format_string("headers: %d", headers)))
-                    .when(binary, F.array(F.format_string("size_bytes: %d", size)))
-                    .otherwise(F.array(F.format_string("lines: %d", lines),
-                                       F.format_string("words: %d", words),
-                                       F.format_string("size_bytes: %d", size))))
+                    .when(md, _detail_lines(words=words, lines=lines, headers=headers))
+                    .when(binary, _detail_lines(size_bytes=size))
+                    .otherwise(_detail_lines(lines=lines, words=words, size_bytes=size)))
     return measured.select(
         *FILE_COLUMNS, "parser",
         summary.alias("summary"),
         content_preview.alias("content_preview"),
         (~missing).alias("success"),
-        F.when(missing, F.lit("File does not exist")).cast("string").alias("error"),
+        F.when(missing, F.lit(X.FILE_DOES_NOT_EXIST)).cast("string").alias("error"),
         details.alias("details"),
         detail_lines.alias("detail_lines"),
     )
@@ -374,27 +385,22 @@ def parse_large_text_files(big: DataFrame, preview_chars: int = 500) -> DataFram
     size = F.col("size")
     head = F.col("_head")
     pv = F.when(F.length(head) > preview_chars,
-                F.concat(F.substring(head, 1, preview_chars), F.lit("..."))).otherwise(head)
-    summary = (F.when(md & ~valid, F.lit("Markdown file (parse error)"))
-               .when(md, F.format_string("Markdown file with %d words, %d lines, %d headers",
-                                         words, lines_n, headers))
-               .when(~valid, F.format_string("Binary %s file (%d bytes)", F.col("file_type"), size))
-               .otherwise(F.format_string("%s file with %d lines", F.initcap("file_type"), lines_n)))
+                F.concat(F.substring(head, 1, preview_chars), F.lit(X.ELLIPSIS))).otherwise(head)
+    summary = (F.when(md & ~valid, F.lit(X.MD_PARSE_ERROR))
+               .when(md, _md_summary(words, lines_n, headers))
+               .when(~valid, _binary_summary(size))
+               .otherwise(_text_summary(lines_n)))
     details = (F.when(md & ~valid, _details())
                .when(md, _details(words=words, lines=lines_n, headers=headers))
                .when(~valid, _details(size_bytes=size))
                .otherwise(_details(lines=lines_n, words=words, size_bytes=size)))
     detail_lines = (F.when(md & ~valid, F.array().cast("array<string>"))
-                    .when(md, F.array(F.format_string("words: %d", words),
-                                      F.format_string("lines: %d", lines_n),
-                                      F.format_string("headers: %d", headers)))
-                    .when(~valid, F.array(F.format_string("size_bytes: %d", size)))
-                    .otherwise(F.array(F.format_string("lines: %d", lines_n),
-                                       F.format_string("words: %d", words),
-                                       F.format_string("size_bytes: %d", size))))
+                    .when(md, _detail_lines(words=words, lines=lines_n, headers=headers))
+                    .when(~valid, _detail_lines(size_bytes=size))
+                    .otherwise(_detail_lines(lines=lines_n, words=words, size_bytes=size)))
     return joined.select(
         *FILE_COLUMNS, "parser", summary.alias("summary"),
-        F.when(md & ~valid, F.lit("")).when(~valid, F.lit("[Binary content]"))
+        F.when(md & ~valid, F.lit("")).when(~valid, F.lit(X.BINARY_PREVIEW))
          .otherwise(pv).alias("content_preview"),
         (~(md & ~valid)).alias("success"),
         F.when(md & ~valid, F.lit("'utf-8' codec can't decode the file content"))

@@ -9,21 +9,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry import fixed as X
 from quarry.functions.text import file_name, file_suffix
 
-# Directory and file patterns that are never inventoried.
-# A pattern matches when it occurs anywhere in the absolute path; the one
-# glob, "*.pyc", also matches any file or directory name ending in ".pyc".
-IGNORE_PATTERNS = [
-    ".git", "__pycache__", ".ipynb_checkpoints", "venv", ".venv",
-    "node_modules", ".pytest_cache", ".mypy_cache", "*.pyc", ".DS_Store",
-]
-
-# Lower-cased suffix -> file type; anything else is "other".
-FILE_TYPES = {
-    ".py": "code", ".csv": "data", ".ipynb": "notebook", ".md": "note",
-    ".txt": "note", ".json": "data", ".yaml": "data", ".yml": "data",
-}
+IGNORE_PATTERNS = X.IGNORE_PATTERNS
+FILE_TYPES = X.FILE_TYPES
 
 _GLOB_SUFFIXES = [p[1:] for p in IGNORE_PATTERNS if p.startswith("*")]
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry import fixed as X
 from quarry.functions.text import iso_timestamp
 
 CONTEXT = T.StructType([T.StructField(n, T.StringType()) for n in (
@@ -30,14 +31,8 @@ TICKET_SCHEMA = T.StructType([
     T.StructField("context", CONTEXT),
 ])
 
-# Defaults of the request context.
-CONTEXT_DEFAULTS = {
-    "requester": "Unknown", "requester_email": "unknown@example.com",
-    "requester_role": "User", "timezone": "UTC", "original_question": "",
-    "channel": "API", "thread_id": "", "urgency": "Normal",
-    "requested_format": "summary",
-}
-DATES_REQUIRED = "start_date and end_date required when scan_all=False"
+CONTEXT_DEFAULTS = X.CONTEXT_DEFAULTS
+DATES_REQUIRED = X.DATES_REQUIRED
 
 # Scope sets up to this size are collected (bounded) and broadcast.
 BROADCAST_TICKETS = 10_000

@@ -383,13 +383,7 @@ def run_totals(spark, sf_dir):
     return totals.select("tasks", "successful", "total_files")
 
 
-# Allowed values of the report's enumerated fields.
-ENUMS = {
-    "status": ("success", "error"),
-    "channel": ("Email", "Slack", "Teams", "API"),
-    "urgency": ("Low", "Normal", "High", "Critical"),
-    "requested_format": ("summary", "detailed", "list"),
-}
+from quarry.fixed import ENUMS  # noqa: E402
 
 
 @register("report_violations", _with() + """

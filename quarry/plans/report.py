@@ -20,16 +20,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry import fixed as X
+from quarry.functions.text import template
 from quarry.operators import aggregate as A
 from quarry.operators import enrich, parse, tickets as TK
 from quarry.session import materialize
 
-AGENT_ID = "local-agent-001"
-AGENT_VERSION = "0.1.0"
-SCHEMA_VERSION = "1.0"
-COLLECTION = "local_rag"
-EMBEDDING_MODEL = "all-MiniLM-L6-v2"
-EMBEDDING_DIM = 384
+AGENT_ID = X.AGENT_ID
+AGENT_VERSION = X.AGENT_VERSION
+SCHEMA_VERSION = X.SCHEMA_VERSION
+COLLECTION = X.COLLECTION
+EMBEDDING_MODEL = X.EMBEDDING_MODEL
+EMBEDDING_DIM = X.EMBEDDING_DIM
 
 
 @dataclass
@@ -100,9 +102,9 @@ def report_columns(now_iso: str, collection: DataFrame | None = None) -> dict[st
     valid = F.col("valid")
     return {
         "status": F.when(valid, "success").otherwise("error"),
-        "message": (F.when(~valid, F.concat(F.lit("Task failed: "), F.col("error")))
-                    .when(total == 0, F.lit("No files found matching criteria"))
-                    .otherwise(F.format_string("Successfully processed %d files", total))),
+        "message": (F.when(~valid, template(X.MSG_FAILED, error=F.col("error")))
+                    .when(total == 0, F.lit(X.MSG_NO_FILES))
+                    .otherwise(template(X.MSG_SUCCESS, n=total))),
         "files_processed": total,
         "files_indexed": _files_indexed(),
         "total_size_bytes": F.coalesce(F.col("total_size_bytes"), F.lit(0)).cast("bigint"),
@@ -153,8 +155,8 @@ def build_reports(run: TicketRun, now_iso: str, collection: DataFrame | None = N
                                   "impact:string>>")).alias("notable_changes"),
         c["recommendations"].alias("recommendations"))
     warnings = F.when(c["large_files"] > 0, F.array(F.struct(
-        F.lit("info").alias("level"),
-        F.format_string("Found %d large files (>10MB)", c["large_files"]).alias("message"),
+        F.lit(X.WARNING_LEVEL).alias("level"),
+        template(X.WARNING_LARGE, n=c["large_files"]).alias("message"),
     ))).otherwise(F.array().cast("array<struct<level:string,message:string>>"))
     performance = F.struct(*[F.lit(None).cast("double").alias(n) for n in (
         "processing_time_seconds", "scan_time_seconds", "parse_time_seconds",
@@ -230,7 +232,7 @@ def violations(reports: DataFrame, enums: dict) -> DataFrame:
                      F.struct(F.lit(name).alias("field"), col.alias("value")))
               for name, col in fields.items()]
     impact_ok = F.forall(F.coalesce(F.col("insights.notable_changes"), F.array()),
-                         lambda c: c["impact"].isin("low", "medium", "high"))
+                         lambda c: c["impact"].isin(*enums["impact"]))
     checks.append(F.when(~impact_ok, F.struct(F.lit("impact").alias("field"),
                                               F.lit(None).cast("string").alias("value"))))
     required = ["task_id", "agent_id", "timestamp", "status", "context", "metadata"]
