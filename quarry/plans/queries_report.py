@@ -541,3 +541,26 @@ def summary_text_generated(spark, sf_dir):
     """A8 checked exactly, notable code lines included (generated modules)."""
     return _per_task(_generated_run(spark, sf_dir)).select(
         "task_id", A.summary_text().alias("summary"))
+
+
+@register("notable_changes_generated", _with(_GEN, """
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY path) AS rank
+  FROM gf WHERE file_type IN ('code', 'data')),
+top AS (SELECT * FROM ranked WHERE rank <= 5)""") + """
+SELECT task_id, rank, file_type AS type, name AS file,
+  CASE WHEN is_py THEN 'Python file with 1 class(es), ' || (n_lines + 1) || ' function(s)'
+       WHEN is_csv THEN 'CSV file with ' || n_words || ' rows and 3 columns'
+       ELSE upper(file_type[1]) || file_type[2:] || ' file with '
+         || """ + O.lines("regexp_replace(content, '\\r\\n?', chr(10), 'g')") + """ || ' lines' END
+    AS description,
+  CASE file_type WHEN 'code' THEN 'high' ELSE 'medium' END AS impact
+FROM top""")
+def notable_changes_generated(spark, sf_dir):
+    """A10 with descriptions (the parse summaries), checked exactly over the
+    generated sources."""
+    run = _generated_run(spark, sf_dir)
+    t = _per_task(run).select("task_id", F.posexplode("notable_changes").alias("pos", "c"))
+    return t.select("task_id", (F.col("pos") + 1).cast("bigint").alias("rank"),
+                    F.col("c.type").alias("type"), F.col("c.file").alias("file"),
+                    F.col("c.description").alias("description"), F.col("c.impact").alias("impact"))

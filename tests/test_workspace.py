@@ -309,3 +309,18 @@ def test_oversize_text_files_profiled_by_split_reads(spark, workspace, tmp_path)
                 assert [b[path][k] for k in keys] == [r[k] for k in keys], path
             elif r.size > 3:
                 assert not b[path].success
+
+
+def test_balanced_listing_splits_a_flat_directory(spark, tmp_path):
+    """A directory holding most of the files is read by several tasks."""
+    from pyspark.sql import functions as F
+    flat = tmp_path / "flat"
+    (flat / "big").mkdir(parents=True)
+    for i in range(60):
+        (flat / "big" / f"f{i:03d}.txt").write_text(f"file {i}\n")
+    (flat / "small.md").write_text("# x\n")
+    rows = read_workspace(spark, str(flat), balanced=True, listingDepth=0,
+                          filesPerPartition=10).withColumn("task", F.spark_partition_id())
+    assert rows.count() == 61
+    tasks = rows.filter(F.col("path").contains("/big/")).select("task").distinct().count()
+    assert tasks >= 4
