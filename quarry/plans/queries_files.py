@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import scan
+from quarry.functions.text import iso_timestamp
+from quarry.operators import enrich, scan
 from quarry.plans import oracle_sql as O
 from quarry.plans.registry import register
 from quarry.sources.tables import FIXTURE_ROOT, fixture_files
@@ -34,9 +35,6 @@ def breakdown_by_type(spark, sf_dir):
                  F.bround(F.sum("size") / F.lit(1048576.0), 3).alias("total_size_mb")))
 
 
-from quarry.functions.text import iso_timestamp  # noqa: E402
-from quarry.operators import enrich  # noqa: E402
-
 @register("workspace_files", O.with_inventory() + f"""
 SELECT path, name, file_type, size, {O.iso('modified')} AS modified FROM inventory""")
 def workspace_files(spark, sf_dir):

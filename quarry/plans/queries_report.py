@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.fixed import ENUMS
+from quarry.functions.text import day_span, iso_timestamp
 from quarry.operators import aggregate as A
+from quarry.operators import scan
 from quarry.operators import tickets as TK
 from quarry.plans import oracle_sql as O
 from quarry.plans import report as R
 from quarry.plans.fixture_tickets import NOW, tickets_df, tickets_sql
+from quarry.plans.queries_profile import _as_csv, _as_notebook, _as_python
 from quarry.plans.registry import register
 from quarry.sources.tables import FIXTURE_ROOT, fixture_files
-from quarry.operators import scan
 
 
 def _run(spark, sf_dir, persist=False, profile=True):
@@ -56,7 +59,6 @@ FROM tickets""")
 def context_defaults(spark, sf_dir):
     """Request context with defaults, flattened."""
     requester, request, scope = TK.context_struct(NOW)
-    from quarry.functions.text import day_span
     t = tickets_df(spark).select("task_id", requester.alias("rq"), request.alias("r"),
                                  scope.alias("s"),
                                  day_span("start_date", "end_date").alias("span_days"))
@@ -75,7 +77,6 @@ def ticket_files(spark, sf_dir):
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
     validated = TK.with_scope(TK.validate(tickets_df(spark)))
     pairs = TK.files_in_scopes(inventory, TK.scopes(validated))
-    from quarry.functions.text import iso_timestamp
     return (validated.filter("valid").select("task_id", "scope_id")
             .join(pairs, "scope_id")
             .select("task_id", "path", "file_type", "size",
@@ -383,7 +384,6 @@ def run_totals(spark, sf_dir):
     return totals.select("tasks", "successful", "total_files")
 
 
-from quarry.fixed import ENUMS  # noqa: E402
 
 
 @register("report_violations", _with() + """
@@ -444,7 +444,6 @@ def ticket_window_counts(spark, sf_dir):
 # comes from a parser is then known to SQL, so these are checked exactly.
 
 def _generated_run(spark, sf_dir):
-    from quarry.plans.queries_profile import _as_csv, _as_notebook, _as_python
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
     generated = _as_notebook(_as_csv(_as_python(inventory)))
     return R.prepare(generated, tickets_df(spark), persist=False)
