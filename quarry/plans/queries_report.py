@@ -563,3 +563,36 @@ def notable_changes_generated(spark, sf_dir):
     return t.select("task_id", (F.col("pos") + 1).cast("bigint").alias("rank"),
                     F.col("c.type").alias("type"), F.col("c.file").alias("file"),
                     F.col("c.description").alias("description"), F.col("c.impact").alias("impact"))
+
+
+@register("report_files", _with() + f"""
+SELECT task_id, path, name, file_type AS type, size AS size_bytes, {O.iso('modified')} AS modified,
+  'unknown' AS author, CASE WHEN file_type = 'code' THEN 'python' END AS language,
+  CASE WHEN file_type IN ('data', 'note') THEN ltrim(suffix, '.')
+       WHEN file_type = 'notebook' THEN 'jupyter' END AS format
+FROM tf""")
+def report_files(spark, sf_dir):
+    """P6 per ticket: the ``results.files`` records (scope table joined to tickets)."""
+    run = _run(spark, sf_dir)
+    files = R.report_files(run)
+    return (run.tickets.filter("valid").select("task_id", "scope_id").join(files, "scope_id")
+            .select("task_id", "path", "name", "type", "size_bytes", "modified", "author",
+                    "analysis.language", "analysis.format"))
+
+
+@register("task_result_flat_generated", _with(_GEN) + """
+, agg AS (
+  SELECT t.task_id, t.valid, t.reindex, t.error, count(gf.path) AS n
+  FROM vtk t LEFT JOIN gf ON t.task_id = gf.task_id GROUP BY ALL)
+SELECT task_id, CASE WHEN valid THEN 'success' ELSE 'error' END AS status,
+  CASE WHEN NOT valid THEN 'Task failed: ' || error WHEN n = 0 THEN 'No files found matching criteria'
+       ELSE 'Successfully processed ' || n || ' files' END AS message,
+  CASE WHEN valid THEN n ELSE 0 END AS files_processed,
+  CASE WHEN valid AND reindex THEN n ELSE 0 END AS files_indexed,
+  CASE WHEN valid THEN '' ELSE error END AS errors
+FROM agg""".replace("\n, agg AS", ",\nagg AS"))
+def task_result_flat_generated(spark, sf_dir):
+    """T7 checked exactly over the generated sources (every file parses)."""
+    flat = R.flat_view(R.build_reports(_generated_run(spark, sf_dir), NOW))
+    return flat.select("task_id", "status", "message", "files_processed", "files_indexed",
+                       F.array_join("errors", "|").alias("errors"))
