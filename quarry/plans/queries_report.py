@@ -596,3 +596,18 @@ def task_result_flat_generated(spark, sf_dir):
     flat = R.flat_view(R.build_reports(_generated_run(spark, sf_dir), NOW))
     return flat.select("task_id", "status", "message", "files_processed", "files_indexed",
                        F.array_join("errors", "|").alias("errors"))
+
+
+@register("run_totals_generated", _with(_GEN) + """
+, per AS (
+  SELECT t.task_id, t.valid, t.reindex, count(gf.path) AS n
+  FROM vtk t LEFT JOIN gf ON t.task_id = gf.task_id GROUP BY ALL)
+SELECT count(*) AS tasks, count(*) FILTER (WHERE valid) AS successful,
+  CAST(sum(CASE WHEN valid THEN n ELSE 0 END) AS BIGINT) AS total_files,
+  CAST(sum(CASE WHEN valid AND reindex THEN n ELSE 0 END) AS BIGINT) AS total_indexed,
+  CAST(count(*) FILTER (WHERE NOT valid) AS BIGINT) AS total_errors
+FROM per""".replace("\n, per AS", ",\nper AS"))
+def run_totals_generated(spark, sf_dir):
+    """A14 with indexed and error totals, checked exactly over the generated sources."""
+    totals = R.run_totals(R.build_reports(_generated_run(spark, sf_dir), NOW))
+    return totals.select("tasks", "successful", "total_files", "total_indexed", "total_errors")
