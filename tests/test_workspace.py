@@ -322,5 +322,7 @@ def test_balanced_listing_splits_a_flat_directory(spark, tmp_path):
     rows = read_workspace(spark, str(flat), balanced=True, listingDepth=0,
                           filesPerPartition=10).withColumn("task", F.spark_partition_id())
     assert rows.count() == 61
+    # 6 shards are hash-partitioned over the default parallelism: several
+    # tasks read the directory (the exact count depends on the path hash)
     tasks = rows.filter(F.col("path").contains("/big/")).select("task").distinct().count()
-    assert tasks >= 4
+    assert tasks >= 2
