@@ -38,7 +38,7 @@ from quarry.llm.common import python_ready, text_or_empty
 SAMPLE = 2_000
 KEYS = 5_000
 MOST = 3.0            # bound of a learnt word weight
-TAG_LEAST, TAG_MOST = 0.02, 0.25
+TAG_LEAST, TAG_MOST = 0.02, 0.1
 EXCLUDED_WORD = 0.02  # cost of a word that is left out anyway
 DROP = -2.0           # containers below this weight are left out inside a region
 
@@ -125,10 +125,10 @@ def runs(page: str) -> list[Run]:
         attrs, closing = m["attrs"] or m["attrs2"] or "", bool(m["end"] or m["end2"])
         if tag == "a":
             links = 0 if closing else 1
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             block += 1
             links = 0
-        out.append(Run(tag, block=block))
+        out.append(Run(tag, excluded=bool(stack) and stack[-1][2], block=block))
         if closing:
             if any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
@@ -183,7 +183,7 @@ def main_text(page: str, weights: Weights) -> str:
     for i, run in enumerate(tokens):
         keep = False
         if run.tag:
-            value = -weights.tags.get(run.tag, TAG_MOST)
+            value = 0.0 if run.excluded else -weights.tags.get(run.tag, TAG_MOST)
         else:
             n = len(run.text.split())
             weight = weights.word(run)
