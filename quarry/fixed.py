@@ -121,8 +121,6 @@ AGENT_ID = "local-agent-001"
 AGENT_VERSION = "0.1.0"
 SCHEMA_VERSION = "1.0"
 COLLECTION = "local_rag"
-EMBEDDING_MODEL = "all-MiniLM-L6-v2"
-EMBEDDING_DIM = 384
 
 # Tags per file type, in order. A rule is None (always),
 # ("name", words...) for a substring of the lower-cased file name,
@@ -147,7 +145,6 @@ COMPLEXITY_MEDIUM_ITEMS = 5             # fewer definitions ...
 COMPLEXITY_MEDIUM_LINES = 200           # ... and fewer lines: medium
 PREVIEW_CHARS = 500
 RECORD_PREVIEW_CHARS = 200
-INDEX_PREVIEW_CHARS = 500
 PY_PREVIEW_LINES = 20
 PY_MAX_IMPORTS = 10
 NB_PREVIEW_CELLS = 3

@@ -73,11 +73,6 @@ def preview(col, n: int = 500, ellipsis: bool = True) -> Column:
     return F.when(F.length(c) > n, F.concat(head, F.lit(ELLIPSIS))).otherwise(head)
 
 
-def first_lines(col, n: int) -> Column:
-    """``'\\n'.join(s.split('\\n')[:n])``."""
-    return F.substring_index(_c(col), "\n", n)
-
-
 def file_name(path) -> Column:
     """Last path component."""
     return F.substring_index(_c(path), "/", -1)
@@ -93,13 +88,6 @@ def round_half_even(col, digits: int) -> Column:
     return F.bround(_c(col), digits)
 
 
-def py_list_repr(col) -> Column:
-    """``str(list_of_str)`` for strings without quotes or backslashes."""
-    c = _c(col)
-    return (F.when(F.size(c) == 0, F.lit("[]"))
-            .otherwise(F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))))
-
-
 def iso_timestamp(col) -> Column:
     """``datetime.isoformat()``: microseconds only when non-zero."""
     c = _c(col)

@@ -7,6 +7,10 @@ Markdown that is not valid UTF-8, for the exact decoder message) go through
 one ``mapInArrow`` job that runs the per-file helpers of
 ``quarry.functions.profilers`` on Arrow batches. Both branches produce the same
 columns and are glued with ``unionByName``.
+
+Files of a real folder carry no ``content``: each is opened once, in the task
+of its branch, at any size. Text is measured in pieces of constant memory and
+goes through the same column expressions as table content.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import fixed as X
-from quarry.functions.text import (WS_NO_LF_CLASS as WS_NO_LF, header_count, line_count,
-                                   normalize_newlines, preview, template, word_count)
+from quarry.functions.text import (header_count, line_count, normalize_newlines, preview, template,
+                                   word_count)
 
 DTYPE = T.StructType([T.StructField("name", T.StringType()),
                       T.StructField("dtype", T.StringType())])
@@ -114,7 +118,7 @@ def _native(files: DataFrame) -> DataFrame:
     """
     raw = _text(F.col("content"))
     text = normalize_newlines(raw)
-    measured = files.select(
+    return _text_profile(files.select(
         *FILE_COLUMNS, "parser",
         F.col("content").isNull().alias("_missing"),
         (~F.is_valid_utf8(raw)).alias("_binary"),
@@ -122,25 +126,34 @@ def _native(files: DataFrame) -> DataFrame:
     ).select(
         *FILE_COLUMNS, "parser", "_missing", "_binary",
         word_count("_text").alias("_words"), line_count("_text").alias("_lines"),
-        header_count("_text").alias("_headers"), preview("_text", 500).alias("_preview"),
-    )
+        header_count("_text").alias("_headers"),
+        preview("_text", X.PREVIEW_CHARS).alias("_preview"),
+        F.lit(None).cast("string").alias("_undecodable"),
+    ))
+
+
+def _text_profile(measured: DataFrame) -> DataFrame:
+    """Profile columns from the measures of a text."""
     missing, binary = F.col("_missing"), F.col("_binary")
     words, lines, headers = F.col("_words"), F.col("_lines"), F.col("_headers")
     md = F.col("parser") == "markdown"
     size = F.col("size")
+    undecodable = F.col("_undecodable")
+    failed = md & undecodable.isNotNull()
 
     summary = (F.when(missing, F.lit(X.FILE_NOT_FOUND))
+               .when(failed, F.lit(X.MD_PARSE_ERROR))
                .when(md, _md_summary(words, lines, headers))
                .when(binary, _binary_summary(size))
                .otherwise(_text_summary(lines)))
-    content_preview = (F.when(missing, F.lit(""))
+    content_preview = (F.when(missing | failed, F.lit(""))
                        .when(~md & binary, F.lit(X.BINARY_PREVIEW))
                        .otherwise(F.col("_preview")))
-    details = (F.when(missing, _details())
+    details = (F.when(missing | failed, _details())
                .when(md, _details(words=words, lines=lines, headers=headers))
                .when(binary, _details(size_bytes=size))
                .otherwise(_details(lines=lines, words=words, size_bytes=size)))
-    detail_lines = (F.when(missing, F.array().cast("array<string>"))
+    detail_lines = (F.when(missing | failed, F.array().cast("array<string>"))
                     .when(md, _detail_lines(words=words, lines=lines, headers=headers))
                     .when(binary, _detail_lines(size_bytes=size))
                     .otherwise(_detail_lines(lines=lines, words=words, size_bytes=size)))
@@ -148,8 +161,8 @@ def _native(files: DataFrame) -> DataFrame:
         *FILE_COLUMNS, "parser",
         summary.alias("summary"),
         content_preview.alias("content_preview"),
-        (~missing).alias("success"),
-        F.when(missing, F.lit(X.FILE_DOES_NOT_EXIST)).cast("string").alias("error"),
+        (~(missing | failed)).alias("success"),
+        F.when(missing, F.lit(X.FILE_DOES_NOT_EXIST)).when(failed, undecodable).alias("error"),
         details.alias("details"),
         detail_lines.alias("detail_lines"),
     )
@@ -163,8 +176,17 @@ _ARROW_OUT = T.StructType(
     + PROFILE_FIELDS)
 
 
+def _read_file(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
 def _profile_batches(batches):
-    """mapInArrow body: one output batch per input batch, row order kept."""
+    """mapInArrow body: one output batch per input batch, row order kept. A
+    batch without ``content`` names files to open, one at a time."""
     import pyarrow as pa
 
     from quarry.functions.profilers import profile
@@ -172,10 +194,11 @@ def _profile_batches(batches):
     detail_names = [f.name for f in DETAILS.fields]
     for batch in batches:
         cols = batch.select(FILE_COLUMNS + ["parser"]).to_pydict()
-        contents = batch.column("content")
+        contents = batch.column("content") if "content" in batch.schema.names else None
         summaries, previews, oks, errors, details, lines = [], [], [], [], [], []
         for i, parser in enumerate(cols["parser"]):
-            raw = contents[i].as_py()  # one file's bytes at a time
+            # one file's bytes at a time
+            raw = contents[i].as_py() if contents is not None else _read_file(cols["path"][i])
             if isinstance(raw, str):
                 raw = raw.encode("utf-8")
             out = profile(parser, raw)
@@ -215,44 +238,75 @@ def _arrow_schema():
 
 
 def _python_side(files: DataFrame) -> DataFrame:
-    cols = FILE_COLUMNS + ["parser", F.col("content").cast("binary").alias("content")]
+    cols = FILE_COLUMNS + ["parser"]
+    if "content" in files.columns:
+        cols.append(F.col("content").cast("binary").alias("content"))
     return files.select(*cols).mapInArrow(_profile_batches, _ARROW_OUT)
 
 
 def parse_files(files: DataFrame, native_only: bool = False) -> DataFrame:
-    """One profile row per inventoried file (``content`` consumed).
+    """One profile row per inventoried file.
 
     Input columns: the inventory (path, name, file_type, suffix, size,
-    modified) plus ``content`` (STRING or BINARY, NULL for a vanished file).
+    modified) and, for files held in a table, ``content`` (STRING or BINARY,
+    NULL for a vanished file); without it the files are opened by path.
     ``native_only`` skips the Arrow job (callers that keep only files with
-    a native profile: Markdown, plain text, binary). Rows flagged
-    ``oversize`` by the workspace source (content not loaded) are profiled
-    by ``parse_large_text_files`` (one bounded collect of their paths).
+    a native profile: Markdown, plain text, binary).
     """
-    large = None
-    if "oversize" in files.columns:
-        big = files.filter(F.col("oversize"))
-        files = files.filter(~F.col("oversize"))
-        large = _large(route(big.withColumn("content", F.lit(None).cast("binary"))))
+    if "content" not in files.columns:
+        return _parse_by_path(files)
     routed = route(files)
     native = _native(routed.filter(~F.col("python_side")))
     if not native_only:
         native = native.unionByName(_python_side(routed.filter(F.col("python_side"))))
-    return native if large is None else native.unionByName(large)
+    return native
 
 
-def _large(big: DataFrame) -> DataFrame:
-    """Oversize files: text profiles through split reads; the dedicated
-    parsers (Python, CSV, notebook) need the whole file in one row and
-    report the limit instead."""
-    text = parse_large_text_files(big.filter(F.col("parser").isin("markdown", "generic")))
-    others = big.filter(~F.col("parser").isin("markdown", "generic")).select(
-        *FILE_COLUMNS, "parser",
-        F.format_string("File too large to parse in one piece (%d bytes)", "size").alias("summary"),
-        F.lit("").alias("content_preview"), F.lit(False).alias("success"),
-        F.format_string("File exceeds the in-row content limit (%d bytes)", "size").alias("error"),
-        _details().alias("details"), F.array().cast("array<string>").alias("detail_lines"))
-    return text.unionByName(others)
+_MEASURES = ("path string, _missing boolean, _binary boolean, _words bigint, _lines bigint, "
+             "_headers bigint, _preview string, _undecodable string")
+
+
+def _measure_paths(frames):
+    """mapInPandas body: measures of each text file, read once in pieces."""
+    import pandas as pd
+
+    from quarry.functions.streams import measure_text
+    for frame in frames:
+        rows = []
+        for row in frame.to_dict("records"):
+            m = measure_text(row["path"], X.PREVIEW_CHARS)
+            if m is None:
+                measures = (True, None, None, None, None, None, None)
+            elif m.error:
+                measures = (False, True, None, None, None, None, m.error)
+            else:
+                head = m.head[:X.PREVIEW_CHARS]
+                shown = head if head == m.head else head + X.ELLIPSIS
+                measures = (False, False, m.words, m.lines, m.headers, shown, None)
+            rows.append((*row.values(), *measures))
+        yield pd.DataFrame(rows, columns=[*frame.columns, "_missing", "_binary", "_words", "_lines",
+                                          "_headers", "_preview", "_undecodable"])
+
+
+FILES_PER_TASK_BYTES = 128 << 20
+
+
+def _parse_by_path(files: DataFrame) -> DataFrame:
+    """Profiles of files of a mounted tree. Each branch deals its files over
+    tasks by their number and bytes and opens each of them once."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    routed = files.select(*FILE_COLUMNS).withColumn(
+        "parser", parser_for(F.col("file_type"), F.col("suffix")))
+    size = routed.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, size["n"] // 2000,
+                (size["bytes"] or 0) // FILES_PER_TASK_BYTES)
+    dealt = F.col("parser").isin(*PYTHON_SIDE)
+    text = routed.filter(~dealt).repartition(tasks, "path")
+    schema = T.StructType([f for f in text.schema] + [
+        f for f in _parse_datatype_string(_MEASURES) if f.name != "path"])
+    return (_text_profile(text.mapInPandas(_measure_paths, schema))
+            .unionByName(_python_side(routed.filter(dealt).repartition(tasks, "path"))))
 
 
 def without_profile(files: DataFrame) -> DataFrame:
@@ -267,142 +321,3 @@ def parse_errors(parsed: DataFrame, keys=()) -> DataFrame:
     return parsed.filter(~F.col("success")).select(
         *keys, "path", F.concat_ws(": ", F.col("name"),
                             F.coalesce(F.col("error"), F.lit("Unknown error"))).alias("message"))
-
-
-# ------------------------------------------------------------ large files
-
-def _head_tail_fn(preview_chars: int):
-    """mapInPandas body: for each large file, the decoded head (enough for
-    the preview) and whether the last byte ends a line."""
-    import codecs
-
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            heads, ends = [], []
-            for path in frame["path"]:
-                try:
-                    with open(path, "rb") as f:
-                        raw = f.read(4 * (preview_chars + 1) + 2)
-                        f.seek(0, 2)
-                        if f.tell() > 0:
-                            f.seek(-1, 2)
-                            last = f.read(1)
-                        else:
-                            last = b""
-                    text = codecs.getincrementaldecoder("utf-8")(errors="replace").decode(raw)
-                    heads.append(text.replace("\r\n", "\n").replace("\r", "\n"))
-                    ends.append(last in (b"\n", b"\r") or last == b"")
-                except OSError:
-                    heads.append(None)
-                    ends.append(None)
-            yield pd.DataFrame({"path": frame["path"], "_head": heads, "_ends_nl": ends})
-    return run
-
-
-def _stream_counts_fn(preview_chars: int):
-    """mapInPandas body for names the file sources skip (leading '.' or
-    '_'): stream each file through Python's universal-newline reader."""
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            out = {"path": [], "_lines": [], "_words": [], "_headers": [], "_valid": [],
-                   "_head": []}
-            for path in frame["path"]:
-                lines = words = headers = 0
-                head, valid = "", True
-                try:
-                    with open(path, "r", encoding="utf-8", newline=None) as f:
-                        for line in f:
-                            lines += line.endswith("\n")
-                            words += len(line.split())
-                            headers += line.strip().startswith("#")
-                            if len(head) <= preview_chars:
-                                head += line[:preview_chars + 1]
-                    lines += 1
-                except UnicodeDecodeError:
-                    valid = False
-                except OSError:
-                    valid = None
-                for k, v in (("path", path), ("_lines", lines), ("_words", words),
-                             ("_headers", headers), ("_valid", valid), ("_head", head)):
-                    out[k].append(v)
-            yield pd.DataFrame(out)
-    return run
-
-
-def parse_large_text_files(big: DataFrame, preview_chars: int = 500) -> DataFrame:
-    """C4/C5/C6 for files too large to load into one row.
-
-    ``spark.read.text`` splits each file across tasks (it keeps the raw
-    bytes and cuts lines at \\n, \\r\\n and \\r, i.e. universal newlines);
-    lines, words and headers are summed per file and UTF-8 validity is
-    checked per line. Only the head (for the preview) and the last byte are
-    read directly. The file sources skip names starting with '.' or '_', so
-    those files are streamed line by line inside one task each instead. The
-    number of paths handed to the reader is bounded by the number of
-    oversize files.
-    """
-    spark = big.sparkSession
-    meta = big.select(*FILE_COLUMNS, "parser")
-    hidden = F.substring_index(F.col("path"), "/", -1).rlike("^[._]")
-    visible = meta.filter(~hidden)
-    paths = [r["path"] for r in visible.select("path").collect()]
-    schema = "path string, _lines bigint, _words bigint, _headers bigint, _valid boolean, _head string"
-    streamed = meta.filter(hidden).select("path").mapInPandas(_stream_counts_fn(preview_chars), schema)
-    if paths:
-        header_line = f"^[{WS_NO_LF}]*#"
-        per_file = (spark.read.text(paths)
-                    .select(F.col("_metadata.file_path").alias("_uri"), F.col("value"))
-                    .groupBy("_uri").agg(
-                        F.count(F.lit(1)).alias("_rows"),
-                        F.sum(word_count(F.col("value"))).alias("_words"),
-                        F.count_if(F.col("value").rlike(header_line)).alias("_headers"),
-                        F.bool_and(F.is_valid_utf8(F.col("value"))).alias("_valid")))
-        heads = visible.select("path").mapInPandas(
-            _head_tail_fn(preview_chars), "path string, _head string, _ends_nl boolean")
-        uri = F.regexp_replace(F.concat(F.lit("file://"), F.col("path")), "^file:///+", "file:/")
-        split = (heads.withColumn("_uri", F.when(F.col("path").rlike("^[a-z][a-z0-9+.-]*:"),
-                                                 F.col("path")).otherwise(uri))
-                 .join(per_file, "_uri", "left")
-                 .select("path", (F.coalesce(F.col("_rows"), F.lit(0))
-                                  + F.when(F.coalesce(F.col("_ends_nl"), F.lit(True)), 1)
-                                  .otherwise(0)).cast("bigint").alias("_lines"),
-                         F.coalesce(F.col("_words"), F.lit(0)).cast("bigint").alias("_words"),
-                         F.coalesce(F.col("_headers"), F.lit(0)).cast("bigint").alias("_headers"),
-                         F.coalesce(F.col("_valid"), F.lit(True)).alias("_valid"), "_head"))
-        counts = split.unionByName(streamed)
-    else:
-        counts = streamed
-    joined = meta.join(counts, "path", "left")
-    lines_n = F.col("_lines")
-    words = F.coalesce(F.col("_words"), F.lit(0))
-    headers = F.coalesce(F.col("_headers"), F.lit(0))
-    valid = F.coalesce(F.col("_valid"), F.lit(True))
-    md = F.col("parser") == "markdown"
-    size = F.col("size")
-    head = F.col("_head")
-    pv = F.when(F.length(head) > preview_chars,
-                F.concat(F.substring(head, 1, preview_chars), F.lit(X.ELLIPSIS))).otherwise(head)
-    summary = (F.when(md & ~valid, F.lit(X.MD_PARSE_ERROR))
-               .when(md, _md_summary(words, lines_n, headers))
-               .when(~valid, _binary_summary(size))
-               .otherwise(_text_summary(lines_n)))
-    details = (F.when(md & ~valid, _details())
-               .when(md, _details(words=words, lines=lines_n, headers=headers))
-               .when(~valid, _details(size_bytes=size))
-               .otherwise(_details(lines=lines_n, words=words, size_bytes=size)))
-    detail_lines = (F.when(md & ~valid, F.array().cast("array<string>"))
-                    .when(md, _detail_lines(words=words, lines=lines_n, headers=headers))
-                    .when(~valid, _detail_lines(size_bytes=size))
-                    .otherwise(_detail_lines(lines=lines_n, words=words, size_bytes=size)))
-    return joined.select(
-        *FILE_COLUMNS, "parser", summary.alias("summary"),
-        F.when(md & ~valid, F.lit("")).when(~valid, F.lit(X.BINARY_PREVIEW))
-         .otherwise(pv).alias("content_preview"),
-        (~(md & ~valid)).alias("success"),
-        F.when(md & ~valid, F.lit("'utf-8' codec can't decode the file content"))
-         .cast("string").alias("error"),
-        details.alias("details"), detail_lines.alias("detail_lines"))

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 
 DEFAULT_DIM = 384
+EMBEDDER = "hashed-words-md5"
 DEFAULT_K = 5
 # Query matrices up to this many floats are broadcast in one pass; larger
 # batches are split into several passes over the points (never truncated).
@@ -56,47 +57,57 @@ SPARSE = T.StructType([T.StructField("indices", T.ArrayType(T.IntegerType())),
                        T.StructField("weights", T.ArrayType(T.DoubleType()))])
 
 
-def _embed_fn(text: str, out: str, dim: int, dense: bool, arrow_schema):
-    """mapInArrow body: hashed, L2-normalised bag of words per row.
-
-    Words are ``text.lower().split()`` (Python whitespace, the same rule as
-    the word counts); each distinct word of a batch is hashed once.
-    """
+def bucket(word: str, dim: int) -> int:
+    """The dimension that a word counts in."""
     import hashlib
+    return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dim
+
+
+BUCKET_CACHE = 200_000  # words whose bucket a task remembers
+
+
+class _Buckets(dict):
+    """Buckets of the words a task has met, within a bound."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
 
+    def __missing__(self, word: str) -> int:
+        if len(self) >= BUCKET_CACHE:
+            self.clear()
+        found = self[word] = bucket(word, self.dim)
+        return found
+
+
+def hashed_vector(text: str, dim: int, buckets: "_Buckets | None" = None):
+    """L2-normalised bucket counts of ``text.lower().split()`` (Python white
+    space, the same rule as the word counts)."""
+    import numpy as np
+    buckets = _Buckets(dim) if buckets is None else buckets
+    counts = np.bincount(np.array([buckets[w] for w in text.lower().split()], dtype=np.int64),
+                         minlength=dim).astype(np.float64)
+    norm = float(np.sqrt((counts * counts).sum()))
+    return counts / norm if norm > 0 else counts
+
+
+def _embed_fn(text: str, dim: int, dense: bool, arrow_schema):
+    """mapInArrow body: the hashed vector of each row's text."""
     import numpy as np
     import pyarrow as pa
 
-    def bucket(word: str) -> int:
-        return int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % dim
+    def shaped(vector):
+        if dense:
+            return vector.tolist()
+        at = np.nonzero(vector)[0]
+        return {"indices": at.astype(np.int32).tolist(), "weights": vector[at].tolist()}
 
     def run(batches):
+        buckets = _Buckets(dim)
         for batch in batches:
-            cache: dict[str, int] = {}
-            texts = batch.column(text).to_pylist()
-            vectors = []
-            for t in texts:
-                if t is None:
-                    vectors.append(None)
-                    continue
-                words = t.lower().split()
-                if words:
-                    uniq, inv = np.unique(np.array(words, dtype=object), return_inverse=True)
-                    ub = np.fromiter((cache[w] if w in cache else cache.setdefault(w, bucket(w))
-                                      for w in uniq), dtype=np.int64, count=len(uniq))
-                    ids = ub[inv]
-                else:
-                    ids = np.zeros(0, dtype=np.int64)
-                counts = np.bincount(ids, minlength=dim).astype(np.float64)
-                norm = float(np.sqrt((counts * counts).sum()))
-                weights = counts / norm if norm > 0 else counts
-                if dense:
-                    vectors.append(weights.tolist())
-                else:
-                    nz = np.nonzero(counts)[0]
-                    vectors.append({"indices": nz.astype(np.int32).tolist(),
-                                    "weights": weights[nz].tolist()})
-            arr = pa.array(vectors, type=arrow_schema.field(out).type)
+            vectors = [None if t is None else shaped(hashed_vector(t, dim, buckets))
+                       for t in batch.column(text).to_pylist()]
+            arr = pa.array(vectors, type=arrow_schema.field(len(arrow_schema) - 1).type)
             yield pa.RecordBatch.from_arrays(list(batch.columns) + [arr], schema=arrow_schema)
     return run
 
@@ -105,7 +116,7 @@ def _with_vector(df: DataFrame, text: str, out: str, dim: int, dense: bool) -> D
     from pyspark.sql.pandas.types import to_arrow_schema
     out_type = T.ArrayType(T.DoubleType()) if dense else SPARSE
     schema = T.StructType(df.schema.fields + [T.StructField(out, out_type)])
-    return df.mapInArrow(_embed_fn(text, out, dim, dense, to_arrow_schema(schema)), schema)
+    return df.mapInArrow(_embed_fn(text, dim, dense, to_arrow_schema(schema)), schema)
 
 
 def with_sparse(df: DataFrame, text: str, out: str, dim: int = DEFAULT_DIM) -> DataFrame:
@@ -215,7 +226,7 @@ def search(points: DataFrame, query: list[float], k: int = DEFAULT_K,
     return scored.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-def _batch_topk_fn(qids, qmat, k, id_col, vector_col, threshold, arrow_schema):
+def _batch_topk_fn(qids, qmat, k, id_col, vector_col, threshold, positive, arrow_schema):
     import numpy as np
     import pyarrow as pa
 
@@ -240,14 +251,18 @@ def _batch_topk_fn(qids, qmat, k, id_col, vector_col, threshold, arrow_schema):
             out_q, out_id, out_s = [], [], []
             for j in range(q.shape[0]):
                 col = s[:, j]
-                keep = np.arange(len(ids)) if threshold is None else np.nonzero(col >= threshold)[0]
+                keep = np.nonzero(col > 0)[0] if positive else np.arange(len(ids))
+                if threshold is not None:
+                    keep = keep[col[keep] >= threshold]
                 if keep.size == 0:
                     continue
                 if keep.size > k:
-                    part = np.argpartition(-col[keep], k - 1)[:k]
-                    kth = col[keep][part].min()
-                    # keep every tie of the k-th score: the final ranking breaks ties by id
-                    keep = keep[col[keep] >= kth]
+                    # exactly k by (score, id), the order of the final ranking: what a
+                    # batch leaves out can not rank among the k of the whole table
+                    kth = np.partition(-col[keep], k - 1)[k - 1]
+                    over, tied = keep[-col[keep] < kth], keep[-col[keep] == kth]
+                    tied = sorted(tied.tolist(), key=lambda i: ids[i])[:k - len(over)]
+                    keep = np.concatenate([over, np.array(tied, dtype=keep.dtype)])
                 for i in keep:
                     out_q.append(qids[j])
                     out_id.append(ids[i])
@@ -263,9 +278,11 @@ SCORE_DIGITS = 9
 def search_batch(points: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                  threshold: float | None = None, id_col: str = "point_id",
                  vector_col: str = "embedding", query_id_col: str = "query_id",
-                 query_vector_col: str = "embedding") -> DataFrame:
+                 query_vector_col: str = "embedding", positive: bool = False) -> DataFrame:
     """V4 for many queries: (query_id, id, score, rank), rank <= k.
 
+    ``positive`` leaves out scores of zero and below before ranking.
+
     Vectors of equal dimension are required (checked per batch by reshape).
     ``queries`` is small by contract; its size is checked here and larger
     batches are processed in several broadcast passes.
@@ -291,7 +308,7 @@ def search_batch(points: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
         if not chunk:
             break
         fn = _batch_topk_fn([r["qid"] for r in chunk], [list(r["v"]) for r in chunk], k,
-                            id_col, vector_col, threshold, arrow_schema)
+                            id_col, vector_col, threshold, positive, arrow_schema)
         part = slim.mapInArrow(fn, out_schema)
         candidates = part if candidates is None else candidates.unionByName(part)
     if candidates is None:

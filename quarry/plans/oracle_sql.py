@@ -80,15 +80,18 @@ def iso(expr: str) -> str:
             f"ELSE strftime({expr}, '%Y-%m-%dT%H:%M:%S.%f') END)")
 
 
-# Validated tickets and (ticket, file) pairs; needs ``tickets`` and ``inventory``.
-TICKET_FILES_SQL = """
+# Validated tickets; needs ``tickets``.
+VALIDATED_SQL = """
 vt AS (
   SELECT *, CASE WHEN task_id IS NULL THEN 'task_id: Field required'
       WHEN workspace_path IS NULL THEN 'workspace_path: Field required'
       WHEN NOT coalesce(scan_all, FALSE) AND (start_date IS NULL OR end_date IS NULL)
         THEN 'start_date and end_date required when scan_all=False' END AS error
   FROM tickets),
-vtk AS (SELECT *, error IS NULL AS valid FROM vt),
+vtk AS (SELECT *, error IS NULL AS valid FROM vt)"""
+
+# Validated tickets and (ticket, file) pairs; needs ``tickets`` and ``inventory``.
+TICKET_FILES_SQL = VALIDATED_SQL + """,
 tf AS (
   SELECT t.task_id, t.reindex, i.*
   FROM vtk t JOIN inventory i

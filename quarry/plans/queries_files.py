@@ -24,11 +24,11 @@ def inventory(spark, sf_dir):
 @register("breakdown_by_type", O.with_inventory() + f"""
 SELECT file_type, count(*) AS files, CAST(sum(size) AS BIGINT) AS total_size_bytes,
        round_even(sum(size) / 1048576.0, 3) AS total_size_mb
-FROM inventory WHERE modified BETWEEN {O.ts(RANGE_START)} AND {O.ts(RANGE_END)}
-GROUP BY file_type""")
+FROM inventory WHERE modified >= {O.ts(RANGE_START)} GROUP BY file_type""")
 def breakdown_by_type(spark, sf_dir):
-    """Slice 1: files in a window, classified, counted and sized per type."""
-    files = scan.scan_changes(fixture_files(spark, sf_dir), RANGE_START, RANGE_END, FIXTURE_ROOT)
+    """Slice 1: files changed since a time, classified, counted and sized per type."""
+    files = scan.inventory(fixture_files(spark, sf_dir).filter(
+        F.col("modified") >= F.lit(RANGE_START).cast("timestamp_ntz")), FIXTURE_ROOT)
     return (files.groupBy("file_type")
             .agg(F.count(F.lit(1)).alias("files"),
                  F.sum("size").alias("total_size_bytes"),

@@ -185,23 +185,6 @@ def file_tags(spark, sf_dir):
                     F.when(F.col("file_type") == "code", enrich.complexity()).alias("complexity"))
 
 
-@register("index_text", O.with_inventory() + f"""
-, g AS (SELECT path, file_type, suffix, size, {_NORM} AS t FROM inventory
-        WHERE {GENERIC} OR (file_type = 'note' AND suffix = '.md'))
-SELECT path, CASE WHEN file_type = 'note' AND suffix = '.md' THEN
-    concat_ws(chr(10), 'Markdown file with ' || {O.words('t')} || ' words, ' || {O.lines('t')}
-      || ' lines, ' || {O.headers('t')} || ' headers', nullif({O.preview('t')}, ''),
-      'words: ' || {O.words('t')}, 'lines: ' || {O.lines('t')}, 'headers: ' || {O.headers('t')})
-  ELSE concat_ws(chr(10), upper(file_type[1]) || file_type[2:] || ' file with ' || {O.lines('t')}
-      || ' lines', nullif({O.preview('t')}, ''), 'lines: ' || {O.lines('t')},
-      'words: ' || {O.words('t')}, 'size_bytes: ' || size) END AS index_text
-FROM g""".replace("\n, g AS", ",\ng AS"))
-def index_text(spark, sf_dir):
-    """V1: the text that is embedded for each successfully parsed text file."""
-    p = parse.parse_files(_inventory(spark, sf_dir), native_only=True)
-    return p.filter("success").select("path", V.index_text().alias("index_text"))
-
-
 # ------------------------------------------------------- generated sources
 # Python and CSV files generated from each document, so that the Arrow-side
 # parsers (stdlib ast, pandas) are checked value by value: the structure of
@@ -336,3 +319,128 @@ def file_tags_generated(spark, sf_dir):
     p = parse.parse_files(inv)
     return p.select("path", F.array_join(enrich.tags(), ",").alias("tags"),
                     F.when(F.col("file_type") == "code", enrich.complexity()).alias("complexity"))
+
+
+def generated_files(spark, sf_dir):
+    """The inventory with generated code, CSV and notebook files."""
+    return _as_notebook(_as_csv(_as_python(_inventory(spark, sf_dir))))
+
+
+def _repr_sql(items: str) -> str:
+    """A list of plain strings as Python prints it, cut to 200 characters."""
+    sep = "chr(39) || ', ' || chr(39)"
+    return (f"substring('[' || chr(39) || array_to_string({items}, {sep}) || chr(39) || ']', 1, 200)")
+
+
+def _csv_index_sql() -> str:
+    """Index text of the generated CSV files. The preview is pandas' table of
+    the first five rows: an index column, then right-aligned columns two
+    spaces apart."""
+    words = f"regexp_extract_all(content, '{O.WORD_RE}')"
+    third = "CASE WHEN num % 2 = 0 THEN 'timestamp' ELSE 'even' END"
+    flag = "(CASE WHEN length(x) % 2 = 0 THEN 'True' ELSE 'False' END)"
+    widths = {
+        "w1": "greatest(4, list_max(list_transform(five, lambda x: length(x) + 2)))",
+        "w2": "greatest(5, list_max(list_transform(five, lambda x: length(length(x)::VARCHAR))))",
+        "w3": f"greatest(length({third}), list_max(list_transform(five, lambda x: length({flag}))))",
+    }
+    pad = lambda text, width: f"repeat(' ', ({width} - length({text}))::BIGINT) || {text}"
+    row = (f"(i - 1) || '  ' || {pad("('w:' || x)", 'w1')} || '  ' || "
+           f"{pad('length(x)::VARCHAR', 'w2')} || '  ' || {pad(flag, 'w3')}")
+    head = (f"'   ' || {pad("'word'", 'w1')} || '  ' || {pad("'chars'", 'w2')} || '  ' || "
+            f"{pad(f'({third})', 'w3')}")
+    quoted = lambda *names: " || ', ' || ".join(f"chr(39) || {n} || chr(39)" for n in names)
+    types = lambda *t: " || ', ' || ".join(
+        f"chr(39) || {n} || chr(39) || ': ' || chr(39) || '{x}' || chr(39)"
+        for n, x in zip(("'word'", "'chars'", f"({third})"), t))
+    return f"""SELECT path, file_type, concat_ws(chr(10),
+      'CSV file with ' || n_words || ' rows and 3 columns', {O.preview('pv')},
+      'rows: ' || n_words, 'columns: 3',
+      'column_names: [' || {quoted("'word'", "'chars'", f"({third})")} || ']',
+      'dtypes: {{' || CASE WHEN n_words > 0 THEN {types('object', 'int64', 'bool')}
+        ELSE {types('object', 'object', 'object')} END || '}}') AS index_text
+  FROM (SELECT *, CASE WHEN n_words = 0
+          THEN 'Empty DataFrame' || chr(10) || 'Columns: [word, chars, ' || ({third}) || ']' || chr(10)
+            || 'Index: []'
+          ELSE {head} || chr(10) || array_to_string(list_transform(five, lambda x, i: {row}), chr(10))
+          END AS pv
+        FROM (SELECT *, {", ".join(f"{w} AS {k}" for k, w in widths.items())}
+              FROM (SELECT *, list_slice({words}, 1, 5) AS five, len({words}) AS n_words
+                    FROM gi WHERE is_csv)))"""
+
+
+def index_text_sql() -> str:
+    """CTE ``indexed`` (path, file_type, index_text): every file of the
+    generated workspace."""
+    detail = lambda **kv: ", ".join(f"'{k}: ' || {v}" for k, v in kv.items())
+    return O.with_inventory() + f""",
+gi AS (
+  SELECT *, {_NORM} AS t, CAST(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) AS num,
+    string_split(content, chr(10)) AS ls, len(string_split(content, chr(10))) AS n,
+    {_PY_FILES} AS is_py, {_CSV_FILES} AS is_csv,
+    (file_type = 'notebook' AND suffix = '.ipynb') AS is_nb,
+    (file_type = 'note' AND suffix = '.md') AS is_md
+  FROM inventory),
+py AS (
+  SELECT path, file_type, n, num, {_py_code_sql()} AS code,
+    list_transform(range(n), lambda i: 'f_' || i) || ['method'] AS fns,
+    ['C' || num] AS cls, [CASE WHEN num % 2 = 0 THEN 'pandas' ELSE 'numpy' END, 'mod_' || num] AS imps
+  FROM gi WHERE is_py),
+py2 AS (
+  SELECT *, array_to_string(list_slice(string_split(code, chr(10)), 1, 20), chr(10)) AS head FROM py),
+nb AS (SELECT path, file_type, ls, n, {_nb_preview_sql()} AS pv FROM gi WHERE is_nb),
+indexed AS (
+  SELECT path, file_type, concat_ws(chr(10),
+      'Python file with 1 class(es), ' || (n + 1) || ' function(s)', nullif({O.preview('head')}, ''),
+      'classes: ' || {_repr_sql('cls')}, 'functions: ' || {_repr_sql('fns')},
+      'imports: ' || {_repr_sql('imps')}, 'lines_of_code: ' || (5 + 3 * n)) AS index_text
+  FROM py2
+  UNION ALL
+  SELECT path, file_type, concat_ws(chr(10),
+      'Jupyter notebook with ' || n || ' cells (' || (n + 1) // 2 || ' code, ' || n // 2 || ' markdown)',
+      nullif({O.preview('pv')}, ''),
+      {detail(total_cells='n', code_cells='((n + 1) // 2)', markdown_cells='(n // 2)')})
+  FROM nb
+  UNION ALL
+  SELECT path, file_type, concat_ws(chr(10), 'Markdown file with ' || {O.words('t')} || ' words, '
+      || {O.lines('t')} || ' lines, ' || {O.headers('t')} || ' headers', nullif({O.preview('t')}, ''),
+      {detail(words=O.words('t'), lines=O.lines('t'), headers=O.headers('t'))})
+  FROM gi WHERE is_md
+  UNION ALL
+  SELECT path, file_type, concat_ws(chr(10), upper(file_type[1]) || file_type[2:] || ' file with '
+      || {O.lines('t')} || ' lines', nullif({O.preview('t')}, ''),
+      {detail(lines=O.lines('t'), words=O.words('t'), size_bytes='size')})
+  FROM gi WHERE NOT (is_py OR is_csv OR is_nb OR is_md)
+  UNION ALL
+  {_csv_index_sql()})"""
+
+
+@register("index_text", index_text_sql() + """
+SELECT path, index_text FROM indexed""")
+def index_text(spark, sf_dir):
+    """V1: the text that is embedded for each successfully parsed file, the
+    generated code, CSV and notebook files included."""
+    p = parse.parse_files(generated_files(spark, sf_dir))
+    return p.filter("success").select("path", V.index_text().alias("index_text"))
+
+
+@register("parse_errors_generated", O.with_inventory() + f"""
+SELECT path, name || ': ' || CASE
+    WHEN {_PY_FILES} THEN 'Syntax error: expected ' || chr(39) || ':' || chr(39)
+      || ' (<unknown>, line ' || (len(string_split(content, chr(10))) + 1) || ')'
+    ELSE 'Notebook does not appear to be JSON: ' || chr(39) || 'doc '
+      || regexp_extract(name, '([0-9]+)', 1) || chr(39) END AS message
+FROM inventory WHERE {_PY_FILES} OR (file_type = 'notebook' AND suffix = '.ipynb')""")
+def parse_errors_generated(spark, sf_dir):
+    """C7 checked exactly: modules whose last line is a function without a
+    colon, and notebooks that are not JSON."""
+    inv = _inventory(spark, sf_dir)
+    is_py = (F.col("file_type") == "code") & (F.col("suffix") == ".py")
+    is_nb = (F.col("file_type") == "notebook") & (F.col("suffix") == ".ipynb")
+    comments = F.array_join(F.transform(F.split("content", "\n", -1), lambda l: F.concat(
+        F.lit("# "), F.regexp_replace(l, "[\\r\\x00\\x0c]", " "))), "\n")
+    broken = (F.when(is_py, F.concat(comments, F.lit("\ndef incomplete()\n")))
+              .when(is_nb, F.concat(F.lit("doc "), F.regexp_extract("name", "([0-9]+)", 1)))
+              .otherwise(F.col("content")))
+    parsed = parse.parse_files(inv.withColumn("content", broken))
+    return parse.parse_errors(parsed.filter(F.col("parser").isin("python", "notebook")))

@@ -11,15 +11,17 @@ from quarry.operators import scan
 from quarry.operators import tickets as TK
 from quarry.plans import oracle_sql as O
 from quarry.plans import report as R
-from quarry.plans.fixture_tickets import NOW, tickets_df, tickets_sql
-from quarry.plans.queries_profile import _as_csv, _as_notebook, _as_python
+from quarry.plans.fixture_tickets import (EPOCH, NOW, conversation_tickets, conversation_tickets_sql,
+                                          span_hours, tickets_df, tickets_sql)
+from quarry.plans.queries_profile import generated_files
 from quarry.plans.registry import register
 from quarry.sources.tables import FIXTURE_ROOT, fixture_files
 
 
-def _run(spark, sf_dir, persist=False, profile=True):
+def _run(spark, sf_dir, profile=True):
+    """Files are parsed once: the profiles are written and read by all branches."""
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    return R.prepare(inventory, tickets_df(spark), persist=persist, profile=profile)
+    return R.prepare(inventory, tickets_df(spark, sf_dir), profile=profile)
 
 
 def _with(*ctes: str) -> str:
@@ -32,15 +34,21 @@ def _per_task(run):
 
 
 # --------------------------------------------------------------------- T1-T3
+# Operators on tickets alone run over one ticket per conversation.
 
-@register("ticket_validation", _with() + """
-SELECT task_id, valid, error FROM vtk""")
+def _with_conversations(*ctes: str) -> str:
+    return "WITH " + ",\n".join([conversation_tickets_sql(), O.VALIDATED_SQL.strip(), *ctes]) + "\n"
+
+
+@register("ticket_validation", _with_conversations() + """
+SELECT task_id, workspace_path, valid, error FROM vtk""")
 def ticket_validation(spark, sf_dir):
     """Required fields and the date rule."""
-    return TK.validate(tickets_df(spark)).select("task_id", "valid", "error")
+    return TK.validate(conversation_tickets(spark, sf_dir)).select(
+        "task_id", "workspace_path", "valid", "error")
 
 
-@register("context_defaults", _with() + f"""
+@register("context_defaults", _with_conversations() + f"""
 SELECT task_id,
   coalesce(requester, 'Unknown') AS requester_name,
   coalesce(requester_email, 'unknown@example.com') AS requester_email,
@@ -59,7 +67,7 @@ FROM tickets""")
 def context_defaults(spark, sf_dir):
     """Request context with defaults, flattened."""
     requester, request, scope = TK.context_struct(NOW)
-    t = tickets_df(spark).select("task_id", requester.alias("rq"), request.alias("r"),
+    t = conversation_tickets(spark, sf_dir).select("task_id", requester.alias("rq"), request.alias("r"),
                                  scope.alias("s"),
                                  day_span("start_date", "end_date").alias("span_days"))
     return t.select(
@@ -75,7 +83,7 @@ SELECT task_id, path, file_type, size, {O.iso('modified')} AS modified FROM tf""
 def ticket_files(spark, sf_dir):
     """Every (ticket, file) pair, scopes broadcast after a size check."""
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    validated = TK.with_scope(TK.validate(tickets_df(spark)))
+    validated = TK.with_scope(TK.validate(tickets_df(spark, sf_dir)))
     pairs = TK.files_in_scopes(inventory, TK.scopes(validated))
     return (validated.filter("valid").select("task_id", "scope_id")
             .join(pairs, "scope_id")
@@ -319,14 +327,14 @@ FROM vtk t JOIN agg a ON t.task_id = a.task_id LEFT JOIN hl h ON t.task_id = h.t
     "\n, agg", ",\nagg")
 
 
-def _full_reports(spark, sf_dir, persist):
-    return R.build_reports(_run(spark, sf_dir, persist=persist), NOW)
+def _full_reports(spark, sf_dir):
+    return R.build_reports(_run(spark, sf_dir), NOW)
 
 
 @register("task_report", _REPORT_SQL)
 def task_report(spark, sf_dir):
     """The report of every ticket, its SQL-checkable scalar fields."""
-    rep = _full_reports(spark, sf_dir, persist=True)
+    rep = _full_reports(spark, sf_dir)
     return rep.select(
         "task_id", "status", "message",
         F.col("results.statistics.files_processed").alias("files_processed"),
@@ -349,24 +357,25 @@ def task_report(spark, sf_dir):
 @register("task_report_json", None)
 def task_report_json(spark, sf_dir):
     """The whole nested report of every ticket as one JSON document per row."""
-    rep = _full_reports(spark, sf_dir, persist=True)
+    rep = _full_reports(spark, sf_dir)
     return rep.select("task_id", F.to_json(F.struct(*[c for c in rep.columns
                                                        if c != "scope_id"])).alias("report"))
 
 
-@register("task_errors", _with() + """
-SELECT task_id, 'error' AS status, 'Task failed: ' || error AS message, error AS errors
+@register("task_errors", _with_conversations() + """
+SELECT coalesce(task_id, 'unknown') AS task_id, 'error' AS status, 'Task failed: ' || error AS message,
+  error AS errors
 FROM vtk WHERE NOT valid""")
 def task_errors(spark, sf_dir):
-    """Error reports of invalid tickets."""
-    rep = _full_reports(spark, sf_dir, persist=False).filter(F.col("status") == "error")
+    """Error reports of invalid tickets; no file is touched."""
+    rep = R.error_reports(TK.validate(conversation_tickets(spark, sf_dir)))
     return rep.select("task_id", "status", "message", F.array_join("errors", "|").alias("errors"))
 
 
 @register("task_result_flat", None)
 def task_result_flat(spark, sf_dir):
     """Legacy flat result (files_indexed and summary are parse-dependent)."""
-    flat = R.flat_view(_full_reports(spark, sf_dir, persist=False))
+    flat = R.flat_view(_full_reports(spark, sf_dir))
     return flat.select("task_id", "status", "message", "files_processed", "files_indexed",
                        "summary", F.array_join("errors", "|").alias("errors"))
 
@@ -380,22 +389,34 @@ SELECT count(*) AS tasks, count(*) FILTER (WHERE valid) AS successful,
     "\n, per", ",\nper"))
 def run_totals(spark, sf_dir):
     """Totals over the batch of reports."""
-    totals = R.run_totals(_full_reports(spark, sf_dir, persist=False))
+    totals = R.run_totals(_full_reports(spark, sf_dir))
     return totals.select("tasks", "successful", "total_files")
 
 
 
 
-@register("report_violations", _with() + """
+@register("report_violations", _with_conversations() + """
+SELECT coalesce(task_id, 'unknown') AS task_id, 'channel' AS field, coalesce(channel, 'API') AS value
+  FROM vtk WHERE coalesce(channel, 'API') NOT IN ('Email', 'Slack', 'Teams', 'API')
+UNION ALL SELECT coalesce(task_id, 'unknown'), 'urgency', coalesce(urgency, 'Normal') FROM vtk
+  WHERE coalesce(urgency, 'Normal') NOT IN ('Low', 'Normal', 'High', 'Critical')
+UNION ALL SELECT coalesce(task_id, 'unknown'), 'requested_format', coalesce(requested_format, 'summary')
+  FROM vtk WHERE coalesce(requested_format, 'summary') NOT IN ('summary', 'detailed', 'list')""")
+def report_violations(spark, sf_dir):
+    """T8 for the fields that tickets bring into their reports; no file is touched."""
+    return R.context_violations(TK.validate(conversation_tickets(spark, sf_dir)), ENUMS, NOW)
+
+
+@register("report_conformance", _with() + """
 SELECT task_id, 'channel' AS field, coalesce(channel, 'API') AS value FROM vtk
   WHERE coalesce(channel, 'API') NOT IN ('Email', 'Slack', 'Teams', 'API')
 UNION ALL SELECT task_id, 'urgency', coalesce(urgency, 'Normal') FROM vtk
   WHERE coalesce(urgency, 'Normal') NOT IN ('Low', 'Normal', 'High', 'Critical')
 UNION ALL SELECT task_id, 'requested_format', coalesce(requested_format, 'summary') FROM vtk
   WHERE coalesce(requested_format, 'summary') NOT IN ('summary', 'detailed', 'list')""")
-def report_violations(spark, sf_dir):
-    """Schema conformance of the reports (enum fields)."""
-    return R.violations(_full_reports(spark, sf_dir, persist=False), ENUMS)
+def report_conformance(spark, sf_dir):
+    """T8 over whole reports: enumerations and required fields, nested ones too."""
+    return R.violations(_full_reports(spark, sf_dir), ENUMS)
 
 
 # ------------------------------------------------------------ many tickets
@@ -403,21 +424,21 @@ def report_violations(spark, sf_dir):
 N_WINDOWS = 100
 
 
-def window_tickets(spark, n: int = N_WINDOWS):
-    """``n`` tickets with overlapping 7-day windows, one every 3 days."""
-    i = F.col("id")
-    start = (F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-             + F.make_dt_interval(hours=(i * 72).cast("int")))
-    return spark.range(n).select(
+def window_tickets(spark, sf_dir, n: int = N_WINDOWS):
+    """``n`` overlapping windows over the time that the files span."""
+    i, last = F.col("id"), F.col("last")
+    at = lambda h: F.timestamp_add("HOUR", h, F.lit(EPOCH).cast("timestamp_ntz"))
+    lo = F.expr(f"id * last div {n}")
+    return spark.range(n).join(F.broadcast(span_hours(spark, sf_dir))).select(
         F.format_string("W-%03d", i).alias("task_id"), F.lit(FIXTURE_ROOT).alias("workspace_path"),
-        start.alias("start_date"), (start + F.expr("INTERVAL 168 HOURS")).alias("end_date"),
+        at(lo).alias("start_date"), at(lo + F.expr("last div 40")).alias("end_date"),
         F.lit(False).alias("scan_all"), F.lit(True).alias("reindex"),
         F.lit(None).cast(TK.CONTEXT).alias("context"))
 
 
 def window_counts(spark, sf_dir, broadcast_limit=TK.BROADCAST_TICKETS):
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    validated = TK.with_scope(TK.validate(window_tickets(spark)))
+    validated = TK.with_scope(TK.validate(window_tickets(spark, sf_dir)))
     pairs = TK.files_in_scopes(inventory, TK.scopes(validated), broadcast_limit=broadcast_limit)
     per_scope = pairs.groupBy("scope_id").agg(
         F.count(F.lit(1)).alias("files"), F.sum("size").cast("bigint").alias("total_size_bytes"))
@@ -428,9 +449,9 @@ def window_counts(spark, sf_dir, broadcast_limit=TK.BROADCAST_TICKETS):
 
 @register("ticket_window_counts", O.with_inventory() + f"""
 , w AS (SELECT 'W-' || lpad(CAST(i AS VARCHAR), 3, '0') AS task_id,
-          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(i * 72 AS BIGINT)) AS s,
-          TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(i * 72 + 168 AS BIGINT)) AS e
-        FROM range({N_WINDOWS}) t(i))
+          TIMESTAMP '{EPOCH}' + to_hours(i * last // {N_WINDOWS}) AS s,
+          TIMESTAMP '{EPOCH}' + to_hours(i * last // {N_WINDOWS} + last // 40) AS e
+        FROM range({N_WINDOWS}) t(i), (SELECT max(doc_id) AS last FROM documents))
 SELECT task_id, count(path) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size_bytes
 FROM w LEFT JOIN inventory ON modified BETWEEN s AND e GROUP BY task_id""".replace("\n, w AS", ",\nw AS"))
 def ticket_window_counts(spark, sf_dir):
@@ -444,9 +465,7 @@ def ticket_window_counts(spark, sf_dir):
 # comes from a parser is then known to SQL, so these are checked exactly.
 
 def _generated_run(spark, sf_dir):
-    inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    generated = _as_notebook(_as_csv(_as_python(inventory)))
-    return R.prepare(generated, tickets_df(spark), persist=False)
+    return R.prepare(generated_files(spark, sf_dir), tickets_df(spark, sf_dir))
 
 
 _GEN = f"""
@@ -611,3 +630,33 @@ def run_totals_generated(spark, sf_dir):
     """A14 with indexed and error totals, checked exactly over the generated sources."""
     totals = R.run_totals(R.build_reports(_generated_run(spark, sf_dir), NOW))
     return totals.select("tasks", "successful", "total_files", "total_indexed", "total_errors")
+
+
+@register("task_report_fields", _with(_GEN) + """
+, agg AS (
+  SELECT t.task_id, count(gf.path) AS n, coalesce(sum(gf.size), 0) AS bytes,
+    count(gf.path) FILTER (WHERE gf.file_type = 'code') AS n_code,
+    coalesce(sum(gf.n_words) FILTER (WHERE gf.file_type = 'note'), 0) AS words
+  FROM vtk t LEFT JOIN gf ON t.task_id = gf.task_id GROUP BY t.task_id)
+SELECT t.task_id, CASE WHEN valid THEN 'success' ELSE 'error' END AS status,
+  CASE WHEN valid THEN n END AS files_scanned, CASE WHEN valid THEN bytes::BIGINT END AS total_size_bytes,
+  CASE WHEN valid AND n_code > 0 THEN n_code END AS code_files,
+  CASE WHEN valid THEN 'hashed-words-md5' END AS embedding_model,
+  CASE WHEN valid THEN 0 ELSE 1 END::BIGINT AS error_count, CASE WHEN valid THEN '' ELSE error END AS errors,
+  coalesce(requester, 'Unknown') AS requester, coalesce(timezone, 'UTC') AS timezone
+FROM vtk t JOIN agg USING (task_id)""".replace("\n, agg AS", ",\nagg AS"))
+def task_report_fields(spark, sf_dir):
+    """Fields read back from the JSON documents that the report sink writes."""
+    rep = R.build_reports(_generated_run(spark, sf_dir), NOW)
+    doc = F.to_json(F.struct(*[c for c in rep.columns if c != "scope_id"]))
+    at = lambda path: F.get_json_object("report", f"$.{path}")
+    return rep.select(doc.alias("report")).select(
+        at("task_id").alias("task_id"), at("status").alias("status"),
+        at("results.statistics.files_scanned").cast("bigint").alias("files_scanned"),
+        at("results.statistics.total_size_bytes").cast("bigint").alias("total_size_bytes"),
+        at("results.breakdown_by_type.code.count").cast("bigint").alias("code_files"),
+        at("rag_status.embedding_model").alias("embedding_model"),
+        at("error_count").cast("bigint").alias("error_count"),
+        F.array_join(F.from_json(at("errors"), "array<string>"), "|").alias("errors"),
+        at("context.requester.name").alias("requester"),
+        at("context.requester.timezone").alias("timezone"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WS_CLASS
-from quarry.operators import parse, scan
+from quarry.operators import parse
 from quarry.operators import vectors as V
-from quarry.plans import oracle_sql as O
+from quarry.plans.queries_profile import generated_files, index_text_sql
 from quarry.plans.registry import register
-from quarry.sources.tables import FIXTURE_ROOT, fixture_files, load_table
+from quarry.sources.tables import load_table
 
 K = 5
 BATCH_K = 20
@@ -146,37 +146,22 @@ def text_search(spark, sf_dir):
     points = V.with_embedding(d.select("doc_id", "text"), "text").select("doc_id", "embedding")
     queries = V.with_embedding(b.select(F.col("item_id").alias("query_id"), "text"),
                                "text").select("query_id", "embedding")
-    hits = V.search_batch(points, queries, k=K, id_col="doc_id").filter(F.col("score") > 0)
+    hits = V.search_batch(points, queries, k=K, id_col="doc_id", positive=True)
     return hits.select(F.col("query_id").alias("item_id"), "doc_id",
                        F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-_NORM = "regexp_replace(content, '\\r\\n?', chr(10), 'g')"
-_GENERIC = ("NOT ((file_type = 'code' AND suffix = '.py') OR (file_type = 'data' AND suffix = '.csv')"
-            " OR (file_type = 'notebook' AND suffix = '.ipynb'))")
-
-
-@register("index_points", O.with_inventory() + f"""
-, g AS (SELECT path, name, file_type, suffix, size, {_NORM} AS t FROM inventory WHERE {_GENERIC}),
-x AS (SELECT path, file_type, CASE WHEN file_type = 'note' AND suffix = '.md' THEN
-    concat_ws(chr(10), 'Markdown file with ' || {O.words('t')} || ' words, ' || {O.lines('t')}
-      || ' lines, ' || {O.headers('t')} || ' headers', nullif({O.preview('t')}, ''),
-      'words: ' || {O.words('t')}, 'lines: ' || {O.lines('t')}, 'headers: ' || {O.headers('t')})
-  ELSE concat_ws(chr(10), upper(file_type[1]) || file_type[2:] || ' file with ' || {O.lines('t')}
-      || ' lines', nullif({O.preview('t')}, ''), 'lines: ' || {O.lines('t')},
-      'words: ' || {O.words('t')}, 'size_bytes: ' || size) END AS content FROM g)
-SELECT path AS file_path, sha256(path || chr(0) || content) AS point_id,
-  substring(content, 1, 500) AS content_preview, file_type
-FROM x""".replace("\n, g AS", ",\ng AS"))
+@register("index_points", index_text_sql() + """
+SELECT path AS file_path, sha256(path || chr(0) || index_text) AS point_id,
+  substring(index_text, 1, 500) AS content_preview, file_type
+FROM indexed""")
 def index_points(spark, sf_dir):
-    """V3: points of every indexed text file (deterministic ids, 500-char preview)."""
-    inv = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    parsed = parse.parse_files(inv, native_only=True)
-    docs = parsed.filter("success").select(
+    """V3: points of every indexed file, the generated code, CSV and notebook
+    files included (deterministic ids, 500-character preview)."""
+    docs = parse.parse_files(generated_files(spark, sf_dir)).filter("success").select(
         F.col("path").alias("file_path"), V.index_text().alias("content"),
         F.create_map(F.lit("file_name"), F.col("name"), F.lit("file_type"), F.col("file_type"),
                      F.lit("size"), F.col("size").cast("string"),
                      F.lit("summary"), F.col("summary")).alias("metadata"))
-    pts = V.make_points(docs)
-    return pts.select("file_path", "point_id", "content_preview",
-                      F.col("metadata")["file_type"].alias("file_type"))
+    return V.make_points(docs).select("file_path", "point_id", "content_preview",
+                                      F.col("metadata")["file_type"].alias("file_type"))

@@ -8,9 +8,10 @@ Stages::
                                    --window first-N--> lists
     tickets ⟕ (stats ⟕ lists) on scope_id --> one report row per ticket
 
-Per-file lists that grow with the data (the enhanced file list, parse errors,
-large-file names) are separate tables keyed by scope, never arrays inside
-the report row.
+The enhanced file list grows with the data and is a table of its own, keyed
+by scope; a report names its place (``results.files_location``). Messages of
+failed parses and names of large files stand in the report, as its format
+asks, once per scope.
 """
 
 from __future__ import annotations
@@ -24,14 +25,13 @@ from quarry import fixed as X
 from quarry.functions.text import template
 from quarry.operators import aggregate as A
 from quarry.operators import enrich, parse, tickets as TK
+from quarry.operators import vectors as V
 from quarry.session import materialize
 
 AGENT_ID = X.AGENT_ID
 AGENT_VERSION = X.AGENT_VERSION
 SCHEMA_VERSION = X.SCHEMA_VERSION
 COLLECTION = X.COLLECTION
-EMBEDDING_MODEL = X.EMBEDDING_MODEL
-EMBEDDING_DIM = X.EMBEDDING_DIM
 
 
 @dataclass
@@ -64,8 +64,14 @@ def prepare(inventory: DataFrame, tickets: DataFrame, persist: bool = True,
 
 
 def per_scope(run: TicketRun) -> DataFrame:
-    """Stats and bounded lists, one row per scope (small: #scopes rows)."""
-    return A.scope_stats(run.pairs).join(A.scope_lists(run.pairs), "scope_id", "left")
+    """Stats, bounded lists, error messages and large files: one row per scope."""
+    listed = lambda rows, item, name: rows.groupBy("scope_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("path", F.col(item).alias("item")))),
+                    lambda x: x["item"]).alias(name))
+    return (A.scope_stats(run.pairs).join(A.scope_lists(run.pairs), "scope_id", "left")
+            .join(listed(report_errors(run), "message", "error_messages"), "scope_id", "left")
+            .join(listed(A.large_file_names(run.pairs), "name", "large_file_names"),
+                  "scope_id", "left"))
 
 
 def _files_indexed() -> Column:
@@ -119,8 +125,14 @@ def report_columns(now_iso: str, collection: DataFrame | None = None) -> dict[st
 
 
 def build_reports(run: TicketRun, now_iso: str, collection: DataFrame | None = None,
-                  agent_id: str = AGENT_ID, agent_version: str = AGENT_VERSION) -> DataFrame:
-    """One nested report row per ticket (valid or not)."""
+                  agent_id: str = AGENT_ID, agent_version: str = AGENT_VERSION,
+                  files_location: str | None = None, embedder: str = V.EMBEDDER,
+                  dim: int = V.DEFAULT_DIM) -> DataFrame:
+    """One nested report row per ticket (valid or not).
+
+    ``files_location`` is where the table of file records (``report_files``)
+    is written; ``embedder`` and ``dim`` describe the vectors really stored.
+    """
     t = run.tickets.join(per_scope(run), "scope_id", "left")
     points = vectors = None
     if collection is not None:  # one aggregate row (V8)
@@ -139,12 +151,13 @@ def build_reports(run: TicketRun, now_iso: str, collection: DataFrame | None = N
         F.coalesce(F.col("parse_failed"), F.lit(0)).alias("parse_failed"),
         c["total_size_bytes"].alias("total_size_bytes"), c["total_size_mb"].alias("total_size_mb"))
     results = F.struct(c["summary"].alias("summary"), statistics.alias("statistics"),
-                       _by_type().alias("breakdown_by_type"))
+                       _by_type().alias("breakdown_by_type"),
+                       F.lit(files_location).cast("string").alias("files_location"))
     rag_status = F.struct(
         F.lit(True).alias("enabled"), F.lit(COLLECTION).alias("collection_name"),
         F.coalesce(F.col("_points"), F.lit(0)).alias("total_documents"),
-        F.lit(EMBEDDING_MODEL).alias("embedding_model"),
-        F.lit(EMBEDDING_DIM).alias("embedding_dimension"),
+        F.lit(embedder).alias("embedding_model"),
+        F.lit(dim).alias("embedding_dimension"),
         F.coalesce(F.col("_vectors"), F.lit(0)).alias("vector_count"),
         F.lit(True).alias("index_updated"), F.lit(True).alias("searchable"),
         A.empty_list().alias("top_similar_queries"))
@@ -157,7 +170,8 @@ def build_reports(run: TicketRun, now_iso: str, collection: DataFrame | None = N
     warnings = F.when(c["large_files"] > 0, F.array(F.struct(
         F.lit(X.WARNING_LEVEL).alias("level"),
         template(X.WARNING_LARGE, n=c["large_files"]).alias("message"),
-    ))).otherwise(F.array().cast("array<struct<level:string,message:string>>"))
+        F.coalesce(F.col("large_file_names"), A.empty_list()).alias("affected_files"),
+    ))).otherwise(A.empty_list("array<struct<level:string,message:string,affected_files:array<string>>>"))
     performance = F.struct(*[F.lit(None).cast("double").alias(n) for n in (
         "processing_time_seconds", "scan_time_seconds", "parse_time_seconds",
         "index_time_seconds")], F.lit(None).cast("string").alias("started_at"),
@@ -176,7 +190,8 @@ def build_reports(run: TicketRun, now_iso: str, collection: DataFrame | None = N
         ok(insights).alias("insights"), performance.alias("performance"),
         F.when(valid, F.coalesce(F.col("parse_failed"), F.lit(0)))
          .otherwise(F.lit(1)).cast("bigint").alias("error_count"),
-        F.when(~valid, F.array(F.col("error"))).otherwise(A.empty_list()).alias("errors"),
+        F.when(~valid, F.array(F.col("error")))
+         .otherwise(F.coalesce(F.col("error_messages"), A.empty_list())).alias("errors"),
         ok(warnings).alias("warnings"), ok(A.suggested_actions()).alias("suggested_actions"),
         metadata.alias("metadata"),
         F.col("scope_id"),
@@ -220,24 +235,65 @@ def run_totals(reports: DataFrame) -> DataFrame:
     )
 
 
+def error_reports(tickets: DataFrame) -> DataFrame:
+    """task_id, status, message, errors of the tickets that are not valid.
+    Reads the tickets only."""
+    return tickets.filter(~F.col("valid")).select(
+        F.coalesce(F.col("task_id"), F.lit("unknown")).alias("task_id"),
+        F.lit("error").alias("status"), template(X.MSG_FAILED, error=F.col("error")).alias("message"),
+        F.array("error").alias("errors"))
+
+
+_VALUE = "struct<field:string,value:string>"
+
+
+def _outside(field: str, col: Column, allowed) -> Column:
+    return F.when(col.isNull() | ~col.isin(*allowed),
+                  F.struct(F.lit(field).alias("field"), col.alias("value")))
+
+
+def context_violations(tickets: DataFrame, enums: dict, now_iso: str) -> DataFrame:
+    """T8 for what a ticket alone decides: (task_id, field, value) of every
+    enumerated field of its request outside its enumeration."""
+    _, request, _ = TK.context_struct(now_iso)
+    checks = [_outside(name, F.col(f"r.{name}"), enums[name])
+              for name in ("channel", "urgency", "requested_format")]
+    return (tickets.select(F.coalesce(F.col("task_id"), F.lit("unknown")).alias("task_id"),
+                           request.alias("r"))
+            .select("task_id", F.explode(F.array_compact(F.array(*checks))).alias("v"))
+            .select("task_id", "v.field", "v.value"))
+
+
+# fixed values: fields that a report must have, by object; those of the inner
+# objects hold for reports whose object is there
+REQUIRED = {
+    "": ("task_id", "agent_id", "timestamp", "status", "context", "metadata"),
+    "context": ("requester", "request", "scope"),
+    "results": ("summary", "statistics"),
+    "results.statistics": ("files_scanned", "files_processed"),
+    "rag_status": ("enabled", "collection_name"),
+    "insights": ("highlights", "activity_summary"),
+    "metadata": ("agent_version", "schema_version"),
+}
+
+
 def violations(reports: DataFrame, enums: dict) -> DataFrame:
-    """One row per enumerated field whose value is outside its enum."""
-    fields = {
-        "status": F.col("status"),
-        "channel": F.col("context.request.channel"),
-        "urgency": F.col("context.request.urgency"),
-        "requested_format": F.col("context.request.requested_format"),
-    }
-    checks = [F.when(col.isNull() | ~col.isin(*enums[name]),
-                     F.struct(F.lit(name).alias("field"), col.alias("value")))
-              for name, col in fields.items()]
+    """One row per enumerated field whose value is outside its enumeration
+    and per required field that is missing."""
+    checks = [_outside("status", F.col("status"), enums["status"])]
+    checks += [_outside(name, F.col(f"context.request.{name}"), enums[name])
+               for name in ("channel", "urgency", "requested_format")]
+    missing = lambda field: F.struct(F.lit(field).alias("field"),
+                                     F.lit(None).cast("string").alias("value"))
     impact_ok = F.forall(F.coalesce(F.col("insights.notable_changes"), F.array()),
                          lambda c: c["impact"].isin(*enums["impact"]))
-    checks.append(F.when(~impact_ok, F.struct(F.lit("impact").alias("field"),
-                                              F.lit(None).cast("string").alias("value"))))
-    required = ["task_id", "agent_id", "timestamp", "status", "context", "metadata"]
-    checks += [F.when(F.col(c).isNull(), F.struct(F.lit(c).alias("field"),
-                                                   F.lit(None).cast("string").alias("value")))
-               for c in required]
-    return (reports.select("task_id", F.explode(F.array_compact(F.array(*checks))).alias("v"))
+    checks.append(F.when(~impact_ok, missing("impact")))
+    checks.append(F.when((F.col("status") == "success") & F.col("results").isNull(),
+                         missing("results")))
+    for parent, fields in REQUIRED.items():
+        there = F.col(parent).isNotNull() if parent else F.lit(True)
+        names = [f"{parent}.{f}" if parent else f for f in fields]
+        checks += [F.when(there & F.col(n).isNull(), missing(n)) for n in names]
+    return (reports.select("task_id", F.explode(F.array_compact(F.array(
+        *[c.cast(_VALUE) for c in checks]))).alias("v"))
             .select("task_id", "v.field", "v.value"))

@@ -10,8 +10,6 @@ points written by earlier runs.
 from __future__ import annotations
 
 import datetime as dt
-import hashlib
-import math
 import os
 import time
 
@@ -32,9 +30,8 @@ def _now_iso() -> str:
 
 def index_documents(run: R.TicketRun) -> DataFrame:
     """V1-V3: points of every successfully parsed file of a re-indexing ticket."""
-    reindex_scopes = run.tickets.filter("valid AND reindex").select("scope_id").distinct()
-    files = (run.pairs.join(reindex_scopes, "scope_id", "left_semi")
-             .filter("success").dropDuplicates(["path"]))
+    scopes = TK.scopes(run.tickets.filter("valid AND reindex"))
+    files = TK.files_in_scopes(run.parsed, scopes, "left_semi").filter("success")
     docs = files.select(
         F.col("path").alias("file_path"), V.index_text().alias("content"),
         F.create_map(
@@ -70,20 +67,51 @@ def current_points(spark: SparkSession, collection: str) -> DataFrame:
     return V.read_points(spark, os.path.join(collection, f"v={versions[-1]}"))
 
 
+def check_dimension(old: DataFrame, new: DataFrame) -> None:
+    """All points of a collection have one dimension."""
+    sizes = (old.select(F.size("embedding").alias("n")).union(new.select(F.size("embedding")))
+             .where("n >= 0").distinct().limit(2).collect())
+    if len(sizes) > 1:
+        raise ValueError(f"points of different dimensions: {sorted(r['n'] for r in sizes)}")
+
+
+def _write_version(spark: SparkSession, collection: str, points: DataFrame) -> str:
+    versions = _versions(spark, collection)
+    target = os.path.join(collection, f"v={(versions[-1] + 1) if versions else 0}")
+    V.write_points(points, target, mode="overwrite")
+    return target
+
+
+def create_collection(spark: SparkSession, collection: str) -> None:
+    """V9: an empty first version, if the collection has none."""
+    if not _versions(spark, collection):
+        _write_version(spark, collection, spark.createDataFrame([], V.POINTS))
+
+
+def clear_collection(spark: SparkSession, collection: str) -> None:
+    """A new version without points."""
+    _write_version(spark, collection, spark.createDataFrame([], V.POINTS))
+
+
+def delete_file(spark: SparkSession, collection: str, file_path: str) -> None:
+    """V7: a new version without the points of one file."""
+    _write_version(spark, collection, V.delete_file(current_points(spark, collection), file_path))
+
+
 def upsert_points(spark: SparkSession, collection: str, new_points: DataFrame,
                   mode: str = "replace") -> str:
     """S7 with replace-by-path: points of re-indexed files replace the old
     ones (``mode='append'`` keeps duplicates). Writes a new version
     directory; readers switch to it once it is complete."""
+    # embedded once: both the paths and the rows are read from this table
+    new_points = materialize(new_points, "new-points")
     old = current_points(spark, collection)
+    check_dimension(old, new_points)
     if mode == "replace":
         old = old.join(new_points.select("file_path").distinct(), "file_path", "left_anti")
     merged = old.unionByName(new_points.withColumn("embedding",
                                                    F.col("embedding").cast("array<float>")))
-    versions = _versions(spark, collection)
-    target = os.path.join(collection, f"v={(versions[-1] + 1) if versions else 0}")
-    V.write_points(merged, target, mode="overwrite")
-    return target
+    return _write_version(spark, collection, merged)
 
 
 def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_dir: str,
@@ -100,6 +128,8 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
     scope_df = TK.scopes(validated)
     resolved = TK.resolve_scopes(scope_df)
     needed = TK.files_in_scopes(files, resolved, "left_semi")
+    if "content" not in files.columns:  # an inventory: the scan ends with its selection
+        needed = materialize(needed, "needed-files")
     scan_s = time.perf_counter() - t0
     t1 = time.perf_counter()
     parsed = materialize(R.parse.parse_files(needed))  # one parse per file, shared storage
@@ -112,28 +142,27 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
         upsert_points(spark, collection, index_documents(run))
         info = V.collection_info(current_points(spark, collection))
     index_s = time.perf_counter() - t2
-    reports = R.build_reports(run, now_iso or _now_iso(), collection=info)
+    files_location = os.path.join(out_dir, "report_files")
+    R.report_files(run).write.mode("overwrite").parquet(files_location)
+    R.report_errors(run).write.mode("overwrite").parquet(os.path.join(out_dir, "report_errors"))
+    large_file_names(run.pairs).write.mode("overwrite").parquet(os.path.join(out_dir, "large_files"))
+    # aggregated before the clock stops; only writing the report rows is not in it
+    reports = materialize(R.build_reports(run, now_iso or _now_iso(), collection=info,
+                                          files_location=files_location), "reports")
     total = time.perf_counter() - t0
     perf = F.struct(
         F.lit(total).alias("processing_time_seconds"), F.lit(scan_s).alias("scan_time_seconds"),
         F.lit(parse_s).alias("parse_time_seconds"), F.lit(index_s).alias("index_time_seconds"),
         F.lit(started).alias("started_at"), F.lit(_now_iso()).alias("completed_at"))
-    reports = reports.withColumn("performance", perf)
-    reports.write.mode("overwrite").json(os.path.join(out_dir, "reports"))
-    R.report_files(run).write.mode("overwrite").parquet(os.path.join(out_dir, "report_files"))
-    R.report_errors(run).write.mode("overwrite").parquet(os.path.join(out_dir, "report_errors"))
-    large_file_names(run.pairs).write.mode("overwrite").parquet(os.path.join(out_dir, "large_files"))
+    reports.withColumn("performance", perf).write.mode("overwrite").json(
+        os.path.join(out_dir, "reports"))
     return {"out_dir": out_dir, "collection": collection,
             "timings": {"scan": scan_s, "parse": parse_s, "index": index_s, "total": total}}
 
 
 def embed_text(text: str, dim: int = V.DEFAULT_DIM) -> list[float]:
     """The hashed embedding of one short text (a query), computed locally."""
-    counts = [0.0] * dim
-    for w in text.lower().split():
-        counts[int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
-    norm = math.sqrt(sum(c * c for c in counts))
-    return [c / norm for c in counts] if norm else counts
+    return V.hashed_vector(text, dim).tolist()
 
 
 def search_workspace(spark: SparkSession, collection: str, query: str, limit: int = 5,

@@ -18,13 +18,15 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Arrow batches carry whole file contents into the parse job: bound the
-    # rows per batch (there is no byte limit) so a batch of large files
-    # stays a few hundred MB at most.
+    # Arrow batches carry whole texts: Spark bounds their bytes, this their rows.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
 }
 
 
+# the string forms of timestamps depend on it
+NEEDED = ("spark.sql.session.timeZone",)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None,
                   app: str = "quarry") -> SparkSession:
     """A local session for tests and benchmarks."""
@@ -43,13 +45,18 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
 
 
 def apply_conf(spark: SparkSession) -> SparkSession:
+    """The settings the library needs; other settings stay the session's own."""
     for key, value in DEFAULT_CONF.items():
-        spark.conf.set(key, value)
+        if key in NEEDED or not spark.conf.isModifiable(key):
+            continue
+        spark.conf.set(key, spark.conf.get(key, value))
+    for key in NEEDED:
+        spark.conf.set(key, DEFAULT_CONF[key])
     ship_package(spark)
     return spark
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -59,7 +66,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
@@ -71,7 +78,7 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(dirpath, f)
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(target)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -86,6 +93,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all machines share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)

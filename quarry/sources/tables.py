@@ -40,8 +40,7 @@ def files_from_documents(documents: DataFrame) -> DataFrame:
            .when(doc % 9 == 6, ".CSV").when(doc % 9 == 7, ".bin").otherwise(""))
     path = F.concat(F.lit(FIXTURE_ROOT + "/"), F.col("source"), F.lit("/"), subdir, stem,
                     doc.cast("string"), ext)
-    modified = (F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-                + F.make_dt_interval(hours=doc.cast("int")))
+    modified = F.timestamp_add("HOUR", doc, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     return documents.select(
         doc.alias("doc_id"),
         path.alias("path"),

@@ -1,44 +1,41 @@
-"""``workspace`` data source: a folder tree as the ``files`` table.
-
-    spark.dataSource.register(WorkspaceDataSource)
-    files = (spark.read.format("workspace")
-             .option("path", "/data/ws").option("content", "true").load())
-
-Listing is distributed. The driver walks only the top ``listingDepth``
-levels (pruning ignored directories on the way, like the walk it models);
-every directory it visited is counted (names are not kept) and contributes
-its files as up to 256 shards of about ``filesPerPartition`` names (a task
-keeps the names whose crc32 falls in its shard), and every directory at the
-depth limit becomes a subtree task walked on an executor. A flat directory
-with millions of files is therefore split into many tasks, and no file list
-passes through the driver.
-
-Rows: path, name, file_type, modified (naive local time, microseconds),
-size, ignored, content. Hidden and ``_``-prefixed names are kept, zero-byte
-files are kept, directory symlinks are not followed. Ignored files are
-dropped unless ``includeIgnored`` is true (for scan counters). ``start`` /
-``end`` restrict the inclusive modification window before any content is
-read; ``content`` (default false) loads the file bytes (up to
-``maxContentBytes``, default 32 MiB; larger files get NULL content and
-``oversize`` and are profiled by split reads, see ``parse_large_text_files``).
+"""A folder tree as the ``files`` table.
+
+    files = read_workspace(spark, "/data/ws")
+
+The tree must be mounted at the same path on every executor. Listing is
+breadth first: every level is one job in which tasks open the level's
+directories, drop the ignored ones and write the entries' names as a table
+under the checkpoint folder, so each directory is read once, by one task, in
+bounded batches, and no list of names passes through the driver. The names are
+then dealt over tasks of about ``filesPerPartition`` files, which stat them: a
+directory that holds most of the files is stat'ed by many tasks.
+
+Columns: path, name, file_type, modified (naive local time, microseconds),
+size, ignored, suffix. File contents are no part of the inventory; the parse
+stage (``quarry.operators.parse``) opens each file once. Hidden and
+``_``-prefixed names and zero-byte files are kept. A link to a directory is
+neither a file nor entered. Ignored files are dropped unless
+``includeIgnored`` is true (for scan counters). ``start`` / ``end`` restrict
+the inclusive modification window.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import os
-import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import (DataSource, DataSourceReader, GreaterThan,
-                                    GreaterThanOrEqual, InputPartition, LessThan,
-                                    LessThanOrEqual)
+from pyspark.sql import functions as F
 
+from quarry.functions.text import file_suffix
 from quarry.operators.scan import FILE_TYPES, IGNORE_PATTERNS
+from quarry.session import materialize, ship_package
 
 SCHEMA = ("path STRING, name STRING, file_type STRING, modified TIMESTAMP_NTZ, size BIGINT, "
-          "ignored BOOLEAN, oversize BOOLEAN, content BINARY")
+          "ignored BOOLEAN")
+BATCH = 4096
 
 _GLOBS = [p[1:] for p in IGNORE_PATTERNS if p.startswith("*")]
 
@@ -54,275 +51,88 @@ def classify(name: str) -> str:
     return FILE_TYPES.get(suffix.lower(), "other")
 
 
-@dataclass
-class _Part(InputPartition):
-    directory: str
-    subtree: bool        # walk everything below (executor-side listing)
-    shard: int = 0       # for a visited directory: which slice of its files
-    shards: int = 1
-
-
-MAX_SHARDS = 256
-
-
-def _files_of(directory: str) -> list[str]:
-    try:
-        with os.scandir(directory) as it:
-            return sorted(e.name for e in it if not e.is_dir(follow_symlinks=False))
-    except OSError:
-        return []
-
-
-def _count_files(directory: str) -> int:
-    """Entries of one directory, counted without keeping their names."""
-    try:
-        with os.scandir(directory) as it:
-            return sum(1 for e in it if not e.is_dir(follow_symlinks=False))
-    except OSError:
-        return 0
-
-
-def _in_shard(name: str, shard: int, shards: int) -> bool:
-    return shards == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % shards == shard
-
-
-def _subdirs(directory: str) -> list[str]:
+def _entries(directory: str) -> Iterator[tuple[str, str, bool]]:
+    """(directory, name, is a directory to enter) of one directory."""
     try:
-        with os.scandir(directory) as it:
-            return sorted(e.name for e in it if e.is_dir(follow_symlinks=False))
-    except OSError:
-        return []
-
-
-class WorkspaceReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = os.path.realpath(options.get("path") or options.get("root") or ".")
-        self.depth = int(options.get("listingDepth", "2"))
-        self.per_part = int(options.get("filesPerPartition", "2000"))
-        self.content = str(options.get("content", "false")).lower() == "true"
-        self.include_ignored = str(options.get("includeIgnored", "false")).lower() == "true"
-        self.max_bytes = int(options.get("maxContentBytes", str(32 * 1024 * 1024)))
-        self.start = _parse_ts(options.get("start"))
-        self.end = _parse_ts(options.get("end"))
-
-    def partitions(self):
-        if not os.path.isdir(self.root):
-            raise ValueError(f"Workspace path does not exist or is not a directory: {self.root}")
-        parts: list[_Part] = []
-        level = [self.root]
-        for depth in range(self.depth + 1):
-            nxt = []
-            for d in level:
-                if depth == self.depth:
-                    parts.append(_Part(d, True))
-                    continue
-                n = _count_files(d)
-                shards = min(MAX_SHARDS, max(1, -(-n // self.per_part)))
-                parts.extend(_Part(d, False, i, shards) for i in range(shards) if n)
-                for sub in _subdirs(d):
-                    full = os.path.join(d, sub)
-                    if not should_ignore(full, sub):  # pruned: never entered
-                        nxt.append(full)
-            level = nxt
-            if not level:
-                break
-        return parts or [_Part(self.root, False, 0, 1)]
-
-    def read(self, partition: _Part):
-        if partition.subtree:
-            for dirpath, dirs, files in os.walk(partition.directory):
-                dirs[:] = sorted(d for d in dirs if not should_ignore(os.path.join(dirpath, d), d))
-                for name in sorted(files):
-                    row = self._row(dirpath, name)
-                    if row is not None:
-                        yield row
-        else:
-            names = _files_of(partition.directory)
-            for name in (n for n in names if _in_shard(n, partition.shard, partition.shards)):
-                row = self._row(partition.directory, name)
-                if row is not None:
-                    yield row
-
-    def _row(self, directory: str, name: str):
+        with os.scandir(directory) as found:
+            for entry in found:
+                if not entry.is_dir():
+                    yield directory, entry.name, False
+                elif (not entry.is_symlink()
+                      and not should_ignore(os.path.join(directory, entry.name), entry.name)):
+                    yield directory, entry.name, True
+    except OSError:  # vanished or unreadable: skipped, like the walk it models
+        return
+
+
+def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["directory", "name", "enter"]
+    for batch in batches:
+        rows: list[tuple] = []
+        for directory in batch["directory"]:
+            for row in _entries(directory):
+                rows.append(row)
+                if len(rows) == BATCH:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _stat_fn(include_ignored: bool, start: dt.datetime | None, end: dt.datetime | None):
+    def row(directory: str, name: str):
         path = os.path.join(directory, name)
         ignored = should_ignore(path, name)
-        if ignored and not self.include_ignored:
+        if ignored and not include_ignored:
             return None
         try:
             st = os.stat(path)
-        except OSError:  # vanished or unreadable: skipped, like the walk it models
+        except OSError:
             return None
         modified = dt.datetime.fromtimestamp(st.st_mtime)
-        if self.start is not None and modified < self.start:
-            return None
-        if self.end is not None and modified > self.end:
+        if (start is not None and modified < start) or (end is not None and modified > end):
             return None
-        content, oversize = None, False
-        if self.content and not ignored:
-            if st.st_size > self.max_bytes:
-                oversize = True
-            else:
-                try:
-                    with open(path, "rb") as f:
-                        content = f.read()
-                except OSError:
-                    content = None
-        return (path, name, classify(name), modified, st.st_size, ignored, oversize, content)
+        return path, name, classify(name), modified, st.st_size, ignored
 
-
-class PushdownWorkspaceReader(WorkspaceReader):
-    """The reader with ``modified`` bounds pushed into the listing; used when
-    the session enables Python data-source filter push-down."""
-
-    def pushFilters(self, filters):
-        """Time bounds on ``modified`` narrow the window before any stat'ed
-        file is read (enabled by ``spark.sql.python.filterPushdown.enabled``).
-
-        Bounds are applied inclusively and every filter is handed back, so
-        Spark still evaluates the exact predicate (strict bounds included).
-        """
-        for f in filters:
-            if getattr(f, "attribute", None) == ("modified",) and isinstance(
-                    getattr(f, "value", None), dt.datetime):
-                v = f.value.replace(tzinfo=None)
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                    self.start = v if self.start is None else max(self.start, v)
-                elif isinstance(f, (LessThan, LessThanOrEqual)):
-                    self.end = v if self.end is None else min(self.end, v)
-            yield f
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [r for r in map(row, batch["directory"], batch["name"]) if r is not None]
+            yield pd.DataFrame(found, columns=["path", "name", "file_type", "modified", "size",
+                                               "ignored"]).astype({"modified": "datetime64[us]"})
+    return run
 
 
-def _parse_ts(value):
+def _parse_ts(value) -> dt.datetime | None:
     if value in (None, ""):
         return None
     return dt.datetime.fromisoformat(str(value).replace("T", " "))
 
 
-class WorkspaceDataSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "workspace"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        if str(self.options.get("pushFilters", "false")).lower() == "true":
-            return PushdownWorkspaceReader(self.options)
-        return WorkspaceReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(WorkspaceDataSource)
-
-
-def read_workspace(spark: SparkSession, root: str, balanced: bool = False,
-                   **options) -> DataFrame:
-    """The workspace inventory as a DataFrame, with the ``suffix`` column the
-    parse stage dispatches on. ``balanced`` uses the two-phase listing
-    (``list_workspace``) that sizes read tasks by file counts."""
-    from pyspark.sql import functions as F
-
-    from quarry.functions.text import file_suffix
-    if balanced:
-        return list_workspace(spark, root, **options)
-    register(spark)
-    reader = spark.read.format("workspace").option("path", root)
-    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    reader = reader.option("pushFilters", str(pushdown).lower())
-    for k, v in options.items():
-        reader = reader.option(k, str(v).lower() if isinstance(v, bool) else str(v))
-    return reader.load().withColumn("suffix", file_suffix(F.col("name")))
-
-
-
-# ------------------------------------------------------- balanced listing
-
-_DIRS_SCHEMA = "directory STRING, n_files BIGINT"
-
-
-def _dir_counts_fn(depth_limit_dirs: bool):
-    """mapInPandas body: walk each subtree root, emit (directory, #files)."""
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            out_dirs, out_counts = [], []
-            for root, subtree in zip(frame["directory"], frame["subtree"]):
-                if not subtree:
-                    out_dirs.append(root)
-                    out_counts.append(_count_files(root))
-                    continue
-                for dirpath, dirs, files in os.walk(root):
-                    dirs[:] = [d for d in dirs if not should_ignore(os.path.join(dirpath, d), d)]
-                    out_dirs.append(dirpath)
-                    out_counts.append(len(files))
-            yield pd.DataFrame({"directory": out_dirs, "n_files": out_counts})
-    return run
-
-
-def _read_shards_fn(reader: "WorkspaceReader", arrow_schema, max_rows: int = 256,
-                    max_bytes: int = 64 * 1024 * 1024):
-    """mapInArrow body: read the files of each (directory, shard) row,
-    emitting bounded output batches (rows and content bytes)."""
-    import pyarrow as pa
-
-    names = arrow_schema.names
-
-    def flush(rows):
-        return pa.RecordBatch.from_pydict(
-            {n: [r[i] for r in rows] for i, n in enumerate(names)}, schema=arrow_schema)
-
-    def run(batches):
-        for batch in batches:
-            cols = batch.to_pydict()
-            for d, shard, shards in zip(cols["directory"], cols["shard"], cols["shards"]):
-                rows, size = [], 0
-                for row in reader.read(_Part(d, False, shard, shards)):
-                    rows.append(row)
-                    size += len(row[-1] or b"")
-                    if len(rows) >= max_rows or size >= max_bytes:
-                        yield flush(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield flush(rows)
-    return run
-
-
-def list_workspace(spark: SparkSession, root: str, **options) -> DataFrame:
-    """The ``workspace`` rows with load balanced by file counts.
-
-    Phase 1 walks directory entries only: the driver expands the top levels,
-    executors walk the subtrees below and count files per directory. Phase 2
-    splits every directory into shards of about ``filesPerPartition`` files
-    and reads them (stat, content) spread over the cluster, so a subtree or
-    a directory holding a third of all files is read by many tasks.
-    """
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    opts = {k: (str(v).lower() if isinstance(v, bool) else str(v)) for k, v in options.items()}
-    reader = WorkspaceReader({"path": root, **opts})
-    seeds = [(p.directory, p.subtree) for p in reader.partitions() if p.shard == 0]
-    seed_df = spark.createDataFrame(seeds, "directory STRING, subtree BOOLEAN")
-    seed_df = seed_df.repartition(max(1, len(seeds)))
-    dirs = seed_df.mapInPandas(_dir_counts_fn(True), _DIRS_SCHEMA).filter("n_files > 0")
-    per = reader.per_part
-    shards = dirs.select(
-        "directory",
-        F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("n_files") / F.lit(per))))
-        .cast("int").alias("shards"))
-    work = shards.select("directory", "shards",
-                         F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    work = work.repartition(spark.sparkContext.defaultParallelism, "directory", "shard")
-    schema = T._parse_datatype_string(SCHEMA)
-    rows = work.mapInArrow(_read_shards_fn(reader, to_arrow_schema(schema)), schema)
-    return rows.withColumn("suffix", _suffix_col())
-
-
-def _suffix_col():
-    from pyspark.sql import functions as F
-
-    from quarry.functions.text import file_suffix
-    return file_suffix(F.col("name"))
+def read_workspace(spark: SparkSession, root: str, includeIgnored: bool = False,
+                   start: str | None = None, end: str | None = None,
+                   filesPerPartition: int = 2000) -> DataFrame:
+    """The inventory of the tree below ``root``, written once under the
+    checkpoint folder (the branches of a run all read it)."""
+    root = os.path.realpath(root)
+    if not os.path.isdir(root):
+        raise ValueError(f"Workspace path does not exist or is not a directory: {root}")
+    ship_package(spark)
+    tasks = spark.sparkContext.defaultParallelism
+    level = spark.createDataFrame([(root,)], "directory STRING")
+    names = None
+    while True:
+        listed = materialize(
+            level.repartition(tasks, "directory")
+            .mapInPandas(_list_level, "directory STRING, name STRING, enter BOOLEAN"), "listing")
+        here = listed.where("NOT enter").select("directory", "name")
+        names = here if names is None else names.unionByName(here)
+        below = listed.where("enter").select(
+            F.concat("directory", F.lit("/"), "name").alias("directory"))
+        n_below = below.count()
+        if not n_below:
+            break
+        level = below
+        tasks = max(spark.sparkContext.defaultParallelism, n_below // BATCH)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-names.count() // filesPerPartition))
+    rows = names.repartition(tasks, "directory", "name").mapInPandas(
+        _stat_fn(includeIgnored, _parse_ts(start), _parse_ts(end)), SCHEMA)
+    return materialize(rows.withColumn("suffix", file_suffix(F.col("name"))), "inventory")

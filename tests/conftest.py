@@ -17,7 +17,7 @@ def spark():
     from pyspark.sql import SparkSession
 
     from quarry.session import DEFAULT_CONF, ensure_checkpoint_dir, ship_package
-    builder = (SparkSession.builder.master("local[*]").appName("quarry-tests")
+    builder = (SparkSession.builder.master(os.environ.get("QUARRY_TEST_MASTER", "local[*]")).appName("quarry-tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))

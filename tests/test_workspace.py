@@ -105,14 +105,24 @@ def _rel(root, paths):
 
 
 def test_listing_keeps_hidden_and_prunes_ignored(spark, workspace):
-    files = read_workspace(spark, workspace, listingDepth=1, filesPerPartition=3)
+    files = read_workspace(spark, workspace, filesPerPartition=3)
     assert _rel(workspace, [r.path for r in files.select("path").collect()]) == EXPECTED
 
 
-def test_listing_is_the_same_at_any_depth(spark, workspace):
-    for depth in (0, 1, 3):
-        files = read_workspace(spark, workspace, listingDepth=depth, filesPerPartition=2)
-        assert _rel(workspace, [r.path for r in files.select("path").collect()]) == EXPECTED
+def test_links_to_directories_are_no_files_and_not_entered(spark, tmp_path):
+    root = tmp_path / "links"
+    (root / "a" / "b" / "c").mkdir(parents=True)
+    outside = tmp_path / "outside"
+    outside.mkdir()
+    (outside / "hidden.md").write_text("x")
+    for where in (root, root / "a", root / "a" / "b" / "c"):
+        (where / "file.md").write_text("# x")
+        (where / "dirlink").symlink_to(outside, target_is_directory=True)
+        (where / "filelink.md").symlink_to(outside / "hidden.md")
+    (root / "gone.md").symlink_to(tmp_path / "nothing")
+    files = read_workspace(spark, str(root))
+    found = _rel(str(root), [r.path for r in files.collect()])
+    assert found == {os.path.join(d, n) for d in ("", "a", "a/b/c") for n in ("file.md", "filelink.md")}
 
 
 def test_include_ignored_counts_only_reached_files(spark, workspace):
@@ -143,7 +153,7 @@ def test_types_sizes_and_inclusive_window(spark, workspace):
 
 @pytest.fixture(scope="module")
 def parsed(spark, workspace):
-    files = read_workspace(spark, workspace, content=True)
+    files = read_workspace(spark, workspace)
     rows = parse.parse_files(files).collect()
     return {os.path.relpath(r.path, workspace): r for r in rows}
 
@@ -200,7 +210,7 @@ def test_markdown_generic_binary(parsed):
 
 
 def test_parse_errors_list(spark, workspace):
-    files = read_workspace(spark, workspace, content=True)
+    files = read_workspace(spark, workspace)
     msgs = {r.message for r in parse.parse_errors(parse.parse_files(files)).collect()}
     assert any(m.startswith("bad.py: Syntax error") for m in msgs)
     assert any(m.startswith("broken.ipynb: Notebook does not appear") for m in msgs)
@@ -215,7 +225,7 @@ def test_report_end_to_end(spark, workspace):
         ("T-BAD", workspace, None, None, False, True, None),
         ("T-NONE", workspace, dt.datetime(2031, 1, 1), dt.datetime(2031, 2, 1), False, True, None),
     ], TICKET_SCHEMA)
-    files = read_workspace(spark, workspace, content=True)
+    files = read_workspace(spark, workspace)
     run = R.prepare(files, tickets)
     reports = {r.task_id: r for r in R.build_reports(run, "2024-03-02T00:00:00").collect()}
     all_ = reports["T-ALL"]
@@ -251,7 +261,7 @@ def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
     from quarry.plans import runner as P
     tickets = spark.createDataFrame(
         [("T-ALL", workspace, None, None, True, True, None)], TICKET_SCHEMA)
-    files = read_workspace(spark, workspace, content=True)
+    files = read_workspace(spark, workspace)
     out = P.run_tickets(spark, files, tickets, str(tmp_path / "out"),
                         collection=str(tmp_path / "coll"))
     rep = spark.read.json(str(tmp_path / "out" / "reports")).first()
@@ -264,65 +274,76 @@ def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
     assert hits and hits[0].file_path.endswith("nested.py")
 
 
-def test_balanced_listing_equals_data_source(spark, workspace):
-    for depth in (0, 1):
-        a = read_workspace(spark, workspace, listingDepth=depth, content=True)
-        b = read_workspace(spark, workspace, balanced=True, listingDepth=depth,
-                           filesPerPartition=2, content=True)
-        key = ["path", "name", "file_type", "modified", "size", "ignored", "content"]
-        assert sorted(a.select(key).collect()) == sorted(b.select(key).collect())
+ODD_NAMES = ["two words.txt", "br[a]ck{e}t.md", "per%20cent.txt", "_under.md", ".dot.txt",
+             "plus+hash#q?.md", "ünï.txt"]
 
 
-def test_time_filter_reaches_the_source(spark, workspace):
-    from pyspark.sql import functions as F
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def test_text_files_of_any_name_and_encoding(spark, tmp_path):
+    root = tmp_path / "odd"
+    root.mkdir()
+    bodies = {
+        "bom.md": b"\xef\xbb\xbf# not a header\n# header\n",
+        "cr.txt": b"a b\rc\rd", "crlf.md": b"# a b\r\nc\r\n\r\n  # d\r\n", "empty.txt": b"",
+        "bad.txt": b"ok\n\xff\xfe\n", "bad.md": b"# ok \xc3\x28\n", "cut.md": b"# ok \xe2\x82",
+        "noeol.txt": "x\u00a0y z\u2028w".encode(),
+        **{n: f"# {n}\nsome words here".encode() for n in ODD_NAMES},
+    }
+    for name, body in bodies.items():
+        (root / name).write_bytes(body)
+    got = {r.name: r for r in parse.parse_files(read_workspace(spark, str(root))).collect()}
+    assert set(got) == set(bodies)
+    for name, body in bodies.items():
+        r = got[name]
+        try:
+            text = body.decode().replace("\r\n", "\n").replace("\r", "\n")
+        except UnicodeDecodeError as e:
+            assert (r.error, r.success) == ((str(e), False) if name.endswith(".md") else (None, True))
+            continue
+        lines = text.split("\n")
+        assert r.success and r.content_preview == text
+        assert (r.details.words, r.details.lines) == (len(text.split()), len(lines)), name
+        if name.endswith(".md"):
+            assert r.details.headers == sum(x.strip().startswith("#") for x in lines), name
+
+
+def test_measures_do_not_depend_on_the_piece_size(tmp_path):
+    from quarry.functions.streams import measure_text
+    text = "# A é\r\nword " * 40 + "\n\n  \t# B 日本\rtail\r" + "#" + "x" * 50 + " 😀"
+    path = tmp_path / "f.md"
+    path.write_bytes(text.encode())
+    norm = text.replace("\r\n", "\n").replace("\r", "\n")
+    want = (len(norm.split()), len(norm.split("\n")),
+            sum(x.strip().startswith("#") for x in norm.split("\n")), norm[:31])
+    for piece in (1, 2, 3, 7, 64, 1 << 20):
+        m = measure_text(str(path), 30, piece)
+        assert (m.words, m.lines, m.headers, m.head) == want, piece
+    path.write_bytes(b"abc\n" * 5 + b"\xe2\x82\x28 tail")
+    message = None
     try:
-        files = read_workspace(spark, workspace, content=True).filter(
-            F.col("modified") >= F.lit(dt.datetime(2024, 2, 1)))
-        rows = files.collect()
-        assert [os.path.relpath(r.path, workspace) for r in rows] == ["notes.md"]
-        strict = read_workspace(spark, workspace).filter(
-            F.col("modified") > F.lit(dt.datetime(2024, 3, 1, 8, 30, 0, 123456))).count()
-        assert strict == 0
-    finally:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
-
-
-def test_oversize_text_files_profiled_by_split_reads(spark, workspace, tmp_path):
-    """With a tiny in-row limit, Markdown and text files take the split-read
-    path; their profiles must equal the in-row ones."""
-    extra = tmp_path / "big"
-    extra.mkdir()
-    (extra / "long.md").write_text("# A\n" + "word " * 400 + "\n\n  # B\ntail\n", encoding="utf-8")
-    (extra / "noeol.txt").write_text("x y\nz", encoding="utf-8")
-    (extra / "crlf.txt").write_bytes(b"a b\r\nc\rd\r\n")
-    (extra / "bad.txt").write_bytes(b"ok\n\xff\xfe\n")
-    keys = ["summary", "content_preview", "success", "detail_lines"]
-    for root in (workspace, str(extra)):
-        small = read_workspace(spark, root, content=True)
-        tiny = read_workspace(spark, root, content=True, maxContentBytes=3)
-        a = {r.path: r for r in parse.parse_files(small).collect()}
-        b = {r.path: r for r in parse.parse_files(tiny).collect()}
-        assert a.keys() == b.keys()
-        for path, r in a.items():
-            if r.parser in ("markdown", "generic") and r.size > 3:
-                assert [b[path][k] for k in keys] == [r[k] for k in keys], path
-            elif r.size > 3:
-                assert not b[path].success
-
-
-def test_balanced_listing_splits_a_flat_directory(spark, tmp_path):
-    """A directory holding most of the files is read by several tasks."""
+        path.read_bytes().decode()
+    except UnicodeDecodeError as e:
+        message = str(e)
+    for piece in (1, 3, 4, 100):
+        assert measure_text(str(path), 30, piece).error == message, piece
+
+
+def test_flat_directory_is_read_by_several_tasks(spark, tmp_path):
     from pyspark.sql import functions as F
     flat = tmp_path / "flat"
     (flat / "big").mkdir(parents=True)
     for i in range(60):
         (flat / "big" / f"f{i:03d}.txt").write_text(f"file {i}\n")
     (flat / "small.md").write_text("# x\n")
-    rows = read_workspace(spark, str(flat), balanced=True, listingDepth=0,
-                          filesPerPartition=10).withColumn("task", F.spark_partition_id())
+    rows = read_workspace(spark, str(flat), filesPerPartition=10)
     assert rows.count() == 61
-    # 6 shards are hash-partitioned over the default parallelism: several
-    # tasks read the directory (the exact count depends on the path hash)
-    tasks = rows.filter(F.col("path").contains("/big/")).select("task").distinct().count()
+    tasks = rows.filter(F.col("path").contains("/big/")).select(
+        F.input_file_name().alias("part")).distinct().count()
     assert tasks >= 2
+
+
+def test_each_file_is_opened_by_one_branch(spark, workspace):
+    plan = parse.parse_files(read_workspace(spark, workspace))._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.count("MapInPandas") + physical.count("MapInArrow") == 2
+    assert "content" not in physical.split("Scan parquet")[1].split("\n")[0].split("ReadSchema")[-1] \
+        .replace("content_preview", "")
