@@ -18,10 +18,15 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = {
     "breakdown_by_type": "breakdown_by_type",      # view -> classify -> breakdown
     "workspace_files": "workspace_files",          # S1 inventory
-    "parse_all": "parse_dispatch",                 # every file profiled (native + Arrow)
+    "parse_all": "parse_totals",                   # every file profiled (native + Arrow)
     "markdown_profile": "markdown_profile",
     "generic_profile": "generic_profile",
-    "task_report": "task_report",                  # 7 tickets, full report
+    "task_report": "task_report",                  # 25 tickets, full report
+    "summary_text": "summary_text",                # report family: one parse each
+    "task_result_flat": "task_result_flat",
+    "run_totals": "run_totals",
+    "files_indexed": "files_indexed",
+    "breakdown_code": "breakdown_code",
     "ticket_windows_100": "ticket_window_counts",  # 100 tickets
     "ticket_files": "ticket_files",
     "highlights": "highlights",
@@ -47,7 +52,7 @@ def main() -> None:
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if not os.path.isdir(warm_dir):
         warm_dir = sf_dir
-    for name in ("workspace_files", "parse_dispatch", "vector_topk_batch", "task_report"):
+    for name in ("workspace_files", "parse_totals", "vector_topk_batch", "task_report"):
         registry[name].build(spark, warm_dir).write.format("noop").mode("overwrite").save()
 
     times = {}

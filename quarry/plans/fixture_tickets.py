@@ -70,21 +70,20 @@ def _context_sql(n: str, requester: str, question: str) -> str:
     return ",\n    ".join(f"{v} AS {k}" for k, v in fields.items())
 
 
-def span_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: the hours that the files' times span (``last``)."""
-    return _table(spark, sf_dir, "documents").agg(
-        F.coalesce(F.max("doc_id"), F.lit(0)).cast("bigint").alias("last"))
+def span_hours(spark: SparkSession, sf_dir: str) -> int:
+    """The hours that the files' times span (one value)."""
+    return _table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
 
 
 def tickets_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ticket per nation: windows of a sixth of the files' time, one on
     each day-long stretch, all files, reversed, past the end, without dates."""
-    n, last = F.col("n_nationkey").cast("bigint"), F.col("last")
-    start = F.expr("n_nationkey * last div 30")
-    end = F.when(n % 11 == 5, start - 48).otherwise(start + F.expr("last div 6"))
+    n, last = F.col("n_nationkey").cast("bigint"), span_hours(spark, sf_dir)
+    start = F.floor(n * last / 30)
+    end = F.when(n % 11 == 5, start - 48).otherwise(start + last // 6)
     late = F.when(n % 13 == 9, last + 1000).otherwise(0)
     dated = (n % 7 != 3) & (n % 12 != 0)
-    return (_table(spark, sf_dir, "nation").join(F.broadcast(span_hours(spark, sf_dir)))
+    return (_table(spark, sf_dir, "nation")
             .select(F.concat(F.lit("N-"), F.lpad(n.cast("string"), 2, "0")).alias("task_id"),
                     F.lit("/ws").alias("workspace_path"),
                     F.when(dated, _hours(start + late)).alias("start_date"),

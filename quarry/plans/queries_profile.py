@@ -96,6 +96,30 @@ def binary_profile(spark, sf_dir):
         "path", "summary", "content_preview", "details.size_bytes")
 
 
+@register("parse_totals", O.with_inventory() + f"""
+, g AS (SELECT *, {_NORM} AS t, {GENERIC} AS generic, file_type = 'note' AND suffix = '.md' AS md
+        FROM inventory)
+SELECT parser, count(*) AS files, CAST(coalesce(sum(words), 0) AS BIGINT) AS words,
+  CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, CAST(sum(size) AS BIGINT) AS size_bytes
+FROM (SELECT CASE WHEN md THEN 'markdown' WHEN generic THEN 'generic' ELSE 'code, data or notebook' END
+        AS parser, size, CASE WHEN md OR generic THEN {O.words('t')} END AS words,
+        CASE WHEN md OR generic THEN {O.lines('t')} END AS lines FROM g)
+GROUP BY parser""".replace("\n, g AS", ",\ng AS"))
+def parse_totals(spark, sf_dir):
+    """Every file profiled; words, lines and bytes per kind of profile
+    (the lengths of all summaries and previews are read, so nothing is pruned)."""
+    p = _parsed(spark, sf_dir)
+    kind = F.when(F.col("parser").isin("markdown", "generic"), F.col("parser")).otherwise(
+        "code, data or notebook")
+    seen = F.length(F.concat_ws("", "summary", "content_preview", "error", F.to_json("details")))
+    return (p.groupBy(kind.alias("parser")).agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("details.words"), F.lit(0)).alias("words"),
+        F.coalesce(F.sum(F.when(F.col("parser").isin("markdown", "generic"), F.col("details.lines"))),
+                   F.lit(0)).alias("lines"),
+        F.sum("size").cast("bigint").alias("size_bytes"), F.sum(seen).alias("seen"))
+        .where("seen >= 0").drop("seen"))
+
+
 @register("python_profile", None)
 def python_profile(spark, sf_dir):
     """Python grammar profile (stdlib ast in the Arrow job): rows-only."""

@@ -426,12 +426,12 @@ N_WINDOWS = 100
 
 def window_tickets(spark, sf_dir, n: int = N_WINDOWS):
     """``n`` overlapping windows over the time that the files span."""
-    i, last = F.col("id"), F.col("last")
+    i, last = F.col("id"), span_hours(spark, sf_dir)
     at = lambda h: F.timestamp_add("HOUR", h, F.lit(EPOCH).cast("timestamp_ntz"))
-    lo = F.expr(f"id * last div {n}")
-    return spark.range(n).join(F.broadcast(span_hours(spark, sf_dir))).select(
+    lo = F.floor(i * last / n)
+    return spark.range(n).select(
         F.format_string("W-%03d", i).alias("task_id"), F.lit(FIXTURE_ROOT).alias("workspace_path"),
-        at(lo).alias("start_date"), at(lo + F.expr("last div 40")).alias("end_date"),
+        at(lo).alias("start_date"), at(lo + last // 40).alias("end_date"),
         F.lit(False).alias("scan_all"), F.lit(True).alias("reindex"),
         F.lit(None).cast(TK.CONTEXT).alias("context"))
 

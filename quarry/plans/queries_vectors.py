@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import WS_CLASS
 from quarry.operators import parse
 from quarry.operators import vectors as V
+from quarry.plans import runner
 from quarry.plans.queries_profile import generated_files, index_text_sql
 from quarry.plans.registry import register
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import load_table
 
 K = 5
@@ -165,3 +167,58 @@ def index_points(spark, sf_dir):
                      F.lit("summary"), F.col("summary")).alias("metadata"))
     return V.make_points(docs).select("file_path", "point_id", "content_preview",
                                       F.col("metadata")["file_type"].alias("file_type"))
+
+
+def _fresh_collection(spark) -> str:
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/collection-{uuid.uuid4().hex}"
+
+
+@register("collection_lifecycle", f"""
+WITH p AS (SELECT vec_id::VARCHAR AS point_id, '/ws/vectors/label_' || label || '.npy' AS file_path,
+             embedding FROM embeddings),
+q AS (SELECT * FROM p WHERE file_path <> '{DELETED}')
+SELECT file_path, count(*) AS points, min(point_id) AS least_id, max(point_id) AS greatest_id,
+  max(len(embedding)) AS dimension, round(sum(list_sum(embedding)::DOUBLE), 3) AS checksum
+FROM q GROUP BY file_path""")
+def collection_lifecycle(spark, sf_dir):
+    """A collection is created, written, cleared, written
+    again in two steps (the second replaces files of the first), loses one
+    file, and is read back."""
+    path, points = _fresh_collection(spark), _points(spark, sf_dir)
+    runner.create_collection(spark, path)
+    runner.upsert_points(spark, path, points.limit(10))
+    runner.clear_collection(spark, path)
+    half = F.pmod(F.xxhash64("point_id"), F.lit(2)) == 0
+    runner.upsert_points(spark, path, points.filter(half))
+    runner.upsert_points(spark, path, points)
+    runner.delete_file(spark, path, DELETED)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return (runner.current_points(spark, path).groupBy("file_path")
+            .agg(F.count("*").alias("points"), F.min("point_id").alias("least_id"),
+                 F.max("point_id").alias("greatest_id"),
+                 F.max(F.size("embedding")).cast("bigint").alias("dimension"),
+                 F.round(F.sum(total), 3).alias("checksum")))
+
+
+@register("search_hits", f"""
+WITH {_E},
+c AS (SELECT list(m ORDER BY pos) AS q FROM (
+  SELECT pos, avg(x) AS m FROM (
+    SELECT unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM e WHERE label = 3)
+  GROUP BY pos)),
+s AS (SELECT vec_id, label, {_score('v', 'q')} AS score FROM e, c)
+SELECT '/ws/vectors/label_' || label || '.npy' AS file_path, round(score, 6) AS score,
+  label::VARCHAR AS label, '' AS content_preview
+FROM s WHERE round(score, 9) >= 0.1 ORDER BY round(score, 9) DESC, vec_id::VARCHAR LIMIT {BATCH_K}""")
+def search_hits(spark, sf_dir):
+    """V6: search hits (path, score, metadata, preview) of a collection that
+    was written and read back."""
+    path = _fresh_collection(spark)
+    runner.upsert_points(spark, path, _points(spark, sf_dir))
+    e = _embeddings(spark, sf_dir).filter("label = 3")
+    q = V.centroids(e, None).first()["embedding"]  # one dim-sized query vector
+    hits = runner.search_hits(runner.current_points(spark, path), q, limit=BATCH_K,
+                              score_threshold=0.1)
+    return hits.select("file_path", F.round("score", 6).alias("score"),
+                       F.col("metadata")["label"].alias("label"), "content_preview")

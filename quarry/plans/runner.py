@@ -165,9 +165,14 @@ def embed_text(text: str, dim: int = V.DEFAULT_DIM) -> list[float]:
     return V.hashed_vector(text, dim).tolist()
 
 
+def search_hits(points: DataFrame, query: list[float], limit: int = 5,
+                score_threshold: float | None = None) -> DataFrame:
+    """V6: the nearest points of a query vector, as search hits."""
+    hits = V.search(points, query, k=limit, threshold=score_threshold)
+    return hits.select("file_path", "score", "metadata", "content_preview")
+
+
 def search_workspace(spark: SparkSession, collection: str, query: str, limit: int = 5,
                      score_threshold: float | None = None) -> DataFrame:
     """V4-V6: top ``limit`` points for a text query, as search hits."""
-    points = current_points(spark, collection)
-    hits = V.search(points, embed_text(query), k=limit, threshold=score_threshold)
-    return hits.select("file_path", "score", "metadata", "content_preview")
+    return search_hits(current_points(spark, collection), embed_text(query), limit, score_threshold)

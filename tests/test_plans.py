@@ -1,5 +1,7 @@
 """Physical plans have the shape the design relies on."""
 
+import pytest
+
 from conftest import SF_SMALL
 from quarry.plans.queries_report import window_counts
 from quarry.plans.registry import load_all
@@ -33,7 +35,7 @@ def test_ticket_join_broadcasts_scopes(spark):
 
 
 def test_native_profiles_stay_in_the_jvm(spark):
-    for name in ("markdown_profile", "generic_profile", "index_text"):
+    for name in ("markdown_profile", "generic_profile", "binary_profile"):
         plan = _plan(REG[name].build(spark, SF_SMALL))
         assert "MapInArrow" not in plan and "PythonUDF" not in plan, name
 
@@ -55,3 +57,21 @@ def test_many_windows_use_a_broadcast_hash_join_on_days(spark):
     df = window_counts(spark, SF_SMALL)
     plan = _plan(df)
     assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+REPORTS = ["breakdown_note", "breakdown_code", "summary_text", "files_indexed", "task_report",
+           "task_result_flat", "run_totals", "report_files", "report_conformance"]
+
+
+@pytest.mark.parametrize("name", REPORTS)
+def test_reports_read_one_written_parse(spark, name):
+    """Every branch of a report reads the written profiles; none parses again."""
+    plan = _plan(REG[name].build(spark, SF_SMALL))
+    assert "MapInArrow" not in plan and "MapInPandas" not in plan
+    assert "doc_id:bigint,text:string" not in plan
+
+
+@pytest.mark.parametrize("name", ["ticket_validation", "task_errors", "report_violations"])
+def test_ticket_operators_touch_no_file(spark, name):
+    plan = _plan(REG[name].build(spark, SF_SMALL))
+    assert "documents.parquet" not in plan and "conversations.parquet" in plan

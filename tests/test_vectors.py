@@ -3,6 +3,7 @@
 import math
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import vectors as V
@@ -54,6 +55,16 @@ def test_threshold_and_clear(spark, tmp_path):
     P.upsert_points(spark, coll, _points(spark))
     none = P.search_workspace(spark, coll, "machine learning", score_threshold=0.99).collect()
     assert none == []
+    P.clear_collection(spark, coll)
+    assert P.current_points(spark, coll).count() == 0
+    P.create_collection(spark, str(tmp_path / "c3"))
+    assert P.current_points(spark, str(tmp_path / "c3")).count() == 0
+    P.upsert_points(spark, coll, _points(spark))
+    P.delete_file(spark, coll, "/test/data.csv")
+    assert P.current_points(spark, coll).count() == 2
+    with pytest.raises(ValueError, match="dimensions"):
+        P.upsert_points(spark, coll, V.make_points(
+            spark.createDataFrame([("/p", "some text")], "file_path string, content string"), dim=16))
     path = str(tmp_path / "plain")
     V.create_collection(spark, path)
     assert V.read_points(spark, path).count() == 0
@@ -84,3 +95,20 @@ def test_batch_search_in_several_passes(spark, monkeypatch):
     monkeypatch.setattr(V, "BROADCAST_QUERY_FLOATS", 3 * 64)  # 3 queries per pass
     many = sorted(V.search_batch(e, cents, k=4, id_col="vec_id").collect())
     assert one == many and len(one) == 4 * cents.count()
+
+
+def test_batch_candidates_are_bounded(spark):
+    """Points at the same score do not travel: at most k of a batch and query."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    schema = to_arrow_schema(T.StructType([T.StructField("query_id", T.LongType()),
+                                           T.StructField("id", T.LongType()),
+                                           T.StructField("score", T.DoubleType())]))
+    ids = np.random.default_rng(0).permutation(500).tolist()
+    batch = pa.RecordBatch.from_pydict({"id": ids, "embedding": [[1.0, 0.0]] * 500})
+    for positive, query, n in ((False, [0.0, 1.0], 3), (True, [0.0, 1.0], 0), (True, [1.0, 0.0], 3)):
+        fn = V._batch_topk_fn([7], [query], 3, "id", "embedding", None, positive, schema)
+        rows = [r for b in fn([batch]) for r in b.to_pylist()]
+        assert len(rows) == n and [r["id"] for r in rows] == list(range(n))
