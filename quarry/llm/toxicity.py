@@ -48,6 +48,7 @@ from quarry.llm.labelled import held_out, labelled_sample
 SAMPLE = 10_000
 VOCABULARY = 256
 SUPPORT = 5
+EFFECT = 2.0           # least log ratio of the document shares of a term
 PREFIXES = (4, 5, 6)
 BIAS = 2.0
 BLOCK = 32
@@ -217,8 +218,9 @@ def _unlike(sample: DataFrame) -> set:
 
 
 def _select(sample: DataFrame, size: int) -> list[str]:
-    """The ``size`` terms whose document shares differ most between the
-    classes (two-proportion z), at least ``SUPPORT`` documents each."""
+    """The ``size`` terms whose document shares differ most surely between the
+    classes (two-proportion z), among those that ``SUPPORT`` documents hold
+    and whose shares differ by ``EFFECT``."""
     unlike = _unlike(sample)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,7 +245,8 @@ def _select(sample: DataFrame, size: int) -> list[str]:
     n1, n0 = whole["n1"], whole["n0"]
     shared = (F.col("n1") + F.col("n0")) / (n1 + n0)
     z = ((F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(shared * (1 - shared) * (1 / n1 + 1 / n0)))
-    found = (counted.where((F.col("term") != "") & (shared < 1))
+    ratio = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    found = (counted.where((F.col("term") != "") & (shared < 1) & (F.abs(ratio) >= EFFECT))
              .select("term", F.abs(z).alias("z")).where("z > 4")
              .orderBy(F.desc("z"), "term").limit(size))
     return [r["term"] for r in found.collect()]
