@@ -7,10 +7,10 @@ A collection is a parquet table of points: ``point_id``, ``embedding``
 * one query: the score is a JVM expression over the array column and
   ``orderBy(score desc).limit(k)`` becomes a per-partition top-k
   (TakeOrderedAndProject);
-* many queries: the query matrix is broadcast after a size check, a numpy
-  job keeps only the best k per query inside each Arrow batch, and one
-  row_number window (WindowGroupLimit) merges those candidates. No
-  query x point pair table is ever materialised.
+* many queries: chunks of points meet blocks of queries in numpy, which keeps
+  exactly k candidates per chunk and query, and one row_number window
+  (WindowGroupLimit) merges those candidates. No query x point pair table is
+  ever materialised.
 
 The default text embedder is a hashed bag of words: lower-cased words
 (Python ``str.split`` whitespace) are hashed into buckets with md5 and the
@@ -29,9 +29,8 @@ from pyspark.sql import types as T
 DEFAULT_DIM = 384
 EMBEDDER = "hashed-words-md5"
 DEFAULT_K = 5
-# Query matrices up to this many floats are broadcast in one pass; larger
-# batches are split into several passes over the points (never truncated).
-BROADCAST_QUERY_FLOATS = 4_000_000
+# Floats of the queries that meet a chunk of points at once.
+QUERY_BLOCK_FLOATS = 1_000_000
 
 POINTS = T.StructType([
     T.StructField("point_id", T.StringType()),
@@ -226,49 +225,62 @@ def search(points: DataFrame, query: list[float], k: int = DEFAULT_K,
     return scored.orderBy(F.col("score").desc(), F.col(id_col)).limit(k)
 
 
-def _batch_topk_fn(qids, qmat, k, id_col, vector_col, threshold, positive, arrow_schema):
+def _unit_rows(flat, n: int):
+    """n vectors of length one (zero vectors stay zero) from their components."""
     import numpy as np
+    rows = np.asarray(flat, dtype=np.float64).reshape(n, -1)
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+
+
+def _pack_fn(id_col: str, vector_col: str, arrow_schema):
+    """mapInArrow body: each batch as one row of ids and unit vectors."""
     import pyarrow as pa
 
-    q = np.asarray(qmat, dtype=np.float64)
-    qn = np.linalg.norm(q, axis=1)
-    qids = list(qids)
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(vector_col).flatten().to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_pydict(
+                    {"ids": [batch.column(id_col).to_pylist()],
+                     "vectors": [_unit_rows(flat, batch.num_rows).tobytes()]}, schema=arrow_schema)
+    return run
+
+
+def best_of_chunk(score, ids: list, k: int, threshold: float | None, positive: bool) -> list[int]:
+    """Places of exactly k scores by (score, id), the order of the final
+    ranking: what a chunk leaves out can not rank among the k of the table."""
+    import numpy as np
+    keep = np.nonzero(score > 0)[0] if positive else np.arange(len(ids))
+    if threshold is not None:
+        keep = keep[score[keep] >= threshold]
+    if keep.size > k:
+        kth = np.partition(-score[keep], k - 1)[k - 1]
+        over, tied = keep[-score[keep] < kth], keep[-score[keep] == kth]
+        tied = sorted(tied.tolist(), key=lambda i: ids[i])[:k - len(over)]
+        return over.tolist() + tied
+    return keep.tolist()
+
+
+def _meet_fn(id_col: str, k: int, threshold: float | None, positive: bool, arrow_schema):
+    """mapInArrow body: a chunk of points against a block of queries."""
+    import numpy as np
+    import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(id_col).to_pylist()
-            vecs = batch.column(vector_col)
-            if len(ids) == 0:
-                continue
-            flat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            d = flat.reshape(len(ids), q.shape[1])
-            dn = np.linalg.norm(d, axis=1)
-            den = np.outer(dn, qn)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.where(den > 0, (d @ q.T) / den, 0.0)
-            # scores are compared at 1e-9: summation order must not break ties
-            s = np.round(s, SCORE_DIGITS)
-            out_q, out_id, out_s = [], [], []
-            for j in range(q.shape[0]):
-                col = s[:, j]
-                keep = np.nonzero(col > 0)[0] if positive else np.arange(len(ids))
-                if threshold is not None:
-                    keep = keep[col[keep] >= threshold]
-                if keep.size == 0:
-                    continue
-                if keep.size > k:
-                    # exactly k by (score, id), the order of the final ranking: what a
-                    # batch leaves out can not rank among the k of the whole table
-                    kth = np.partition(-col[keep], k - 1)[k - 1]
-                    over, tied = keep[-col[keep] < kth], keep[-col[keep] == kth]
-                    tied = sorted(tied.tolist(), key=lambda i: ids[i])[:k - len(over)]
-                    keep = np.concatenate([over, np.array(tied, dtype=keep.dtype)])
-                for i in keep:
-                    out_q.append(qids[j])
-                    out_id.append(ids[i])
-                    out_s.append(float(col[i]))
-            yield pa.RecordBatch.from_pydict(
-                {"query_id": out_q, id_col: out_id, "score": out_s}, schema=arrow_schema)
+            for row in range(batch.num_rows):
+                ids = batch.column("ids")[row].as_py()
+                points = np.frombuffer(batch.column("vectors")[row].as_py()).reshape(len(ids), -1)
+                block = batch.column("block")[row].as_py()
+                q = _unit_rows([q["v"] for q in block], len(block))
+                # scores are compared at 1e-9: summation order must not break ties
+                score = np.round(points @ q.T, SCORE_DIGITS)
+                out = [(block[j]["qid"], ids[i], float(score[i, j])) for j in range(len(block))
+                       for i in best_of_chunk(score[:, j], ids, k, threshold, positive)]
+                yield pa.RecordBatch.from_pydict(
+                    {"query_id": [o[0] for o in out], id_col: [o[1] for o in out],
+                     "score": [o[2] for o in out]}, schema=arrow_schema)
     return run
 
 
@@ -281,38 +293,37 @@ def search_batch(points: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                  query_vector_col: str = "embedding", positive: bool = False) -> DataFrame:
     """V4 for many queries: (query_id, id, score, rank), rank <= k.
 
-    ``positive`` leaves out scores of zero and below before ranking.
-
-    Vectors of equal dimension are required (checked per batch by reshape).
-    ``queries`` is small by contract; its size is checked here and larger
-    batches are processed in several broadcast passes.
+    Points are packed into chunks (a row of ids and unit vectors per Arrow
+    batch) and queries into blocks of at most about ``QUERY_BLOCK_FLOATS``
+    floats; every chunk meets every block in numpy and returns exactly k
+    candidates per query, which one window merges. One block is broadcast, more
+    are Spark's choice; no query passes through the driver. ``positive`` leaves
+    out scores of zero and below before ranking. Vectors of another dimension
+    than the queries' fail the job.
     """
-    spark = points.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_schema
     q = queries.select(F.col(query_id_col).alias("qid"), F.col(query_vector_col).alias("v"))
-    n_q = q.count()
-    dim = q.select(F.max(F.size("v"))).first()[0] or 0
-    per_pass = max(1, BROADCAST_QUERY_FLOATS // max(dim, 1))
+    size = q.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    dim = size["dim"] or 0
+    n_blocks = max(1, -(-size["n"] * dim // QUERY_BLOCK_FLOATS))
+    blocks = (q.groupBy(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("b"))
+              .agg(F.collect_list(F.struct("qid", F.col("v").cast("array<double>").alias("v")))
+                   .alias("block")).select("block"))
+    if n_blocks == 1:
+        blocks = F.broadcast(blocks)
     id_type = points.schema[id_col].dataType
-    q_type = queries.schema[query_id_col].dataType
-    out_schema = T.StructType([T.StructField("query_id", q_type), T.StructField(id_col, id_type),
+    packed_schema = T.StructType([T.StructField("ids", T.ArrayType(id_type)),
+                                  T.StructField("vectors", T.BinaryType())])
+    vector = F.col(vector_col)
+    checked = F.when(F.size(vector) == dim, vector).otherwise(
+        F.raise_error(F.lit(f"embedding dimension must be {dim}")))
+    packed = (points.filter(vector.isNotNull()).select(id_col, checked.alias(vector_col))
+              .mapInArrow(_pack_fn(id_col, vector_col, to_arrow_schema(packed_schema)), packed_schema))
+    out_schema = T.StructType([T.StructField("query_id", queries.schema[query_id_col].dataType),
+                               T.StructField(id_col, id_type),
                                T.StructField("score", T.DoubleType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow_schema = to_arrow_schema(out_schema)
-    slim = points.select(id_col, vector_col).filter(F.col(vector_col).isNotNull())
-    candidates = None
-    ordered = q.orderBy("qid")
-    for start in range(0, max(n_q, 1), per_pass):
-        # one bounded chunk of query vectors on the driver (size checked above)
-        chunk = ordered.offset(start).limit(per_pass).collect() if start else \
-            ordered.limit(per_pass).collect()
-        if not chunk:
-            break
-        fn = _batch_topk_fn([r["qid"] for r in chunk], [list(r["v"]) for r in chunk], k,
-                            id_col, vector_col, threshold, positive, arrow_schema)
-        part = slim.mapInArrow(fn, out_schema)
-        candidates = part if candidates is None else candidates.unionByName(part)
-    if candidates is None:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
+    candidates = packed.crossJoin(blocks).mapInArrow(
+        _meet_fn(id_col, k, threshold, positive, to_arrow_schema(out_schema)), out_schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_col))
     return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

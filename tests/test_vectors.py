@@ -86,29 +86,32 @@ def test_batch_search_equals_single_search(spark):
         assert got == single
 
 
-def test_batch_search_in_several_passes(spark, monkeypatch):
-    """A query matrix above the broadcast budget is split into passes over
-    the points; the result is the same as one pass."""
+def test_batch_search_in_several_blocks(spark, monkeypatch):
+    """Queries beyond one block are split into several; the result is the
+    same."""
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     cents = V.centroids(e, "label").withColumnRenamed("label", "query_id")
     one = sorted(V.search_batch(e, cents, k=4, id_col="vec_id").collect())
-    monkeypatch.setattr(V, "BROADCAST_QUERY_FLOATS", 3 * 64)  # 3 queries per pass
+    monkeypatch.setattr(V, "QUERY_BLOCK_FLOATS", 3 * 64)  # about 3 queries per block
     many = sorted(V.search_batch(e, cents, k=4, id_col="vec_id").collect())
     assert one == many and len(one) == 4 * cents.count()
 
 
-def test_batch_candidates_are_bounded(spark):
-    """Points at the same score do not travel: at most k of a batch and query."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def test_chunk_candidates_are_bounded():
+    """Points at the same score do not travel: at most k of a chunk and query."""
     import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import types as T
-    schema = to_arrow_schema(T.StructType([T.StructField("query_id", T.LongType()),
-                                           T.StructField("id", T.LongType()),
-                                           T.StructField("score", T.DoubleType())]))
     ids = np.random.default_rng(0).permutation(500).tolist()
-    batch = pa.RecordBatch.from_pydict({"id": ids, "embedding": [[1.0, 0.0]] * 500})
-    for positive, query, n in ((False, [0.0, 1.0], 3), (True, [0.0, 1.0], 0), (True, [1.0, 0.0], 3)):
-        fn = V._batch_topk_fn([7], [query], 3, "id", "embedding", None, positive, schema)
-        rows = [r for b in fn([batch]) for r in b.to_pylist()]
-        assert len(rows) == n and [r["id"] for r in rows] == list(range(n))
+    zero, one = np.zeros(500), np.ones(500)
+    for score, positive, n in ((zero, False, 3), (zero, True, 0), (one, True, 3)):
+        found = V.best_of_chunk(score, ids, 3, None, positive)
+        assert sorted(ids[i] for i in found) == list(range(n))
+    mixed = np.array([0.5, 0.9, 0.5, 0.1, 0.5])
+    assert sorted(V.best_of_chunk(mixed, [9, 8, 7, 6, 5], 3, None, False)) == [1, 2, 4]
+    assert V.best_of_chunk(mixed, [9, 8, 7, 6, 5], 5, 0.5, False) == [0, 1, 2, 4]
+
+
+def test_batch_search_refuses_other_dimensions(spark):
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    with pytest.raises(Exception, match="dimension"):
+        V.search_batch(points, queries, id_col="id").collect()
