@@ -1,10 +1,10 @@
 """Per-file profiling (parse) as one distributed job.
 
 Files are routed by (type, suffix). Markdown, plain text and binary files are
-profiled with native column expressions inside whole-stage codegen. Python
-sources, CSV files and notebooks need a real parser; only those rows (plus
-Markdown that is not valid UTF-8, for the exact decoder message) go through
-one ``mapInArrow`` job that runs the per-file helpers of
+profiled with native column expressions inside whole-stage codegen, notebooks
+of format 4 as VARIANT values. Python sources, CSV files and the other
+notebooks need a real parser; only those rows (plus Markdown that is not valid
+UTF-8, for the exact decoder message) go through one ``mapInArrow`` job that runs the per-file helpers of
 ``quarry.functions.profilers`` on Arrow batches. Both branches produce the same
 columns and are glued with ``unionByName``.
 
@@ -74,13 +74,52 @@ def _text(content: Column) -> Column:
     return content.cast("string")
 
 
+def notebook_cells(text: Column) -> Column:
+    """The cells (kind, source) of a notebook of format 4, null for any
+    other text: text that is no JSON, older formats (their cells need an
+    upgrade) and cells without kind or source (their message names the key)."""
+    notebook = F.try_parse_json(text)
+    found = F.try_variant_get(notebook, "$.cells", "array<variant>")
+
+    def cell(c: Column) -> Column:
+        # a source is a string or a list of strings to join
+        parts = F.try_variant_get(c, "$.source", "array<string>")
+        return F.struct(
+            F.try_variant_get(c, "$.cell_type", "string").alias("kind"),
+            F.coalesce(F.array_join(parts, ""),
+                       F.try_variant_get(c, "$.source", "string")).alias("source"))
+
+    cells = F.transform(found, cell)
+    whole = F.forall(cells, lambda c: c["kind"].isNotNull() & c["source"].isNotNull())
+    return F.when((F.try_variant_get(notebook, "$.nbformat", "bigint") == 4) & whole, cells)
+
+
+def _notebooks(files: DataFrame) -> DataFrame:
+    """Profiles of the notebooks whose ``_cells`` are known."""
+    cells = F.col("_cells")
+    count = lambda kind: F.size(F.filter(cells, lambda c: c["kind"] == kind)).cast("bigint")
+    counts = {"total": F.size(cells).cast("bigint"), "code": count("code"), "markdown": count("markdown")}
+    shown = F.array_join(F.transform(
+        F.slice(cells, 1, X.NB_PREVIEW_CELLS),
+        lambda c, i: template(X.NB_CELL, index=i + 1, kind=c["kind"],
+                              source=F.substring(c["source"], 1, X.NB_CELL_PREVIEW_CHARS))), "\n\n")
+    details = {f"{k}_cells": n for k, n in counts.items()}
+    return files.select(
+        *FILE_COLUMNS, "parser", template(X.NB_SUMMARY, **counts).alias("summary"),
+        preview(shown, X.PREVIEW_CHARS).alias("content_preview"), F.lit(True).alias("success"),
+        F.lit(None).cast("string").alias("error"), _details(**details).alias("details"),
+        _detail_lines(**details).alias("detail_lines"))
+
+
 def route(files: DataFrame) -> DataFrame:
-    """Adds ``parser`` and ``python_side`` (rows that need the Arrow job)."""
+    """Adds ``parser``, ``_cells`` (notebooks of format 4) and ``python_side``
+    (rows that need the Arrow job)."""
     parser = parser_for(F.col("file_type"), F.col("suffix"))
     valid = F.is_valid_utf8(_text(F.col("content")))
-    routed = files.withColumn("parser", parser)
     p = F.col("parser")
-    python_side = (p.isin(*PYTHON_SIDE)
+    routed = files.withColumn("parser", parser).withColumn(
+        "_cells", F.when(p == "notebook", notebook_cells(_text(F.col("content")))))
+    python_side = (p.isin("python", "csv") | ((p == "notebook") & F.col("_cells").isNull())
                    | ((p == "markdown") & F.col("content").isNotNull() & ~valid))
     return routed.withColumn("python_side", python_side)
 
@@ -251,15 +290,17 @@ def parse_files(files: DataFrame, native_only: bool = False) -> DataFrame:
     modified) and, for files held in a table, ``content`` (STRING or BINARY,
     NULL for a vanished file); without it the files are opened by path.
     ``native_only`` skips the Arrow job (callers that keep only files with
-    a native profile: Markdown, plain text, binary).
+    a native profile: Markdown, plain text, binary, notebooks of format 4).
     """
     if "content" not in files.columns:
         return _parse_by_path(files)
     routed = route(files)
-    native = _native(routed.filter(~F.col("python_side")))
-    if not native_only:
-        native = native.unionByName(_python_side(routed.filter(F.col("python_side"))))
-    return native
+    jvm, notebook = ~F.col("python_side"), F.col("parser") == "notebook"
+    native = _native(routed.filter(jvm & ~notebook)).unionByName(
+        _notebooks(routed.filter(jvm & notebook)))
+    if native_only:
+        return native
+    return native.unionByName(_python_side(routed.filter(F.col("python_side"))))
 
 
 _MEASURES = ("path string, _missing boolean, _binary boolean, _words bigint, _lines bigint, "
@@ -312,7 +353,7 @@ def _parse_by_path(files: DataFrame) -> DataFrame:
 def without_profile(files: DataFrame) -> DataFrame:
     """The parse columns as NULLs, for aggregates that need names and types only."""
     nulls = {f.name: F.lit(None).cast(f.dataType) for f in PROFILE_FIELDS}
-    routed = route(files)
+    routed = files.withColumn("parser", parser_for(F.col("file_type"), F.col("suffix")))
     return routed.select(*FILE_COLUMNS, "parser", *[v.alias(k) for k, v in nulls.items()])
 
 

@@ -174,9 +174,10 @@ SELECT path, 'Jupyter notebook with ' || n || ' cells (' || (n + 1) // 2 || ' co
   CAST(n // 2 AS BIGINT) AS markdown_cells, {O.preview('pv')} AS content_preview
 FROM nb3""".replace("\n, nb AS", ",\nnb AS"))
 def notebook_profile(spark, sf_dir):
-    """Notebook cells and preview (JSON decoded in the Arrow job)."""
+    """Notebook cells and preview (JSON read as VARIANT, no Python)."""
     p = parse.parse_files(_as_notebook(_inventory(spark, sf_dir))
-                          .filter((F.col("file_type") == "notebook") & (F.col("suffix") == ".ipynb")))
+                          .filter((F.col("file_type") == "notebook") & (F.col("suffix") == ".ipynb")),
+                          native_only=True)
     return p.select("path", "summary", "details.total_cells", "details.code_cells",
                     "details.markdown_cells", "content_preview")
 

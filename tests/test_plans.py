@@ -35,7 +35,7 @@ def test_ticket_join_broadcasts_scopes(spark):
 
 
 def test_native_profiles_stay_in_the_jvm(spark):
-    for name in ("markdown_profile", "generic_profile", "binary_profile"):
+    for name in ("markdown_profile", "generic_profile", "binary_profile", "notebook_profile"):
         plan = _plan(REG[name].build(spark, SF_SMALL))
         assert "MapInArrow" not in plan and "PythonUDF" not in plan, name
 

@@ -347,3 +347,46 @@ def test_each_file_is_opened_by_one_branch(spark, workspace):
     assert physical.count("MapInPandas") + physical.count("MapInArrow") == 2
     assert "content" not in physical.split("Scan parquet")[1].split("\n")[0].split("ReadSchema")[-1] \
         .replace("content_preview", "")
+
+
+NOTEBOOKS = {
+    "four.ipynb": NOTEBOOK,
+    "lists.ipynb": {"nbformat": 4, "cells": [{"cell_type": "code", "source": ["a\n", "b"]},
+                                             {"cell_type": "markdown", "source": []}]},
+    "none.ipynb": {"nbformat": 4, "cells": []},
+    "three.ipynb": {"nbformat": 3, "worksheets": [{"cells": [
+        {"cell_type": "heading", "level": 2, "source": ["Big\n", "title"]},
+        {"cell_type": "code", "input": ["x = 1"]}, {"cell_type": "html", "source": "<b>"}]}]},
+    "two.ipynb": {"nbformat": 2, "worksheets": [{"cells": [{"cell_type": "code", "input": "y"}]}]},
+    "one.ipynb": {"cells": [{"cell_type": "code", "code": "z"}, {"cell_type": "text", "text": "t"}]},
+    "keyless.ipynb": {"nbformat": 4, "cells": [{"cell_type": "code"}]},
+    "nine.ipynb": {"nbformat": 9},
+}
+
+
+def test_notebooks_of_all_formats_by_path_and_in_tables(spark, tmp_path):
+    """Folder files take the Arrow job, table content the VARIANT path where
+    it can: both give the same profiles."""
+    from pyspark.sql import functions as F
+    root = tmp_path / "nb"
+    root.mkdir()
+    for name, body in NOTEBOOKS.items():
+        (root / name).write_text(json.dumps(body))
+    (root / "text.ipynb").write_text("{not json")
+    files = read_workspace(spark, str(root))
+    bodies = spark.createDataFrame(
+        [(n, (root / n).read_text()) for n in os.listdir(root)], "name string, content string")
+    table = files.join(bodies, "name").select(*files.columns, "content")
+    key = lambda r: r.name
+    by_path = sorted(parse.parse_files(files).drop("modified").collect(), key=key)
+    in_table = sorted(parse.parse_files(table).drop("modified").collect(), key=key)
+    assert [r.asDict() for r in by_path] == [r.asDict() for r in in_table]
+    got = {r.name: r for r in in_table}
+    cells = {n: (r.details.total_cells, r.details.code_cells, r.details.markdown_cells)
+             for n, r in got.items() if r.success}
+    assert cells == {"four.ipynb": (4, 2, 1), "lists.ipynb": (2, 1, 1), "none.ipynb": (0, 0, 0),
+                     "three.ipynb": (3, 1, 2), "two.ipynb": (1, 1, 0), "one.ipynb": (2, 1, 1)}
+    assert got["three.ipynb"].content_preview.startswith("[Cell 1 - markdown]\n## Big title\n\n[Cell 2 - code]")
+    assert got["lists.ipynb"].content_preview == "[Cell 1 - code]\na\nb\n\n[Cell 2 - markdown]\n"
+    native = table.filter(F.col("name").isin("four.ipynb", "lists.ipynb", "none.ipynb"))
+    assert parse.route(native).filter("python_side").count() == 0
