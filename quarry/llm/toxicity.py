@@ -52,6 +52,7 @@ EFFECT = 2.0           # least log ratio of the document shares of a term
 PREFIXES = (4, 5, 6)
 BIAS = 2.0
 BLOCK = 32
+GROUP = 8              # blocks scored at once
 NEIGHBOURS = 15
 SOFT = 0.05
 EVIDENCE = 3
@@ -100,51 +101,52 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[dict[int, float]], block: int = BLOCK):
         self.n, self.block = len(vectors), block
-        self.blocks = -(-self.n // block) if self.n else 0
-        postings: dict[int, list[tuple[int, float]]] = {}
+        self.blocks = -(-self.n // block)
+        lists: dict[int, dict[int, np.ndarray]] = {}
         for i, vector in enumerate(vectors):
             for term, weight in vector.items():
-                postings.setdefault(term, []).append((i, weight))
-        # term -> examples, weights, the blocks they fall in, where each block
-        # begins in the postings, and the block's largest weight
+                postings = lists.setdefault(term, {})
+                if i // block not in postings:
+                    postings[i // block] = np.zeros(block)
+                postings[i // block][i % block] = weight
+        # term -> the blocks that hold it, its weights in each, the largest of each
         self.terms = {}
-        for term, rows in postings.items():
-            at = np.array([r[0] for r in rows])
-            weight = np.array([r[1] for r in rows])
-            blocks, begin = np.unique(at // block, return_index=True)
-            self.terms[term] = (at, weight, blocks, np.append(begin, len(at)),
-                                np.maximum.reduceat(weight, begin))
-
-    def search(self, query: dict[int, float], enough) -> list[tuple[int, float]]:
-        """(example, similarity), nearest first and ties to the smaller
-        example, for the shortest list on which ``enough`` is true of the
-        examples (all ties of its last similarity included)."""
+        for term, postings in lists.items():
+            weights = np.stack(list(postings.values()))
+            self.terms[term] = (np.array(list(postings)), weights, weights.max(axis=1))
+
+    def search(self, query: dict[int, float], rows: np.ndarray,
+               need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, similarities), nearest first and ties to the smaller
+        example: the shortest list that ends at a similarity and on which
+        ``rows`` sum up to ``need`` (all examples if they never do)."""
+        known = [(self.terms[t], q) for t, q in query.items() if t in self.terms]
         bound = np.zeros(self.blocks)
-        for term, q in query.items():
-            if term in self.terms:
-                _, _, blocks, _, top = self.terms[term]
-                bound[blocks] += q * top
-        found: list[tuple[int, float]] = []
-        least = -1.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] < least - 1e-9:
+        for (blocks, _, top), q in known:
+            bound[blocks] += q * top
+        order = np.argsort(-bound, kind="stable")
+        at, sim, least = np.zeros(0, np.int64), np.zeros(0), -1.0
+        for start in range(0, len(order), GROUP):
+            group = order[start:start + GROUP]
+            group = group[bound[group] >= least - 1e-9]
+            if not len(group):
                 break
-            score = np.zeros(min(self.block, self.n - b * self.block))
-            for term, q in query.items():
-                if term in self.terms:
-                    at, weight, blocks, begin, _ = self.terms[term]
-                    j = int(np.searchsorted(blocks, b))
-                    if j < len(blocks) and blocks[j] == b:
-                        part = slice(begin[j], begin[j + 1])
-                        score[at[part] - b * self.block] += q * weight[part]
-            found += [(b * self.block + i, s) for i, s in enumerate(score.tolist()) if s >= least]
-            found.sort(key=lambda x: (-round(x[1], 12), x[0]))
-            for k in range(1, len(found) + 1):
-                if enough(found[:k]):
-                    least = round(found[k - 1][1], 12)
-                    found = [x for x in found if round(x[1], 12) >= least]
-                    break
-        return found
+            score = np.zeros((len(group), self.block))
+            for (blocks, weights, _), q in known:
+                j = np.minimum(np.searchsorted(blocks, group), len(blocks) - 1)
+                hit = blocks[j] == group
+                score[hit] += q * weights[j[hit]]
+            i = (group[:, None] * self.block + np.arange(self.block)).ravel()
+            s = np.round(score.ravel(), 12)
+            near = (i < self.n) & (s >= least)
+            at, sim = np.concatenate([at, i[near]]), np.concatenate([sim, s[near]])
+            best = np.lexsort((at, -sim))
+            at, sim = at[best], sim[best]
+            k = int(np.searchsorted(np.cumsum(rows[at]), need))
+            if k < len(at):
+                least = sim[k]
+                at, sim = at[sim >= least], sim[sim >= least]
+        return at, sim
 
 
 @dataclass
@@ -172,17 +174,14 @@ class ToxicityModel:
         if without:
             rows = rows.copy()
             rows[without[0]] -= 1
-        near = self.index.search(
-            self.vector(counts), lambda found: sum(rows[i] for i, _ in found) >= NEIGHBOURS)
-        yes = every = 0.0
-        for i, s in near:
-            weight = 1 / (max(0.0, 1 - s) + SOFT)
-            p, t = self.positive[i], self.total[i]
-            if without and without[0] == i:
-                one = self.weights[without[1]]
-                p, t = p - one * without[1], t - one
-            yes, every = yes + weight * p, every + weight * t
-        return (yes / every if every > 0 else 0.0), near
+        near, sims = self.index.search(self.vector(counts), rows, NEIGHBOURS)
+        weight = 1 / (np.maximum(0.0, 1 - sims) + SOFT)
+        positive, total = self.positive[near], self.total[near]
+        if without:
+            own, one = near == without[0], self.weights[without[1]]
+            positive, total = positive - one * without[1] * own, total - one * own
+        every = float(weight @ total)
+        return (float(weight @ positive) / every if every > 0 else 0.0), near.tolist()
 
     def raw(self, share: float) -> float:
         p = min(max(share, 0.005), 0.995)
@@ -191,7 +190,7 @@ class ToxicityModel:
     def score(self, counts: tuple) -> tuple[float, list]:
         share, near = self.vote(counts)
         z = self.slope * self.raw(share) + self.shift
-        return 1 / (1 + math.exp(-z)), [self.example[i] for i, _ in near[:EVIDENCE]]
+        return 1 / (1 + math.exp(-z)), [self.example[i] for i in near[:EVIDENCE]]
 
     weights: tuple = (1.0, 1.0)
 

@@ -74,11 +74,12 @@ def test_block_max_search_is_exact():
     vectors += vectors[:20]  # ties
     index = toxicity.BlockMaxIndex(vectors, block=16)
     for q in vectors[::37]:
-        near = index.search(q, lambda found: len(found) >= 7)
+        near, sims = index.search(q, np.ones(len(vectors)), 7)
         all_ = sorted(((round(sum(w * v.get(t, 0.0) for t, w in q.items()), 12), -i)
                        for i, v in enumerate(vectors)), reverse=True)
         floor = all_[6][0]
-        assert [i for i, _ in near] == [-i for s, i in all_ if s >= floor]
+        assert near.tolist() == [-i for s, i in all_ if s >= floor]
+        assert sims.tolist() == [s for s, _ in all_ if s >= floor]
 
 
 def test_quality_on_held_out_documents(spark, quality_model):
