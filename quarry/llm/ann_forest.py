@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, python_ready
+from quarry.llm.common import hash_sample, materialize, python_ready
 
 TREES = 3
 LEAF = 24
@@ -187,8 +187,7 @@ def ann_search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id",
         .groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids"))
         .select(F.col("ids")[0].alias("point"), "ids", "vec"), "ann-points")
     n_points = points.count()
-    picked = (points.orderBy(F.xxhash64("point", F.lit(SEED)), "point").limit(sample)
-              .select("vec").toPandas()["vec"])
+    picked = hash_sample(points, sample, n_points, "point").select("vec").toPandas()["vec"]
     if not n_points:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     forest = fit(_unit(picked.tolist()), k=k)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.session import materialize, ship_package
 
-__all__ = ["WHITESPACE", "WORD", "key", "materialize", "python_ready", "table", "text_or_empty"]
+__all__ = ["WHITESPACE", "WORD", "hash_sample", "key", "materialize", "python_ready", "table",
+           "text_or_empty"]
 
 # fixed values: the word and white-space classes of the contracts
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +33,17 @@ def key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
 
 
+def hash_sample(rows: DataFrame, n: int, total: int, *cols: str) -> DataFrame:
+    """About the ``n`` rows that come first by a hash of ``cols``, of ``total``.
+
+    Rows far behind in that order are left out before the sort, so that each
+    task hands over its part of some 2 n rows, not n rows.
+    """
+    place = F.pmod(F.xxhash64(*cols, F.lit("sample")), F.lit(1 << 40))
+    share = min(1.0, (2 * n + 100) / max(total, 1))
+    return rows.where(place < int(share * (1 << 40))).orderBy(place, *cols).limit(n)
+
+
 def python_ready(df: DataFrame) -> SparkSession:
     """The frame's session, with this package importable in Python workers."""
     ship_package(df.sparkSession)

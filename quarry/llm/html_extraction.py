@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import python_ready, text_or_empty
+from quarry.llm.common import hash_sample, python_ready, text_or_empty
 
 SAMPLE = 2_000
 KEYS = 5_000
@@ -229,7 +229,7 @@ def learn(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) ->
 
     marked = (pages.select(F.col(id_col).alias("id"), text_or_empty(html_col).alias("html"))
               .where(F.regexp_count("html", F.lit("(?i)<(article|main)[ >]")) == 1))
-    picked = marked.orderBy(F.xxhash64("id", F.lit("sample")), F.xxhash64("html")).limit(sample)
+    picked = hash_sample(marked.withColumn("h", F.xxhash64("html")), sample, marked.count(), "id", "h")
     rows = (picked.mapInPandas(count, "kind string, key string, n_in bigint, n_out bigint")
             .groupBy("kind", "key").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
             .orderBy(F.desc(F.col("n_in") + F.col("n_out")), "kind", "key").limit(KEYS).collect())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, text_or_empty
+from quarry.llm.common import hash_sample, materialize, text_or_empty
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
@@ -27,8 +27,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
              .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label)).cast("int").alias("y")))
     known = materialize(known, "labelled")
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64("id", F.lit("sample")), F.col("id")]
-    picked = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
+    picked = [hash_sample(known.where(F.col("y") == y), per_class, totals.get(y, 0), "id")
+              for y in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     rows = (docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
             .join(ids, "id").groupBy("id", "y").agg(F.min("text").alias("text")))

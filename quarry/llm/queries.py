@@ -102,7 +102,8 @@ WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0
     THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
-  SELECT page_id, lower(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '')) AS host,
+  SELECT page_id, translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 j AS (SELECT *, {_RULE_SQL} AS rule FROM p),
 h AS (
