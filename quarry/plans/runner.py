@@ -21,7 +21,7 @@ from quarry.operators import tickets as TK
 from quarry.operators import vectors as V
 from quarry.operators.aggregate import large_file_names
 from quarry.plans import report as R
-from quarry.session import materialize
+from quarry.session import materialize, release, stage_mark
 
 
 def _now_iso() -> str:
@@ -122,7 +122,7 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
     ticket), ``report_files``, ``report_errors`` and ``large_files``
     (parquet, keyed by scope_id; join ``reports`` on it).
     """
-    started = _now_iso()
+    started, mark = _now_iso(), stage_mark()
     t0 = time.perf_counter()
     validated = TK.with_scope(TK.validate(tickets))
     scope_df = TK.scopes(validated)
@@ -156,6 +156,7 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
         F.lit(started).alias("started_at"), F.lit(_now_iso()).alias("completed_at"))
     reports.withColumn("performance", perf).write.mode("overwrite").json(
         os.path.join(out_dir, "reports"))
+    release(spark, mark)  # everything is written
     return {"out_dir": out_dir, "collection": collection,
             "timings": {"scan": scan_s, "parse": parse_s, "index": index_s, "total": total}}
 

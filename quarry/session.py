@@ -114,9 +114,30 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _STAGES.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+_STAGES: list[str] = []
+
+
+def stage_mark() -> int:
+    """Place in the list of this process's stage tables, for ``release``."""
+    return len(_STAGES)
+
+
+def release(spark: SparkSession, mark: int, keep_last: bool = False) -> None:
+    """Deletes the stage tables written since ``mark`` (but the last one, if
+    asked). For runs whose results are written: frames that read a released
+    table can not be used any more."""
+    paths = _STAGES[mark:len(_STAGES) - 1 if keep_last else len(_STAGES)]
+    _STAGES[mark:mark + len(paths)] = []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def spread(df: DataFrame, key: str | None = None, target: int | None = None) -> DataFrame:
     """Give the per-row stages after a small scan enough tasks.
 

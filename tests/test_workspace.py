@@ -272,6 +272,39 @@ def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "report_errors")).count() == 2
     hits = P.search_workspace(spark, out["collection"], "calculate numpy", limit=3).collect()
     assert hits and hits[0].file_path.endswith("nested.py")
+    # the report names the table of its files, lists its errors and the true embedder
+    assert rep.results.files_location == str(tmp_path / "out" / "report_files")
+    assert len(rep.errors) == 2 and any(e.startswith("bad.py: Syntax error") for e in rep.errors)
+    assert rep.rag_status.embedding_model == "hashed-words-md5"
+    p = rep.performance
+    assert p.processing_time_seconds >= p.scan_time_seconds + p.parse_time_seconds
+
+
+def test_run_tickets_leaves_no_stage_tables(spark, workspace, tmp_path):
+    from quarry.operators.tickets import TICKET_SCHEMA
+    from quarry.plans import runner as P
+    from quarry.session import ensure_checkpoint_dir
+    files = read_workspace(spark, workspace)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    tickets = spark.createDataFrame(
+        [("T-ALL", workspace, None, None, True, True, None)], TICKET_SCHEMA)
+    P.run_tickets(spark, files, tickets, str(tmp_path / "o"), collection=str(tmp_path / "c"))
+    assert set(os.listdir(folder)) == before
+
+
+def test_large_files_are_named_in_the_warning(spark, tmp_path, monkeypatch):
+    from quarry.operators import aggregate
+    from quarry.operators.tickets import TICKET_SCHEMA
+    root = tmp_path / "large"
+    root.mkdir()
+    for name, size in (("b.txt", 50), ("a.txt", 60), ("small.txt", 5)):
+        (root / name).write_text("x" * size)
+    monkeypatch.setattr(aggregate, "LARGE_FILE_BYTES", 20)
+    tickets = spark.createDataFrame([("T", str(root), None, None, True, True, None)], TICKET_SCHEMA)
+    run = R.prepare(read_workspace(spark, str(root)), tickets)
+    (warning,) = R.build_reports(run, "x").first().warnings
+    assert warning.affected_files == ["a.txt", "b.txt"] and "2 large files" in warning.message
 
 
 ODD_NAMES = ["two words.txt", "br[a]ck{e}t.md", "per%20cent.txt", "_under.md", ".dot.txt",
