@@ -4,7 +4,8 @@
 (spark, docs, sf_dir) and returns the documents that it keeps, with the
 columns of ``documents``; the last returns the encoded corpus. ``run`` writes
 every stage's result as Parquet under ``spark.checkpoint.dir`` and reads it
-back for the next one, so a lost executor repeats tasks of one stage at most.
+back for the next one, so a lost executor repeats tasks of one stage at most;
+what a stage was made from is deleted when its result is written.
 
 Each operator's defined cases hold for its stage (its module's docstring);
 columns beside ``doc_id``, ``text`` and ``source`` pass through unread.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.llm import exact_dedup, mixing, sentencepiece_codec, simhash_dedup, toxicity
 from quarry.llm.common import materialize, table
 from quarry.llm.queries import tokenizer_path
+from quarry.session import release, stage_mark
 
 TOXIC = 0.5
 
@@ -61,7 +63,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), stage_mark()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, mark, keep_last=True)  # what led to the stage's result
     return docs

@@ -27,6 +27,19 @@ def test_all_queries_are_registered():
     assert len([n for n in QUERIES if n.startswith("op")]) == 10
 
 
+def test_run_returns_the_last_stage_and_keeps_only_its_table(spark):
+    import os
+
+    from quarry.session import ensure_checkpoint_dir
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, SF_SMALL)
+    assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} == set(out.columns)
+    assert out.count() > 0
+    (left,) = set(os.listdir(folder)) - before
+    assert left.startswith("quarry-pipeline-sentencepiece")
+
+
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
