@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.session import materialize, ship_package
 
-__all__ = ["WHITESPACE", "WORD", "hash_sample", "key", "materialize", "python_ready", "table",
+__all__ = ["WHITESPACE", "WORD", "hash_sample", "id_as_text", "key", "materialize", "python_ready", "table",
            "text_or_empty"]
 
 # fixed values: the word and white-space classes of the contracts
@@ -33,6 +33,12 @@ def key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"))
 
 
+def id_as_text(id_col: str) -> Column:
+    """The id for a trip through pandas, where integers beside a null would
+    become floats; cast back behind it."""
+    return F.col(id_col).cast("string")
+
+
 def hash_sample(rows: DataFrame, n: int, total: int, *cols: str) -> DataFrame:
     """About the ``n`` rows that come first by a hash of ``cols``, of ``total``.
 

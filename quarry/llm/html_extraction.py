@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import hash_sample, python_ready, text_or_empty
+from quarry.llm.common import hash_sample, id_as_text, python_ready, text_or_empty
 
 SAMPLE = 2_000
 KEYS = 5_000
@@ -259,8 +259,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"],
                                 "text": [main_text(p, weights) for p in batch["html"]]})
 
-    return (pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"),
+    return (pages.select(id_as_text(id_col).alias("id"), F.col(url_col).alias("url"),
                          text_or_empty(html_col).alias("html"))
-            .mapInPandas(run, f"id {id_type}, url string, text string")
-            .select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text",
+            .mapInPandas(run, "id string, url string, text string")
+            .select(F.col("id").cast(id_type).alias(id_col), F.col("url").alias(url_col), "text",
                     F.length("text").cast("bigint").alias("n_chars")))

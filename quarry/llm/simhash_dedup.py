@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import key, materialize, python_ready, text_or_empty
+from quarry.llm.common import id_as_text, key, materialize, python_ready, text_or_empty
 from quarry.llm.components import components
 
 SHINGLE = 3
@@ -76,9 +76,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.DataFrame({"id": batch["id"], "h": batch["h"], "fp": fps})
 
     return (docs.select(key(id_col, text_col).alias("k"), text_or_empty(text_col).alias("text"))
-            .select("k.id", "k.h", "text")
-            .mapInPandas(run, f"id {id_type}, h bigint, fp bigint")
-            .select(F.struct("id", "h").alias("k"), "fp"))
+            .select(id_as_text("k.id").alias("id"), "k.h", "text")
+            .mapInPandas(run, "id string, h bigint, fp bigint")
+            .select(F.struct(F.col("id").cast(id_type).alias("id"), "h").alias("k"), "fp"))
 
 
 def _quarters(fp: str) -> list:

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, python_ready, text_or_empty
+from quarry.llm.common import id_as_text, materialize, python_ready, text_or_empty
 from quarry.llm.labelled import held_out, labelled_sample
 
 SAMPLE = 10_000
@@ -369,9 +369,9 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel | None, id_col: str =
             yield pd.DataFrame({"id": batch["id"], "score": [s for s, _ in found],
                                 "evidence_ids": [e for _, e in found]})
 
-    return (docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-            .mapInPandas(run, f"id {id_type}, score double, evidence_ids array<{id_type}>")
-            .select(F.col("id").alias(id_col), held_out("id", FOLDS, FOLD).alias("held_out"),
+    return (docs.select(id_as_text(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+            .mapInPandas(run, f"id string, score double, evidence_ids array<{id_type}>")
+            .select(F.col("id").cast(id_type).alias(id_col), held_out("id", FOLDS, FOLD).alias("held_out"),
                     "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                     "evidence_ids"))
 

@@ -24,6 +24,7 @@ ROWS = [
     (12, PARA + "\nother end", "de", "é", 1),
     (None, "one", "en", "z", 3),
     (None, None, "en", None, 0),
+    ((1 << 60) + 1, "big id", "en", "z", 6),  # no float holds it
     (13, "a b c\nd e f\ng h i\nj k l", "en", "z", 1),
     (14, "x y\na b c\n\nd e f\ng h i\nend", "en", "z", 1),
     (15, "x\nx\nx\nx\nx\nx\nx", "en", "z", 1),

@@ -175,6 +175,32 @@ def test_full_table_changes_nothing(model):
     assert [g[0] for g in got] == [",".join(map(str, i)) for i in model.encode(texts)]
 
 
+def test_pieces_of_a_long_text_have_its_chunks(model):
+    rng = np.random.default_rng(2)
+    parts = [" ", "  ", "   ", "a", "the", "▁", "long" * 9, "é", "\n", " x", "y "]
+    table = sentencepiece_codec.ChunkTable(model)
+    for _ in range(300):
+        text = "".join(rng.choice(parts, rng.integers(1, 60)))
+        whole = table.chunks(text)
+        for size in (1, 2, 5, 17, 40):
+            cut = [c for p in sentencepiece_codec.pieces(text, size) for c in table.chunks(p)]
+            assert cut == whole, (text, size)
+
+
+def test_long_text_in_pieces_encodes_like_the_whole(model, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "GROUP_CHARS", 50)
+    monkeypatch.setattr(sentencepiece_codec.pieces, "__defaults__", (50,))
+    texts = ["", "short", LONG[:3000], " " * 120, "z" * 130 + " tail ", "a  b " * 40, ""]
+    table = sentencepiece_codec.ChunkTable(model)
+    rows = [r for group in sentencepiece_codec.encode_rows(table, list(range(7)), texts, True)
+            for r in group]
+    for (_, n, ids_sha, text_sha, got), text in zip(rows, texts):
+        ids = model.encode(text)
+        assert got.tolist() == ids and n == len(ids)
+        assert ids_sha == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert text_sha == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
 def test_models_whose_pieces_cross_markers_are_refused(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as pb
     proto = pb.ModelProto()
