@@ -11,8 +11,8 @@ carriage return) is deleted. The refinement narrows in three levels:
 No text is shuffled. Levels 1 and 2 work on counts that are pre-aggregated in
 each map task, so a group that holds a third of the rows arrives as one row
 per task. Level 3 finds its rows in the second scan through a bitmap of the
-surviving (length, prefix) pairs: its size is fixed (``FILTER_BITS`` bits, 8
-MB), so it is broadcast at any corpus size; a false positive only costs one
+surviving (length, prefix) pairs (``common.key_filter``): its size is fixed at 8
+MB, so it is broadcast at any corpus size; a false positive only costs one
 hash, because the groups are formed on the full hash. The groups (at most one
 row per distinct repeated text) are written to the checkpoint folder and
 joined back to the surviving rows, a plain sort-merge join that adaptive
@@ -32,10 +32,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITESPACE, key, materialize, text_or_empty
+from quarry.llm.common import (WHITESPACE, key, key_filter, materialize, text_or_empty,
+                               with_filter)
 
 PREFIX_CHARS = 64
-FILTER_BITS = 1 << 26
 
 
 @dataclass(frozen=True)
@@ -61,32 +61,15 @@ def _levels(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> D
         norm.alias("norm"))
 
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("n_norm", "pre"), F.lit(FILTER_BITS)) + 1
-
-
-def _bucket() -> Column:
-    return F.bitmap_bucket_number(_slot())
-
-
-def _bit_set(bitmap: Column) -> Column:
-    """Whether the row's slot is set in ``bitmap`` (null: no)."""
-    pos = F.bitmap_bit_position(_slot())
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-    return F.coalesce(F.getbit(byte.cast("int"), (pos % 8).cast("int")) == 1, F.lit(False))
-
-
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  prefix_chars: int = PREFIX_CHARS) -> ExactGroups:
     levels = _levels(docs, id_col, text_col, prefix_chars)
     pairs = materialize(levels.groupBy("n_norm", "pre").agg(F.count("*").alias("n")), "exact-pairs")
     lengths = pairs.groupBy("n_norm").agg(F.sum("n").alias("n")).where("n > 1").select("n_norm")
     repeated = pairs.where("n > 1").join(lengths, "n_norm", "left_semi")
-    bitmap = materialize(
-        repeated.groupBy(_bucket().alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(_slot())).alias("bits")), "exact-bitmap")
+    bitmap = key_filter(repeated, "n_norm", "pre")
     survivors = materialize(
-        with_filter(levels, bitmap).where("hit")
+        with_filter(levels, bitmap, "n_norm", "pre").where("hit")
         .select("k", "n_norm", "n_chars", F.sha2("norm", 256).alias("sha")), "exact-survivors")
     best = F.max(F.struct("n_chars", F.col("k.id").isNotNull().alias("has_id"),
                           (-F.col("k.id")).alias("neg_id"), F.col("k.h").alias("h")))
@@ -98,14 +81,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return ExactGroups(survivors, groups, bitmap)
 
 
-def with_filter(levels: DataFrame, bitmap: DataFrame) -> DataFrame:
-    """Adds ``hit``: whether the row's (length, prefix) pair is repeated.
-    The broadcast holds at most FILTER_BITS bits."""
-    return (levels.withColumn("bucket", _bucket())
-            .join(F.broadcast(bitmap), "bucket", "left")
-            .withColumn("hit", _bit_set(F.col("bits"))).drop("bucket", "bits"))
-
-
 def decisions(found: ExactGroups) -> DataFrame:
     """One row per key in a repeated group: k, keep_id, keep_h, group_size."""
     return (found.survivors.select("k", "sha", "n_norm")
@@ -143,7 +118,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     marked = with_filter(
         docs.alias("d").select(F.struct("d.*").alias("d")).select(
             "d", key(f"d.{id_col}", f"d.{text_col}").alias("k"), F.length(norm).alias("n_norm"),
-            F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("pre")), found.bitmap)
+            F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("pre")), found.bitmap, "n_norm", "pre")
     single = marked.where("NOT hit").select(*cols)
     repeated = (marked.where("hit").select("k", "d").join(decisions(found), "k", "left")
                 .where("group_size IS NULL OR (keep_id <=> k.id AND keep_h = k.h)")

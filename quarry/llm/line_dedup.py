@@ -19,9 +19,10 @@ starts at a line and ends as soon as it has ``MIN_LINES`` lines or
 Every line of a run of ``MIN_LINES`` lines or ``MIN_WORDS`` words that has
 stood earlier is deleted, and no other line, whichever partners a run has; no
 pair of positions is ever formed. A window that overlaps the first position
-in the same document is no copy. Texts move once, when the deletions join
-them; hot fingerprints and windows meet pre-aggregated tables, and adaptive
-execution can split their rows.
+in the same document is no copy. Texts of documents that lose lines move once,
+when the deletions join them (a bitmap of fixed size finds them); all others
+pass without a shuffle. Hot fingerprints and windows meet pre-aggregated
+tables, and adaptive execution can split their rows.
 
 Defined cases: a null text counts as empty; blank lines are no part of a run
 and stay; rows that repeat id and text are one document and get the same
@@ -36,7 +37,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WHITESPACE, WORD, key, materialize, text_or_empty
+from quarry.llm.common import (WHITESPACE, WORD, key, key_filter, materialize, text_or_empty,
+                               with_filter)
 
 MIN_LINES = 3
 MIN_WORDS = 50
@@ -120,12 +122,18 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                             s["gone"].alias("gone"))))
     whole = F.size(F.filter(_lines(text), lambda x: _trim(x) != ""))
     some = F.col("spans").isNotNull()
-    cols = [F.when(some, F.array_join("r.kept", "\n")).otherwise(text).alias(c)
-            if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
-    return (docs.select(F.struct("*").alias("d"), key(id_col, text_col).alias("k"))
-            .join(spans, "k", "left").withColumn("r", F.when(some, numbered))
-            .select(*cols, F.when(some, F.col("r.n")).otherwise(whole).cast("bigint").alias("lines"),
-                    F.when(some, F.col("r.gone")).otherwise(0).cast("bigint").alias("lines_deleted")))
+    counts = lambda n, gone: (n.cast("bigint").alias("lines"), gone.cast("bigint").alias("lines_deleted"))
+    cols = lambda kept: [kept.alias(c) if c == text_col else F.col(f"d.`{c}`")
+                         for c in docs.columns]
+    marked = with_filter(docs.select(F.struct("*").alias("d"), key(id_col, text_col).alias("k")),
+                         key_filter(spans, "k"), "k")
+    # only documents that lose lines move to meet their spans
+    same = marked.where("NOT hit").select(*cols(text), *counts(whole, F.lit(0)))
+    met = (marked.where("hit").join(spans, "k", "left").withColumn("r", F.when(some, numbered))
+           .select(*cols(F.when(some, F.array_join("r.kept", "\n")).otherwise(text)),
+                   *counts(F.when(some, F.col("r.n")).otherwise(whole),
+                           F.when(some, F.col("r.gone")).otherwise(0))))
+    return same.unionByName(met)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
