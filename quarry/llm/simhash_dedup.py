@@ -34,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_as_text, key, materialize, python_ready, text_or_empty
+from quarry.llm.common import (id_as_text, key, key_filter, materialize, python_ready,
+                               text_or_empty, with_filter)
 from quarry.llm.components import components
 
 SHINGLE = 3
@@ -197,16 +198,20 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
 def simhash_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """k, fp, root, component_id: one row per input row."""
+    """k, fp, component_id, keep (key of the component's row with the least id,
+    then least text hash), size (rows of the component): one row per input row."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("k.id").alias("least_id")), "distinct-fp")
+    first = F.struct(F.col("k.id").isNull().alias("no_id"), "k")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(first).alias("first"),
+                                                  F.count("*").alias("size")), "distinct-fp")
     roots = components(links(distinct.select("fp"), radius, tile))
     named = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-             .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = materialize(named.join(least, "root").select("fp", "root", "component_id"),
-                        "fp-components")
-    return rows.join(of_fp, "fp").select("k", "fp", "root", "component_id")
+             .select("fp", "first", "size", F.coalesce("root", "fp").alias("root")))
+    whole = named.groupBy("root").agg(F.min("first")["k"].alias("keep"), F.sum("size").alias("size"))
+    of_fp = materialize(named.select("fp", "root").join(whole, "root")
+                        .select("fp", "keep", "size"), "fp-components")
+    return (rows.join(of_fp, "fp")
+            .select("k", "fp", F.col("keep.id").alias("component_id"), "keep", "size"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -219,12 +224,19 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with its columns, one row of each component: the row whose id
-    is the component's (a component without any id keeps its rows' first)."""
-    rows = simhash_rows(docs, id_col, text_col, shingle, radius)
-    stays = rows.where("k.id <=> component_id").groupBy("root").agg(F.min("k").alias("k")).select("k")
+    """``docs`` with its columns, one row of each component: the row with the
+    least id (rows without id last, ties to the least text hash).
+
+    Only rows of components with more than one row move to meet their
+    decision; a bitmap of fixed size finds them, all others pass unshuffled.
+    """
+    found = materialize(simhash_rows(docs, id_col, text_col, shingle, radius).where("size > 1")
+                        .select("k", (F.col("k") == F.col("keep")).alias("stays")).distinct(),
+                        "near-copies")
+    marked = with_filter(docs.select(F.struct("*").alias("d"), key(id_col, text_col).alias("k")),
+                         key_filter(found, "k"), "k")
     cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    picked = F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))
-    return (docs.select(F.struct("*").alias("d"), key(id_col, text_col).alias("k"))
-            .join(stays, "k", "left_semi").withColumn("copy", picked).where("copy = 1")
-            .select(*cols))
+    copy = F.row_number().over(Window.partitionBy("k").orderBy(F.lit(1)))
+    met = (marked.where("hit").join(found, "k", "left").where("stays IS NULL OR stays")
+           .withColumn("copy", copy).where("stays IS NULL OR copy = 1"))
+    return marked.where("NOT hit").select(*cols).unionByName(met.select(*cols))
