@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from quarry.plans.registry import register
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import load_table
 from quarry.streaming import topics
 
@@ -26,4 +29,5 @@ SELECT event_type AS topic, count(*) AS messages FROM events GROUP BY 1""")
 def topic_counts_stream(spark, sf_dir):
     """A13 as a Structured Streaming query over the events parquet, run to
     completion (available-now trigger) into a checkpointed table."""
-    return topics.stream_topic_counts(spark, sf_dir, file_glob="events.parquet")
+    once = f"{ensure_checkpoint_dir(spark).rstrip('/')}/topic_counts/{uuid.uuid4().hex}"
+    return topics.stream_topic_counts(spark, sf_dir, once, file_glob="events.parquet")

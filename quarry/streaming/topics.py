@@ -9,13 +9,9 @@ checkpoint.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import ensure_checkpoint_dir
-
 EVENTS_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
                  "value DOUBLE, props STRING")
 
@@ -37,16 +33,17 @@ def totals(log: DataFrame) -> DataFrame:
                    F.count_distinct("topic").alias("topics"))
 
 
-def stream_topic_counts(spark: SparkSession, events_dir: str, file_glob: str = "*.parquet",
-                        output_dir: str | None = None, files_per_batch: int = 1000) -> DataFrame:
+def stream_topic_counts(spark: SparkSession, events_dir: str, output_dir: str,
+                        file_glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
     """Run the per-topic count as a streaming query over a parquet log.
 
-    Each micro-batch writes the complete counts table into
-    ``<checkpoint dir>/topic_counts/<run>/`` through ``foreachBatch``; the
-    stream's own offsets/state live next to it, so a restart resumes.
-    Returns the final table as a batch DataFrame.
+    Each micro-batch writes the complete counts table to ``output_dir/table``
+    through ``foreachBatch``; the stream's offsets and state live next to it
+    (a shared folder that stays the same over runs), so a run with the same
+    ``output_dir`` resumes where the last one ended. Returns the final table
+    as a batch DataFrame.
     """
-    base = output_dir or f"{ensure_checkpoint_dir(spark).rstrip('/')}/topic_counts/{uuid.uuid4().hex}"
+    base = output_dir.rstrip("/")
     out = f"{base}/table"
     stream = (spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", files_per_batch).parquet(events_dir))

@@ -51,3 +51,15 @@ def test_rounding_and_iso(spark):
                     "timestamp_ntz'2024-01-02 03:04:05.000120' b").select(
         TX.iso_timestamp("a").alias("a"), TX.iso_timestamp("b").alias("b")).first()
     assert iso.a == "2024-01-02T03:04:05" and iso.b == "2024-01-02T03:04:05.000120"
+
+
+def test_session_settings_of_the_user_are_kept(spark):
+    from quarry.session import DEFAULT_CONF, apply_conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, "77")
+    try:
+        apply_conf(spark)
+        assert spark.conf.get(name) == "77"
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        spark.conf.set(name, DEFAULT_CONF[name])
