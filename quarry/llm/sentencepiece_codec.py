@@ -208,11 +208,15 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
               + (", ids array<int>" if with_ids else ""))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()  # the table holds many small tuples and no cycles
         chunk_table = ChunkTable(load_model(model_path))
-        for batch in batches:
-            for rows in encode_rows(chunk_table, batch["id"].tolist(), batch["text"].tolist(), with_ids):
-                yield pd.DataFrame(rows, columns=names)
+        gc.disable()  # the table holds many small tuples and no cycles
+        try:
+            for batch in batches:
+                for rows in encode_rows(chunk_table, batch["id"].tolist(), batch["text"].tolist(),
+                                        with_ids):
+                    yield pd.DataFrame(rows, columns=names)
+        finally:
+            gc.enable()  # the worker goes on with other tasks
 
     return (docs.select(id_as_text(id_col).alias("id"), text_or_empty(text_col).alias("text"))
             .mapInPandas(run, schema)
