@@ -22,7 +22,8 @@ pair of positions is ever formed. A window that overlaps the first position
 in the same document is no copy. Texts of documents that lose lines move once,
 when the deletions join them (a bitmap of fixed size finds them); all others
 pass without a shuffle. Hot fingerprints and windows meet pre-aggregated
-tables, and adaptive execution can split their rows.
+tables, and adaptive execution can split their rows. None of these tables has a
+bound, so none is broadcast, at any size (merge hints).
 
 Defined cases: a null text counts as empty; blank lines are no part of a run
 and stay; rows that repeat id and text are one document and get the same
@@ -93,14 +94,14 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = materialize(
         found.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
         .where("lo != hi").select("mark"), "line-marks")
-    met = materialize(found.join(marks, "mark").select("k", "start", "end", "w1", "w2"),
+    met = materialize(found.join(marks.hint("merge"), "mark").select("k", "start", "end", "w1", "w2"),
                       "line-matches")
     position = F.struct(F.col("k.id").isNull().alias("no_id"), "k", "start", "end")
     firsts = materialize(
         met.groupBy("w1", "w2").agg(F.min(position).alias("first"), F.max(position).alias("last"))
         .where("first != last").select("w1", "w2", "first"), "line-firsts")
     later = (F.col("k") != F.col("first.k")) | (F.col("start") > F.col("first.end"))
-    return (met.join(firsts, ["w1", "w2"]).where(later)
+    return (met.join(firsts.hint("merge"), ["w1", "w2"]).where(later)
             .groupBy("k").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
 
 
@@ -129,7 +130,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                          key_filter(spans, "k"), "k")
     # only documents that lose lines move to meet their spans
     same = marked.where("NOT hit").select(*cols(text), *counts(whole, F.lit(0)))
-    met = (marked.where("hit").join(spans, "k", "left").withColumn("r", F.when(some, numbered))
+    met = (marked.where("hit").join(spans.hint("merge"), "k", "left").withColumn("r", F.when(some, numbered))
            .select(*cols(F.when(some, F.array_join("r.kept", "\n")).otherwise(text)),
                    *counts(F.when(some, F.col("r.n")).otherwise(whole),
                            F.when(some, F.col("r.gone")).otherwise(0))))
