@@ -1,8 +1,8 @@
 """Line deduplication by winnowing over line hashes, DataFrame functions only.
 
-The lines of a document that are not blank (trimmed) form a sequence. A window
-starts at a line and ends as soon as it has ``MIN_LINES`` lines or
-``MIN_WORDS`` words. Steps:
+The lines of a document that are not blank (trimmed) form a sequence. The
+windows are all its pieces of ``MIN_LINES`` lines, and all shorter ones of at
+least ``MIN_WORDS`` words. Steps:
 
 1. Winnowing: each window selects its least line hash (the leftmost), so two
    equal windows select the same fingerprint: a repeated run that fills a
@@ -12,9 +12,10 @@ starts at a line and ends as soon as it has ``MIN_LINES`` lines or
    stands nowhere else ends here.
 3. The positions that remain meet by the content of their windows (128 bits):
    the first position (by id, null last, then by position) keeps its lines.
-4. Extension: windows start at every line, so the later windows that match
-   overlap along a repeated run in both directions; their union is the whole
-   run, and its lines are deleted.
+4. Extension: a repeated run of at least ``MIN_LINES`` lines is the union of its
+   windows of that many lines, and a shorter one with ``MIN_WORDS`` words is a
+   window itself. The later windows that match so cover the whole run, and
+   their lines are deleted.
 
 Every line of a run of ``MIN_LINES`` lines or ``MIN_WORDS`` words that has
 stood earlier is deleted, and no other line, whichever partners a run has; no
@@ -63,24 +64,24 @@ def windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_wor
         F.transform("lines", lambda x: F.xxhash64(x, F.lit(1))).alias("b"),
         F.transform("lines", words).alias("n"))
 
-    def window(i: Column) -> Column:
-        at = lambda name, j: F.get(F.col(name), i + j)
-        # lines behind the first: the fewest that fill the window, null past the end
-        sums = [reduce(lambda s, j: s + at("n", j), range(1, j + 1), at("n", 0))
-                for j in range(min_lines)]
-        more = F.when(at("n", min_lines - 1).isNotNull(), min_lines - 1)
-        for j in reversed(range(min_lines - 1)):
-            more = F.when(sums[j] >= min_words, j).otherwise(more)
-        part = F.slice("a", i + 1, more + 1)
+    def window(i: Column, more: int) -> Column:
+        """The window of ``more`` lines behind line ``i``, null if it is none."""
+        at = lambda j: F.get("n", i + j)
+        part = F.slice("a", i + 1, F.lit(more + 1))
         least = F.array_min(part)
-        return F.struct(
+        # past the end the sum is null and so is the window
+        full = (at(more).isNotNull() if more == min_lines - 1
+                else reduce(lambda s, j: s + at(j), range(1, more + 1), at(0)) >= min_words)
+        return F.when(full, F.struct(
             i.alias("start"), (i + more).alias("end"),
             (i + F.array_position(part, least).cast("int") - 1).alias("at"), least.alias("mark"),
-            F.xxhash64(part).alias("w1"), F.xxhash64(F.slice("b", i + 1, more + 1)).alias("w2"))
+            F.xxhash64(part).alias("w1"),
+            F.xxhash64(F.slice("b", i + 1, F.lit(more + 1))).alias("w2")))
 
     every = F.when(F.size("a") > 0, F.sequence(F.lit(0), F.size("a") - 1))
-    return (arrays.select("k", F.explode(F.transform(every, window)).alias("w"))
-            .where("w.end IS NOT NULL").select("k", "w.*"))
+    found = F.flatten(F.transform(every, lambda i: F.array_compact(
+        F.array(*(window(i, more) for more in range(min_lines))))))
+    return arrays.select("k", F.explode(found).alias("w")).select("k", "w.*")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -336,6 +336,38 @@ def test_line_dedup_finds_whole_runs_with_any_partner(spark):
         Counter(brute_lines(rows))
 
 
+def repeated_runs(rows, min_lines=3, min_words=50):
+    """id -> the lines of all runs, of any length, that have stood earlier."""
+    first, gone = {}, defaultdict(set)
+    for doc_id, text in rows:
+        seq = text.split("\n")
+        for i in range(len(seq)):
+            for end in range(i, len(seq)):
+                part = tuple(seq[i:end + 1])
+                if len(part) >= min_lines or sum(len(WORD.findall(t)) for t in part) >= min_words:
+                    at = first.setdefault(part, (doc_id, i, end))
+                    if at[0] != doc_id or i > at[2]:
+                        gone[doc_id].update(range(i, end + 1))
+    return gone
+
+
+def test_line_dedup_deletes_lines_behind_a_full_window(spark):
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rng = np.random.default_rng(6)
+    long, half, short = line("l", 60), line("h", 30), line("s", 10)
+    texts = [[long, short, short + " b"], ["own", long, short, short + " b", "end"],  # [60, 10, 10]
+             [half, half + " b", short + " c"], [half, half + " b", short + " c", "last"],
+             [short + " d", long + " e", short + " f"], [long + " e", short + " f"],  # at the text's end
+             [short + " d", long + " e", "apart"],
+             *([f"{line(p, n)}" for p, n in zip(rng.choice(list("xyz"), 6), rng.choice([4, 10, 30, 60], 6))]
+               for _ in range(60))]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = {r["k"]["id"]: {i for s in r["spans"] for i in range(s["start"], s["end"] + 1)}
+           for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == repeated_runs(rows)
+    assert got[1] == {1, 2, 3} and got[3] == {0, 1, 2} and got[5] == {0, 1} and got[6] == {0, 1}
+
+
 def test_dropped_lines_pass_other_columns_through(spark):
     docs = awkward(spark)
     assert line_dedup.drop_repeated_lines(docs).columns == docs.columns + ["lines", "lines_deleted"]
