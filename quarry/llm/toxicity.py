@@ -3,10 +3,12 @@ block-max inverted index, distance-weighted votes, calibrated scores.
 
 Terms are lower-cased words and word beginnings of 4 to 6 characters (so that
 inflected forms meet). From a bounded sample of labelled documents (``SAMPLE``
-per class, chosen by a hash of the id) the ``VOCABULARY`` terms that separate
-the classes best (copies of a text counted once) enter the space; their document frequencies are counted over
-all documents. A constant term of weight ``BIAS`` lets a text without any term
-find the examples without any.
+per class, chosen by a hash of the id) every term that surely separates the
+classes enters the space, however many there are (copies of a text counted
+once; cut-offs ``SUPPORT``, ``EFFECT`` and ``SURE``; terms below them are noise
+and lead to worse neighbours); their document frequencies are counted over all
+documents. A constant term of weight ``BIAS`` lets a text without any term find
+the examples without any.
 
 The index holds the distinct example vectors in blocks of ``BLOCK``, with the
 largest weight of each term in each block. A query adds these maxima to an
@@ -19,7 +21,7 @@ fit on leave-one-out votes; each document carries the ids of its nearest
 examples as evidence.
 
 Both passes over the documents are maps: nothing but one count per term and
-task is shuffled. The model has a bound (sample and vocabulary) and travels
+task is shuffled. The model has a bound (the sample and its terms) and travels
 with the tasks.
 
 Defined cases: a null or blank text has no term and is scored like the
@@ -46,9 +48,9 @@ from quarry.llm.common import id_as_text, materialize, python_ready, text_or_emp
 from quarry.llm.labelled import held_out, labelled_sample
 
 SAMPLE = 10_000
-VOCABULARY = 256
 SUPPORT = 5
 EFFECT = 2.0           # least log ratio of the document shares of a term
+SURE = 4               # least z of their difference
 PREFIXES = (4, 5, 6)
 BIAS = 2.0
 BLOCK = 32
@@ -216,10 +218,10 @@ def _unlike(sample: DataFrame) -> set:
     return {r["id"] for r in rows}
 
 
-def _select(sample: DataFrame, size: int) -> list[str]:
-    """The ``size`` terms whose document shares differ most surely between the
-    classes (two-proportion z), among those that ``SUPPORT`` documents hold
-    and whose shares differ by ``EFFECT``."""
+def _select(sample: DataFrame) -> list[str]:
+    """The terms whose document shares differ surely between the classes
+    (two-proportion z above ``SURE``), among those that ``SUPPORT`` documents
+    hold and whose shares differ by ``EFFECT``; the surest first."""
     unlike = _unlike(sample)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,8 +248,8 @@ def _select(sample: DataFrame, size: int) -> list[str]:
     z = ((F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(shared * (1 - shared) * (1 / n1 + 1 / n0)))
     ratio = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
     found = (counted.where((F.col("term") != "") & (shared < 1) & (F.abs(ratio) >= EFFECT))
-             .select("term", F.abs(z).alias("z")).where("z > 4")
-             .orderBy(F.desc("z"), "term").limit(size))
+             .select("term", F.abs(z).alias("z")).where(F.col("z") > SURE)
+             .orderBy(F.desc("z"), "term"))
     return [r["term"] for r in found.collect()]
 
 
@@ -279,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     python_ready(docs)
     sample, totals = labelled_sample(docs, labels, label, ~held_out(id_col, FOLDS, FOLD),
                                      sample_size, id_col, text_col)
-    vocabulary = Vocabulary(_select(sample, VOCABULARY))
+    vocabulary = Vocabulary(_select(sample))
     if not totals.get(0) or not totals.get(1):
         return None
 

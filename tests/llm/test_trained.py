@@ -63,6 +63,21 @@ def test_without_labels_every_score_is_defined(spark):
     assert toxicity.train(docs, one) is None and quality.train(docs, one) is None
 
 
+def test_every_term_that_separates_the_classes_is_indexed(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("bdfgklmnprstvz"), n))
+    insults, plain = [word(8) for _ in range(120)], [word(7) for _ in range(2000)]
+    dealt = np.concatenate([rng.permutation(insults) for _ in range(24)]).reshape(720, 4)  # each in 24 texts
+    rows = [(i, " ".join([*rng.choice(plain, 12), *(dealt[i] if i < 720 else [])])) for i in range(2400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id < 720) AS toxic"))
+    assert len(model.vocabulary) > 256
+    assert set(insults) <= set(model.vocabulary.at)
+    found = toxicity._scores(model, [f"{plain[i]} {w} {plain[i + 1]}" for i, w in enumerate(insults)], {})
+    assert all(score >= 0.5 for score, _ in found)
+    assert all(score < 0.5 for score, _ in toxicity._scores(model, [" ".join(plain[i:i + 9]) for i in range(50)], {}))
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     vectors = []
