@@ -4,8 +4,10 @@ A page is read as a sequence of tokens: runs of text, and tags. Words score by
 the container they stand in and by being link text, tags score negative; the
 weights are log odds learnt from labelled pages (pages that mark their content
 with one ``article`` or ``main`` element; a bounded sample of ``SAMPLE`` pages
-by a hash of the id), on top of fixed defaults for containers that the labelled
-pages do not show. One linear scan finds the contiguous region with the
+by a hash of the id), on top of a fixed default for containers that the labelled
+pages do not show; excluded text teaches nothing about its container. Text in
+an ``article`` or ``main`` element weighs at least the default, and is never
+left out because its container mostly stands elsewhere. One linear scan finds the contiguous region with the
 highest score; the text of the region, without the excluded containers inside
 it, is the main text.
 
@@ -40,6 +42,7 @@ KEYS = 5_000
 MOST = 3.0            # bound of a learnt word weight
 TAG_LEAST, TAG_MOST = 0.02, 0.1
 EXCLUDED_WORD = 0.02  # cost of a word that is left out anyway
+UNKNOWN = 1.0         # weight of a container that the labelled pages do not show
 DROP = -2.0           # containers below this weight are left out inside a region
 
 # fixed values: HTML element names, and words of class, id and role that name page furniture
@@ -88,6 +91,7 @@ class Run:
     excluded: bool = False
     block: int = 0      # number of the block that the text belongs to
     content: bool = False
+    element: bool = False  # in an article or main element
 
 
 def _attributes(attrs: str) -> tuple[set[str], str, bool]:
@@ -109,15 +113,15 @@ def _attributes(attrs: str) -> tuple[set[str], str, bool]:
 def runs(page: str) -> list[Run]:
     """The page as a sequence of text runs and tags, in page order."""
     out: list[Run] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, key, excluded, content
+    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, key, excluded, content, element
     links, block, at = 0, 0, 0
     lower = None
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         if m["text"] is not None:
-            _, key, excluded, content = stack[-1] if stack else ("", "", False, False)
-            out.append(Run("", m["text"], key, links > 0, excluded, block, content))
+            _, key, excluded, content, element = stack[-1] if stack else ("", "", False, False, False)
+            out.append(Run("", m["text"], key, links > 0, excluded, block, content, element))
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag or not page.endswith(">", 0, at):
@@ -139,7 +143,7 @@ def runs(page: str) -> list[Run]:
             end = lower.find(f"</{tag}", at)
             at = len(page) if end < 0 else end
             if not attrs.endswith("/") or tag not in ("svg", "math"):
-                stack.append((tag, tag, True, False))
+                stack.append((tag, tag, True, False, False))
             continue
         if tag in VOID:
             continue
@@ -149,7 +153,7 @@ def runs(page: str) -> list[Run]:
                 pass
         if tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()
-        _, key, excluded, content = stack[-1] if stack else ("", "", False, False)
+        _, key, excluded, content, element = stack[-1] if stack else ("", "", False, False, False)
         content = content or tag in CONTENT or "main" in words and tag != "body"
         inside = hidden or tag in FURNITURE or bool(words & WORDS) or (
             (tag == "header" or bool(words & PAGE_HEADER)) and not content)
@@ -159,7 +163,7 @@ def runs(page: str) -> list[Run]:
             continue
         if tag not in INLINE and (first or tag in CONTENT or tag not in ("p", "li", "td", "th", "tr")):
             key = f"{tag}.{first}" if first else tag
-        stack.append((tag, key, excluded or inside, content))
+        stack.append((tag, key, excluded or inside, content, element or tag in CONTENT))
     return out
 
 
@@ -169,8 +173,12 @@ class Weights:
     words: dict[str, float] = field(default_factory=dict)
     tags: dict[str, float] = field(default_factory=dict)
 
+    def container(self, run: Run) -> float:
+        weight = self.words.get(run.key, UNKNOWN)
+        return max(weight, UNKNOWN) if run.element else weight
+
     def word(self, run: Run) -> float:
-        weight = self.words.get(run.key, 1.0)
+        weight = self.container(run)
         return weight - 1.5 if run.link else weight
 
 
@@ -187,7 +195,7 @@ def main_text(page: str, weights: Weights) -> str:
         else:
             n = len(run.text.split())
             weight = weights.word(run)
-            keep = not run.excluded and weights.words.get(run.key, 1.0) > DROP
+            keep = not run.excluded and weights.container(run) > DROP
             value = n * weight if keep else -n * EXCLUDED_WORD
         kept.append(keep)
         if score <= 0:
@@ -213,9 +221,9 @@ def learn(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) ->
             for page in batch["html"]:
                 for run in runs(page):
                     if not run.tag:
-                        inside = run.content and not run.excluded
-                        entry = seen.setdefault(("word", run.key), [0, 0])
-                        entry[not inside] += len(run.text.split())
+                        # excluded words make up the outside, but say nothing about a container
+                        entry = seen.setdefault(("word", "" if run.excluded else run.key), [0, 0])
+                        entry[run.excluded or not run.content] += len(run.text.split())
             # tags count where they stand: between the first and last content word or not
                 tokens = runs(page)
                 at = [i for i, r in enumerate(tokens) if not r.tag and r.content and not r.excluded
@@ -240,7 +248,9 @@ def learn(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) ->
         for r in some:
             odds = math.log((r["n_in"] + 1) / inside) - math.log((r["n_out"] + 1) / outside)
             if kind == "word" and r["key"] != "":
-                found[r["key"]] = max(-MOST, min(MOST, odds))
+                # a container that stands in content alone weighs no less than an unknown one
+                least = -MOST if r["n_out"] else UNKNOWN
+                found[r["key"]] = max(least, min(MOST, odds))
             elif kind == "tag":
                 # the more a tag belongs outside of content, the more it costs
                 found[r["key"]] = TAG_LEAST + (TAG_MOST - TAG_LEAST) / (1 + math.exp(odds))

@@ -68,6 +68,22 @@ def test_page_cases(spark):
     assert html_extraction.extract_main_text(df.limit(0)).count() == 0
 
 
+LIST = """<body><nav><ul><li>Home page<li>All our topics</ul></nav><div>Some plain words of the site</div>
+<article><p>{}</p>{}</article><footer><section>The site's own foot</section></footer></body>"""
+
+
+def test_containers_of_furniture_are_kept_inside_an_article(spark):
+    inner = "<ul><li>first item</li><li>second item</li></ul><div>a plain box of many words</div><p>The end.</p><ul><li>last</ul>"
+    rows = [(i, "u", LIST.format("word " * 40, "")) for i in range(30)] + [(30, "u", LIST.format("An intro.", inner))]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = "An intro.\n\nfirst item\n\nsecond item\n\na plain box of many words\n\nThe end.\n\nlast"
+    weights = html_extraction.learn(pages.limit(30), "page_id", "html")
+    assert "ul" not in weights.words and weights.words["div"] < html_extraction.DROP
+    assert main_text(rows[30][2], weights) == want
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(pages).collect()}
+    assert got[30] == want and got[0] == " ".join(["word"] * 40)
+
+
 # ------------------------------------------------------------- url filter
 
 URLS = [("http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/"),
