@@ -13,7 +13,9 @@ it, is the main text.
 
 Excluded in any place: menus, page headers, footers, side bars, notices,
 adverts, forms, scripts, styles, comments and hidden elements, by tag, role or
-class word. The work is a map over the pages: no shuffle, and the model has a
+class word. Inside content a class has to name furniture as a whole ("ad-slot",
+not "search-methods"), and so has the id of a ``div``; ids of other elements
+are anchors. The work is a map over the pages: no shuffle, and the model has a
 bound (``KEYS`` containers and the tag names).
 
 Defined cases: a null, empty or text-free page has empty text; unclosed,
@@ -70,6 +72,12 @@ WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising"
          "pager", "login", "search", "skip", "legal", "copyright", "disclaimer", "contentinfo",
          "complementary", "hidden"}
 PAGE_HEADER = {"header", "banner"}
+# words that beside one of WORDS do not make a class name something else
+BOX = {"slot", "box", "container", "wrapper", "wrap", "block", "unit", "bar", "area", "link", "links",
+       "list", "item", "items", "button", "buttons", "icon", "icons", "form", "panel", "region",
+       "inner", "outer", "header", "content", "site", "page", "post", "posts", "article", "articles",
+       "story", "stories", "entry", "main", "primary", "secondary", "top", "bottom", "left", "right",
+       "visually", "x"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*+(?:>|$)"
@@ -94,9 +102,15 @@ class Run:
     element: bool = False  # in an article or main element
 
 
-def _attributes(attrs: str) -> tuple[set[str], str, bool]:
-    """(words of class, id and role; first class; hidden)."""
+def _names_furniture(token: str) -> bool:
+    parts = [p.lower() for p in _PART.findall(token)]
+    return any(p in WORDS for p in parts) and all(p in WORDS or p in BOX or p.isdigit() for p in parts)
+
+
+def _attributes(attrs: str) -> tuple[set[str], dict[str, list[str]], str, bool]:
+    """(words of class, id and role; their tokens; first class; hidden)."""
     words: set[str] = set()
+    tokens: dict[str, list[str]] = {}
     first, hidden = "", False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
@@ -106,8 +120,9 @@ def _attributes(attrs: str) -> tuple[set[str], str, bool]:
             hidden |= name == "hidden" or value.lower() == "true"
         else:
             words.update(p.lower() for p in _PART.findall(value))
+            tokens.setdefault(name, []).extend(value.split())
             first = first or (value.split() or [""])[0]
-    return words, first, hidden
+    return words, tokens, first, hidden
 
 
 def runs(page: str) -> list[Run]:
@@ -147,15 +162,21 @@ def runs(page: str) -> list[Run]:
             continue
         if tag in VOID:
             continue
-        words, first, hidden = _attributes(attrs) if attrs.strip() else (set(), "", False)
+        words, tokens, first, hidden = _attributes(attrs) if attrs.strip() else (set(), {}, "", False)
         if tag in ENDS_P and any(s[0] == "p" for s in stack):
             while stack.pop()[0] != "p":
                 pass
         if tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()
         _, key, excluded, content, element = stack[-1] if stack else ("", "", False, False, False)
+        if content:
+            whole = tokens.get("class", []) + (tokens.get("id", []) if tag == "div" else [])
+            named = (any(t.lower() in WORDS for t in tokens.get("role", []))
+                     or any(_names_furniture(t) for t in whole))
+        else:
+            named = bool(words & WORDS)
         content = content or tag in CONTENT or "main" in words and tag != "body"
-        inside = hidden or tag in FURNITURE or bool(words & WORDS) or (
+        inside = hidden or tag in FURNITURE or named or (
             (tag == "header" or bool(words & PAGE_HEADER)) and not content)
         if tag in CONTENT or tag in ("html", "body"):
             inside = hidden

@@ -84,6 +84,23 @@ def test_containers_of_furniture_are_kept_inside_an_article(spark):
     assert got[30] == want and got[0] == " ".join(["word"] * 40)
 
 
+def test_names_of_article_parts_are_not_furniture():
+    keep = ('<h2 id="related-work">Related work</h2>', '<h2 id="legal-basis">Legal basis</h2>',
+            '<section class="search-methods"><p>How we searched</p></section>',
+            '<section id="search"><p>Search</p></section>', '<p id="notice">A notice</p>',
+            '<span class="social-science">Social</span>', '<div id="hidden-variables"><p>Variables</p></div>',
+            '<h3 class="comment-on-method">On method</h3>', '<div id="login-theory">Theory</div>')
+    drop = ('<div class="ad-300x250">Buy</div>', '<div class="related-posts">More</div>', '<div class="related">More</div>',
+            '<div id="comments">Talk</div>', '<div class="site shareButtons">Share</div>', '<p class="md cookie-notice">Ok</p>',
+            '<div role="search">Find</div>', '<section role="note complementary">Aside</section>', '<nav id="toc">Menu</nav>')
+    for tag in ("article", "main"):
+        page = f"<{tag}><p>Begin here.</p>{''.join(k + d for k, d in zip(keep, drop))}<p>The end.</p></{tag}>"
+        want = ["Begin here.", *(re.sub("<[^>]*>", "", k) for k in keep), "The end."]
+        assert main_text(page, Weights()).split("\n\n") == want
+    # outside of content one word is enough, as before
+    assert main_text('<div class="search-methods">Find</div><article><p>Text.</p></article>', Weights()) == "Text."
+
+
 # ------------------------------------------------------------- url filter
 
 URLS = [("http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/"),
