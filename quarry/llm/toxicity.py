@@ -198,10 +198,12 @@ class ToxicityModel:
 
 
 def _signature(text: str) -> int:
-    """Least hash of the three-word shingles: copies of a text mostly agree."""
+    """Least hash of the three-word shingles: copies of a text mostly agree.
+    Of a shorter text the hash of its words, so only the same words agree."""
     words = _WORD.findall(text.lower())
-    return min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:])),
-               default=-1)
+    if len(words) < 3:
+        return zlib.crc32(" ".join(words).encode())
+    return min(zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:]))
 
 
 def _unlike(sample: DataFrame) -> set:

@@ -78,6 +78,18 @@ def test_every_term_that_separates_the_classes_is_indexed(spark):
     assert all(score < 0.5 for score, _ in toxicity._scores(model, [" ".join(plain[i:i + 9]) for i in range(50)], {}))
 
 
+def test_only_the_same_words_are_copies_of_a_short_text(spark):
+    rows = [(1, 1, "foo"), (2, 1, "bar"), (3, 1, "foo bar"), (4, 1, "Foo!"), (5, 0, "foo"), (6, 0, ""), (7, 0, " ")]
+    assert toxicity._unlike(spark.createDataFrame(rows, "id bigint, y int, text string")) == {1, 2, 3, 5, 6}
+
+
+def test_insults_of_short_texts_are_terms(spark):
+    rows = [(i, f"plain words number {i} here" if i % 4 else f"zorg v{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 4 = 0) AS toxic"))
+    assert "zorg" in model.vocabulary.at
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(0)
     vectors = []
