@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (ann_forest, exact_dedup, html_extraction, line_dedup, mixing, quality,
-                        sentencepiece_codec, simhash_dedup, toxicity, url_filter)
-from quarry.llm.common import WORD, table
+from quarry.llm import (ann_forest, exact_dedup, html_extraction, line_dedup, mixing,
+                        periodic_runs, quality, sentencepiece_codec, simhash_dedup, toxicity,
+                        url_filter)
+from quarry.llm.common import WORD, table, text_or_empty
 from quarry.plans.registry import Builder
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block",
@@ -66,6 +67,35 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where by h = crc32(doc_id) every tenth text repeats
+    the p words from its word a on up to its end. A null id plants nothing."""
+    h, n = F.col("h"), F.size("words")
+    a = F.floor(h / 10) % n
+    p = 1 + F.floor((n - a) / (3 + F.floor(h / 10) % 8))
+    planted = F.expr("array_join(transform(sequence(0, size(words) - 1), "
+                     "i -> words[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return (docs.select("doc_id", text_or_empty("text").alias("text"),
+                        F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+            .withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+            .withColumn("a", F.when(n > 0, a)).withColumn("p", F.when(n > 0, p))
+            .select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text")))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    line = "concat(r.start, ',', r.length, ',', r.period, '\n')"
+    return (found.withColumn("r", F.expr(
+        "element_at(array_sort(runs, (x, y) -> CASE WHEN x.length != y.length THEN int(sign(y.length - x.length)) "
+        "WHEN x.start != y.start THEN int(sign(x.start - y.start)) "
+        "ELSE int(sign(x.period - y.period)) END), 1)"))
+        .withColumn("r", F.when(F.size("runs") > 0, F.col("r")))
+        .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "r.start", "r.length", "r.period",
+                F.expr("1000 * r.length div r.period").alias("exponent_milli"),
+                F.sha2(F.array_join(F.expr(f"transform(runs, r -> {line})"), ""), 256).alias("runs_sha256"),
+                F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity, exact dedup, near dedup, mixing and encoding in a row."""
     import corpus_pipeline
@@ -193,6 +223,43 @@ SELECT doc_id, size::BIGINT AS size, source_size, target, (quota // n_blocks * s
     + greatest(0, least(ends, hi2) - (ends - size)))::BIGINT AS taken
 FROM x"""
 
+OP11_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(
+        string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, c:
+      list_reduce(list_concat([xor(crc, c)], range(8)), lambda v, k:
+        CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) AS h
+  FROM documents),
+e AS (SELECT doc_id, w, h, len(w) AS n, (h // 10) % len(w) AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
+g AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+      w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM f),
+t AS (SELECT doc_id, n, unnest(w) AS word, unnest(range(n)) AS i FROM g),
+m AS (
+  SELECT x.doc_id, y.i - x.i AS q, y.i FROM t x JOIN t y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND {periodic_runs.REPEATS} * (y.i - x.i) <= x.n),
+s AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+  GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest({periodic_runs.LEAST_WORDS}, {periodic_runs.REPEATS} * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+runs AS (
+  SELECT doc_id, count(*) AS n_runs,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+    first({{'s': start, 'l': length, 'p': period}} ORDER BY length DESC, start, period) AS longest
+  FROM r GROUP BY doc_id),
+kept AS (
+  SELECT t.doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed FROM t
+  WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.start + r.period
+      AND t.i < r.start + r.length) GROUP BY t.doc_id)
+SELECT documents.doc_id, coalesce(n_runs, 0) AS n_runs, longest.s AS start, longest.l AS length,
+  longest.p AS period, 1000 * longest.l // longest.p AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 QUERIES: dict[str, tuple[Builder, str | None]] = {
     "op1_url_filters": (op1_url_filters, OP1_SQL),
     "op2_sentencepiece": (op2_sentencepiece, None),
@@ -204,5 +271,6 @@ QUERIES: dict[str, tuple[Builder, str | None]] = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_html_extraction": (op10_html_extraction, None),
+    "op11_periodic_runs": (op11_periodic_runs, OP11_SQL),
     "pipeline": (pipeline, None),
 }
