@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import (ann_forest, exact_dedup, html_extraction, line_dedup, mixing,
-                        periodic_runs, quality, sentencepiece_codec, simhash_dedup, toxicity,
-                        url_filter)
+                        periodic_runs, quality, sentencepiece_codec, simhash_dedup,
+                        token_counts, toxicity, url_filter)
 from quarry.llm.common import WORD, table, text_or_empty
 from quarry.plans.registry import Builder
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block",
              "org/fr/": "allow"}
 PIECE_MODEL = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 def tokenizer_path(name: str = PIECE_MODEL) -> str:
@@ -96,6 +97,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256")))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fit_chars``: characters of the longest prefix within the limit."""
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(),
+                                       budgets=[TOKEN_LIMIT])
+    return counts.select("doc_id", "n_bytes", "n_tokens",
+                         (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"),
+                         F.col("fit")[0].alias("fit_chars"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity, exact dedup, near dedup, mixing and encoding in a row."""
     import corpus_pipeline
@@ -272,5 +282,6 @@ QUERIES: dict[str, tuple[Builder, str | None]] = {
     "op9_exact_dedup": (op9_exact_dedup, OP9_SQL),
     "op10_html_extraction": (op10_html_extraction, None),
     "op11_periodic_runs": (op11_periodic_runs, OP11_SQL),
+    "op12_token_counts": (op12_token_counts, None),
     "pipeline": (pipeline, None),
 }
