@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import (ann_forest, exact_dedup, html_extraction, line_dedup, mixing,
                         periodic_runs, quality, sentencepiece_codec, simhash_dedup,
-                        token_counts, toxicity, url_filter)
+                        token_alignment, token_counts, toxicity, url_filter)
 from quarry.llm.common import WORD, table, text_or_empty
 from quarry.plans.registry import Builder
 
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block",
              "org/fr/": "allow"}
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -106,6 +107,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("fit")[0].alias("fit_chars"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"),
+                                           tokenizer_path(BYTE_MODEL), tokenizer_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity, exact dedup, near dedup, mixing and encoding in a row."""
     import corpus_pipeline
@@ -283,5 +289,6 @@ QUERIES: dict[str, tuple[Builder, str | None]] = {
     "op10_html_extraction": (op10_html_extraction, None),
     "op11_periodic_runs": (op11_periodic_runs, OP11_SQL),
     "op12_token_counts": (op12_token_counts, None),
+    "op13_token_alignment": (op13_token_alignment, None),
     "pipeline": (pipeline, None),
 }

@@ -24,7 +24,7 @@ def test_all_queries_are_registered():
     import __spark_entry__ as E
     assert set(QUERIES) <= set(E.queries())
     assert {n for n, (_, sql) in QUERIES.items() if sql} <= set(E.oracle_sql())
-    assert len([n for n in QUERIES if n.startswith("op")]) == 12
+    assert len([n for n in QUERIES if n.startswith("op")]) == 13
 
 
 def test_run_returns_the_last_stage_and_keeps_only_its_table(spark):
