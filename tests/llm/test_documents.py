@@ -309,7 +309,6 @@ def brute_lines(rows, min_lines=3, min_words=50):
                     at = first.setdefault(tuple(seq[i:end + 1]), (key, i, end))
                     if at[0] != key or i > at[2]:
                         gone[key].update(range(i, end + 1))
-                    break
     out = []
     for r in rows:
         key = (r[0] is None, r[0] or 0, r[1] or "")
@@ -368,6 +367,30 @@ def test_line_dedup_deletes_lines_behind_a_full_window(spark):
     assert got[1] == {1, 2, 3} and got[3] == {0, 1, 2} and got[5] == {0, 1} and got[6] == {0, 1}
 
 
+def test_deletion_keeps_blank_lines_in_place(spark):
+    part = ["r1 of the run", "r2 of the run", "r3 of the run"]
+    rows = [(1, "\n".join(part)), (2, "a\n\n" + "\n \n".join(part) + "\n\nb\n" + "\n".join(part) + "\n"),
+            (3, "\n".join(part)), (4, "\n\n" + "\n".join(part) + "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in rows_of(line_dedup.drop_repeated_lines(docs))}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "a\n\n \n \n\nb\n"
+    assert got[3]["text"] == "" and got[4]["text"] == "\n\n\n"
+    assert [(got[i]["lines"], got[i]["lines_deleted"]) for i in (1, 2, 3, 4)] == [(3, 0), (8, 6), (3, 3), (3, 3)]
+
+
+def test_line_dedup_is_linear_in_a_text_s_lines(spark):
+    import time
+    took = {}
+    for n in (1_000, 16_000, 32_000):
+        text = "\n".join(f"line {i} of a long text" for i in range(n))
+        docs = spark.createDataFrame([(1, text), (2, text + "\nend")], "doc_id bigint, text string")
+        t = time.perf_counter()
+        got = {r["doc_id"]: r for r in rows_of(line_dedup.line_dedup(docs))}
+        took[n] = time.perf_counter() - t
+        assert (got[1]["lines_deleted"], got[2]["lines_deleted"], got[2]["lines"]) == (0, n, n + 1)
+    assert took[32_000] < 3 * took[16_000]
+
+
 def test_dropped_lines_pass_other_columns_through(spark):
     docs = awkward(spark)
     assert line_dedup.drop_repeated_lines(docs).columns == docs.columns + ["lines", "lines_deleted"]
