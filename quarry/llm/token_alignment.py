@@ -52,8 +52,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import id_as_text, materialize, python_ready, text_or_empty
 from quarry.llm.sentencepiece_codec import MARK, check_model, load_model
 
-BLOCK_CHARS = 12_000_000
-CALL_WORDS = 2_000
+BLOCK_CHARS = 5_000_000
+CALL_WORDS = 1_000
 _B_BITS = 20  # of B's id in a pair
 _CUT = re.compile(r"(?<=\S)(?= )")
 _RARE_CUT = re.compile(r"\s ")
