@@ -33,6 +33,65 @@ ENUMS = {
     "impact": ("low", "medium", "high"),
 }
 
+# Schema of a report document (draft-07 keywords that constrain it).
+_TEXT, _TEXTS = {"type": "string"}, {"type": "array", "items": {"type": "string"}}
+_COUNT, _NUMBER, _FLAG = {"type": "integer"}, {"type": "number"}, {"type": "boolean"}
+_MAYBE_TEXT = {"type": ["string", "null"]}
+_REQUESTER = {"type": "object", "properties": {"name": _TEXT, "email": _TEXT, "role": _TEXT, "timezone": _TEXT}}
+_REQUEST = {"type": "object", "properties": {
+    "original_question": _TEXT, "channel": {"type": "string", "enum": ENUMS["channel"]},
+    "thread_id": _TEXT, "urgency": {"type": "string", "enum": ENUMS["urgency"]},
+    "requested_at": _TEXT, "requested_format": {"type": "string", "enum": ENUMS["requested_format"]}}}
+_SCOPE = {"type": "object", "properties": {
+    "time_range": _TEXT, "start_date": _MAYBE_TEXT, "end_date": _MAYBE_TEXT, "workspace": _TEXT,
+    "filter_type": _TEXT}}
+_STATISTICS = {"type": "object", "properties": {
+    "files_scanned": _COUNT, "files_matched": _COUNT, "files_processed": _COUNT, "files_indexed": _COUNT,
+    "files_failed": _COUNT, "total_size_bytes": _COUNT, "total_size_mb": _NUMBER}}
+_ANALYSIS = {"type": "object", "properties": {
+    "summary": _TEXT, "details": {"type": "object"}, "content_preview": _TEXT, "tags": _TEXTS,
+    "rag_indexed": _FLAG, "rag_id": _MAYBE_TEXT}}
+_FILE = {"type": "object", "required": ["path", "name", "type", "analysis"], "properties": {
+    "path": _TEXT, "name": _TEXT, "type": _TEXT, "size_bytes": _COUNT, "modified": _TEXT,
+    "created": _MAYBE_TEXT, "author": _TEXT, "analysis": _ANALYSIS}}
+_CHANGE = {"type": "object", "properties": {
+    "type": _TEXT, "file": _TEXT, "description": _TEXT, "impact": {"type": "string", "enum": ENUMS["impact"]}}}
+_WARNING = {"type": "object", "properties": {"level": _TEXT, "message": _TEXT, "affected_files": _TEXTS}}
+_ACTION = {"type": "object", "required": ["action", "description", "example"],
+           "properties": {"action": _TEXT, "description": _TEXT, "example": _TEXT}}
+REPORT_SCHEMA = {
+    "type": "object",
+    "required": ["task_id", "agent_id", "timestamp", "status", "context", "results", "metadata"],
+    "properties": {
+        "task_id": _TEXT, "agent_id": _TEXT, "timestamp": _TEXT,
+        "status": {"type": "string", "enum": ENUMS["status"]}, "message": _TEXT,
+        "context": {"type": "object", "required": ["requester", "request", "scope"],
+                    "properties": {"requester": _REQUESTER, "request": _REQUEST, "scope": _SCOPE}},
+        "results": {"type": "object", "required": ["summary", "statistics", "breakdown_by_type", "files"],
+                    "properties": {
+                        "summary": _TEXT, "statistics": _STATISTICS,
+                        "breakdown_by_type": {"type": "object", "additionalProperties": {
+                            "type": "object", "properties": {"count": _COUNT}}},
+                        "files": {"type": "array", "items": _FILE}}},
+        "rag_status": {"type": "object", "properties": {
+            "enabled": _FLAG, "collection_name": _TEXT, "total_documents": _COUNT, "embedding_model": _TEXT,
+            "embedding_dimension": _COUNT, "vector_count": _COUNT, "index_updated": _FLAG, "searchable": _FLAG}},
+        "insights": {"type": "object",
+                     "required": ["highlights", "activity_summary", "notable_changes", "recommendations"],
+                     "properties": {"highlights": _TEXTS, "activity_summary": _TEXT,
+                                    "notable_changes": {"type": "array", "items": _CHANGE},
+                                    "recommendations": _TEXTS}},
+        "performance": {"type": "object", "properties": {
+            "processing_time_seconds": _NUMBER, "scan_time_seconds": _NUMBER, "parse_time_seconds": _NUMBER,
+            "index_time_seconds": _NUMBER, "started_at": _TEXT, "completed_at": _TEXT}},
+        "errors": _TEXTS, "warnings": {"type": "array", "items": _WARNING},
+        "suggested_actions": {"type": "array", "items": _ACTION},
+        "metadata": {"type": "object", "required": ["agent_version", "schema_version", "reply_agent_compatible"],
+                     "properties": {"agent_version": _TEXT, "schema_version": _TEXT,
+                                    "reply_agent_compatible": _FLAG, "requires_user_action": _FLAG,
+                                    "is_final": _FLAG}}},
+}
+
 # Per-file profile texts.
 FILE_NOT_FOUND = "File not found"
 FILE_DOES_NOT_EXIST = "File does not exist"

@@ -357,8 +357,10 @@ def without_profile(files: DataFrame) -> DataFrame:
     return routed.select(*FILE_COLUMNS, "parser", *[v.alias(k) for k, v in nulls.items()])
 
 
+def error_message() -> Column:
+    return F.concat_ws(": ", F.col("name"), F.coalesce(F.col("error"), F.lit("Unknown error")))
+
+
 def parse_errors(parsed: DataFrame, keys=()) -> DataFrame:
     """``"{name}: {error}"`` for every failed parse."""
-    return parsed.filter(~F.col("success")).select(
-        *keys, "path", F.concat_ws(": ", F.col("name"),
-                            F.coalesce(F.col("error"), F.lit("Unknown error"))).alias("message"))
+    return parsed.filter(~F.col("success")).select(*keys, "path", error_message().alias("message"))

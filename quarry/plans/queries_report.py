@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.fixed import ENUMS
+from quarry.fixed import ENUMS, REPORT_SCHEMA
 from quarry.functions.text import day_span, iso_timestamp
 from quarry.operators import aggregate as A
 from quarry.operators import scan
 from quarry.operators import tickets as TK
+from quarry.plans import documents as D
 from quarry.plans import oracle_sql as O
 from quarry.plans import report as R
 from quarry.plans.fixture_tickets import (EPOCH, NOW, conversation_tickets, conversation_tickets_sql,
                                           span_hours, tickets_df, tickets_sql)
 from quarry.plans.queries_profile import generated_files
 from quarry.plans.registry import register
+from quarry.session import stage_path
 from quarry.sources.tables import FIXTURE_ROOT, fixture_files
 
 
@@ -327,8 +329,8 @@ FROM vtk t JOIN agg a ON t.task_id = a.task_id LEFT JOIN hl h ON t.task_id = h.t
     "\n, agg", ",\nagg")
 
 
-def _full_reports(spark, sf_dir):
-    return R.build_reports(_run(spark, sf_dir), NOW)
+def _full_reports(spark, sf_dir, lists=False):
+    return R.build_reports(_run(spark, sf_dir), NOW, lists=lists)
 
 
 @register("task_report", _REPORT_SQL)
@@ -357,7 +359,7 @@ def task_report(spark, sf_dir):
 @register("task_report_json", None)
 def task_report_json(spark, sf_dir):
     """The whole nested report of every ticket as one JSON document per row."""
-    rep = _full_reports(spark, sf_dir)
+    rep = _full_reports(spark, sf_dir, lists=True)
     return rep.select("task_id", F.to_json(F.struct(*[c for c in rep.columns
                                                        if c != "scope_id"])).alias("report"))
 
@@ -375,7 +377,7 @@ def task_errors(spark, sf_dir):
 @register("task_result_flat", None)
 def task_result_flat(spark, sf_dir):
     """Legacy flat result (files_indexed and summary are parse-dependent)."""
-    flat = R.flat_view(_full_reports(spark, sf_dir))
+    flat = R.flat_view(_full_reports(spark, sf_dir, lists=True))
     return flat.select("task_id", "status", "message", "files_processed", "files_indexed",
                        "summary", F.array_join("errors", "|").alias("errors"))
 
@@ -407,16 +409,105 @@ def report_violations(spark, sf_dir):
     return R.context_violations(TK.validate(conversation_tickets(spark, sf_dir)), ENUMS, NOW)
 
 
-@register("report_conformance", _with() + """
-SELECT task_id, 'channel' AS field, coalesce(channel, 'API') AS value FROM vtk
-  WHERE coalesce(channel, 'API') NOT IN ('Email', 'Slack', 'Teams', 'API')
-UNION ALL SELECT task_id, 'urgency', coalesce(urgency, 'Normal') FROM vtk
-  WHERE coalesce(urgency, 'Normal') NOT IN ('Low', 'Normal', 'High', 'Critical')
-UNION ALL SELECT task_id, 'requested_format', coalesce(requested_format, 'summary') FROM vtk
-  WHERE coalesce(requested_format, 'summary') NOT IN ('summary', 'detailed', 'list')""")
+# Defects planted into the written documents, by ticket number modulo 11: a key of the lines
+# around the lists is renamed, or its value gets another type.
+_DEFECTS = [
+    # (key, text put instead, what is then violated: path, rule, value)
+    ("agent_version", '"agent_versions":', ("metadata.agent_version", "required", None)),
+    ("requester", '"requesters":', ("context.requester", "required", None)),
+    ("statistics", '"statistic":', ("results.statistics", "required", None)),
+    ("activity_summary", '"activity":', ("insights.activity_summary", "required", None)),
+    ("example", '"sample":', ("suggested_actions[].example", "required", None)),
+    ("agent_id", '"agent":', ("agent_id", "required", None)),
+    ("files_scanned", '"files_scanned":null,"was":', ("results.statistics.files_scanned", "type", "null")),
+    ("total_size_mb", '"total_size_mb":"many","was":', ("results.statistics.total_size_mb", "type", "string")),
+    ("is_final", '"is_final":1,"was":', ("metadata.is_final", "type", "integer")),
+]
+_IN_ERRORS_TOO = ("agent_version", "requester", "agent_id")
+
+
+def _documents(run, lines=lambda x: x):
+    """The run's documents, written and read back."""
+    spark = run.parsed.sparkSession
+    path = stage_path(spark, "documents")
+    D.write_documents(lines(D.document_lines(run, R.build_reports(run, NOW, lists=False))), path)
+    return D.read_documents(spark, path)
+
+
+def _planted(lines):
+    """Defects around the lists by ticket, and in the records of some files."""
+    number = F.coalesce(F.expr("try_cast(substring(task_id, 3) AS int)"), F.lit(-1)) % 11
+    text = F.col("line")
+    for k, (key, instead, _) in enumerate(_DEFECTS):
+        text = F.when((number == k) & (F.col("path") == ""),
+                      F.regexp_replace(F.col("line"), f'"{key}":', instead.replace("$", ""))).otherwise(text)
+    doc = F.expr("try_cast(regexp_extract(path, '([0-9]+)[^0-9/]*$', 1) AS bigint)")
+    text = (F.when((F.col("section") == D.FILES) & (doc % 29 == 3), F.regexp_replace(text, '"name":', '"names":'))
+            .when((F.col("section") == D.FILES) & (doc % 31 == 4), F.regexp_replace(text, '"size_bytes":', '"size_bytes":0.5,"was":'))
+            .otherwise(text))
+    return lines.withColumn("line", text)
+
+
+def _conformance_sql() -> str:
+    quoted = lambda v: "NULL" if v is None else f"'{v}'"
+    planted = "\n".join(
+        f"UNION ALL SELECT task_id, {', '.join(map(quoted, v))}, {'valid::INT' if key not in _IN_ERRORS_TOO else '1'}"
+        f"{' * n_actions' if key == 'example' else ''} FROM docs WHERE k = {i}"
+        for i, (key, _, v) in enumerate(_DEFECTS))
+    return _with() + f""",
+docs AS (
+  SELECT t.*, substr(t.task_id, 3)::INT % 11 AS k, 2 + coalesce(has_code, 0) + coalesce(has_nb, 0) AS n_actions
+  FROM vtk t LEFT JOIN (
+    SELECT task_id, max((file_type = 'code')::INT) AS has_code, max((file_type = 'notebook')::INT) AS has_nb
+    FROM tf GROUP BY task_id) USING (task_id)),
+found(task_id, path, rule, value, n) AS (
+  SELECT task_id, 'context.request.channel', 'enum', coalesce(channel, 'API'), 1 FROM docs
+    WHERE coalesce(channel, 'API') NOT IN ('Email', 'Slack', 'Teams', 'API')
+  UNION ALL SELECT task_id, 'context.request.urgency', 'enum', coalesce(urgency, 'Normal'), 1 FROM docs
+    WHERE coalesce(urgency, 'Normal') NOT IN ('Low', 'Normal', 'High', 'Critical')
+  UNION ALL SELECT task_id, 'context.request.requested_format', 'enum', coalesce(requested_format, 'summary'), 1
+    FROM docs WHERE coalesce(requested_format, 'summary') NOT IN ('summary', 'detailed', 'list')
+  UNION ALL SELECT task_id, 'results', 'required', NULL, 1 FROM docs WHERE NOT valid
+  UNION ALL SELECT task_id, 'metadata.reply_agent_compatible', 'required', NULL, 1 FROM docs WHERE NOT valid
+  {planted}
+  UNION ALL SELECT task_id, 'results.files[].name', 'required', NULL, count(*) FROM tf WHERE doc_id % 29 = 3 GROUP BY task_id
+  UNION ALL SELECT task_id, 'results.files[].size_bytes', 'type', 'number', count(*) FROM tf
+    WHERE doc_id % 31 = 4 AND doc_id % 29 <> 3 GROUP BY task_id)
+SELECT task_id, path, rule, value, sum(n)::BIGINT AS n FROM found WHERE n > 0 GROUP BY ALL"""
+
+
+@register("report_conformance", _conformance_sql())
 def report_conformance(spark, sf_dir):
-    """T8 over whole reports: enumerations and required fields, nested ones too."""
-    return R.violations(_full_reports(spark, sf_dir), ENUMS)
+    """T8 over the documents that the report sink wrote, read back: every
+    violation of the schema, those of planted defects among them."""
+    found = D.stored_violations(_documents(_run(spark, sf_dir), _planted), REPORT_SCHEMA)
+    return found.groupBy("task_id", "path", "rule", "value").agg(F.count("*").alias("n"))
+
+
+@register("report_documents", _with(f"""
+per AS (
+  SELECT task_id, count(*) AS files, sum(size)::BIGINT AS size_bytes,
+    count(*) FILTER (WHERE file_type = 'note') AS notes, max(path) AS last_path,
+    max({O.iso('modified')}) AS last_modified
+  FROM tf GROUP BY task_id)""") + """
+SELECT t.task_id, CASE WHEN valid THEN 'success' ELSE 'error' END AS status,
+  coalesce(files, 0) AS files, size_bytes, coalesce(notes, 0) AS notes, last_path, last_modified,
+  CASE WHEN valid THEN coalesce(files, 0) END AS files_processed
+FROM vtk t LEFT JOIN per USING (task_id)""")
+def report_documents(spark, sf_dir):
+    """The written documents read back; every file record counts."""
+    docs = _documents(_run(spark, sf_dir))
+    value = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
+    parsed = docs.withColumn("v", F.parse_json("document"))
+    file = F.col("part") == D.PARTS[D.FILES]
+    return parsed.groupBy("task_id", "ticket").agg(
+        F.max(F.when(F.col("part") == "", value("status", "string"))).alias("status"),
+        F.count_if(file).alias("files"), F.sum(F.when(file, value("size_bytes", "bigint"))).alias("size_bytes"),
+        F.count_if(file & (value("type", "string") == "note")).alias("notes"),
+        F.max(F.when(file, value("path", "string"))).alias("last_path"),
+        F.max(F.when(file, value("modified", "string"))).alias("last_modified"),
+        F.max(F.when(F.col("part") == "", value("results.statistics.files_processed", "bigint")))
+        .alias("files_processed")).drop("ticket")
 
 
 # ------------------------------------------------------------ many tickets
@@ -612,7 +703,7 @@ SELECT task_id, CASE WHEN valid THEN 'success' ELSE 'error' END AS status,
 FROM agg""".replace("\n, agg AS", ",\nagg AS"))
 def task_result_flat_generated(spark, sf_dir):
     """T7 checked exactly over the generated sources (every file parses)."""
-    flat = R.flat_view(R.build_reports(_generated_run(spark, sf_dir), NOW))
+    flat = R.flat_view(R.build_reports(_generated_run(spark, sf_dir), NOW, lists=True))
     return flat.select("task_id", "status", "message", "files_processed", "files_indexed",
                        F.array_join("errors", "|").alias("errors"))
 
@@ -628,7 +719,7 @@ SELECT count(*) AS tasks, count(*) FILTER (WHERE valid) AS successful,
 FROM per""".replace("\n, per AS", ",\nper AS"))
 def run_totals_generated(spark, sf_dir):
     """A14 with indexed and error totals, checked exactly over the generated sources."""
-    totals = R.run_totals(R.build_reports(_generated_run(spark, sf_dir), NOW))
+    totals = R.run_totals(R.build_reports(_generated_run(spark, sf_dir), NOW, lists=False))
     return totals.select("tasks", "successful", "total_files", "total_indexed", "total_errors")
 
 

@@ -8,10 +8,12 @@ Stages::
                                    --window first-N--> lists
     tickets ⟕ (stats ⟕ lists) on scope_id --> one report row per ticket
 
-The enhanced file list grows with the data and is a table of its own, keyed
-by scope; a report names its place (``results.files_location``). Messages of
-failed parses and names of large files stand in the report, as its format
-asks, once per scope.
+The lists of a report that grow with the data (file records, messages of
+failed parses, names of large files) are tables keyed by scope;
+``documents.write_documents`` streams them into one JSON document per ticket.
+A report row names the place of the file records
+(``results.files_location``); with ``lists=True`` it also holds the messages
+and names, gathered per scope, for scopes that are known to be small.
 """
 
 from __future__ import annotations
@@ -41,6 +43,14 @@ class TicketRun:
     parsed: DataFrame    # one profile row per needed file
     pairs: DataFrame     # (scope_id, parsed file)
 
+    @property
+    def firsts(self) -> DataFrame:
+        """Per scope the first file, failed file and large file, by path."""
+        place = F.struct("path", "file_no")
+        return self.pairs.groupBy("scope_id").agg(
+            F.min(place).alias("first_file"), F.min(F.when(~F.col("success"), place)).alias("first_error"),
+            F.min(F.when(F.col("size") > A.LARGE_FILE_BYTES, place)).alias("first_large"))
+
 
 def prepare(inventory: DataFrame, tickets: DataFrame, persist: bool = True,
             profile: bool = True) -> TicketRun:
@@ -56,19 +66,28 @@ def prepare(inventory: DataFrame, tickets: DataFrame, persist: bool = True,
     scope_df = TK.scopes(validated)
     resolved = TK.resolve_scopes(scope_df)
     needed = TK.files_in_scopes(inventory, resolved, "left_semi")
-    parsed = parse.parse_files(needed) if profile else parse.without_profile(needed)
+    parsed = numbered(parse.parse_files(needed) if profile else parse.without_profile(needed))
     if persist and profile:
         parsed = materialize(parsed)
     pairs = TK.files_in_scopes(parsed, resolved, "inner")
     return TicketRun(validated, scope_df, parsed, pairs)
 
 
-def per_scope(run: TicketRun) -> DataFrame:
-    """Stats, bounded lists, error messages and large files: one row per scope."""
+def numbered(parsed: DataFrame) -> DataFrame:
+    """``file_no`` tells rows of one path apart, once the table is written."""
+    return parsed.withColumn("file_no", F.monotonically_increasing_id())
+
+
+def per_scope(run: TicketRun, lists: bool = False) -> DataFrame:
+    """Stats and bounded lists: one row per scope; with ``lists`` also every
+    error message and large file."""
+    bounded = A.scope_stats(run.pairs).join(A.scope_lists(run.pairs), "scope_id", "left")
+    if not lists:
+        return bounded
     listed = lambda rows, item, name: rows.groupBy("scope_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("path", F.col(item).alias("item")))),
                     lambda x: x["item"]).alias(name))
-    return (A.scope_stats(run.pairs).join(A.scope_lists(run.pairs), "scope_id", "left")
+    return (bounded
             .join(listed(report_errors(run), "message", "error_messages"), "scope_id", "left")
             .join(listed(A.large_file_names(run.pairs), "name", "large_file_names"),
                   "scope_id", "left"))
@@ -127,13 +146,18 @@ def report_columns(now_iso: str, collection: DataFrame | None = None) -> dict[st
 def build_reports(run: TicketRun, now_iso: str, collection: DataFrame | None = None,
                   agent_id: str = AGENT_ID, agent_version: str = AGENT_VERSION,
                   files_location: str | None = None, embedder: str = V.EMBEDDER,
-                  dim: int = V.DEFAULT_DIM) -> DataFrame:
+                  dim: int = V.DEFAULT_DIM, lists: bool = True) -> DataFrame:
     """One nested report row per ticket (valid or not).
 
+    With ``lists`` a row holds all error messages and large-file names of its
+    scope; without, rows are bounded and ``documents`` writes the lists.
+
     ``files_location`` is where the table of file records (``report_files``)
     is written; ``embedder`` and ``dim`` describe the vectors really stored.
     """
-    t = run.tickets.join(per_scope(run), "scope_id", "left")
+    t = run.tickets.join(per_scope(run, lists), "scope_id", "left")
+    if not lists:
+        t = t.withColumns({"error_messages": A.empty_list(), "large_file_names": A.empty_list()})
     points = vectors = None
     if collection is not None:  # one aggregate row (V8)
         info = collection.first()
@@ -244,9 +268,6 @@ def error_reports(tickets: DataFrame) -> DataFrame:
         F.array("error").alias("errors"))
 
 
-_VALUE = "struct<field:string,value:string>"
-
-
 def _outside(field: str, col: Column, allowed) -> Column:
     return F.when(col.isNull() | ~col.isin(*allowed),
                   F.struct(F.lit(field).alias("field"), col.alias("value")))
@@ -262,38 +283,3 @@ def context_violations(tickets: DataFrame, enums: dict, now_iso: str) -> DataFra
                            request.alias("r"))
             .select("task_id", F.explode(F.array_compact(F.array(*checks))).alias("v"))
             .select("task_id", "v.field", "v.value"))
-
-
-# fixed values: fields that a report must have, by object; those of the inner
-# objects hold for reports whose object is there
-REQUIRED = {
-    "": ("task_id", "agent_id", "timestamp", "status", "context", "metadata"),
-    "context": ("requester", "request", "scope"),
-    "results": ("summary", "statistics"),
-    "results.statistics": ("files_scanned", "files_processed"),
-    "rag_status": ("enabled", "collection_name"),
-    "insights": ("highlights", "activity_summary"),
-    "metadata": ("agent_version", "schema_version"),
-}
-
-
-def violations(reports: DataFrame, enums: dict) -> DataFrame:
-    """One row per enumerated field whose value is outside its enumeration
-    and per required field that is missing."""
-    checks = [_outside("status", F.col("status"), enums["status"])]
-    checks += [_outside(name, F.col(f"context.request.{name}"), enums[name])
-               for name in ("channel", "urgency", "requested_format")]
-    missing = lambda field: F.struct(F.lit(field).alias("field"),
-                                     F.lit(None).cast("string").alias("value"))
-    impact_ok = F.forall(F.coalesce(F.col("insights.notable_changes"), F.array()),
-                         lambda c: c["impact"].isin(*enums["impact"]))
-    checks.append(F.when(~impact_ok, missing("impact")))
-    checks.append(F.when((F.col("status") == "success") & F.col("results").isNull(),
-                         missing("results")))
-    for parent, fields in REQUIRED.items():
-        there = F.col(parent).isNotNull() if parent else F.lit(True)
-        names = [f"{parent}.{f}" if parent else f for f in fields]
-        checks += [F.when(there & F.col(n).isNull(), missing(n)) for n in names]
-    return (reports.select("task_id", F.explode(F.array_compact(F.array(
-        *[c.cast(_VALUE) for c in checks]))).alias("v"))
-            .select("task_id", "v.field", "v.value"))

@@ -20,6 +20,7 @@ from quarry.functions.text import iso_timestamp
 from quarry.operators import tickets as TK
 from quarry.operators import vectors as V
 from quarry.operators.aggregate import large_file_names
+from quarry.plans import documents as D
 from quarry.plans import report as R
 from quarry.session import materialize, release, stage_mark
 
@@ -118,9 +119,11 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
                 collection: str | None = None, now_iso: str | None = None) -> dict:
     """Handle a batch of tickets; returns the output locations and timings.
 
-    Outputs under ``out_dir``: ``reports`` (JSON, one nested report per
-    ticket), ``report_files``, ``report_errors`` and ``large_files``
-    (parquet, keyed by scope_id; join ``reports`` on it).
+    Outputs under ``out_dir``: ``documents`` (one JSON document per ticket,
+    with every file record, see ``plans.documents``), ``reports`` (JSON lines,
+    a ticket's report without the lists that grow), and ``report_files``,
+    ``report_errors`` and ``large_files`` (parquet, keyed by scope_id; join
+    ``reports`` on it).
     """
     started, mark = _now_iso(), stage_mark()
     t0 = time.perf_counter()
@@ -132,7 +135,7 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
         needed = materialize(needed, "needed-files")
     scan_s = time.perf_counter() - t0
     t1 = time.perf_counter()
-    parsed = materialize(R.parse.parse_files(needed))  # one parse per file, shared storage
+    parsed = materialize(R.numbered(R.parse.parse_files(needed)))  # one parse per file, shared storage
     run = R.TicketRun(validated, scope_df, parsed,
                       TK.files_in_scopes(parsed, resolved, "inner"))
     parse_s = time.perf_counter() - t1
@@ -146,16 +149,17 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
     R.report_files(run).write.mode("overwrite").parquet(files_location)
     R.report_errors(run).write.mode("overwrite").parquet(os.path.join(out_dir, "report_errors"))
     large_file_names(run.pairs).write.mode("overwrite").parquet(os.path.join(out_dir, "large_files"))
-    # aggregated before the clock stops; only writing the report rows is not in it
+    # aggregated before the clock stops; only writing reports and documents is not in it
     reports = materialize(R.build_reports(run, now_iso or _now_iso(), collection=info,
-                                          files_location=files_location), "reports")
+                                          files_location=files_location, lists=False), "reports")
     total = time.perf_counter() - t0
     perf = F.struct(
         F.lit(total).alias("processing_time_seconds"), F.lit(scan_s).alias("scan_time_seconds"),
         F.lit(parse_s).alias("parse_time_seconds"), F.lit(index_s).alias("index_time_seconds"),
         F.lit(started).alias("started_at"), F.lit(_now_iso()).alias("completed_at"))
-    reports.withColumn("performance", perf).write.mode("overwrite").json(
-        os.path.join(out_dir, "reports"))
+    reports = reports.withColumn("performance", perf)
+    reports.write.mode("overwrite").json(os.path.join(out_dir, "reports"))
+    D.write_documents(D.document_lines(run, reports), os.path.join(out_dir, "documents"))
     release(spark, mark)  # everything is written
     return {"out_dir": out_dir, "collection": collection,
             "timings": {"scan": scan_s, "parse": parse_s, "index": index_s, "total": total}}

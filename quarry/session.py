@@ -110,14 +110,19 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     does not force a recompute from the raw listing, and the read-back is a
     plain parquet scan whose statistics AQE can use.
     """
-    import uuid
-    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
-    path = f"{base}/quarry-{name}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    _STAGES.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a stage's files under the shared checkpoint folder."""
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
+    _STAGES.append(path)
+    return path
+
+
 _STAGES: list[str] = []
 
 

@@ -256,6 +256,15 @@ def test_report_end_to_end(spark, workspace):
     json.loads(R.build_reports(run, "x").toJSON().first())
 
 
+def whole_documents(folder):
+    """(task id, ticket) -> document: its part files, one behind the other, as JSON."""
+    import pathlib
+    from urllib.parse import unquote
+    return {(unquote(d.parent.name.split("=", 1)[1]), d.name.split("=", 1)[1]):
+            json.loads("".join(p.read_text() for p in sorted(d.glob("part-*"))))
+            for d in pathlib.Path(folder).glob("task_id=*/ticket=*")}
+
+
 def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
     from quarry.operators.tickets import TICKET_SCHEMA
     from quarry.plans import runner as P
@@ -272,9 +281,12 @@ def test_run_tickets_writes_outputs_and_index(spark, workspace, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "report_errors")).count() == 2
     hits = P.search_workspace(spark, out["collection"], "calculate numpy", limit=3).collect()
     assert hits and hits[0].file_path.endswith("nested.py")
-    # the report names the table of its files, lists its errors and the true embedder
+    # the report names the table of its files and the true embedder; its document lists its errors
     assert rep.results.files_location == str(tmp_path / "out" / "report_files")
-    assert len(rep.errors) == 2 and any(e.startswith("bad.py: Syntax error") for e in rep.errors)
+    (doc,) = whole_documents(tmp_path / "out" / "documents").values()
+    assert len(doc["errors"]) == 2 and any(e.startswith("bad.py: Syntax error") for e in doc["errors"])
+    assert [f["path"].removeprefix(workspace + "/") for f in doc["results"]["files"]] == sorted(EXPECTED)
+    assert doc["performance"]["processing_time_seconds"] == rep.performance.processing_time_seconds
     assert rep.rag_status.embedding_model == "hashed-words-md5"
     p = rep.performance
     assert p.processing_time_seconds >= p.scan_time_seconds + p.parse_time_seconds
