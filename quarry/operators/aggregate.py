@@ -1,64 +1,73 @@
 """Per-scope aggregates of parsed files.
 
-Input is the (scope_id, parsed file) pair table. All counters, sums and
-flags come from ONE ``groupBy(scope_id)`` with conditional aggregates
-(partial aggregation before the shuffle, so a scope holding most files costs
-one partial row per task). The "first N in path order" lists come from one
-window per (scope, list kind) with a literal row limit, which Spark plans as
-a WindowGroupLimit before and after the shuffle; no list is ever collected
-beyond its N rows.
+Input is the parsed files and the scopes as nodes of the time tree
+(``dyadic``): a file is never paired with the windows around it. All counters,
+sums and flags are values of a file that merge, from files to units of time,
+nodes and scopes, with partial aggregation before each shuffle. The "first N
+in path order" lists merge the same way: units and nodes hold at most N rows
+of each list (WindowGroupLimit before and after each shuffle), and no list is
+ever collected beyond its N rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry import fixed as X
 from quarry.functions.text import format_2f, format_fixed, template
+from quarry.operators import dyadic
 from quarry.operators.enrich import LARGE_FILE_BYTES, file_format
 
 TYPES = ("code", "data", "note", "notebook", "other")  # sorted: summary order
 MB = 1024 * 1024
 
 
-def _sum_if(cond: Column, value: Column) -> Column:
-    return F.coalesce(F.sum(F.when(cond, value)), F.lit(0)).cast("bigint")
-
-
-def scope_stats(pairs: DataFrame) -> DataFrame:
-    """One row per scope: counters, per-type breakdown, flags."""
+def file_values() -> dict[str, tuple[Column, str]]:
+    """What one file adds to its scopes' statistics, and how it merges."""
     t = F.col("file_type")
-    d = lambda f: F.coalesce(F.col(f"details.{f}"), F.lit(0))
-    n = lambda f: F.size(F.coalesce(F.col(f"details.{f}"), F.array()))
-    aggs = [
-        F.count(F.lit(1)).alias("files_processed"),
-        F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("total_size_bytes"),
-        F.count_if(F.col("success")).alias("files_succeeded"),
-        F.count_if(~F.col("success")).alias("parse_failed"),
-        F.count_if(F.col("size") > LARGE_FILE_BYTES).alias("large_files"),
-    ]
-    aggs += [F.count_if(t == k).alias(f"n_{k}") for k in TYPES]
+    d = lambda f: F.coalesce(F.col(f"details.{f}"), F.lit(0)).cast("bigint")
+    n = lambda f: F.size(F.coalesce(F.col(f"details.{f}"), F.array())).cast("bigint")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    only = lambda c, value: F.when(c, value).otherwise(F.lit(0).cast("bigint"))
     code, data, nb, note = t == "code", t == "data", t == "notebook", t == "note"
-    aggs += [
-        F.bool_or(code & (F.col("suffix") == ".py")).alias("code_python"),
-        _sum_if(code, d("lines_of_code")).alias("code_total_lines"),
-        _sum_if(code, n("functions")).alias("code_functions"),
-        _sum_if(code, n("classes")).alias("code_classes"),
+    values = {
+        "files_processed": (F.lit(1).cast("bigint"), "sum"),
+        "total_size_bytes": (F.coalesce(F.col("size"), F.lit(0)).cast("bigint"), "sum"),
+        "files_succeeded": (flag(F.col("success")), "sum"),
+        "parse_failed": (flag(~F.col("success")), "sum"),
+        "large_files": (flag(F.col("size") > LARGE_FILE_BYTES), "sum"),
+    }
+    values |= {f"n_{k}": (flag(t == k), "sum") for k in TYPES}
+    return values | {
+        "code_python": (F.coalesce(code & (F.col("suffix") == ".py"), F.lit(False)), "any"),
+        "code_total_lines": (only(code, d("lines_of_code")), "sum"),
+        "code_functions": (only(code, n("functions")), "sum"),
+        "code_classes": (only(code, n("classes")), "sum"),
         # distinct formats: data/note types admit only case variants of
         # four / two suffixes, so these sets are small by construction
-        F.array_sort(F.collect_set(F.when(data, file_format()))).alias("data_formats"),
-        _sum_if(data, d("rows")).alias("data_total_rows"),
-        F.coalesce(F.max(F.when(data, d("columns"))), F.lit(0)).cast("bigint")
-         .alias("data_total_columns"),
-        _sum_if(nb, d("total_cells")).alias("notebook_total_cells"),
-        _sum_if(nb, d("code_cells")).alias("notebook_code_cells"),
-        _sum_if(nb, d("markdown_cells")).alias("notebook_markdown_cells"),
-        F.array_sort(F.collect_set(F.when(note, file_format()))).alias("note_formats"),
-        _sum_if(note, d("words")).alias("note_total_words"),
-    ]
-    return pairs.groupBy("scope_id").agg(*aggs)
+        "data_formats": (F.when(data, file_format()), "set"),
+        "data_total_rows": (only(data, d("rows")), "sum"),
+        "data_total_columns": (only(data, d("columns")), "max"),
+        "notebook_total_cells": (only(nb, d("total_cells")), "sum"),
+        "notebook_code_cells": (only(nb, d("code_cells")), "sum"),
+        "notebook_markdown_cells": (only(nb, d("markdown_cells")), "sum"),
+        "note_formats": (F.when(note, file_format()), "set"),
+        "note_total_words": (only(note, d("words")), "sum"),
+    }
+
+
+def scope_stats(files: DataFrame, selection: dyadic.Selection) -> DataFrame:
+    """One row per scope with files: counters, per-type breakdown, flags."""
+    return dyadic.aggregate(files, selection, file_values())
+
+
+def scope_firsts(files: DataFrame, selection: dyadic.Selection) -> DataFrame:
+    """Per scope the first file, failed file and large file, by path."""
+    place = F.struct("path", "file_no")
+    return dyadic.aggregate(files, selection, {
+        "first_file": (place, "min"), "first_error": (F.when(~F.col("success"), place), "min"),
+        "first_large": (F.when(F.col("size") > LARGE_FILE_BYTES, place), "min")})
 
 
 # List kinds: (name, member types, limit).
@@ -72,21 +81,16 @@ LISTS = [
 MAX_LIST = max(k for _, _, k in LISTS)
 
 
-def first_n_rows(pairs: DataFrame) -> DataFrame:
-    """Rows of every first-N list: (scope_id, kind, rank, file columns).
-
-    One explode tags each file with the lists it belongs to; one
-    row_number window keeps <= MAX_LIST rows per (scope, kind) in path order.
-    """
+def first_n_rows(files: DataFrame, selection: dyadic.Selection) -> DataFrame:
+    """Rows of every first-N list: (scope_id, kind, rank, file columns). One
+    explode tags each file with the lists it belongs to."""
     t = F.col("file_type")
     kinds = F.array_compact(F.array(*[
         F.when(t.isin(*types), F.lit(kind)) for kind, types, _ in LISTS]))
     limits = F.create_map(*[F.lit(x) for kind, _, k in LISTS for x in (kind, k)])
-    w = Window.partitionBy("scope_id", "kind").orderBy("path")
-    ranked = (pairs.select("scope_id", "path", "name", "file_type", "size", "summary",
-                           F.explode(kinds).alias("kind"))
-              .withColumn("rank", F.row_number().over(w))
-              .filter(F.col("rank") <= MAX_LIST))
+    rows = files.select("path", "name", "file_type", "size", "summary", "modified",
+                        F.explode(kinds).alias("kind"))
+    ranked = dyadic.first_n(rows, selection, MAX_LIST).drop("modified")
     return ranked.filter(F.col("rank") <= F.element_at(limits, F.col("kind")))
 
 
@@ -113,9 +117,9 @@ def _item(kind: str) -> Column:
     raise KeyError(kind)
 
 
-def scope_lists(pairs: DataFrame) -> DataFrame:
+def scope_lists(files: DataFrame, selection: dyadic.Selection) -> DataFrame:
     """One row per scope with the bounded lists, in path order."""
-    rows = first_n_rows(pairs)
+    rows = first_n_rows(files, selection)
     item = F.when(F.col("kind") == "notable_changes", F.lit(None))
     for kind, _, _ in LISTS:
         if kind != "notable_changes":

@@ -8,14 +8,13 @@ tickets share it, and joined back to the tickets at the end.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry import fixed as X
 from quarry.functions.text import iso_timestamp
+from quarry.operators import dyadic
 
 CONTEXT = T.StructType([T.StructField(n, T.StringType()) for n in (
     "requester", "requester_email", "requester_role", "timezone", "original_question",
@@ -34,17 +33,6 @@ TICKET_SCHEMA = T.StructType([
 CONTEXT_DEFAULTS = X.CONTEXT_DEFAULTS
 DATES_REQUIRED = X.DATES_REQUIRED
 
-# Scope sets up to this size are collected (bounded) and broadcast.
-BROADCAST_TICKETS = 10_000
-# Up to this many windows every file is tested against every window
-# (broadcast nested loop); above it windows are exploded into days and the
-# files are hash-joined on their day, so each file meets only the windows
-# that cover its day.
-NESTED_LOOP_WINDOWS = 64
-# The exploded (window, day) table is broadcast up to this many rows.
-BROADCAST_DAY_ROWS = 2_000_000
-
-
 def validate(tickets: DataFrame) -> DataFrame:
     """Adds ``valid`` and ``error``; defaults scan_all=false, reindex=true."""
     scan_all = F.coalesce(F.col("scan_all"), F.lit(False))
@@ -102,83 +90,16 @@ def context_struct(now_iso: str) -> tuple[Column, Column, Column]:
     return requester, request, scope
 
 
-@dataclass
-class ScopeSet:
-    """Resolved scopes: the window table to join and whether an all-files
-    scope exists. ``small`` windows are a driver-built local relation
-    (counted against the broadcast limit before they were collected)."""
-    windows: DataFrame
-    has_all: bool
-    small: bool
-    n_windows: int = -1      # known when small
-    day_rows: int = -1       # (window, day) pairs, known when small
-
-
-_WINDOW_SCHEMA = T.StructType([T.StructField("scope_id", T.StringType()),
-                               T.StructField("start_date", T.TimestampNTZType()),
-                               T.StructField("end_date", T.TimestampNTZType())])
-
-
-def resolve_scopes(scope_df: DataFrame, broadcast_limit: int = BROADCAST_TICKETS) -> ScopeSet:
-    """One bounded action: at most ``broadcast_limit + 1`` scope rows are read."""
-    rows = scope_df.select("scope_id", "scan_all", "start_date", "end_date") \
-        .limit(broadcast_limit + 1).collect()
-    if len(rows) <= broadcast_limit:
-        spark = scope_df.sparkSession
-        windows = [(r["scope_id"], r["start_date"], r["end_date"]) for r in rows
-                   if not r["scan_all"] and r["start_date"] <= r["end_date"]]
-        day_rows = sum((e.date() - s.date()).days + 1 for _, s, e in windows)
-        return ScopeSet(spark.createDataFrame(windows, _WINDOW_SCHEMA),
-                        any(r["scan_all"] for r in rows), True, len(windows), day_rows)
-    has_all = scope_df.filter("scan_all").limit(1).count() > 0
-    windows = scope_df.filter("not scan_all and start_date <= end_date").select(
-        "scope_id", "start_date", "end_date")
-    return ScopeSet(windows, has_all, False)
-
-
-def files_in_scopes(files: DataFrame, scopes_: "DataFrame | ScopeSet", how: str = "inner",
-                    broadcast_limit: int = BROADCAST_TICKETS) -> DataFrame:
-    """(scope, file) pairs, or with ``how='left_semi'`` the files any scope needs.
-
-    A few windows (counted first) are broadcast and every file is tested
-    against each (nested loop, files streamed). More windows are exploded
-    into days and joined on the file's day plus the exact inclusive test:
-    broadcast when the day table is small, shuffled otherwise. The
-    all-files scope needs no join at all.
-    """
-    s = scopes_ if isinstance(scopes_, ScopeSet) else resolve_scopes(scopes_, broadcast_limit)
-    if how == "left_semi" and s.has_all:
-        return files
-    if s.small and s.n_windows <= NESTED_LOOP_WINDOWS:
-        cond = files["modified"].between(F.col("w.start_date"), F.col("w.end_date"))
-        matched = files.join(F.broadcast(s.windows.alias("w")), cond, how)
-        if how != "left_semi":
-            matched = matched.drop("start_date", "end_date")
-    else:
-        matched = _bucketed_window_join(
-            files, s.windows, how, broadcast_days=s.small and s.day_rows <= BROADCAST_DAY_ROWS)
-    if how == "left_semi" or not s.has_all:
-        return matched
-    # At most one all-files scope exists (scopes are distinct): tag, don't join.
-    return matched.unionByName(files.withColumn("scope_id", F.lit("all")))
-
-
-def _bucketed_window_join(files: DataFrame, windows: DataFrame, how: str,
-                          broadcast_days: bool = False) -> DataFrame:
-    """Range join for many windows: explode each window into its days and
-    equi-join on the day, then apply the exact bounds. With a counted, small
-    day table the join is a broadcast hash join (files are not shuffled);
-    otherwise both sides shuffle on the day and AQE's skew-join handling
-    splits a day holding a large share of the files."""
-    days = windows.select(
-        F.col("scope_id").alias("_scope"), F.col("start_date").alias("_lo"),
-        F.col("end_date").alias("_hi"),
-        F.explode(F.sequence(F.to_date("start_date"), F.to_date("end_date"))).alias("_day"))
-    if broadcast_days:
-        days = F.broadcast(days)
-    keyed = files.withColumn("_fday", F.to_date("modified"))
-    cond = ((keyed["_fday"] == days["_day"]) & keyed["modified"].between(days["_lo"], days["_hi"]))
-    if how == "left_semi":
-        return keyed.join(days, cond, "left_semi").drop("_fday")
-    joined = keyed.join(days, cond, "inner")
-    return joined.drop("_fday", "_day", "_lo", "_hi").withColumnRenamed("_scope", "scope_id")
+def resolve_scopes(scope_df: DataFrame) -> dyadic.Selection:
+    """The scopes as nodes of the time tree; one action of a row per level."""
+    windows = scope_df.filter("not scan_all").select("scope_id", "start_date", "end_date")
+    return dyadic.selection(windows, scope_df.filter("scan_all"))
+
+
+def files_in_scopes(files: DataFrame, scopes_: "DataFrame | dyadic.Selection",
+                    how: str = "inner") -> DataFrame:
+    """(scope, file) pairs, or with ``how='left_semi'`` the files any scope
+    needs. One plan for any number and length of windows (see ``dyadic``); the
+    all-files scope is a tag, not a join."""
+    s = scopes_ if isinstance(scopes_, dyadic.Selection) else resolve_scopes(scopes_)
+    return dyadic.semi_join(files, s) if how == "left_semi" else dyadic.join(files, s)

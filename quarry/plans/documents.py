@@ -78,7 +78,7 @@ def _around(reports: DataFrame) -> DataFrame:
 def _elements(run: TicketRun, reports: DataFrame) -> DataFrame:
     """The lines of the lists: each element is made once per scope and copied
     to the scope's documents."""
-    record = F.struct(*[c for c in enrich.enhanced_files(run.pairs.limit(0)).columns])
+    record = F.struct(*enrich.enhanced_files(run.parsed).columns)
     made = (enrich.enhanced_files(run.pairs, keys=("scope_id", "file_no", "success", "error", "size"))
             .select("scope_id", "path", "file_no", F.to_json(record).alias("file"),
                     F.when(~F.col("success"), _string(error_message())).alias("failed"),
@@ -103,7 +103,7 @@ def document_lines(run: TicketRun, reports: DataFrame) -> DataFrame:
     """Every line of every document, with its place (``ORDER``). ``reports``
     are ``build_reports(run, ..., lists=False)``."""
     shown = F.struct(*[c for c in reports.columns if c != "scope_id"])
-    papers = (reports.join(run.firsts, "scope_id", "left")
+    papers = (reports.join(A.scope_firsts(run.parsed, run.selection), "scope_id", "left")
               .withColumn("task_id", F.coalesce("task_id", F.lit("unknown")))
               .withColumn("ticket", F.coalesce(F.lower(F.hex(F.xxhash64(F.to_json(shown)))), F.lit("")))
               .dropDuplicates(list(DOCUMENT)))

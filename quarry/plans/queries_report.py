@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.fixed import ENUMS, REPORT_SCHEMA
 from quarry.functions.text import day_span, iso_timestamp
 from quarry.operators import aggregate as A
-from quarry.operators import scan
+from quarry.operators import dyadic, scan
 from quarry.operators import tickets as TK
 from quarry.plans import documents as D
 from quarry.plans import oracle_sql as O
@@ -83,7 +83,7 @@ def context_defaults(spark, sf_dir):
 @register("ticket_files", _with() + f"""
 SELECT task_id, path, file_type, size, {O.iso('modified')} AS modified FROM tf""")
 def ticket_files(spark, sf_dir):
-    """Every (ticket, file) pair, scopes broadcast after a size check."""
+    """Every (ticket, file) pair."""
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
     validated = TK.with_scope(TK.validate(tickets_df(spark, sf_dir)))
     pairs = TK.files_in_scopes(inventory, TK.scopes(validated))
@@ -191,7 +191,7 @@ top AS (SELECT * FROM ranked WHERE rank <= {n})"""
 
 def _list_rows(run, kind):
     t = run.tickets.filter("valid").select("task_id", "scope_id")
-    return t.join(A.first_n_rows(run.pairs).filter(F.col("kind") == kind), "scope_id")
+    return t.join(A.first_n_rows(run.parsed, run.selection).filter(F.col("kind") == kind), "scope_id")
 
 
 @register("highlights", _with(_ranked(("code", "data", "notebook", "note"), 10)) + """
@@ -527,12 +527,11 @@ def window_tickets(spark, sf_dir, n: int = N_WINDOWS):
         F.lit(None).cast(TK.CONTEXT).alias("context"))
 
 
-def window_counts(spark, sf_dir, broadcast_limit=TK.BROADCAST_TICKETS):
+def window_counts(spark, sf_dir, n: int = N_WINDOWS):
     inventory = scan.inventory(fixture_files(spark, sf_dir), FIXTURE_ROOT)
-    validated = TK.with_scope(TK.validate(window_tickets(spark, sf_dir)))
-    pairs = TK.files_in_scopes(inventory, TK.scopes(validated), broadcast_limit=broadcast_limit)
-    per_scope = pairs.groupBy("scope_id").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size").cast("bigint").alias("total_size_bytes"))
+    validated = TK.with_scope(TK.validate(window_tickets(spark, sf_dir, n)))
+    per_scope = dyadic.aggregate(inventory, TK.resolve_scopes(TK.scopes(validated)), {
+        "files": (F.lit(1).cast("bigint"), "sum"), "total_size_bytes": (F.col("size"), "sum")})
     return (validated.select("task_id", "scope_id").join(per_scope, "scope_id", "left")
             .select("task_id", F.coalesce("files", F.lit(0)).alias("files"),
                     F.coalesce("total_size_bytes", F.lit(0)).cast("bigint").alias("total_size_bytes")))

@@ -2,10 +2,10 @@
 
 Stages::
 
-    tickets --validate--> scopes (distinct windows, counted, broadcast)
-    inventory --semi join scopes--> needed files --parse--> parsed  [materialised]
-    parsed --join scopes--> pairs --groupBy scope--> stats
-                                   --window first-N--> lists
+    tickets --validate--> scopes (distinct windows, as nodes of a time tree)
+    inventory --semi join nodes--> needed files --parse--> parsed  [materialised]
+    parsed --units, nodes, scopes--> stats, first-N lists
+    parsed --join nodes--> pairs, only for results that list files
     tickets ⟕ (stats ⟕ lists) on scope_id --> one report row per ticket
 
 The lists of a report that grow with the data (file records, messages of
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quarry import fixed as X
 from quarry.functions.text import template
 from quarry.operators import aggregate as A
-from quarry.operators import enrich, parse, tickets as TK
+from quarry.operators import dyadic, enrich, parse, tickets as TK
 from quarry.operators import vectors as V
 from quarry.session import materialize
 
@@ -41,15 +41,12 @@ class TicketRun:
     tickets: DataFrame   # validated, with scope_id
     scopes: DataFrame    # distinct scopes of valid tickets
     parsed: DataFrame    # one profile row per needed file
-    pairs: DataFrame     # (scope_id, parsed file)
+    selection: dyadic.Selection  # the scopes as ranges of time
 
     @property
-    def firsts(self) -> DataFrame:
-        """Per scope the first file, failed file and large file, by path."""
-        place = F.struct("path", "file_no")
-        return self.pairs.groupBy("scope_id").agg(
-            F.min(place).alias("first_file"), F.min(F.when(~F.col("success"), place)).alias("first_error"),
-            F.min(F.when(F.col("size") > A.LARGE_FILE_BYTES, place)).alias("first_large"))
+    def pairs(self) -> DataFrame:
+        """(scope_id, parsed file), for results that list files."""
+        return TK.files_in_scopes(self.parsed, self.selection)
 
 
 def prepare(inventory: DataFrame, tickets: DataFrame, persist: bool = True,
@@ -69,8 +66,7 @@ def prepare(inventory: DataFrame, tickets: DataFrame, persist: bool = True,
     parsed = numbered(parse.parse_files(needed) if profile else parse.without_profile(needed))
     if persist and profile:
         parsed = materialize(parsed)
-    pairs = TK.files_in_scopes(parsed, resolved, "inner")
-    return TicketRun(validated, scope_df, parsed, pairs)
+    return TicketRun(validated, scope_df, parsed, resolved)
 
 
 def numbered(parsed: DataFrame) -> DataFrame:
@@ -81,7 +77,8 @@ def numbered(parsed: DataFrame) -> DataFrame:
 def per_scope(run: TicketRun, lists: bool = False) -> DataFrame:
     """Stats and bounded lists: one row per scope; with ``lists`` also every
     error message and large file."""
-    bounded = A.scope_stats(run.pairs).join(A.scope_lists(run.pairs), "scope_id", "left")
+    bounded = (A.scope_stats(run.parsed, run.selection)
+               .join(A.scope_lists(run.parsed, run.selection), "scope_id", "left"))
     if not lists:
         return bounded
     listed = lambda rows, item, name: rows.groupBy("scope_id").agg(

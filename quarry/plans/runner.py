@@ -136,8 +136,7 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
     scan_s = time.perf_counter() - t0
     t1 = time.perf_counter()
     parsed = materialize(R.numbered(R.parse.parse_files(needed)))  # one parse per file, shared storage
-    run = R.TicketRun(validated, scope_df, parsed,
-                      TK.files_in_scopes(parsed, resolved, "inner"))
+    run = R.TicketRun(validated, scope_df, parsed, resolved)
     parse_s = time.perf_counter() - t1
     t2 = time.perf_counter()
     info = None

@@ -28,10 +28,19 @@ def test_single_query_topk_is_take_ordered(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_ticket_join_broadcasts_scopes(spark):
+def test_ticket_join_is_a_hash_join_on_nodes(spark):
     plan = _plan(REG["ticket_files"].build(spark, SF_SMALL))
-    assert "BroadcastNestedLoopJoin" in plan
-    assert "CartesianProduct" not in plan
+    assert "BroadcastHashJoin [level" in plan
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["statistics", "highlights", "ticket_window_counts"])
+def test_window_aggregates_form_no_pairs(spark, name):
+    """Rows are reduced to units and nodes before they meet windows."""
+    df = REG[name].build(spark, SF_SMALL)
+    plan = _final_plan(df)
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert "unit#" in plan
 
 
 def test_native_profiles_stay_in_the_jvm(spark):
@@ -47,18 +56,14 @@ def test_scan_prunes_columns(spark):
     assert "lang" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
-def test_bucketed_range_join_equals_broadcast(spark):
+def test_window_counts_are_the_same_without_broadcasts(spark, monkeypatch):
+    from quarry.operators import dyadic
     a = sorted(window_counts(spark, SF_SMALL).collect())
-    b = sorted(window_counts(spark, SF_SMALL, broadcast_limit=0).collect())
+    monkeypatch.setattr(dyadic, "BROADCAST_BYTES", 0)
+    b = sorted(window_counts(spark, SF_SMALL).collect())
     assert a == b and len(a) == 100
 
 
-def test_many_windows_use_a_broadcast_hash_join_on_days(spark):
-    df = window_counts(spark, SF_SMALL)
-    plan = _plan(df)
-    assert "BroadcastHashJoin" in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 REPORTS = ["breakdown_note", "breakdown_code", "summary_text", "files_indexed", "task_report",
            "task_result_flat", "run_totals", "report_files", "report_conformance"]
 
