@@ -110,8 +110,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = materialize(
         found.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
         .where("lo != hi").select("mark"), "line-marks")
+    # a bitmap leaves out most of the others before anything moves
+    some = with_filter(found, key_filter(marks, "mark"), "mark").where("hit").drop("hit")
     met = materialize(
-        found.join(marks.hint("merge"), "mark")
+        some.join(marks.hint("merge"), "mark")
         .select("k", "at", "around", F.explode("windows").alias("w")).select("k", "at", "around", "w.*"),
         "line-matches")
     start, end = F.col("at") - F.col("before"), F.col("at") + F.col("behind")
