@@ -91,6 +91,16 @@ def vector_threshold(spark, sf_dir):
     return _batch(spark, sf_dir, BATCH_K, THRESHOLD)
 
 
+@register("vector_index_search", _batch_sql(BATCH_K, None))
+def vector_index_search(spark, sf_dir):
+    """V4 over a stored pivot index: top-20 per label centroid."""
+    e = _embeddings(spark, sf_dir)
+    queries = V.centroids(e, "label").withColumnRenamed("label", "query_id")
+    hits = V.PivotIndex(e, "vec_id").search(queries, k=BATCH_K)
+    return hits.select("query_id", "vec_id", F.round("score", 6).alias("score"),
+                       F.col("rank").cast("bigint").alias("rank"))
+
+
 @register("collection_info", """
 SELECT 'local_rag' AS collection_name, count(*) AS points_count, count(embedding) AS vectors_count,
   count(embedding) AS indexed_vectors_count, coalesce(max(len(embedding)), 0) AS dimension,
@@ -127,11 +137,7 @@ FROM s_documents""")
 def embed_documents(spark, sf_dir):
     """V2: hashed bag-of-words vectors of every document (sparse rows)."""
     d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
-    sp = V.with_sparse(d, "text", "v")
-    return (sp.select("doc_id", F.arrays_zip("v.indices", "v.weights").alias("z"))
-            .select("doc_id", F.explode("z").alias("e"))
-            .select("doc_id", F.col("e.indices").alias("bucket"),
-                    F.round(F.col("e.weights"), 9).alias("weight")))
+    return V.sparse_rows(d, "doc_id", "text").select("doc_id", "bucket", F.round("weight", 9).alias("weight"))
 
 
 @register("text_search", "WITH " + _sparse_sql("documents", "doc_id", "text").strip() + ",\n"
