@@ -303,30 +303,62 @@ def parse_files(files: DataFrame, native_only: bool = False) -> DataFrame:
     return native.unionByName(_python_side(routed.filter(F.col("python_side"))))
 
 
-_MEASURES = ("path string, _missing boolean, _binary boolean, _words bigint, _lines bigint, "
-             "_headers bigint, _preview string, _undecodable string")
-
-
-def _measure_paths(frames):
-    """mapInPandas body: measures of each text file, read once in pieces."""
-    import pandas as pd
-
-    from quarry.functions.streams import measure_text
-    for frame in frames:
-        rows = []
-        for row in frame.to_dict("records"):
-            m = measure_text(row["path"], X.PREVIEW_CHARS)
-            if m is None:
-                measures = (True, None, None, None, None, None, None)
-            elif m.error:
-                measures = (False, True, None, None, None, None, m.error)
-            else:
-                head = m.head[:X.PREVIEW_CHARS]
-                shown = head if head == m.head else head + X.ELLIPSIS
-                measures = (False, False, m.words, m.lines, m.headers, shown, None)
-            rows.append((*row.values(), *measures))
-        yield pd.DataFrame(rows, columns=[*frame.columns, "_missing", "_binary", "_words", "_lines",
-                                          "_headers", "_preview", "_undecodable"])
+# measures of one range of a file (functions.streams), by its number
+_MEASURES = ("n int, missing boolean, error_at bigint, error string, words bigint, lines bigint, "
+             "headers bigint, first_space boolean, lead string, in_word boolean, blank boolean, "
+             "starts_lf boolean, ends_cr boolean, head string")
+RANGE_BYTES = 64 << 20
+
+
+def _measure_ranges(range_bytes: int):
+    """mapInPandas body: measures of each range of a text file, read in pieces."""
+    names = [part.split()[0] for part in _MEASURES.split(", ")]
+
+    def run(frames):
+        import pandas as pd
+
+        from quarry.functions.streams import measure_text
+        for frame in frames:
+            rows = []
+            for row in frame.to_dict("records"):
+                n, last = row["n"], row.pop("last")
+                m = measure_text(row["path"], X.PREVIEW_CHARS, lo=n * range_bytes,
+                                 hi=None if last else (n + 1) * range_bytes)
+                found = (m is None, *((None,) * (len(names) - 2) if m is None else (
+                    m.error_at, m.error, m.words, m.lines, m.headers, m.first_space, m.lead, m.in_word,
+                    m.blank, m.starts_lf, m.ends_cr, m.head)))
+                rows.append((*row.values(), *found))
+            columns = [c for c in frame.columns if c != "last"]
+            yield pd.DataFrame(rows, columns=[*columns, *names[1:]]).astype({"error_at": "Int64"})
+    return run
+
+
+def _merged_ranges(measured: DataFrame) -> DataFrame:
+    """One row per file from its ranges, merged in order: a word, a line or a
+    line end that a cut went through counts once."""
+    names = [part.split()[0] for part in _MEASURES.split(", ")]
+    keys = [c for c in measured.columns if c not in names]
+    # the all-null state of a missing file changes nothing: it has no first character
+    step = """if(s.first_space IS NULL, a, named_struct(
+        'words', a.words + s.words - int(a.in_word AND NOT s.first_space),
+        'lines', a.lines + s.lines - 1 - int(a.cr AND s.starts_lf),
+        'headers', a.headers + s.headers - int(NOT a.blank AND s.lead = '#'),
+        'head', if(length(a.head) > {keep}, a.head,
+                   concat(a.head, if(a.cr AND s.starts_lf, substring(s.head, 2), s.head))),
+        'in_word', s.in_word, 'blank', if(s.lines > 1, s.blank, a.blank AND s.blank), 'cr', s.ends_cr))"""
+    start = ("named_struct('words', 0L, 'lines', 1L, 'headers', 0L, 'head', '', 'in_word', false, "
+             "'blank', true, 'cr', false)")
+    fold = F.expr(f"aggregate(array_sort(ranges), {start}, (a, s) -> {step.format(keep=X.PREVIEW_CHARS)})")
+    files = measured.groupBy(*keys).agg(
+        F.collect_list(F.struct(*names)).alias("ranges"), F.bool_or("missing").alias("_missing"),
+        F.min(F.when(F.col("error").isNotNull(), F.struct("error_at", "error")))["error"].alias("_undecodable"))
+    head = F.col("m.head")
+    return files.withColumn("m", fold).select(
+        *keys, "_missing", F.col("_undecodable").isNotNull().alias("_binary"),
+        F.col("m.words").alias("_words"), F.col("m.lines").alias("_lines"), F.col("m.headers").alias("_headers"),
+        F.concat(F.substring(head, 1, X.PREVIEW_CHARS),
+                 F.when(F.length(head) > X.PREVIEW_CHARS, X.ELLIPSIS).otherwise("")).alias("_preview"),
+        "_undecodable")
 
 
 FILES_PER_TASK_BYTES = 128 << 20
@@ -334,7 +366,7 @@ FILES_PER_TASK_BYTES = 128 << 20
 
 def _parse_by_path(files: DataFrame) -> DataFrame:
     """Profiles of files of a mounted tree. Each branch deals its files over
-    tasks by their number and bytes and opens each of them once."""
+    tasks by their number and bytes; a text file is opened once per range."""
     from pyspark.sql.types import _parse_datatype_string
 
     routed = files.select(*FILE_COLUMNS).withColumn(
@@ -343,10 +375,14 @@ def _parse_by_path(files: DataFrame) -> DataFrame:
     tasks = max(files.sparkSession.sparkContext.defaultParallelism, size["n"] // 2000,
                 (size["bytes"] or 0) // FILES_PER_TASK_BYTES)
     dealt = F.col("parser").isin(*PYTHON_SIDE)
-    text = routed.filter(~dealt).repartition(tasks, "path")
-    schema = T.StructType([f for f in text.schema] + [
-        f for f in _parse_datatype_string(_MEASURES) if f.name != "path"])
-    return (_text_profile(text.mapInPandas(_measure_paths, schema))
+    # text is dealt by byte ranges: a large file is many tasks' work
+    count = F.greatest(F.ceil(F.col("size") / RANGE_BYTES).cast("int"), F.lit(1))
+    text = (routed.filter(~dealt).withColumn("_of", count)
+            .withColumn("n", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+            .withColumn("last", F.col("n") == F.col("_of") - 1).drop("_of").repartition(tasks, "path", "n"))
+    schema = T.StructType([f for f in text.schema if f.name not in ("n", "last")]
+                          + _parse_datatype_string(_MEASURES).fields)
+    return (_text_profile(_merged_ranges(text.mapInPandas(_measure_ranges(RANGE_BYTES), schema)))
             .unionByName(_python_side(routed.filter(dealt).repartition(tasks, "path"))))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry import fixed as X
 from quarry.functions.text import file_name, file_suffix
+from quarry.session import materialize_observed
 
 IGNORE_PATTERNS = X.IGNORE_PATTERNS
 FILE_TYPES = X.FILE_TYPES
@@ -111,6 +112,19 @@ def scan_counters(files: DataFrame, start, end, root: str | None = None) -> Data
     )
 
 
+def observed_inventory(files: DataFrame, start, end, root: str | None = None) -> tuple[DataFrame, dict]:
+    """S2 and S3 in one pass: the written inventory of a window, and the
+    counters (and bytes) of the scan that wrote it."""
+    reached, kept = ~F.col("pruned"), ~F.col("pruned") & ~F.col("ignored")
+    size = F.when(kept & in_range(start, end), F.col("size"))
+    # rows are flagged and counted, and only then dropped
+    return materialize_observed(
+        ignore_flags(files, root), "scan",
+        lambda seen: classify(seen.where(kept & in_range(start, end))).drop("pruned", "ignored"),
+        scanned=F.count_if(reached), ignored=F.count_if(reached & F.col("ignored")),
+        changed=F.count(size), bytes=F.coalesce(F.sum(size), F.lit(0)))
+
+
 def _ts(value) -> Column:
     if isinstance(value, Column):
         return value

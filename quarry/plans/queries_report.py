@@ -12,6 +12,7 @@ from quarry.operators import tickets as TK
 from quarry.plans import documents as D
 from quarry.plans import oracle_sql as O
 from quarry.plans import report as R
+from quarry.plans import runner
 from quarry.plans.fixture_tickets import (EPOCH, NOW, conversation_tickets, conversation_tickets_sql,
                                           span_hours, tickets_df, tickets_sql)
 from quarry.plans.queries_profile import generated_files
@@ -750,3 +751,22 @@ def task_report_fields(spark, sf_dir):
         F.array_join(F.from_json(at("errors"), "array<string>"), "|").alias("errors"),
         at("context.requester.name").alias("requester"),
         at("context.requester.timezone").alias("timezone"))
+
+
+@register("run_stages", _with(_GEN) + """
+, needed AS (SELECT DISTINCT path, size FROM tf),
+indexed AS (SELECT DISTINCT path FROM tf WHERE reindex)
+SELECT 'scan' AS stage, count(*) AS rows, TRUE AS timed FROM needed
+UNION ALL SELECT 'parse', count(*), TRUE FROM needed
+UNION ALL SELECT 'index', count(*), TRUE FROM indexed""".replace("\n, needed AS", ",\nneeded AS"))
+def run_stages(spark, sf_dir):
+    """A whole run over the generated sources (scan, parse, index,
+    reports, documents); its stages' rows and that each was timed."""
+    base = stage_path(spark, "run")
+    done = runner.run_tickets(spark, generated_files(spark, sf_dir), tickets_df(spark, sf_dir), f"{base}/out",
+                              collection=f"{base}/points", now_iso=NOW)
+    points = runner.current_points(spark, f"{base}/points").count()
+    times, rows = done["timings"], done["rows"] | {"index": points}
+    timed = all(t >= 0 for t in times.values()) and times["total"] >= times["scan"] + times["parse"] + times["index"]
+    return spark.createDataFrame([(stage, rows[stage], timed) for stage in ("scan", "parse", "index")],
+                                 "stage string, rows bigint, timed boolean")

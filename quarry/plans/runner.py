@@ -22,7 +22,9 @@ from quarry.operators import vectors as V
 from quarry.operators.aggregate import large_file_names
 from quarry.plans import documents as D
 from quarry.plans import report as R
-from quarry.session import materialize, release, stage_mark
+from quarry.plans.collection import (clear_collection, create_collection, current_points,  # noqa: F401
+                                     delete_file, upsert_points)
+from quarry.session import materialize, materialize_observed, release, stage_mark
 
 
 def _now_iso() -> str:
@@ -43,81 +45,10 @@ def index_documents(run: R.TicketRun) -> DataFrame:
     return V.make_points(docs)
 
 
-def _versions(spark: SparkSession, collection: str) -> list[int]:
-    """Complete versions of a collection, listed through the Hadoop file
-    system of the path (local, HDFS or an object store alike)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(collection)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if (name.startswith("v=") and name[2:].isdigit()
-                and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))):
-            out.append(int(name[2:]))
-    return sorted(out)
-
-
-def current_points(spark: SparkSession, collection: str) -> DataFrame:
-    """The latest complete version of a collection (empty if none)."""
-    versions = _versions(spark, collection)
-    if not versions:
-        return spark.createDataFrame([], V.POINTS)
-    return V.read_points(spark, os.path.join(collection, f"v={versions[-1]}"))
-
-
-def check_dimension(old: DataFrame, new: DataFrame) -> None:
-    """All points of a collection have one dimension."""
-    sizes = (old.select(F.size("embedding").alias("n")).union(new.select(F.size("embedding")))
-             .where("n >= 0").distinct().limit(2).collect())
-    if len(sizes) > 1:
-        raise ValueError(f"points of different dimensions: {sorted(r['n'] for r in sizes)}")
-
-
-def _write_version(spark: SparkSession, collection: str, points: DataFrame) -> str:
-    versions = _versions(spark, collection)
-    target = os.path.join(collection, f"v={(versions[-1] + 1) if versions else 0}")
-    V.write_points(points, target, mode="overwrite")
-    return target
-
-
-def create_collection(spark: SparkSession, collection: str) -> None:
-    """V9: an empty first version, if the collection has none."""
-    if not _versions(spark, collection):
-        _write_version(spark, collection, spark.createDataFrame([], V.POINTS))
-
-
-def clear_collection(spark: SparkSession, collection: str) -> None:
-    """A new version without points."""
-    _write_version(spark, collection, spark.createDataFrame([], V.POINTS))
-
-
-def delete_file(spark: SparkSession, collection: str, file_path: str) -> None:
-    """V7: a new version without the points of one file."""
-    _write_version(spark, collection, V.delete_file(current_points(spark, collection), file_path))
-
-
-def upsert_points(spark: SparkSession, collection: str, new_points: DataFrame,
-                  mode: str = "replace") -> str:
-    """S7 with replace-by-path: points of re-indexed files replace the old
-    ones (``mode='append'`` keeps duplicates). Writes a new version
-    directory; readers switch to it once it is complete."""
-    # embedded once: both the paths and the rows are read from this table
-    new_points = materialize(new_points, "new-points")
-    old = current_points(spark, collection)
-    check_dimension(old, new_points)
-    if mode == "replace":
-        old = old.join(new_points.select("file_path").distinct(), "file_path", "left_anti")
-    merged = old.unionByName(new_points.withColumn("embedding",
-                                                   F.col("embedding").cast("array<float>")))
-    return _write_version(spark, collection, merged)
-
-
 def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_dir: str,
                 collection: str | None = None, now_iso: str | None = None) -> dict:
-    """Handle a batch of tickets; returns the output locations and timings.
+    """Handle a batch of tickets; returns the output locations, the timings and
+    the rows of each stage (observed as the stages are written).
 
     Outputs under ``out_dir``: ``documents`` (one JSON document per ticket,
     with every file record, see ``plans.documents``), ``reports`` (JSON lines,
@@ -131,17 +62,22 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
     scope_df = TK.scopes(validated)
     resolved = TK.resolve_scopes(scope_df)
     needed = TK.files_in_scopes(files, resolved, "left_semi")
+    seen = {}
     if "content" not in files.columns:  # an inventory: the scan ends with its selection
-        needed = materialize(needed, "needed-files")
+        needed, seen = materialize_observed(needed, "needed-files", files=F.count("*"))
     scan_s = time.perf_counter() - t0
     t1 = time.perf_counter()
-    parsed = materialize(R.numbered(R.parse.parse_files(needed)))  # one parse per file, shared storage
+    # one parse per file, shared storage; counted as it is written
+    parsed, counts = materialize_observed(
+        R.numbered(R.parse.parse_files(needed)), "parsed", files=F.count("*"),
+        failed=F.count_if(~F.col("success")), bytes=F.coalesce(F.sum("size"), F.lit(0)))
     run = R.TicketRun(validated, scope_df, parsed, resolved)
     parse_s = time.perf_counter() - t1
     t2 = time.perf_counter()
-    info = None
+    info, indexed = None, {"points": 0}
     if collection:
-        upsert_points(spark, collection, index_documents(run))
+        points, indexed = materialize_observed(index_documents(run), "points", points=F.count("*"))
+        upsert_points(spark, collection, points)
         info = V.collection_info(current_points(spark, collection))
     index_s = time.perf_counter() - t2
     files_location = os.path.join(out_dir, "report_files")
@@ -161,7 +97,9 @@ def run_tickets(spark: SparkSession, files: DataFrame, tickets: DataFrame, out_d
     D.write_documents(D.document_lines(run, reports), os.path.join(out_dir, "documents"))
     release(spark, mark)  # everything is written
     return {"out_dir": out_dir, "collection": collection,
-            "timings": {"scan": scan_s, "parse": parse_s, "index": index_s, "total": total}}
+            "timings": {"scan": scan_s, "parse": parse_s, "index": index_s, "total": total},
+            "rows": {"scan": seen.get("files", counts["files"]), "parse": counts["files"],
+                     "failed": counts["failed"], "bytes": counts["bytes"], "index": indexed["points"]}}
 
 
 def embed_text(text: str, dim: int = V.DEFAULT_DIM) -> list[float]:

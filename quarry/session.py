@@ -4,8 +4,9 @@ materialisation that survives executor loss."""
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -115,6 +116,18 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def materialize_observed(df: DataFrame, name: str, then: Callable[[DataFrame], DataFrame] | None = None,
+                         **metrics: Column) -> tuple[DataFrame, dict]:
+    """Writes ``then(df)`` as a stage (``df`` itself without ``then``), and
+    aggregates of the rows of ``df`` taken on their way there
+    (``DataFrame.observe``), without another pass."""
+    from pyspark.sql import Observation
+    seen = Observation(name)
+    observed = df.observe(seen, *[c.alias(k) for k, c in metrics.items()])
+    stage = materialize(then(observed) if then else observed, name)
+    return stage, seen.get
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new folder for a stage's files under the shared checkpoint folder."""
     import uuid

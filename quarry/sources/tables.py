@@ -54,6 +54,26 @@ def fixture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_from_documents(load_table(spark, sf_dir, "documents"))
 
 
+def write_tree(files: DataFrame) -> int:
+    """Writes every file (path, content, modified) to a mounted folder, with its
+    time; returns how many. A repeated task writes the same files again."""
+    def run(batches):
+        import os
+
+        import pandas as pd
+        for batch in batches:
+            for path, content, modified in zip(batch["path"], batch["content"], batch["modified"], strict=True):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(content if isinstance(content, bytes) else (content or "").encode())
+                at = modified.to_pydatetime().timestamp()
+                os.utime(path, (at, at))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    written = files.select("path", "content", "modified").mapInPandas(run, "n bigint")
+    return written.agg(F.sum("n")).first()[0] or 0
+
+
 # DuckDB twin of ``files_from_documents``, used by the SQL oracles.
 FILES_SQL = """
 files AS (
