@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import id_as_text, materialize, python_ready, text_or_empty
 from quarry.llm.sentencepiece_codec import MARK, check_model, load_model
 
-BLOCK_CHARS = 5_000_000
+BLOCK_CHARS = 8_000_000
 CALL_WORDS = 1_000
 _B_BITS = 20  # of B's id in a pair
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -233,39 +233,48 @@ def align(a: ByteSide, b: PieceSide, keys: list[str]) -> Chunks:
     return chunks
 
 
-def block_row(a: ByteSide, b: PieceSide, name: str, ids: list, texts: list[str]) -> dict:
-    """The row of one block of documents."""
-    numbers = defaultdict(count().__next__)
-    words = []
-    for text in texts:
+class Block:
+    """Documents whose chunks are aligned together; texts are not kept."""
+
+    def __init__(self):
+        self.ids, self.words, self.chars = [], [], 0
+        self.numbers = defaultdict(count().__next__)
+
+    def add(self, doc, text: str) -> None:
         keys = chunk_keys(text) if text and MARK not in text else []
-        words.append(np.fromiter(map(numbers.__getitem__, keys), np.int32, len(keys)))
-    chunks = align(a, b, list(numbers))
-    del numbers
-    table = chunks.columns()
-    words = [w if table["good"][w].all() else w[:0] for w in words]
-    sizes = np.array([len(w) for w in words], int)
-    every = np.concatenate(words) if words else np.zeros(0, np.int32)
-    edges = np.append(0, np.cumsum(sizes))
-
-    def per_document(column: np.ndarray) -> np.ndarray:
-        sums = np.append(0, np.cumsum(column[every]))
-        return sums[edges[1:]] - sums[edges[:-1]]
-
-    digests = []
-    for w in words:
-        digest, step = hashlib.sha256(), 1 << 18
-        for at in range(0, len(w), step):
-            part = "".join(map(chunks.texts.__getitem__, w[at:at + step].tolist()))
-            digest.update((part[1:] if at == 0 else part).encode())
-        digests.append(digest.hexdigest() if len(w) else "")
-    times = np.bincount(every, minlength=len(table["good"]))
-    pairs, place = np.unique(table["pairs"], return_inverse=True)
-    links = np.bincount(place, weights=np.repeat(times, table["n_links"]), minlength=len(pairs))
-    return {"block": name, "ids": ids, "words": every, "sizes": sizes, "digests": digests,
-            **{c: per_document(table[c]) for c in ("n_a", "n_b", "n_groups", "n_links")},
-            "chunk_links": table["n_links"].astype(np.int32), "place": place.astype(np.int32),
-            "pairs": pairs, "links": links.astype(np.int64)}
+        self.ids.append(doc)
+        self.words.append(np.fromiter(map(self.numbers.__getitem__, keys), np.int32, len(keys)))
+        self.chars += len(text)
+
+    def row(self, a: ByteSide, b: PieceSide, name: str) -> dict:
+        chunks = align(a, b, list(self.numbers))
+        self.numbers = None
+        table = chunks.columns()
+        words = [w if table["good"][w].all() else w[:0] for w in self.words]
+        self.words = None
+        sizes = np.array([len(w) for w in words], int)
+        every = np.concatenate(words) if words else np.zeros(0, np.int32)
+        edges = np.append(0, np.cumsum(sizes))
+
+        def per_document(column: np.ndarray) -> np.ndarray:
+            sums = np.append(0, np.cumsum(column[every]))
+            return sums[edges[1:]] - sums[edges[:-1]]
+
+        digests = []
+        for w in words:
+            digest, step = hashlib.sha256(), 1 << 18
+            for at in range(0, len(w), step):
+                part = "".join(map(chunks.texts.__getitem__, w[at:at + step].tolist()))
+                digest.update((part[1:] if at == 0 else part).encode())
+            digests.append(digest.hexdigest() if len(w) else "")
+        del words, chunks
+        times = np.bincount(every, minlength=len(table["good"]))
+        pairs, place = np.unique(table["pairs"], return_inverse=True)
+        links = np.bincount(place, weights=np.repeat(times, table["n_links"]), minlength=len(pairs))
+        return {"block": name, "ids": self.ids, "words": every, "sizes": sizes, "digests": digests,
+                **{c: per_document(table[c]) for c in ("n_a", "n_b", "n_groups", "n_links")},
+                "chunk_links": table["n_links"].astype(np.int32), "place": place.astype(np.int32),
+                "pairs": pairs, "links": links.astype(np.int64)}
 
 
 _BLOCKS = pa.schema([
@@ -281,7 +290,7 @@ _DDL = ", ".join(f"{f.name} " + {"string": "string", "list<item: string>": "arra
 
 def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
                    text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per block of documents (see ``block_row``)."""
+    """One row per block of documents (see ``Block``)."""
     check_model(b_path)
     check_bytes(a_path)
     python_ready(docs)
@@ -291,26 +300,23 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
         task = TaskContext.get()
         prefix = f"{task.stageId()}-{task.partitionId()}" if task else "0"
         number = count()
-        ids, texts, chars = [], [], 0
 
-        def row() -> pa.RecordBatch:
-            made = block_row(a, b, f"{prefix}-{next(number)}", ids, texts)
+        def record(block: Block) -> pa.RecordBatch:
+            made = block.row(a, b, f"{prefix}-{next(number)}")
             return pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) for f in _BLOCKS],
                                               schema=_BLOCKS)
 
         gc.disable()  # many small strings and tuples, no cycles
         try:
+            block = Block()
             for batch in batches:
                 for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                    text = text.as_py()
-                    ids.append(doc)
-                    texts.append(text)
-                    chars += len(text)
-                    if chars >= block_chars:
-                        yield row()
-                        ids, texts, chars = [], [], 0
-            if ids:
-                yield row()
+                    block.add(doc, text.as_py())
+                    if block.chars >= block_chars:
+                        yield record(block)
+                        block = Block()
+            if block.ids:
+                yield record(block)
         finally:
             gc.enable()  # the worker goes on with other tasks
 

@@ -92,7 +92,9 @@ def test_spans_are_exact_byte_ranges(sides):
 def test_chunks_are_encoded_like_the_whole_text(sides):
     for text in random_texts(400, 2) + ["▁", "a ▁b", " ", "a ", " a", "x\n", "x \n y"]:
         found = brute(sides, text)
-        row = token_alignment.block_row(*sides, "x", [1], [text])
+        block = token_alignment.Block()
+        block.add(1, text)
+        row = block.row(*sides, "x")
         assert row["digests"] == [digest(found[3]) if found else ""], text
         assert row["n_links"].tolist() == [len(found[2]) if found else 0]
 
