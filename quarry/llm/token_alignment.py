@@ -15,15 +15,17 @@ Neither tokenizer has a token across the start of a space that stands behind a
 character that is no white space (``check_model`` proves it for B; A's
 pre-tokenizer cuts there, ``check_bytes`` looks at its settings). Texts fall
 into such chunks, and a block of texts encodes and aligns each distinct chunk
-once. A block is one row: its documents with their chunks as numbers, and its
-distinct (A id, B id) pairs with their links. Pair counts over the corpus are
-a sum of those; each block then receives the counts of its own pairs, joined
-by pair and grouped by block, and sums them up over its documents' chunks.
-Nothing is broadcast but B's vocabulary (one number per id).
+once. Its rows are parts (documents with their chunks as numbers) and one table
+(the links of each chunk, and of the block's distinct (A id, B id) pairs). Pair
+counts over the corpus are a sum of the tables; each block then receives the
+counts of its own pairs, joined by pair and grouped by block, and sums them up
+over its documents' chunks. Nothing is broadcast but B's vocabulary (one number
+per id).
 
 The rows shuffled are one per block and distinct pair: a pair has at most one
 row per block and a block's rows are bounded by its text, so no key holds a
-large share. Blocks hold ``BLOCK_CHARS`` characters, or one longer text.
+large share. A block ends when its texts or its distinct chunks have the size
+above; only a single longer text exceeds it.
 
 Defined cases: null and empty texts, and texts whose tokens do not decode to
 the space and the text (a literal U+2581), have no tokens: zeros and ''; ids
@@ -40,7 +42,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -52,7 +54,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import id_as_text, materialize, python_ready, text_or_empty
 from quarry.llm.sentencepiece_codec import MARK, check_model, load_model
 
-BLOCK_CHARS = 8_000_000
+PART_CHARS = 3_000_000    # of the texts that are worked on at once
+BLOCK_CHARS = 20_000_000  # of a block's texts
+TABLE_CHARS = 2_500_000   # of a block's distinct chunks
 CALL_WORDS = 1_000
 _B_BITS = 20  # of B's id in a pair
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -198,8 +202,10 @@ class Chunks:
             at += size
 
     def columns(self) -> dict[str, np.ndarray]:
-        return {name: np.concatenate(getattr(self, name) or [np.zeros(0, int)])
-                for name in ("n_a", "n_b", "n_groups", "n_links", "pairs", "good")}
+        for name in ("n_a", "n_b", "n_groups", "n_links", "pairs", "good"):
+            setattr(self, name, [np.concatenate(getattr(self, name) or [np.zeros(0, int)])])
+        return {name: getattr(self, name)[0] for name in ("n_a", "n_b", "n_groups", "n_links", "pairs")} | {
+            "good": self.good[0].astype(bool)}
 
 
 @lru_cache(maxsize=1)
@@ -214,10 +220,9 @@ def chunk_keys(text: str) -> list[str]:
     return [c[1:] for c in _CUT.split(" " + text)]
 
 
-def align(a: ByteSide, b: PieceSide, keys: list[str]) -> Chunks:
-    """The distinct chunks ``keys``, many to a call where no white space at a
-    chunk's end could meet the next chunk."""
-    chunks = Chunks()
+def align(a: ByteSide, b: PieceSide, keys: list[str], chunks: Chunks) -> Chunks:
+    """Adds the distinct chunks ``keys``, many to a call where no white space at
+    a chunk's end could meet the next chunk."""
     call: list[str] = []
     for key in keys:
         closed = key != "" and not key[-1].isspace()
@@ -234,27 +239,43 @@ def align(a: ByteSide, b: PieceSide, keys: list[str]) -> Chunks:
 
 
 class Block:
-    """Documents whose chunks are aligned together; texts are not kept."""
+    """Documents whose chunks are aligned through one table; texts are not kept."""
 
-    def __init__(self):
-        self.ids, self.words, self.chars = [], [], 0
+    def __init__(self, a: ByteSide, b: PieceSide, name: str):
+        self.a, self.b, self.name = a, b, name
         self.numbers = defaultdict(count().__next__)
+        self.chunks, self.times = Chunks(), np.zeros(0, np.int64)
+        self.chars = self.table_chars = 0
+        self._start_part()
+
+    def _start_part(self) -> None:
+        self.ids, self.words, self.part_chars = [], [], 0
 
     def add(self, doc, text: str) -> None:
         keys = chunk_keys(text) if text and MARK not in text else []
         self.ids.append(doc)
         self.words.append(np.fromiter(map(self.numbers.__getitem__, keys), np.int32, len(keys)))
-        self.chars += len(text)
-
-    def row(self, a: ByteSide, b: PieceSide, name: str) -> dict:
-        chunks = align(a, b, list(self.numbers))
-        self.numbers = None
-        table = chunks.columns()
+        self.part_chars += len(text)
+
+    def full(self) -> bool:
+        return self.chars >= BLOCK_CHARS or self.table_chars >= TABLE_CHARS
+
+    def part(self) -> dict:
+        """The row of the documents since the last part, their new chunks aligned."""
+        new = list(islice(self.numbers, len(self.times), None))
+        align(self.a, self.b, new, self.chunks)
+        self.chars += self.part_chars
+        self.table_chars += sum(map(len, new)) + len(new)
+        table = self.chunks.columns()
         words = [w if table["good"][w].all() else w[:0] for w in self.words]
-        self.words = None
+        ids = self.ids
+        self._start_part()
         sizes = np.array([len(w) for w in words], int)
         every = np.concatenate(words) if words else np.zeros(0, np.int32)
         edges = np.append(0, np.cumsum(sizes))
+        times = np.bincount(every, minlength=len(table["good"]))
+        times[:len(self.times)] += self.times
+        self.times = times
 
         def per_document(column: np.ndarray) -> np.ndarray:
             sums = np.append(0, np.cumsum(column[every]))
@@ -264,17 +285,20 @@ class Block:
         for w in words:
             digest, step = hashlib.sha256(), 1 << 18
             for at in range(0, len(w), step):
-                part = "".join(map(chunks.texts.__getitem__, w[at:at + step].tolist()))
-                digest.update((part[1:] if at == 0 else part).encode())
+                text = "".join(map(self.chunks.texts.__getitem__, w[at:at + step].tolist()))
+                digest.update((text[1:] if at == 0 else text).encode())
             digests.append(digest.hexdigest() if len(w) else "")
-        del words, chunks
-        times = np.bincount(every, minlength=len(table["good"]))
-        pairs, place = np.unique(table["pairs"], return_inverse=True)
-        links = np.bincount(place, weights=np.repeat(times, table["n_links"]), minlength=len(pairs))
-        return {"block": name, "ids": self.ids, "words": every, "sizes": sizes, "digests": digests,
-                **{c: per_document(table[c]) for c in ("n_a", "n_b", "n_groups", "n_links")},
-                "chunk_links": table["n_links"].astype(np.int32), "place": place.astype(np.int32),
-                "pairs": pairs, "links": links.astype(np.int64)}
+        return {"block": self.name, "ids": ids, "words": every, "sizes": sizes, "digests": digests,
+                **{c: per_document(table[c]) for c in ("n_a", "n_b", "n_groups", "n_links")}}
+
+    def table(self) -> dict:
+        """The row of the block's chunks and pairs, its last."""
+        columns = self.chunks.columns()
+        self.chunks = self.numbers = None
+        pairs, place = np.unique(columns["pairs"], return_inverse=True)
+        links = np.bincount(place, weights=np.repeat(self.times, columns["n_links"]), minlength=len(pairs))
+        return {"block": self.name, "chunk_links": columns["n_links"].astype(np.int32),
+                "place": place.astype(np.int32), "pairs": pairs, "links": links.astype(np.int64)}
 
 
 _BLOCKS = pa.schema([
@@ -288,37 +312,52 @@ _DDL = ", ".join(f"{f.name} " + {"string": "string", "list<item: string>": "arra
                  .get(str(f.type), "array<bigint>") for f in _BLOCKS)
 
 
+def _give_back_memory() -> None:
+    """Returns what a task has freed to the machine: the worker stays, and the
+    next stage's memory is another's."""
+    import ctypes
+    import ctypes.util
+    gc.collect()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
-                   text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row per block of documents (see ``Block``)."""
+                   text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """The rows of all blocks: parts (``ids`` is not null) and tables."""
     check_model(b_path)
     check_bytes(a_path)
     python_ready(docs)
 
+    def record(row: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in _BLOCKS], schema=_BLOCKS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _sides(a_path, b_path)
         task = TaskContext.get()
         prefix = f"{task.stageId()}-{task.partitionId()}" if task else "0"
         number = count()
-
-        def record(block: Block) -> pa.RecordBatch:
-            made = block.row(a, b, f"{prefix}-{next(number)}")
-            return pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) for f in _BLOCKS],
-                                              schema=_BLOCKS)
-
+        block = None
         gc.disable()  # many small strings and tuples, no cycles
         try:
-            block = Block()
             for batch in batches:
                 for doc, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                    block = block or Block(a, b, f"{prefix}-{next(number)}")
                     block.add(doc, text.as_py())
-                    if block.chars >= block_chars:
-                        yield record(block)
-                        block = Block()
-            if block.ids:
-                yield record(block)
+                    if block.part_chars >= part_chars:
+                        yield record(block.part())
+                        if block.full():
+                            yield record(block.table())
+                            block = None
+            if block:
+                if block.ids:
+                    yield record(block.part())
+                yield record(block.table())
         finally:
             gc.enable()  # the worker goes on with other tasks
+            block = None
+            _give_back_memory()
 
     return docs.select(id_as_text(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, _DDL)
 
@@ -337,12 +376,12 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 
 def token_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
-                    text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+                    text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
     """One row per document: id_col, n_a, n_b, n_groups, n_links, n_best,
     count_sum, groups_sha256 (see ``pair_counts`` and ``aligned_groups`` for
     the pairs and the groups themselves)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    blocks = materialize(aligned_blocks(docs, a_path, b_path, id_col, text_col, block_chars), "aligned")
+    blocks = materialize(aligned_blocks(docs, a_path, b_path, id_col, text_col, part_chars), "aligned")
     counts = materialize(pair_counts(blocks), "pairs")
     asked = blocks.select(F.col("block").alias("for"), F.posexplode("pairs").alias("pos", "pair"))
     answers = asked.join(counts.select("pair", "n", "best"), "pair").select("for", "pos", "n", "best")
@@ -350,21 +389,29 @@ def token_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
            "count_sum bigint, groups_sha256 string")
 
     def run(some: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        # the rows of one block: its table, and its parts
+        (table,) = some[some["ids"].isna()].itertuples()
+        n, best = np.zeros(len(table.pairs), np.int64), np.zeros(len(table.pairs), np.int64)
+        n[counted["pos"]], best[counted["pos"]] = counted["n"], counted["best"]
+        links = np.append(0, np.cumsum(table.chunk_links))
+
+        def of_chunks(values: np.ndarray) -> np.ndarray:
+            sums = np.append(0, np.cumsum(values[table.place]))
+            return sums[links[1:]] - sums[links[:-1]]
+
+        chunk_n, chunk_best = of_chunks(n), of_chunks(best)
         frames = []
-        for r in some.itertuples():  # one row: the block
-            n, best = np.zeros(len(r.pairs), np.int64), np.zeros(len(r.pairs), np.int64)
-            n[counted["pos"]], best[counted["pos"]] = counted["n"], counted["best"]
-            links = np.append(0, np.cumsum(r.chunk_links))
-
-            def per_document(values, links=links, r=r):
-                sums = np.append(0, np.cumsum(values[r.place]))
-                sums = np.append(0, np.cumsum((sums[links[1:]] - sums[links[:-1]])[r.words]))
-                edges = np.append(0, np.cumsum(r.sizes))
+        for r in some[some["ids"].notna()].itertuples():
+            edges = np.append(0, np.cumsum(r.sizes))
+
+            def per_document(values, r=r, edges=edges):
+                sums = np.append(0, np.cumsum(values[r.words]))
                 return sums[edges[1:]] - sums[edges[:-1]]
 
             frames.append(pd.DataFrame({
                 "id": r.ids, "n_a": r.n_a, "n_b": r.n_b, "n_groups": r.n_groups, "n_links": r.n_links,
-                "n_best": per_document(best), "count_sum": per_document(n), "groups_sha256": r.digests}))
+                "n_best": per_document(chunk_best), "count_sum": per_document(chunk_n),
+                "groups_sha256": r.digests}))
         return pd.concat(frames)
 
     left = blocks.drop("links").groupBy("block")
@@ -387,7 +434,7 @@ def aligned_groups(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
             for text in batch.column("text"):
                 text = text.as_py()
                 keys = chunk_keys(text) if text and MARK not in text else []
-                chunks = align(a, b, keys)
+                chunks = align(a, b, keys, Chunks())
                 whole = all(good.all() for good in chunks.good)
                 listed = "".join(chunks.texts)[1:].split(";") if keys and whole else []
                 rows.append([{"a": [int(x) for x in g.split("|")[0].split(",")],

@@ -92,9 +92,9 @@ def test_spans_are_exact_byte_ranges(sides):
 def test_chunks_are_encoded_like_the_whole_text(sides):
     for text in random_texts(400, 2) + ["▁", "a ▁b", " ", "a ", " a", "x\n", "x \n y"]:
         found = brute(sides, text)
-        block = token_alignment.Block()
+        block = token_alignment.Block(*sides, "x")
         block.add(1, text)
-        row = block.row(*sides, "x")
+        row = block.part()
         assert row["digests"] == [digest(found[3]) if found else ""], text
         assert row["n_links"].tolist() == [len(found[2]) if found else 0]
 
@@ -109,12 +109,43 @@ def test_other_tokenizers_are_refused():
         token_alignment.check_bytes(tokenizer_path("word_bpe_49k.json"))
 
 
-@pytest.mark.parametrize("block_chars", [1, 200, 1 << 30])
-def test_blocks_of_any_size_give_the_same_rows(spark, sides, block_chars):
+@pytest.mark.parametrize("part_chars, block_chars, table_chars", [
+    (1, 1, 1), (200, 10 ** 9, 10 ** 9), (1, 500, 10 ** 9), (60, 10 ** 9, 300), (10 ** 9, 10 ** 9, 10 ** 9)])
+def test_blocks_of_any_size_give_the_same_rows(sides, part_chars, block_chars, table_chars, monkeypatch):
+    """Parts and tables of any sizes, as a task makes them, against whole texts."""
+    monkeypatch.setattr(token_alignment, "BLOCK_CHARS", block_chars)
+    monkeypatch.setattr(token_alignment, "TABLE_CHARS", table_chars)
+    texts = random_texts(120, 3) + ["the same text"] * 20
+    blocks, block = [], None
+    for i, text in enumerate(texts):
+        block = block or token_alignment.Block(*sides, "x")
+        block.add(i, text)
+        if block.part_chars >= part_chars or i == len(texts) - 1:
+            blocks.append(block.part())
+            if block.full() or i == len(texts) - 1:
+                blocks.append(block.table())
+                block = None
+    total, got = Counter(), {}
+    for row in blocks:
+        if "pairs" in row:
+            total.update({(int(p) >> 20, int(p) & (1 << 20) - 1): int(n)
+                          for p, n in zip(row["pairs"], row["links"]) if n})
+        else:
+            got |= {i: (a, d) for i, a, d in zip(row["ids"], row["n_links"].tolist(), row["digests"])}
+    want = Counter()
+    for i, text in enumerate(texts):
+        found = brute(sides, text)
+        want.update(found[2] if found else [])
+        assert got[i] == ((len(found[2]), digest(found[3])) if found else (0, ""))
+    assert total == want
+
+
+@pytest.mark.parametrize("part_chars", [1, 200, 1 << 30])
+def test_parts_of_any_size_give_the_same_rows(spark, sides, part_chars):
     rows = [(i, t) for i, t in enumerate(random_texts(150, 3) + ["the same text"] * 50)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = rows_of(token_alignment.token_alignment(docs, tokenizer_path(BYTE_MODEL), tokenizer_path(),
-                                                  block_chars=block_chars))
+                                                  part_chars=part_chars))
     assert Counter(tuple(r[n] for n in NAMES) for r in got) == expected(sides, rows)
 
 
