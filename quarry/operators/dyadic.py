@@ -28,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import materialize
+
 UNIT_BITS = 26          # units of 67 seconds
 MAX_LEVEL = 63 - UNIT_BITS
 ALL = "all"
@@ -84,15 +86,18 @@ class Selection:
 
 
 def selection(windows: DataFrame, has_all: DataFrame | None = None) -> Selection:
-    """One action that returns a row per level: which levels there are, how
-    many bytes of nodes, and whether the frame ``has_all`` has a row."""
+    """The nodes of the windows, written once (all joins and aggregates read
+    them), and one action that returns a row per level: which levels there are,
+    how many bytes of nodes, and whether the frame ``has_all`` has a row."""
     nodes = cover(windows)
-    size = F.sum(F.octet_length("scope_id") + _NODE_BYTES).alias("bytes")
-    rows = nodes.groupBy("level").agg(size)
     if has_all is not None:
-        rows = rows.unionByName(has_all.limit(1).select(F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("bytes")))
-    found = {r["level"]: r["bytes"] for r in rows.collect()}
-    return Selection(nodes, sorted(k for k in found if k >= 0), -1 in found, sum(found.values()))
+        mark = [F.lit(ALL).alias("scope_id"), F.lit(-1).alias("level"), F.lit(0).cast("bigint").alias("node"),
+                F.lit(False).alias("edge"), *[F.lit(0).cast("bigint").alias(c) for c in ("lo", "hi")]]
+        nodes = nodes.unionByName(has_all.limit(1).select(*mark))
+    nodes = materialize(nodes, "nodes")
+    found = {r["level"]: r["bytes"] for r in nodes.groupBy("level").agg(
+        F.sum(F.octet_length("scope_id") + _NODE_BYTES).alias("bytes")).collect()}
+    return Selection(nodes.where("level >= 0"), sorted(k for k in found if k >= 0), -1 in found, sum(found.values()))
 
 
 def _entered(rows: DataFrame, unit: Column, levels: list[int]) -> DataFrame:
