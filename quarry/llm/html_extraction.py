@@ -15,8 +15,11 @@ Excluded in any place: menus, page headers, footers, side bars, notices,
 adverts, forms, scripts, styles, comments and hidden elements, by tag, role or
 class word. Inside content a class has to name furniture as a whole ("ad-slot",
 not "search-methods"), and so has the id of a ``div``; ids of other elements
-are anchors. The work is a map over the pages: no shuffle, and the model has a
-bound (``KEYS`` containers and the tag names).
+are anchors. Outside of content one word is enough, but a name (or a form) around
+it never takes a ``main`` element away, nor an ``article`` of a page that has
+no other text in one; and a page that such names empty is read again with
+names that as a whole name furniture. The work is a map over the pages: no
+shuffle, linear in a page's length, and the model is bounded by the sample.
 
 Defined cases: a null, empty or text-free page has empty text; unclosed,
 misnested and cut-off tags are read as browsers do (a tag without end is
@@ -32,6 +35,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,7 +44,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import hash_sample, id_as_text, python_ready, text_or_empty
 
 SAMPLE = 2_000
-KEYS = 5_000
 MOST = 3.0            # bound of a learnt word weight
 TAG_LEAST, TAG_MOST = 0.02, 0.1
 EXCLUDED_WORD = 0.02  # cost of a word that is left out anyway
@@ -49,13 +52,17 @@ DROP = -2.0           # containers below this weight are left out inside a regio
 
 # fixed values: HTML element names, and words of class, id and role that name page furniture
 RAW = {"script", "style", "noscript", "textarea", "title", "template", "iframe", "object",
-       "svg", "math", "canvas", "audio", "video", "noframes", "noembed", "xmp"}
+       "svg", "canvas", "audio", "video", "noframes", "noembed", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 CONTENT = {"article", "main"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "fieldset", "dialog", "menu",
-             "head", "label", "datalist", "output", "progress"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn",
+             "head", "label", "datalist", "output", "progress", "annotation", "annotation-xml"}
+# of these, what an article's text can hold
+TEXT_TOO = {"label", "output"}
+INLINE = {"label", "output", "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub",
+          "msubsup", "mfrac", "annotation", "annotation-xml", "msqrt", "mroot", "mover", "munder", "munderover", "mstyle", "mpadded", "mfenced",
+          "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn",
           "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small",
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
 # an open paragraph ends where one of these begins
@@ -84,8 +91,8 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|(?P<text>[^<]++|<)", re.S)
-_ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?",
-                   re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_NAMED = {"class", "id", "role"}
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
 
 
@@ -113,30 +120,55 @@ def _attributes(attrs: str) -> tuple[set[str], dict[str, list[str]], str, bool]:
     tokens: dict[str, list[str]] = {}
     first, hidden = "", False
     for name, value in _ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
+        name = name.lower()
+        value = value[1:-1] if value[:1] in ('"', "'") and value[-1:] == value[:1] != value else value
         if name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
         elif name in ("hidden", "aria-hidden"):
             hidden |= name == "hidden" or value.lower() == "true"
-        else:
+        elif name in _NAMED:
             words.update(p.lower() for p in _PART.findall(value))
             tokens.setdefault(name, []).extend(value.split())
             first = first or (value.split() or [""])[0]
     return words, tokens, first, hidden
 
 
-def runs(page: str) -> list[Run]:
-    """The page as a sequence of text runs and tags, in page order."""
+# why text is left out: not, by a name around content, as an article in such a name, in any case
+KEEP, NAMED, ARTICLE, GONE = range(4)
+
+
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}", re.I | re.A)
+
+
+def runs(page: str, whole_names: bool = False) -> list[Run]:
+    """The page as a sequence of text runs and tags, in page order. With
+    ``whole_names`` a class has to name furniture as a whole everywhere."""
     out: list[Run] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, key, excluded, content, element
+    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, key, why left out, content, element
+    open_tags: Counter[str] = Counter()
     links, block, at = 0, 0, 0
-    lower = None
+    left_out: list[int] = []
+
+    def close(tag: str) -> None:
+        while True:
+            name = stack.pop()[0]
+            open_tags[name] -= 1
+            if name == tag:
+                return
+
+    def enter(tag: str, key: str, why: int, content: bool, element: bool) -> None:
+        stack.append((tag, key, why, content, element))
+        open_tags[tag] += 1
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         if m["text"] is not None:
-            _, key, excluded, content, element = stack[-1] if stack else ("", "", False, False, False)
-            out.append(Run("", m["text"], key, links > 0, excluded, block, content, element))
+            _, key, why, content, element = stack[-1] if stack else ("", "", KEEP, False, False)
+            out.append(Run("", m["text"], key, links > 0, False, block, content, element))
+            left_out.append(why)
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag or not page.endswith(">", 0, at):
@@ -147,44 +179,55 @@ def runs(page: str) -> list[Run]:
         if tag not in INLINE and tag not in RAW:
             block += 1
             links = 0
-        out.append(Run(tag, excluded=bool(stack) and stack[-1][2], block=block))
+        out.append(Run(tag, block=block))
+        left_out.append(stack[-1][2] if stack else KEEP)
         if closing:
-            if any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if open_tags[tag]:
+                close(tag)
             continue
         if tag in RAW:
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
-            if not attrs.endswith("/") or tag not in ("svg", "math"):
-                stack.append((tag, tag, True, False, False))
+            end = _raw_end(tag).search(page, at)
+            at = end.start() if end else len(page)
+            if not attrs.endswith("/") or tag != "svg":
+                enter(tag, tag, GONE, False, False)
             continue
         if tag in VOID:
             continue
         words, tokens, first, hidden = _attributes(attrs) if attrs.strip() else (set(), {}, "", False)
-        if tag in ENDS_P and any(s[0] == "p" for s in stack):
-            while stack.pop()[0] != "p":
-                pass
+        if tag in ENDS_P and open_tags["p"]:
+            close("p")
         if tag == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
-        _, key, excluded, content, element = stack[-1] if stack else ("", "", False, False, False)
-        if content:
+            close("li")
+        _, key, why, content, element = stack[-1] if stack else ("", "", KEEP, False, False)
+        if content or whole_names:
             whole = tokens.get("class", []) + (tokens.get("id", []) if tag == "div" else [])
             named = (any(t.lower() in WORDS for t in tokens.get("role", []))
                      or any(_names_furniture(t) for t in whole))
         else:
             named = bool(words & WORDS)
+        outside = not content
         content = content or tag in CONTENT or "main" in words and tag != "body"
-        inside = hidden or tag in FURNITURE or named or (
-            (tag == "header" or bool(words & PAGE_HEADER)) and not content)
-        if tag in CONTENT or tag in ("html", "body"):
-            inside = hidden
+        furniture = tag in FURNITURE and (outside or tag not in TEXT_TOO)
+        header = (tag == "header" or bool(words & PAGE_HEADER)) and not content
+        inside = KEEP
+        if hidden:
+            inside = GONE
+        elif tag in CONTENT:
+            # what a name or a form around it leaves out is not lost with an element of content
+            why = KEEP if why == NAMED and tag == "main" else ARTICLE if why == NAMED else why
+        elif tag not in ("html", "body") and (furniture or named or header):
+            soft = outside and not header and (tag == "form" or not furniture)
+            inside = NAMED if soft else GONE
         if tag in INLINE and not inside:
             continue
         if tag not in INLINE and (first or tag in CONTENT or tag not in ("p", "li", "td", "th", "tr")):
             key = f"{tag}.{first}" if first else tag
-        stack.append((tag, key, excluded or inside, content, element or tag in CONTENT))
+        # in an article that may come back, furniture stays out
+        why = GONE if inside and why == ARTICLE else max(why, inside)
+        enter(tag, key, why, content, element or tag in CONTENT)
+    lost = any(why == KEEP and run.element and not run.tag and run.text.strip() for run, why in zip(out, left_out))
+    for run, why in zip(out, left_out):
+        run.excluded = why in (NAMED, GONE) or why == ARTICLE and lost
     return out
 
 
@@ -203,13 +246,24 @@ class Weights:
         return weight - 1.5 if run.link else weight
 
 
-def main_text(page: str, weights: Weights) -> str:
-    """Text of the best region, blocks joined by an empty line."""
-    tokens = runs(page)
+def best_region(values: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous part with the greatest positive sum, in
+    one scan; the first and shortest of equal ones, (0, 0) without any."""
     best = score = 0.0
     begin = start = end = 0
+    for i, value in enumerate(values):
+        if score <= 0:
+            score, begin = 0.0, i
+        score += value
+        if score > best:
+            best, start, end = score, begin, i + 1
+    return start, end
+
+
+def _region_text(tokens: list[Run], weights: Weights) -> str:
     kept: list[bool] = []
-    for i, run in enumerate(tokens):
+    values: list[float] = []
+    for run in tokens:
         keep = False
         if run.tag:
             value = 0.0 if run.excluded else -weights.tags.get(run.tag, TAG_MOST)
@@ -219,11 +273,8 @@ def main_text(page: str, weights: Weights) -> str:
             keep = not run.excluded and weights.container(run) > DROP
             value = n * weight if keep else -n * EXCLUDED_WORD
         kept.append(keep)
-        if score <= 0:
-            score, begin = 0.0, i
-        score += value
-        if score > best:
-            best, start, end = score, begin, i + 1
+        values.append(value)
+    start, end = best_region(values)
     blocks: dict[int, list[str]] = {}
     for run, keep in zip(tokens[start:end], kept[start:end]):
         if run.tag == "br":
@@ -234,6 +285,11 @@ def main_text(page: str, weights: Weights) -> str:
     return "\n\n".join(b for b in joined if b)
 
 
+def main_text(page: str, weights: Weights) -> str:
+    """Text of the best region, blocks joined by an empty line."""
+    return _region_text(runs(page), weights) or _region_text(runs(page, whole_names=True), weights)
+
+
 def learn(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) -> Weights:
     """Weights from the pages that mark one content element."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,7 +317,7 @@ def learn(pages: DataFrame, id_col: str, html_col: str, sample: int = SAMPLE) ->
     picked = hash_sample(marked.withColumn("h", F.xxhash64("html")), sample, marked.count(), "id", "h")
     rows = (picked.mapInPandas(count, "kind string, key string, n_in bigint, n_out bigint")
             .groupBy("kind", "key").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"))
-            .orderBy(F.desc(F.col("n_in") + F.col("n_out")), "kind", "key").limit(KEYS).collect())
+            .collect())  # every container and tag of the sample's pages
     out = Weights()
     for kind, found in (("word", out.words), ("tag", out.tags)):
         some = [r for r in rows if r["kind"] == kind]

@@ -101,6 +101,75 @@ def test_names_of_article_parts_are_not_furniture():
     assert main_text('<div class="search-methods">Find</div><article><p>Text.</p></article>', Weights()) == "Text."
 
 
+ARTICLE = "<article><p>The article of the page is long enough to be read.</p></article>"
+SAID = "The article of the page is long enough to be read."
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "has-sidebar", "no-sidebar", "search-results", "comments-open"])
+def test_a_wrapper_s_name_does_not_lose_the_article(name):
+    w = Weights()
+    for page in (f'<body><div class="{name}">{ARTICLE}</div></body>', f'<div id="{name}"><div>{ARTICLE}</div></div>',
+                 f'<form class="{name}">{ARTICLE}</form>', f'<div class="{name}">{ARTICLE.replace("<article", "<main").replace("</article", "</main")}</div>',
+                 f'<div class="{name}"><p>{SAID}</p></div>'):
+        assert main_text(page, w) == SAID, page
+    # furniture inside stays out, and cards in a named box do not come back beside the article
+    page = f'<div class="{name}"><article><p>{SAID}</p><div class="ad-slot">Buy</div><nav>Menu</nav></article></div>'
+    assert main_text(page, w) == SAID
+    page = f'{ARTICLE}<div class="related"><article><p>Another story, a card only</p></article></div>'
+    assert main_text(page, w) == SAID
+    assert main_text(f"<nav>{ARTICLE}</nav><aside>{ARTICLE}</aside><div hidden>{ARTICLE}</div>", w) == ""
+
+
+def test_attributes_are_read_as_such():
+    w = Weights()
+    for attrs in ('title="a hidden gem"', "data-hidden='false'", 'data-class="ad"', 'alt="class=ad"', "x=hidden",
+                  'title="id=comments role=search"', 'aria-hidden="false"', "data-id=comments", 'title = "style=display:none"'):
+        assert main_text(f"<article><p>One.</p><div {attrs}>Kept here.</div></article>", w) == "One.\n\nKept here.", attrs
+    for attrs in ("hidden", "HIDDEN=''", 'class=ad-slot', "CLASS='x ad'", "id = comments", 'style="a:b;display: none"',
+                  "data-x='>' hidden", "aria-hidden=true"):
+        assert main_text(f"<article><p>One.</p><div {attrs}>Gone here.</div></article>", w) == "One.", attrs
+
+
+def test_letters_that_change_length_in_lower_case():
+    page = "<p>İİİİ İstanbul" + "İ" * 50 + "</p><SCRIPT>var x = 1</Script><article><p>Behind the script.</p></article>"
+    assert main_text(page, Weights()).endswith("Behind the script.") and "var" not in main_text(page, Weights())
+
+
+def test_text_of_labels_outputs_and_formulas_in_an_article():
+    page = ("<article><p>The sum <label>called</label> is <output>5</output> and <math><mi>x</mi><mo>=</mo><mn>2</mn>"
+            "<annotation>x=2</annotation></math> holds.</p><form><label>Name</label></form></article>"
+            "<label>Outside</label>")
+    assert main_text(page, Weights()) == "The sum called is 5 and x=2 holds."
+
+
+def test_many_open_elements_and_stray_end_tags_take_linear_time():
+    import time
+    took = []
+    for n in (10_000, 40_000):
+        page = "<div>" * n + "text of the page" + "</span>" * n + "</section>" * n
+        t = time.perf_counter()
+        assert main_text(page, Weights()) == "text of the page"
+        took.append(time.perf_counter() - t)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_scan_finds_the_best_of_all_intervals():
+    import random
+    rng = random.Random(2)
+    for _ in range(500):
+        values = [rng.choice([-3, -1, -1, 0, 1, 2]) / 1 for _ in range(rng.randint(0, 14))]
+        start, end = html_extraction.best_region(values)
+        best = max((sum(values[i:j]) for i in range(len(values)) for j in range(i + 1, len(values) + 1)), default=0)
+        assert sum(values[start:end]) == max(best, 0)
+
+
+def test_every_container_of_the_sample_is_learnt(spark):
+    rows = [(i, f'<body>{"".join(f"<div class=c{i}x{k}>some words</div>" for k in range(300))}{ARTICLE}</body>')
+            for i in range(30)]
+    weights = html_extraction.learn(spark.createDataFrame(rows, "page_id bigint, html string"), "page_id", "html")
+    assert sum(k.startswith("div.c") for k in weights.words) == 9000 and {"div", "p", "article"} <= set(weights.tags)
+
+
 # ------------------------------------------------------------- url filter
 
 URLS = [("http://A.Example.NET/en/1?x#y", "a.example.net", "/en/1", "example.net/en/"),
