@@ -136,9 +136,9 @@ def sparse_rows(df: DataFrame, id_col: str, text: str, dim: int = DEFAULT_DIM) -
     """id_col, bucket, weight: the non-zero buckets of the hashed embedding as
     rows, in the JVM. Counts are summed before they move; rows that repeat an
     id count as one text, a null text has none."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"[^{WS_CLASS}]+"), F.lit(0))
+    words = F.split(F.lower(F.col(text)), f"[{WS_CLASS}]+")
     place = F.conv(F.substring(F.md5(F.col("word")), 1, 8), 16, 10).cast("bigint") % dim
-    counts = (df.select(id_col, F.explode(words).alias("word"))
+    counts = (df.select(id_col, F.explode(words).alias("word")).where("word != ''")
               .groupBy(id_col, place.cast("int").alias("bucket")).agg(F.count("*").alias("n")))
     whole = Window.partitionBy(id_col)
     return counts.select(id_col, "bucket", (
