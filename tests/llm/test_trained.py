@@ -132,6 +132,80 @@ def test_pair_loss_orders_separable_rows():
     assert np.mean((model.score(x) >= quality.THRESHOLD) == y) > 0.97
 
 
+def labelled_rows(docs, labels):
+    """Features and labels of all training rows, by brute force."""
+    rows = (docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+            .select("text", "quality").collect())
+    return np.array([quality.features(r["text"]) for r in rows]), np.array([r["quality"] for r in rows])
+
+
+def pair_gradient(model, x, y):
+    """Gradient of the loss over every pair of a good and a bad row."""
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    miss = 1 / (1 + np.exp((good @ model.weight)[:, None] - (bad @ model.weight)[None, :]))
+    return (miss.sum(axis=0) @ bad - miss.sum(axis=1) @ good) / miss.size + quality.RIDGE * model.weight
+
+
+def test_quality_is_learnt_from_all_pairs(spark, quality_model):
+    x, y = labelled_rows(*tables(spark))
+    assert np.abs(pair_gradient(quality_model, x, y)).max() < 1e-6
+
+
+def test_quality_is_learnt_from_every_labelled_document(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(16_000):  # some 10,800 good training rows, and a bad one in ten
+        good = bool(rng.random() < 0.9)
+        words = rng.choice(["Alpha", "beta,", "gamma", "delta.", "EPSILON", "zeta!!", "<eta>", "42"],
+                           rng.integers(4, 40), p=np.array([2, 2, 4, 2, 1, 1, 1, 1] if good else
+                                                           [2, 1, 3, 1, 2, 2, 2, 1]) / 14)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(good)))
+        if i % 500 == 0:
+            rows.append((i, " ".join(words[::-1]) + " more"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    x, y = labelled_rows(docs, labels)
+    assert (y == 1).sum() > 10_000
+    model = quality.train(docs, labels)
+    assert np.allclose(model.mean, x.mean(axis=0), rtol=1e-6, atol=1e-9)
+    assert np.abs(pair_gradient(model, x, y)).max() < 1e-6
+    u, bad = np.sort(model.utility(x)), int((y == 0).sum())
+    assert model.threshold == (u[bad - 1] + u[bad]) / 2
+    here = quality.fit(x, y, {0: bad, 1: len(y) - bad})
+    assert np.allclose(here.weight, model.weight, atol=1e-5) and here.slope == pytest.approx(model.slope, rel=1e-4)
+
+
+def test_ranks_are_those_of_the_sorted_utilities():
+    rng = np.random.default_rng(3)
+    u = np.concatenate([rng.normal(size=300), np.zeros(40), -np.zeros(40), rng.normal(size=50) * 1e-12, [2.5] * 30])
+    whole = lambda kernel, width: quality._add({}, *kernel(u, np.zeros(len(u))))
+    order = np.sort(u)
+    for rank in (1, 2, 150, 171, 200, 230, 300, 430, 431, 460):
+        assert quality._ranked(whole, lambda x: x, (rank, min(rank + 1, len(u)))) == [
+            order[rank - 1], order[min(rank, len(u) - 1)]]
+
+
+def test_text_of_control_characters_has_a_score(spark, quality_model):
+    docs = spark.createDataFrame([(1, "\x01"), (2, "\x02 \x03")], "doc_id bigint, text string")
+    got = rows_of(quality.quality_scores(docs, quality_model))
+    assert len(got) == 2 and all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_quality_query_takes_features_once_and_agrees(spark, quality_model):
+    docs, labels = tables(spark)
+    want = {r["doc_id"]: r for r in rows_of(quality.quality_scores(docs, quality_model))}
+    got = rows_of(quality.quality(docs, labels))
+    assert len(got) == len(want)
+    for r in got:
+        w = want[r["doc_id"]]
+        assert r["held_out"] == w["held_out"] and r["score"] == pytest.approx(w["score"], abs=1e-6)
+    got = rows_of(quality.quality(awkward(spark), labels))
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ROWS)
+    assert quality.quality(empty(spark), labels).count() == 0
+
+
 # ------------------------------------------------------------- nearest neighbours
 
 def brute_neighbours(ids, x, k=5):
