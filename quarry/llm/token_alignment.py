@@ -15,8 +15,11 @@ Neither tokenizer has a token across the start of a space that stands behind a
 character that is no white space (``check_model`` proves it for B; A's
 pre-tokenizer cuts there, ``check_bytes`` looks at its settings). Texts fall
 into such chunks, and a block of texts encodes and aligns each distinct chunk
-once. Its rows are parts (documents with their chunks as numbers) and one table
-(the links of each chunk, and of the block's distinct (A id, B id) pairs). Pair
+once. It gives parts (documents with their chunks as numbers) and one table
+(the links of each chunk, and of the block's distinct (A id, B id) pairs). Both
+are cut into rows of at most ``PIECE`` items a list, written in small row
+groups: the rows that the JVM copies and the row group that it reads at once do
+not grow with a block. Pair
 counts over the corpus are a sum of the tables; each block then receives the
 counts of its own pairs, joined by pair and grouped by block, and sums them up
 over its documents' chunks. Nothing is broadcast but B's vocabulary (one number
@@ -25,7 +28,8 @@ per id).
 The rows shuffled are one per block and distinct pair: a pair has at most one
 row per block and a block's rows are bounded by its text, so no key holds a
 large share. A block ends when its texts or its distinct chunks have the size
-above; only a single longer text exceeds it.
+above; only a single longer text exceeds it. A document counts as ``DOC_CHARS``
+characters besides its text, so many empty ones fill a part as well.
 
 Defined cases: null and empty texts, and texts whose tokens do not decode to
 the space and the text (a literal U+2581), have no tokens: zeros and ''; ids
@@ -57,10 +61,14 @@ from quarry.llm.sentencepiece_codec import MARK, check_model, load_model
 PART_CHARS = 3_000_000    # of the texts that are worked on at once
 BLOCK_CHARS = 20_000_000  # of a block's texts
 TABLE_CHARS = 2_500_000   # of a block's distinct chunks
+DOC_CHARS = 100           # that a document's id, digest and counts weigh
+PIECE = 1 << 15           # items of a list in a row
 CALL_WORDS = 1_000
 _B_BITS = 20  # of B's id in a pair
 _CUT = re.compile(r"(?<=\S)(?= )")
 _RARE_CUT = re.compile(r"\s ")
+#: Of the stage's files. Rows are large: without the last, sizes are looked at every 100 rows.
+_ROW_GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1}
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -255,13 +263,13 @@ class Block:
         keys = chunk_keys(text) if text and MARK not in text else []
         self.ids.append(doc)
         self.words.append(np.fromiter(map(self.numbers.__getitem__, keys), np.int32, len(keys)))
-        self.part_chars += len(text)
+        self.part_chars += len(text) + DOC_CHARS
 
     def full(self) -> bool:
         return self.chars >= BLOCK_CHARS or self.table_chars >= TABLE_CHARS
 
     def part(self) -> dict:
-        """The row of the documents since the last part, their new chunks aligned."""
+        """The documents since the last part, their new chunks aligned."""
         new = list(islice(self.numbers, len(self.times), None))
         align(self.a, self.b, new, self.chunks)
         self.chars += self.part_chars
@@ -292,7 +300,7 @@ class Block:
                 **{c: per_document(table[c]) for c in ("n_a", "n_b", "n_groups", "n_links")}}
 
     def table(self) -> dict:
-        """The row of the block's chunks and pairs, its last."""
+        """The block's chunks and pairs, its last record."""
         columns = self.chunks.columns()
         self.chunks = self.numbers = None
         pairs, place = np.unique(columns["pairs"], return_inverse=True)
@@ -302,14 +310,32 @@ class Block:
 
 
 _BLOCKS = pa.schema([
-    ("block", pa.string()), ("ids", pa.list_(pa.string())), ("words", pa.list_(pa.int32())),
+    ("block", pa.string()), ("part", pa.int32()), ("piece", pa.int32()),
+    ("ids", pa.list_(pa.string())), ("words", pa.list_(pa.int32())),
     ("sizes", pa.list_(pa.int64())), ("digests", pa.list_(pa.string())), ("n_a", pa.list_(pa.int64())),
     ("n_b", pa.list_(pa.int64())), ("n_groups", pa.list_(pa.int64())), ("n_links", pa.list_(pa.int64())),
     ("chunk_links", pa.list_(pa.int32())), ("place", pa.list_(pa.int32())),
     ("pairs", pa.list_(pa.int64())), ("links", pa.list_(pa.int64()))])
-_DDL = ", ".join(f"{f.name} " + {"string": "string", "list<item: string>": "array<string>",
+_DDL = ", ".join(f"{f.name} " + {"string": "string", "int32": "int", "list<item: string>": "array<string>",
                                  "list<item: int32>": "array<int>", "list<item: int64>": "array<bigint>"}
                  .get(str(f.type), "array<bigint>") for f in _BLOCKS)
+_PART = ["ids", "words", "sizes", "digests", "n_a", "n_b", "n_groups", "n_links"]
+
+
+def pieces(row: dict, part: int | None, size: int) -> Iterator[pa.RecordBatch]:
+    """A block's part, or its table if ``part`` is None, as rows: the k-th has
+    the items k * size up to (k + 1) * size of each list."""
+    lists = {name: v for name, v in row.items() if name != "block"}
+    for k in range(max(1, -(-max(map(len, lists.values())) // size))):
+        cut = {name: v[k * size:(k + 1) * size] for name, v in lists.items()}
+        cut |= {"block": row["block"], "part": part, "piece": k}
+        yield pa.RecordBatch.from_arrays([pa.array([cut.get(f.name)], f.type) for f in _BLOCKS], schema=_BLOCKS)
+
+
+def joined(rows: pd.DataFrame, names: list[str]) -> dict[str, np.ndarray]:
+    """The whole lists of one record's pieces."""
+    rows = rows.sort_values("piece")
+    return {name: np.concatenate(rows[name].tolist()) for name in names}
 
 
 def _give_back_memory() -> None:
@@ -324,20 +350,17 @@ def _give_back_memory() -> None:
 
 
 def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
-                   text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
-    """The rows of all blocks: parts (``ids`` is not null) and tables."""
+                   text_col: str = "text", part_chars: int = PART_CHARS, piece: int = PIECE) -> DataFrame:
+    """The rows of all blocks: pieces of parts, and of tables (``part`` is null)."""
     check_model(b_path)
     check_bytes(a_path)
     python_ready(docs)
 
-    def record(row: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], f.type) for f in _BLOCKS], schema=_BLOCKS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _sides(a_path, b_path)
         task = TaskContext.get()
         prefix = f"{task.stageId()}-{task.partitionId()}" if task else "0"
-        number = count()
+        number, parts = count(), count()
         block = None
         gc.disable()  # many small strings and tuples, no cycles
         try:
@@ -346,14 +369,14 @@ def aligned_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
                     block = block or Block(a, b, f"{prefix}-{next(number)}")
                     block.add(doc, text.as_py())
                     if block.part_chars >= part_chars:
-                        yield record(block.part())
+                        yield from pieces(block.part(), next(parts), piece)
                         if block.full():
-                            yield record(block.table())
+                            yield from pieces(block.table(), None, piece)
                             block = None
             if block:
                 if block.ids:
-                    yield record(block.part())
-                yield record(block.table())
+                    yield from pieces(block.part(), next(parts), piece)
+                yield from pieces(block.table(), None, piece)
         finally:
             gc.enable()  # the worker goes on with other tasks
             block = None
@@ -376,42 +399,45 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
 
 def token_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id",
-                    text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+                    text_col: str = "text", part_chars: int = PART_CHARS, piece: int = PIECE) -> DataFrame:
     """One row per document: id_col, n_a, n_b, n_groups, n_links, n_best,
     count_sum, groups_sha256 (see ``pair_counts`` and ``aligned_groups`` for
     the pairs and the groups themselves)."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    blocks = materialize(aligned_blocks(docs, a_path, b_path, id_col, text_col, part_chars), "aligned")
+    blocks = materialize(aligned_blocks(docs, a_path, b_path, id_col, text_col, part_chars, piece), "aligned",
+                         _ROW_GROUPS)
     counts = materialize(pair_counts(blocks), "pairs")
-    asked = blocks.select(F.col("block").alias("for"), F.posexplode("pairs").alias("pos", "pair"))
+    asked = (blocks.select(F.col("block").alias("for"), "piece", F.posexplode("pairs").alias("pos", "pair"))
+             .withColumn("pos", F.col("piece") * piece + F.col("pos")))
     answers = asked.join(counts.select("pair", "n", "best"), "pair").select("for", "pos", "n", "best")
     out = ("id string, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
            "count_sum bigint, groups_sha256 string")
 
     def run(some: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         # the rows of one block: its table, and its parts
-        (table,) = some[some["ids"].isna()].itertuples()
-        n, best = np.zeros(len(table.pairs), np.int64), np.zeros(len(table.pairs), np.int64)
+        table = joined(some[some["part"].isna()], ["chunk_links", "place", "pairs"])
+        n, best = np.zeros(len(table["pairs"]), np.int64), np.zeros(len(table["pairs"]), np.int64)
         n[counted["pos"]], best[counted["pos"]] = counted["n"], counted["best"]
-        links = np.append(0, np.cumsum(table.chunk_links))
+        links = np.append(0, np.cumsum(table["chunk_links"]))
 
         def of_chunks(values: np.ndarray) -> np.ndarray:
-            sums = np.append(0, np.cumsum(values[table.place]))
+            sums = np.append(0, np.cumsum(values[table["place"]]))
             return sums[links[1:]] - sums[links[:-1]]
 
         chunk_n, chunk_best = of_chunks(n), of_chunks(best)
         frames = []
-        for r in some[some["ids"].notna()].itertuples():
-            edges = np.append(0, np.cumsum(r.sizes))
+        for _, rows in some[some["part"].notna()].groupby("part"):
+            r = joined(rows, _PART)
+            edges = np.append(0, np.cumsum(r["sizes"]))
 
             def per_document(values, r=r, edges=edges):
-                sums = np.append(0, np.cumsum(values[r.words]))
+                sums = np.append(0, np.cumsum(values[r["words"]]))
                 return sums[edges[1:]] - sums[edges[:-1]]
 
             frames.append(pd.DataFrame({
-                "id": r.ids, "n_a": r.n_a, "n_b": r.n_b, "n_groups": r.n_groups, "n_links": r.n_links,
-                "n_best": per_document(chunk_best), "count_sum": per_document(chunk_n),
-                "groups_sha256": r.digests}))
+                "id": r["ids"], "n_a": r["n_a"], "n_b": r["n_b"], "n_groups": r["n_groups"],
+                "n_links": r["n_links"], "n_best": per_document(chunk_best),
+                "count_sum": per_document(chunk_n), "groups_sha256": r["digests"]}))
         return pd.concat(frames)
 
     left = blocks.drop("links").groupBy("block")

@@ -102,17 +102,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", options: dict | None = None) -> DataFrame:
     """Cut lineage with a table written under the shared checkpoint folder.
 
     Used for stages that several downstream branches read (the parsed-file
     table): the expensive parse runs exactly once (a reliable RDD
     checkpoint would compute it twice without a cache), a lost executor
     does not force a recompute from the raw listing, and the read-back is a
-    plain parquet scan whose statistics AQE can use.
+    plain parquet scan whose statistics AQE can use. ``options`` are the
+    writer's.
     """
     path = stage_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").options(**(options or {})).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -149,6 +149,49 @@ def test_parts_of_any_size_give_the_same_rows(spark, sides, part_chars):
     assert Counter(tuple(r[n] for n in NAMES) for r in got) == expected(sides, rows)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_pieces_of_any_size_give_the_same_rows(spark, sides, piece):
+    rows = [(i, t) for i, t in enumerate(random_texts(60, 4) + ["", "one two " * 40])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    got = rows_of(token_alignment.token_alignment(docs, tokenizer_path(BYTE_MODEL), tokenizer_path(),
+                                                  part_chars=1000, piece=piece))
+    assert Counter(tuple(r[n] for n in NAMES) for r in got) == expected(sides, rows)
+
+
+def test_rows_of_a_block_do_not_grow_with_it(spark):
+    """Neither by long texts and large tables, nor by many empty texts."""
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long)], "doc_id bigint, text string").coalesce(1)
+    paths = tokenizer_path(BYTE_MODEL), tokenizer_path()
+    blocks = token_alignment.aligned_blocks(docs, *paths).toArrow()
+    lists = [f.name for f in blocks.schema if f.name not in ("block", "part", "piece")]
+
+    def longest(blocks):
+        return max(len(v) for name in lists for v in blocks[name].to_pylist() if v is not None)
+
+    assert longest(blocks) <= 1 << 15
+    assert sum(len(v) for v in blocks["words"].to_pylist() if v) == 120_000
+    none = spark.range(40_000).selectExpr("id AS doc_id", "'' AS text").coalesce(1)
+    blocks = token_alignment.aligned_blocks(none, *paths, part_chars=100_000).toArrow()
+    assert longest(blocks) <= 2_000 and sum(len(v) for v in blocks["ids"].to_pylist() if v) == 40_000
+
+
+def test_row_groups_of_the_stage_are_small(spark, monkeypatch):
+    """A scan holds a row group at once."""
+    import pyarrow.dataset as ds
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(150_000)) for _ in range(6)]
+    docs = spark.createDataFrame(enumerate(texts), "doc_id bigint, text string").coalesce(1)
+    kept = []
+    real = token_alignment.materialize
+    monkeypatch.setattr(token_alignment, "materialize", lambda *a: kept.append(real(*a)) or kept[-1])
+    token_alignment.token_alignment(docs, tokenizer_path(BYTE_MODEL), tokenizer_path())
+    files = [f.removeprefix("file://") for f in kept[0].inputFiles()]
+    sizes = [g.total_byte_size for f in ds.dataset(files).get_fragments() for g in f.row_groups]
+    assert max(sizes) <= 5 << 20 < sum(sizes), sizes
+
+
 def test_rows_with_awkward_texts(spark, sides):
     rows = [r if len(r[1] or "") < 5000 else (r[0], r[1][:3000], *r[2:]) for r in ROWS]
     docs = awkward(spark, rows)
